@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gavelspark.llm.common import written
+from gavelspark.llm.decontamination import decontaminate
+from gavelspark.llm.jaccard_join import keep_one
 from gavelspark.llm.line_dedup import dedup_lines
 from gavelspark.llm.quality_rules import quality_filter
 
@@ -21,7 +23,17 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select(*docs.columns)
 
 
-STAGES = [("quality_rules", quality), ("line_dedup", lines)]
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return keep_one(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+STAGES = [("quality_rules", quality), ("line_dedup", lines), ("near_copies", near_copies), ("benchmark", benchmark)]
 #: SQL can't express packing and similarity by hashing; tests/llm has brute-force versions.
 ORACLE_SQL = None
 

@@ -11,12 +11,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import assign_shards
 
     return assign_shards(_table(spark, sf_dir, "documents"), [1.0] * 24)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import contained_items
+
+    return contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import quality_report
 
@@ -31,7 +43,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_sharding": op4_sharding,
+    "op5_decontamination": op5_decontamination,
     "op7_quality_rules": op7_quality_rules,
     "op10_line_dedup": op10_line_dedup,
 }
