@@ -10,6 +10,7 @@ from gavelspark.llm.common import written
 from gavelspark.llm.decontamination import decontaminate
 from gavelspark.llm.jaccard_join import keep_one
 from gavelspark.llm.line_dedup import dedup_lines
+from gavelspark.llm.packing import pack_texts
 from gavelspark.llm.quality_rules import quality_filter
 
 
@@ -33,7 +34,14 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES = [("quality_rules", quality), ("line_dedup", lines), ("near_copies", near_copies), ("benchmark", benchmark)]
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token pieces of the documents, in sequences of 2048."""
+    import public_tokenizers
+
+    return pack_texts(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("quality_rules", quality), ("line_dedup", lines), ("near_copies", near_copies), ("benchmark", benchmark), ("packing", packed)]
 #: SQL can't express packing and similarity by hashing; tests/llm has brute-force versions.
 ORACLE_SQL = None
 
