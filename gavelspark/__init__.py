@@ -1,0 +1 @@
+"""Auction-listing analytics as Spark DataFrame operators."""
