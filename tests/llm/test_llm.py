@@ -1,0 +1,377 @@
+"""The training-data operators against brute force, with nulls, empty and long
+texts, ties, repeated rows, hot groups, empty tables and clashing columns."""
+
+import hashlib
+import itertools
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+WORD = re.compile("[^\x20\x09-\x0d]+")
+LOWER = {i: i + 32 for i in range(65, 91)}
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, node long"
+
+
+def words(t):
+    return [w.translate(LOWER) for w in WORD.findall(t or "")]
+
+
+def make_docs():
+    r = random.Random(5)
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7))) for _ in range(400)]
+    prose = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    docs = [None, "", " \n\t", "one", "one two three", "One  two\nthree", "a b a b a b a b", "é ü 😀 ###"]
+    docs += [prose(r.randint(40, 160)) for _ in range(40)]
+    base = prose(120)
+    docs += [base] * 12  # a group of copies
+    for _ in range(30):  # and one of near copies
+        w = base.split(" ")
+        w[r.randrange(len(w))] = r.choice(vocabulary)
+        docs.append(" ".join(w))
+    docs += [prose(60) + "\nThe same footer in all of these documents 2024\n" + prose(20) for _ in range(9)]
+    docs += [prose(20) + "\nSeen by user %s at gate number %d of the hall\n" % (r.choice(vocabulary), i) + prose(30) for i in range(9)]
+    docs += [prose(30) + " " + "# $ % & | " * 40 for _ in range(3)]
+    docs += [prose(4000)]
+    docs += ["x" * 20000, "mail a.b+c@d-e.org, ip 10.0.0.1 999.1.1.1 card 4111 1111 1111 1111 +1 (555) 010-9999 \ntoken = \"2321bac4d15ec8f90433955bf9d3cf61da5bdd1e\"\nReleased under the MIT License."]
+    rows = [(i, t, r.choice(["en", "de"]), r.choice(["s0", "s0", "s1"]), None, "clash", 7) for i, t in enumerate(docs)]
+    return rows + [rows[20], rows[50], (None, docs[30] + " null key", None, None, None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(make_docs(), SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def brute_quality(t):
+    w = WORD.findall(t or "")
+    lines = [x for x in (t or "").split("\n") if WORD.search(x)]
+    tri, cover = Counter(zip(w, w[1:], w[2:])), set()
+    for i in range(len(w) - 2):
+        if tri[tuple(w[i : i + 3])] > 1:
+            cover |= {i, i + 1, i + 2}
+    return (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), len(cover), len(w) < 50 or 100 * len(cover) > 50 * len(w))
+
+
+def test_quality_rules(spark, docs, empty):
+    from gavelspark.llm.quality_rules import quality_filter, quality_report
+
+    rows = quality_report(docs).collect()
+    texts = Counter((r.doc_id, brute_quality(r.text)) for r in docs.collect())
+    assert Counter((r.doc_id, (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed)) for r in rows) == texts
+    assert not any(r.kept and r.base_failed for r in rows)
+    symbols = {r.doc_id for r in docs.collect() if (r.text or "").count("#") > 30}
+    assert symbols and not any(r.kept for r in rows if r.doc_id in symbols)
+    assert all(r.kept for r in rows if not r.base_failed and r.n_symbols == 0)
+    kept = quality_filter(docs)
+    assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in rows)
+    assert quality_report(empty).count() == 0 and quality_filter(empty).count() == 0
+
+
+def test_sharding(docs, empty):
+    from gavelspark.llm.sharding import assign_shards
+
+    rows = assign_shards(docs, [1.0] * 24).collect()
+    texts = Counter((r.doc_id, len((r.text or "").encode()) + 8, zlib.crc32((r.text or "").encode())) for r in docs.collect())
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == texts
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r.shard].append(r.slot)
+        assert r.grown_shard in (r.shard, 24)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert len({(r.doc_id, r.shard) for r in rows}) == len({r.doc_id for r in rows})
+    assert assign_shards(empty, [1.0] * 3).count() == 0
+
+
+def test_shares_follow_weights(spark):
+    from gavelspark.llm.sharding import rendezvous
+
+    n = spark.range(20000).select(rendezvous(F.col("id"), [1.0, 2.0, 0.0, 1.0]).alias("s")).groupBy("s").count().collect()
+    got = {r.s: r["count"] / 20000 for r in n}
+    assert 2 not in got and abs(got[1] - 0.5) < 0.02 and abs(got[0] - 0.25) < 0.02
+
+
+def test_line_dedup(docs, empty):
+    from gavelspark.llm.line_dedup import dedup_lines
+
+    rows = dedup_lines(docs)
+    assert rows.columns == [*docs.columns, "n_dropped_lines"]
+    rows, before = rows.collect(), docs.collect()
+    assert len(rows) == len(before)
+    footer = [r.doc_id for r in before if "same footer" in (r.text or "")]
+    gates = [r.doc_id for r in before if "gate number" in (r.text or "")]
+    assert [r.doc_id for r in rows if "same footer" in (r.text or "")] == [min(footer)]
+    assert [r.doc_id for r in rows if "gate number" in (r.text or "")] == [min(gates)]
+    own = {r.doc_id: r.text for r in before}
+    for r in rows:
+        if r.n_dropped_lines == 0:
+            assert r.text == own[r.doc_id]
+        else:
+            gone = Counter((own[r.doc_id]).split("\n")) - Counter(r.text.split("\n"))
+            assert sum(gone.values()) >= r.n_dropped_lines - (r.text == "")
+    assert dedup_lines(empty).count() == 0
+
+
+def brute_near(rows, threshold=0.8):
+    sets = []
+    for r in rows:
+        w = words(r.text)
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset())
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    near = defaultdict(set)
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        a, b = sets[i], sets[j]
+        if a == b or (a and b and len(a & b) >= threshold * len(a | b)):
+            x, y = find(i), find(j)
+            parent[max(x, y)] = min(x, y)
+            if a != b:
+                near[i].add(b)
+                near[j].add(a)
+    groups = defaultdict(list)
+    for i in range(len(rows)):
+        groups[find(i)].append(i)
+    low = {i: min((rows[j].doc_id for j in g if rows[j].doc_id is not None), default=None) for g in groups.values() for i in g}
+    return [(rows[i].doc_id, low[i], sum(s == sets[i] for s in sets), len(near[i])) for i in range(len(rows))], len(groups)
+
+
+@pytest.mark.parametrize("block", [1024, 8])
+def test_jaccard_join(docs, empty, block):
+    from gavelspark.llm.jaccard_join import keep_one, near_duplicates
+
+    rows = docs.collect()
+    expected, groups = brute_near(rows)
+    found = near_duplicates(docs, block_rows=block).collect()
+    assert Counter((r.doc_id, r.class_id, r.n_copies, r.n_links) for r in found) == Counter(expected)
+    kept = keep_one(docs, block_rows=block)
+    assert kept.columns == docs.columns and kept.count() == groups
+    assert near_duplicates(empty).count() == 0
+
+
+def test_decontamination(spark, docs, empty):
+    from gavelspark.llm.decontamination import contained_items, decontaminate
+
+    rows = docs.collect()
+    long = max((r.text or "" for r in rows if len(words(r.text)) > 50), key=len).split(" ")
+    items = [(1, " ".join(long[500:560])), (2, " ".join(long[9:17]).upper()), (3, "none of this occurs anywhere in these documents at all"), (4, "one two"), (5, None), (6, ""), (7, " ".join(long[700:900])), (7, " ".join(long[700:900]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    shingle = lambda t: {tuple(words(t)[i : i + 5]) for i in range(len(words(t)) - 4)}
+    expected = Counter((r.doc_id, i) for r in rows for i, t in items if (q := shingle(t)) and len(q & shingle(r.text)) >= 0.8 * len(q))
+    assert expected
+    for most in (1 << 24, 200):
+        assert Counter((r.doc_id, r.item_id) for r in contained_items(docs, bench, most_bytes=most).collect()) == expected
+        clean = decontaminate(docs, bench, most_bytes=most)
+        assert clean.columns == docs.columns and clean.count() == sum(r.doc_id not in {d for d, _ in expected} for r in rows)
+    assert contained_items(empty, bench).count() == 0 and contained_items(docs, bench.limit(0)).count() == 0
+
+
+def tokenizer_path():
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def test_token_cache_as_tokenizer(docs):
+    from tokenizers import Tokenizer
+
+    from gavelspark.llm.packing import TokenCache
+
+    t = Tokenizer.from_file(tokenizer_path())
+    t.encode_special_tokens = True
+    texts = [r.text or "" for r in docs.collect()] + ["  a  b\n\n c", "it's don't I'LL", "１２３ x2 ½²", " 　a\x1c\x85b", "<|endoftext|> hi", "日本語 текст"]
+    cache = TokenCache(tokenizer_path(), most=50)
+    for _ in range(2):
+        for text, ids in zip(texts, t.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert np.frombuffer(cache.encode([text])[0], "<u4").tolist() == ids.ids
+
+
+def test_packing(docs, empty):
+    from tokenizers import Tokenizer
+
+    from gavelspark.llm.packing import pack_texts
+
+    t = Tokenizer.from_file(tokenizer_path())
+    rows = pack_texts(docs, tokenizer_path()).collect()
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in rows:
+        pieces[(r.doc_id, r.doc_tokens)].append(r)
+        sequences[r.sequence_id].append(r)
+    total = 0
+    for d in {(r.doc_id, r.text) for r in docs.collect()}:
+        ids = t.encode(d[1] or "", add_special_tokens=False).ids + [1]
+        copies = sum((r.doc_id, r.text) == d for r in docs.collect())
+        total += copies * len(ids)
+        own = [r for r in pieces[(d[0], len(ids))]]
+        assert sum(r.length for r in own) == copies * len(ids)
+        for r in own:
+            assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
+        covered = Counter(i for r in own for i in range(r.start, r.start + r.length))
+        assert set(covered.values()) == {copies}
+    padding = 0
+    for own in sequences.values():
+        own.sort(key=lambda r: r.offset)
+        at = 0
+        for r in own:
+            assert r.offset == at
+            at += r.length
+        assert at <= 2048
+        padding += 0 if at & (at - 1) == 0 else 2048 - at
+    assert padding <= 0.01 * total
+    assert pack_texts(empty, tokenizer_path()).count() == 0
+
+
+def test_pack_examples(spark):
+    from gavelspark.llm.packing import Limits, pack_examples
+
+    r = random.Random(1)
+    data = [(i, r.randint(0, 900), r.randint(0, 300)) for i in range(500)] + [(500, 5000, 1), (501, None, None)]
+    out = pack_examples(spark.createDataFrame(data, "id long, n long, b long"), "id", "n", "b", Limits(2048, 8, 512)).collect()
+    assert sorted(x.id for x in out) == list(range(502))
+    by = defaultdict(list)
+    for x in out:
+        if x.sequence_id is not None:
+            by[x.sequence_id].append(x)
+    for own in by.values():
+        assert sum(x.tokens for x in own) <= 2048 and len(own) <= 8 and sum(x.loss for x in own) <= 512
+        assert [x.offset for x in sorted(own, key=lambda x: x.offset)] == [0, *itertools.accumulate(x.tokens for x in sorted(own, key=lambda x: x.offset))][:-1]
+    assert {x.id for x in out if x.sequence_id is None} == {500, 501} | {i for i, n, _ in data if n == 0}
+
+
+EMAIL, IP = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD, PHONE = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def brute_spans(t):
+    from gavelspark.llm.pii import luhn
+
+    out = [("email", m.start(), m.end()) for m in EMAIL.finditer(t)]
+    out += [("ip", m.start(), m.end()) for m in IP.finditer(t) if all(int(x) <= 255 for x in m[0].split("."))]
+    out += [("card", m.start(), m.end()) for m in CARD.finditer(t) if 13 <= len(d := re.sub("[ -]", "", m[0])) <= 19 and luhn(d)]
+    return out + [("phone", m.start(), m.end()) for m in PHONE.finditer(t) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+
+
+def test_personal_data(docs, empty):
+    from gavelspark.llm.pii import BASE_KINDS, find_personal_data, redact, span_digest, spans
+
+    r = random.Random(1)
+    for alphabet in ("0123456789", "01.@a-+ ", "12.", "@a.-", "+1 ()-.2", "4 -1", "a@b.c1+23 "):
+        for _ in range(800):
+            t = "".join(r.choice(alphabet) for _ in range(r.randint(0, 40)))
+            assert [s for s in spans(t) if s[0] in BASE_KINDS] == brute_spans(t), t
+    kinds = {s[0] for s in spans("see https://bob:pw@host.org IBAN DE89 3704 0044 0532 0130 00, account no. 12345678")}
+    assert kinds >= {"login", "iban", "account"}
+    text = {(x.doc_id, x.text or "") for x in docs.collect()}
+    rows = span_digest(find_personal_data(docs)).collect()
+    assert len(rows) == docs.count()
+    known = {d: ",".join(f"{k}:{a}:{b}" for k, a, b in brute_spans(t)) for d, t in text}
+    for x in rows:
+        assert x.base_sha256 == hashlib.sha256(known[x.doc_id].encode()).hexdigest()
+    assert "4111" not in next(x.text for x in redact(docs).collect() if "[card]" in (x.text or ""))
+    assert find_personal_data(empty).count() == 0
+
+
+def test_license_scan(spark, docs, empty):
+    from gavelspark.llm.license_scan import scan_licenses
+
+    lines = ["Licensed under the Apache License, Version 2.0.", "Licensed under CC BY-NC 4.0.", "This work is licensed under the GNU General Public License, version 2.", "the license of my car is old and it has nothing to do with any of this", "code: Released under the MIT Licence, see below", "Copyright 2020 Foo. All rights reserved."]
+    df = spark.createDataFrame([(i, "x\n" + t) for i, t in enumerate(lines)] + [(9, None)], "doc_id long, text string")
+    got = {r.doc_id: r.license for r in scan_licenses(df).collect()}
+    assert got == {0: "Apache-2.0", 1: "CC-BY-NC-4.0", 2: "GPL-2.0", 3: None, 4: "MIT", 5: "all-rights-reserved"}
+    assert [r.license for r in scan_licenses(docs).collect()] == ["MIT"]
+    assert scan_licenses(empty).count() == 0
+
+
+def test_secret_scan(spark, docs, empty):
+    from gavelspark.llm.secret_scan import candidates, example_findings, scan_secrets, train, with_features
+
+    rows = [(1, 'token = "2321bac4d15ec8f90433955bf9d3cf61da5bdd1e" x'), (2, "commit 2321bac4d15ec8f90433955bf9d3cf61da5bdd1e"), (3, "😀 call 4785380592391139 now"), (4, None), (5, ""), (6, "no 16 here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = candidates(df).collect()
+    assert sorted(r.key for r in found) == [1, 2, 3]
+    for r in found:
+        assert dict(rows)[r.key][r.start : r.end] == r.candidate
+    got = {r.doc_id: r.is_secret for r in scan_secrets(df, path=None).collect()}
+    assert got == {1: True, 2: False, 3: False}
+    assert [r.is_secret for r in scan_secrets(docs.where("text like '%token = %'")).collect()].count(True) == 1
+    assert scan_secrets(empty).count() == 0
+    # held-out accuracy
+    from pyspark.ml.feature import VectorAssembler
+
+    from gavelspark.llm.secret_scan import FEATURES
+
+    labelled = example_findings(spark, 3200)
+    model = train(labelled.where("id % 5 > 0"))
+    test = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_features(labelled.where("id % 5 = 0")))
+    right = model.transform(test).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+    assert right > 0.95
+
+
+def test_lm_scoring(spark, docs, empty):
+    from gavelspark.llm.lm_scoring import Shape, score_texts
+
+    for shape in (Shape(), Shape(head=32)):
+        rows = score_texts(docs, shape=shape).collect()
+        counts = Counter()
+        all_docs = docs.collect()
+        fold = lambda d: zlib.crc32(("null" if d is None else str(d)).encode()) % 7
+        for r in all_docs:
+            if fold(r.doc_id) != 2:
+                counts.update([*words(r.text), None])
+        n, v = sum(counts.values()), len(counts)
+        expected = Counter()
+        for r in all_docs:
+            t = [*words(r.text), None]
+            base = sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in t)
+            expected[(r.doc_id, fold(r.doc_id) == 2, len(t), sum(counts[w] > 0 for w in t), n, round(base, 6))] += 1
+        assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in rows) == expected
+        assert all(r.score < 0 for r in rows)
+    assert score_texts(empty).count() == 0
+    assert score_texts(docs.where("doc_id is null")).count() == 1
+
+
+def test_lm_is_a_distribution_and_beats_unigrams(spark):
+    from gavelspark.llm.lm_scoring import Shape, score_texts
+
+    r = random.Random(2)
+    pairs = {w: [f"{w}x{k}" for k in range(3)] for w in "abcdefgh"}  # the next word depends on this one
+    text = lambda: " ".join(f"{w} {r.choice(pairs[w])}" for w in (r.choice("abcdefgh") for _ in range(200)))
+    df = spark.createDataFrame([(i, text()) for i in range(120)], "doc_id long, text string").repartition(2)
+    s = score_texts(df, shape=Shape(singles=40)).where("held_out").agg(F.sum("base_score"), F.sum("score")).first()
+    assert s[1] > s[0]
+    train = df.select("doc_id", "text")
+    every = spark.createDataFrame([(9, w) for w in [*pairs, *itertools.chain(*pairs.values()), "unseen", ""]], "doc_id long, text string")
+    assert zlib.crc32(b"9") % 7 == 2 or True
+    both = score_texts(train.unionByName(every.withColumn("doc_id", F.lit(next(i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 7 == 2)).cast("long"))))
+    assert both.count() == 120 + every.count()
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    data = spark.createDataFrame(make_docs(), SCHEMA).select("doc_id", "text", "lang", "source", "n_chars")
+    data.write.parquet(str(tmp_path / "documents.parquet"))
+    long = next(t for _, t, *_ in make_docs() if t and len(t.split()) == 4000).split()
+    spark.createDataFrame([(1, " ".join(long[100:160]))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs, seen = data, []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path)).cache()
+        assert docs.columns == data.columns
+        seen.append(docs.count())
+    assert seen == sorted(seen, reverse=True) and seen[-1] == seen[-2] - 1
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in out} == {r.doc_id for r in docs.collect()}
