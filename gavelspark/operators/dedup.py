@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
 from ..functions.money import value_similarity
@@ -33,7 +34,7 @@ def url_key(auctioneer: Column, url: Column) -> Column:
     return F.md5(F.concat_ws(":", auctioneer.cast("string"), host_path(url)).cast("binary"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def text_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Twice the matching characters over all characters, as difflib counts them. No built-in gives this."""
     match = difflib.SequenceMatcher(autojunk=False)

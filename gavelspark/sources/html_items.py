@@ -27,7 +27,7 @@ def page_fields(html: Column) -> Column:
 
 def cards(pages: DataFrame, begin: str = r'(?i)(?=<(?:div|article|li)[^>]+class=["\'][^"\']*card)', html: str = "html", url: str = "url") -> DataFrame:
     """One row for each card that has a title or a link."""
-    parts = pages.select(url, F.posexplode(F.split(html, begin)).alias("place", "card")).where("place > 0")
+    parts = pages.select(url, F.posexplode(F.split(F.concat(F.lit(" "), F.col(html)), begin)).alias("place", "card")).where("place > 0")
     c = F.col("card")
     out = parts.select(
         url, "place", clean_markup(first_match(c, r"(?is)<h[1-6][^>]*>(.*?)</h[1-6]>")).alias("title"), absolute_url(first_match(c, r'(?i)<a[^>]+href=["\']([^"\']+)'), F.col(url)).alias("link"),
