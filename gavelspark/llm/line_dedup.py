@@ -6,8 +6,8 @@ words; words that hold a digit are a wildcard from the start. The lines of a
 leaf are merged word place by word place: a place where the leaf's lines differ
 becomes a wildcard. If at least `similarity` of the places stay, the leaf's
 lines are one template; otherwise each masked line is a template of its own.
-A template met in at least `least` different texts is boilerplate: its first
-occurrence (lowest key, then place) stays, so that no wording is lost from the
+A template met in at least `least` different texts is boilerplate: its lines in
+the first document (lowest key) stay, so that no wording is lost from the
 corpus, and all others are dropped.
 
 Work is spread by (key of a line) with counts made before rows are moved; only
@@ -17,7 +17,8 @@ than one. Texts move once, whole, to meet the places of their dropped lines.
 Defined results: a null text is kept as it is; an empty text, and lines without
 a word, are never dropped; exact repeats of a row are one document, and all of
 them lose the same lines; rows with the same key and different texts are
-different documents; a null key sorts first; an empty table gives an empty
+different documents; a document with a null key is first only where no key is
+known; an empty table gives an empty
 result; other columns pass through.
 """
 
@@ -26,47 +27,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, SPACE_RUN, written
+from .common import SPACE_RUN, SPACES, written
 
-#: A word with a digit in it is a variable field.
-_FIELD = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
-
-
-def masked(line: Column) -> Column:
-    """The line with single spaces, and wildcards for words with digits."""
-    one = F.trim(F.regexp_replace(line, SPACE_RUN, " "))
-    return F.when(one.rlike("[0-9]"), F.regexp_replace(one, _FIELD, "<*>")).otherwise(one)
+def masked_words(line: Column) -> Column:
+    """The words of a trimmed line; one with a digit in it is a variable field."""
+    words = F.split(line, SPACE_RUN)
+    return F.when(line.rlike("[0-9]"), F.transform(words, lambda w: F.when(w.rlike("[0-9]"), "<*>").otherwise(w))).otherwise(words)
 
 
 def line_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each line with a word: key, text_hash, place and the masked line."""
-    exploded = docs.select(
-        F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("text_hash"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("place", "line")
-    ).where(F.col("line").rlike(NOT_SPACE))
-    return exploded.select("key", "text_hash", "place", masked(F.col("line")).alias("masked"))
-
-
-def leaf(words: Column, depth: int) -> Column:
-    return F.xxhash64(F.size(words), F.slice(words, 1, depth))
+    """One row for each line with a word: key, text_hash, place and its masked words."""
+    exploded = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("text_hash"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("place", "line"))
+    trimmed = exploded.withColumn("line", F.btrim("line", F.lit(SPACES))).where("line <> ''")
+    return trimmed.select("key", "text_hash", "place", masked_words(F.col("line")).alias("words"))
 
 
 def recurring(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 6, depth: int = 3, similarity: float = 0.7, shortest: int = 5) -> tuple[DataFrame, DataFrame]:
     """(lines, templates): lines as hashes (h1, h2); the hashes whose template
-    recurs, with its number of texts and first occurrence. Lines of fewer than
+    recurs, with its number of texts and first key. Lines of fewer than
     `shortest` words are not generalised beyond their masked fields."""
-    lines = line_table(docs, key, text)
-    words = F.split("masked", " ")
-    lines = lines.withColumns({"h1": F.xxhash64("masked"), "h2": F.hash("masked"), "leaf": F.when(F.size(words) >= max(shortest, depth + 2), leaf(words, depth))})
+    size = F.size("words")
+    leaf = F.when(size >= max(shortest, depth + 2), F.xxhash64(size, F.slice("words", 1, depth)))
+    lines = line_table(docs, key, text).select("key", "text_hash", "place", F.xxhash64("words").alias("h1"), F.hash("words").alias("h2"), leaf.alias("leaf"))
+    lines = written(lines, "lines")
     # One row for each masked line and text: a line that fills a third of a table is counted where it stands.
-    pairs = lines.groupBy("h1", "h2", "text_hash").agg(F.min(F.struct("key", "place")).alias("first"), F.first("leaf").alias("leaf"))
-    pairs = written(pairs.select("h1", "h2", "text_hash", "leaf", F.struct("first.key", "first.place", "text_hash").alias("first")), "pairs")
-    exact = pairs.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("texts"), F.min("first").alias("first"), F.first("leaf").alias("leaf"))
+    pairs = written(lines.groupBy("h1", "h2", "text_hash").agg(F.min("key").alias("key"), F.min("leaf").alias("leaf")), "pairs")
+    exact = pairs.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("texts"), F.min("key").alias("first"), F.min("leaf").alias("leaf"))
     crowded = exact.where("leaf is not null").groupBy("leaf").agg(F.count(F.lit(1)).alias("lines"), F.sum("texts").alias("texts"))
     crowded = written(crowded.where((F.col("lines") > 1) & (F.col("texts") >= least)).select("leaf"), "leaves")
     places = (
-        line_table(docs, key, text).select(F.split("masked", " ").alias("words")).where(F.size("words") >= max(shortest, depth + 2))
-        .select("words", leaf(F.col("words"), depth).alias("leaf")).join(crowded, "leaf", "left_semi")
-        .select("leaf", F.size("words").alias("n"), F.posexplode("words").alias("at", "word"))
+        line_table(docs, key, text).select("words", leaf.alias("leaf")).join(crowded, "leaf", "left_semi")
+        .select("leaf", size.alias("n"), F.posexplode("words").alias("at", "word")).select("leaf", "n", "at", F.xxhash64("word").alias("word"))
         .groupBy("leaf", "n", "at").agg(F.min("word").alias("low"), F.max("word").alias("high"))
     )
     merged = written(
@@ -75,8 +66,8 @@ def recurring(docs: DataFrame, key: str = "doc_id", text: str = "text", least: i
         "merged",
     )
     whole = (
-        pairs.join(merged, "leaf", "left_semi").groupBy("leaf", "text_hash").agg(F.min("first").alias("first"))
-        .groupBy("leaf").agg(F.count(F.lit(1)).alias("texts"), F.min("first").alias("first")).where(F.col("texts") >= least)
+        pairs.join(merged, "leaf", "left_semi").groupBy("leaf", "text_hash").agg(F.min("key").alias("key"))
+        .groupBy("leaf").agg(F.count(F.lit(1)).alias("texts"), F.min("key").alias("first")).where(F.col("texts") >= least)
     )
     of_leaf = exact.select("h1", "h2", "leaf").join(whole, "leaf").select("h1", "h2", "texts", "first", F.lit(True).alias("general"))
     of_line = exact.where(F.col("texts") >= least).join(merged, "leaf", "left_anti").select("h1", "h2", "texts", "first", F.lit(False).alias("general"))
@@ -91,8 +82,7 @@ def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", salt
     lines = lines.withColumn("salt", F.pmod(F.xxhash64("text_hash", "place"), F.lit(salt)))
     found = found.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))))
     hit = lines.join(found, ["h1", "h2", "salt"])
-    same = F.col("key").eqNullSafe(F.col("first.key")) & (F.col("place") == F.col("first.place")) & (F.col("text_hash") == F.col("first.text_hash"))
-    return hit.where(~same).groupBy("key", "text_hash").agg(F.collect_set("place").alias("places"))  # lines of one text
+    return hit.where(~F.col("key").eqNullSafe(F.col("first"))).groupBy("key", "text_hash").agg(F.collect_set("place").alias("places"))  # lines of one text
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", **limits) -> DataFrame:

@@ -157,17 +157,24 @@ def byte_letters() -> dict[int, str]:
 
 
 class TokenCache(dict):
-    """Token ids, as bytes, of the pieces that the tokenizer's own splitting
-    gives, each merged by its model. A piece is encoded when it is first met and kept while it is in use:
-    once `most` pieces are held, those not met since the last such time go."""
+    """The ids that the tokenizer of this file gives (tests hold them against
+    `tokenizers`), as bytes, piece by piece of its own splitting. A new piece is
+    merged by the ranks of the same file, then kept while it is in use: once
+    `most` pieces are held, those not met since the last such time go."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 600_000):
+        import json
         import re
 
         import regex
-        from tokenizers import Tokenizer
-
-        self.model, self.letters = Tokenizer.from_file(path).model, byte_letters()
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            vocabulary = json.load(f)["model"]["vocab"]
+        of = {letter: byte for byte, letter in byte_letters().items()}
+        ranks = {bytes(of[c] for c in token): i for token, i in vocabulary.items() if token != "<|endoftext|>"}
+        # One piece at a time; merges by rank, which in this vocabulary is the order of ids.
+        self.merge = tiktoken.Encoding("pieces", pat_str="(?s).+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.most, self.old = most, {}
         self.split, self.latin_split = regex.compile(SPLIT).findall, re.compile(LATIN_SPLIT).findall
         self.foreign = re.compile(NOT_LATIN).search
@@ -175,8 +182,7 @@ class TokenCache(dict):
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
-            letters = piece.encode("utf-8", "replace").decode("latin-1").translate(self.letters)
-            ids = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+            ids = array("I", self.merge(piece)).tobytes()
         if len(piece) <= 64:
             self[piece] = ids
         return ids
