@@ -141,12 +141,11 @@ def fences(sketch: DataFrame, groups: list[str], reach: float = 3.0, least: int
     )
 
 
-def judged(rows: DataFrame, measures: DataFrame | None = None, language: str = "lang", source: str = "source", reach: float = 3.0, least: int = 100) -> DataFrame:
+def judged(rows: DataFrame, language: str = "lang", source: str = "source", reach: float = 3.0, least: int = 100) -> DataFrame:
     """rows (from `measured`) with `kept`: the base rules and the fences of the
-    row's group. `measures` may be a cheaper view of the same rows, for the
-    sketches alone. A join of fences is by group; Catalyst broadcasts it only
-    when its measured size allows."""
-    fine = sketches(rows if measures is None else measures, [language, source])
+    row's group. A join of fences is by group; Catalyst broadcasts it only when
+    its measured size allows."""
+    fine = sketches(rows, [language, source])
     fine = written(fine, "sketch")  # groups * a few hundred cells
     coarse = fine.groupBy(language, "measure", "cell").agg(F.sum("n").alias("n"))
     all_rows = coarse.groupBy("measure", "cell").agg(F.sum("n").alias("n"))
@@ -177,12 +176,10 @@ def quality_report(docs: DataFrame, key: str = "doc_id", text: str = "text", lan
 
 
 def quality_filter(docs: DataFrame, text: str = "text", language: str = "lang", source: str = "source") -> DataFrame:
-    """The rows that are kept, with docs' own columns. Texts are measured in one
-    pass for the sketches and again where they are filtered, which is cheaper
-    than moving them."""
+    """The rows that are kept, with docs' own columns. Texts are measured once,
+    into a written table: sketches read its small columns alone, and a filter on
+    measures that are not yet written would repeat them for each part of it."""
     own = docs.columns
     renamed = docs.select(F.struct(*own).alias("_own"), F.col(text).alias("_text"), F.col(language).alias("_language"), F.col(source).alias("_source"))
-    rows = measured(renamed, "_text", ["_own", "_language", "_source"])
-    light = measured(renamed, "_text", ["_language", "_source"])
-    kept = judged(rows, light, "_language", "_source").where("kept")
-    return kept.select("_own.*")
+    rows = written(measured(renamed, "_text", ["_own", "_language", "_source"]), "quality")
+    return judged(rows, language="_language", source="_source").where("kept").select("_own.*")
