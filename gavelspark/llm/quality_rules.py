@@ -4,9 +4,14 @@ Every text is measured with SQL functions alone. The measures of a group are
 gathered in a quantile sketch of logarithmic cells (counts of ceil(log_g(x)),
 so a quantile is exact to a factor of g): cells of parts add up to the cells of
 the whole, in any order, hence the same thresholds on any cluster. Fences are
-the quartiles plus `reach` times their distance, as a box plot draws them. A
-group with fewer than `least` texts uses those of its language, and a language
-with fewer those of all texts.
+the quartiles plus `reach` times a width that the sketch gives. For word length
+that is the distance of the quartiles, or the sampling error of a mean over the
+group's median number of words if copies make that smaller. For measures that
+most texts have none of it is the median of the values above zero, but not more
+than `reach` occurrences in the group's median text: where all values above zero
+lie far from it, they are the outliers and don't widen their own fence. One
+occurrence alone never rejects a text. The fences of a group with n texts count
+n times and those of its language `least` times; likewise a language and all.
 
 Defined results: a null text has no words and fails the base rules; a null
 language or source is a group of its own; repeated rows count each time; an
@@ -24,9 +29,9 @@ from .common import SPACE_RUN, SPACES, let, text_or_empty, written
 
 #: Relative width of the sketch's cells.
 GAMMA = 1.02
-#: Whole-number measures of a text, and the least distance of quartiles that counts (they are
-#: per mille of the words or lines, or hundredths of a character).
-MEASURES = {"symbols": 30, "repeats": 130, "dup_lines": 150, "word_length": 60}
+#: Whole-number measures of a text (per mille of the words or lines, or hundredths of a character),
+#: and how much one occurrence of a counted one holds: two 3-word windows are six words.
+MEASURES = {"symbols": 1, "repeats": 6, "dup_lines": 1, "word_length": None}
 #: Both fences bind for these; for others only the upper one.
 TWO_SIDED = {"word_length"}
 
@@ -102,43 +107,58 @@ MEASURED = {
 
 
 def sketches(rows: DataFrame, groups: list[str]) -> DataFrame:
-    """The sketch of each measure over the rows that passed the base rules:
-    group columns, measure, cell, n. Cell 0 holds zeros, cell 1 ones."""
-    pairs = F.array(*(F.struct(F.lit(k).alias("measure"), _per(*v).cast("long").alias("x")) for k, v in MEASURED.items()))
+    """The sketch of each measure, and of the sizes that it is a share of, over
+    the rows that passed the base rules: group columns, measure, cell, n. Cell 0
+    holds zeros, cell 1 ones."""
+    sizes = {whole: F.col(whole) for _, whole, _ in MEASURED.values()}
+    pairs = F.array(*(F.struct(F.lit(k).alias("measure"), x.cast("long").alias("x")) for k, x in ({k: _per(*v) for k, v in MEASURED.items()} | sizes).items()))
     long = rows.where(~F.col("base_failed")).select(*groups, F.explode(pairs).alias("m")).select(*groups, "m.*")
     cell = F.when(F.col("x") <= 0, F.lit(0)).otherwise(F.ceil(F.log(F.col("x").cast("double")) / F.lit(math.log(GAMMA))) + 1)
     return long.groupBy(*groups, "measure", cell.cast("long").alias("cell")).agg(F.count(F.lit(1)).alias("n"))
 
 
 
-
-def fences(sketch: DataFrame, groups: list[str], reach: float = 3.0, least: int = 100) -> DataFrame:
-    """low_/high_ of each measure, for each group with at least `least` texts.
-    A quartile is the middle of the cell in which the sorted values reach it."""
+def fences(sketch: DataFrame, groups: list[str], reach: float = 3.0) -> DataFrame:
+    """The number of texts of each group, and low_/high_ of each measure. A
+    quantile is the middle of the cell in which the sorted values reach it."""
     whole = sketch.groupBy(*groups, "measure").agg(
         F.sum("n").alias("total"), F.sort_array(F.collect_list(F.struct("cell", "n"))).alias("cells")
-    )  # a few hundred cells at most, whatever the group's size: values are per mille
-
-    def quartile(share: float) -> Column:
-        at = F.aggregate(
-            F.col("cells"),
-            F.struct(F.lit(0).cast("long").alias("seen"), F.lit(-1).cast("long").alias("cell")),
-            lambda s, c: F.struct(
-                (s["seen"] + c["n"]).alias("seen"),
-                F.when((s["cell"] < 0) & ((s["seen"] + c["n"]) >= F.lit(share) * F.col("total")), c["cell"]).otherwise(s["cell"]).alias("cell"),
-            ),
-            lambda s: s["cell"],
-        )
+    )  # a few hundred cells at most, whatever the group's size: values are per mille, and sizes have 35 a doubling
+    above = F.filter("cells", lambda c: c["cell"] > 0)
+
+    def quantile(share: float, cells: Column = F.col("cells")) -> Column:
+        def reached(total: Column) -> Column:
+            return F.aggregate(
+                cells,
+                F.struct(F.lit(0).cast("long").alias("seen"), F.lit(-1).cast("long").alias("cell")),
+                lambda s, c: F.struct(
+                    (s["seen"] + c["n"]).alias("seen"),
+                    F.when((s["cell"] < 0) & ((s["seen"] + c["n"]) >= F.lit(share) * total), c["cell"]).otherwise(s["cell"]).alias("cell"),
+                ),
+                lambda s: s["cell"],
+            )
+
+        at = let(F.aggregate(cells, F.lit(0).cast("long"), lambda t, c: t + c["n"]), reached)
         return F.when(at <= 0, F.lit(0.0)).otherwise(F.pow(F.lit(GAMMA), (at - 1).cast("double")) * F.lit(2.0 / (1.0 + GAMMA)))
 
-    q = whole.where(F.col("total") >= least).select(*groups, "measure", quartile(0.25).alias("q1"), quartile(0.75).alias("q3"))
-    floor = F.create_map(*(x for k, v in MEASURES.items() for x in (F.lit(k), F.lit(float(v)))))
-    width = F.lit(reach) * F.greatest(F.col("q3") - F.col("q1"), floor[F.col("measure")])
-    q = q.select(*groups, "measure", (F.col("q1") - width).alias("low"), (F.col("q3") + width).alias("high"))
-    return q.groupBy(*groups).agg(
-        *(F.max(F.when(F.col("measure") == k, F.col("high"))).alias(f"high_{k}") for k in MEASURES),
-        *(F.max(F.when(F.col("measure") == k, F.col("low"))).alias(f"low_{k}") for k in MEASURES if k in TWO_SIDED),
-    )
+    levels = F.struct(F.col("total"), quantile(0.25).alias("q1"), quantile(0.5).alias("q2"), quantile(0.75).alias("q3"), quantile(0.5, above).alias("above"))
+    q = whole.select(*groups, "measure", levels.alias("q"))
+    names = [*MEASURES, *{size for _, size, _ in MEASURED.values()}]
+    q = q.groupBy(*groups).agg(*(F.max(F.when(F.col("measure") == k, F.col("q"))).alias(k) for k in names))
+    q = q.where(F.col("n_words").isNotNull())  # without groups, an aggregate of no rows is a row
+    out = [F.col("n_words.total").alias("texts")]
+    for k, unit in MEASURES.items():
+        _, size, scale = MEASURED[k]
+        own, n = F.col(f"{k}.q3") - F.col(f"{k}.q1"), F.greatest(F.col(f"{size}.q2"), F.lit(1.0))
+        if unit is None:  # lengths of words vary about as their mean's root
+            least = scale * F.sqrt(F.col(f"{k}.q2") / scale / n)
+        else:
+            least = F.least(F.col(f"{k}.above"), F.lit(reach * scale * unit) / n)
+        width = F.lit(reach) * F.greatest(own, least)
+        out.append((F.col(f"{k}.q3") + width).alias(f"high_{k}"))
+        if k in TWO_SIDED:
+            out.append((F.col(f"{k}.q1") - width).alias(f"low_{k}"))
+    return q.select(*groups, *out)
 
 
 def judged(rows: DataFrame, language: str = "lang", source: str = "source", reach: float = 3.0, least: int = 100) -> DataFrame:
@@ -150,23 +170,31 @@ def judged(rows: DataFrame, language: str = "lang", source: str = "source", reac
     coarse = fine.groupBy(language, "measure", "cell").agg(F.sum("n").alias("n"))
     all_rows = coarse.groupBy("measure", "cell").agg(F.sum("n").alias("n"))
     names = [f"high_{k}" for k in MEASURES] + [f"low_{k}" for k in MEASURES if k in TWO_SIDED]
-    by_source = fences(fine, [language, source], reach, least).select(
-        F.col(language).alias("_l1"), F.col(source).alias("_s1"), F.struct(*names).alias("_f1"))
-    by_language = fences(coarse, [language], reach, least).select(F.col(language).alias("_l2"), F.struct(*names).alias("_f2"))
-    by_all = fences(all_rows, [], reach, 1).select(F.struct(*names).alias("_f3"))  # one row
+    by_source = fences(fine, [language, source], reach).select(
+        F.col(language).alias("_l1"), F.col(source).alias("_s1"), F.struct("texts", *names).alias("_f1"))
+    by_language = fences(coarse, [language], reach).select(F.col(language).alias("_l2"), F.struct("texts", *names).alias("_f2"))
+    by_all = fences(all_rows, [], reach).select(F.struct(*names).alias("_f3"))  # one row
     out = (
         rows.join(by_source, F.col(language).eqNullSafe(F.col("_l1")) & F.col(source).eqNullSafe(F.col("_s1")), "left")
         .join(by_language, F.col(language).eqNullSafe(F.col("_l2")), "left")
         .join(F.broadcast(by_all), F.lit(True), "left")
-        .withColumn("_f", F.coalesce("_f1", "_f2", "_f3"))
     )
+
+    def fence(name: str) -> Column:
+        """Of the group, drawn towards its language's, which is drawn towards that of all."""
+        x = F.col(f"_f3.{name}")
+        for part in ("_f2", "_f1"):
+            n = F.col(f"{part}.texts")
+            x = F.coalesce((n * F.col(f"{part}.{name}") + least * x) / (n + least), x)
+        return x
+
     bad = F.lit(False)
-    for k in MEASURES:
-        x = _per(*MEASURED[k])
-        bad = bad | F.coalesce(x > F.col(f"_f.high_{k}"), F.lit(False))
+    for k, unit in MEASURES.items():
+        x, several = _per(*MEASURED[k]), F.lit(True) if unit is None else F.col(MEASURED[k][0]) > unit
+        bad = bad | F.coalesce(several & (x > fence(f"high_{k}")), F.lit(False))
         if k in TWO_SIDED:
-            bad = bad | F.coalesce(x < F.col(f"_f.low_{k}"), F.lit(False))
-    return out.withColumn("kept", ~F.col("base_failed") & ~bad).drop("_l1", "_s1", "_f1", "_l2", "_f2", "_f3", "_f")
+            bad = bad | F.coalesce(x < fence(f"low_{k}"), F.lit(False))
+    return out.withColumn("kept", ~F.col("base_failed") & ~bad).drop("_l1", "_s1", "_f1", "_l2", "_f2", "_f3")
 
 
 def quality_report(docs: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang", source: str = "source") -> DataFrame:

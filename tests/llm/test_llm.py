@@ -78,6 +78,26 @@ def test_quality_rules(spark, docs, empty):
     assert quality_report(empty).count() == 0 and quality_filter(empty).count() == 0
 
 
+def test_quality_fences_follow_the_group(spark):
+    from gavelspark.llm.quality_rules import judged
+
+    def row(i, source, symbols=0, repeats=0, dup_lines=0):
+        return (i, "en", source, 1000, 5000, symbols, 100, dup_lines, repeats, False)
+
+    schema = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long, base_failed boolean"
+    data = [row(i, "prose", repeats=12 * (i % 5 == 0), dup_lines=2 * (i % 5 == 0)) for i in range(400)]
+    data += [row(1000 + i, "logs", symbols=40 + i % 80, repeats=100 + i % 200, dup_lines=20 + i % 15) for i in range(400)]
+    data += [row(5000 + i, "prose", symbols=600) for i in range(40)]  # a cluster of junk doesn't make its own fence
+    odd = {"symbols": 80, "repeats": 250, "dup_lines": 30}
+    data += [row(2000 + i, "prose", **{k: v}) for i, (k, v) in enumerate(odd.items())]
+    data += [row(3000 + i, "logs", **({"symbols": 80, "repeats": 200, "dup_lines": 27} | {k: v})) for i, (k, v) in enumerate(odd.items())]
+    data += [row(4000, "prose", symbols=1, repeats=6, dup_lines=1)]
+    kept = {r.doc_id: r.kept for r in judged(spark.createDataFrame(data, schema)).collect()}
+    assert [kept[2000 + i] for i in range(3)] == [False] * 3
+    assert [kept[3000 + i] for i in range(3)] == [True] * 3 and kept[4000]
+    assert all(k for i, k in kept.items() if i < 2000) and not any(k for i, k in kept.items() if i >= 5000)
+
+
 def test_sharding(docs, empty):
     from gavelspark.llm.sharding import assign_shards
 
