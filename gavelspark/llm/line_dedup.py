@@ -2,13 +2,16 @@
 with DataFrame functions only.
 
 A line's way down the tree is its number of words, then its first `depth`
-words; words that hold a digit are a wildcard from the start. The lines of a
-leaf are merged word place by word place: a place where the leaf's lines differ
-becomes a wildcard. If at least `similarity` of the places stay, the leaf's
-lines are one template; otherwise each masked line is a template of its own.
-A template met in at least `least` different texts is boilerplate: its lines in
-the first document (lowest key) stay, so that no wording is lost from the
-corpus, and all others are dropped.
+words; words that hold a digit are a wildcard from the start. A leaf holds any
+number of templates. Lines agree if they have the same word in at least
+`similarity` of their places; of a sample of the leaf's lines, those with more
+texts in agreement than every sampled line they agree with are templates, and
+each line goes to the template that it agrees with most. Lines that have none
+are sampled again, more of them each round, until too few texts are left in the
+leaf for a template. A template, or a single masked line, met in at least
+`least` different texts (`least_long` for lines of `long` words or more) is
+boilerplate: its lines in the first document (lowest key) stay, so that no
+wording is lost from the corpus, and all others are dropped.
 
 Work is spread by (key of a line) with counts made before rows are moved; only
 distinct masked lines are split into words, and only in leaves that hold more
@@ -24,7 +27,9 @@ result; other columns pass through.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE_RUN, SPACES, written
@@ -42,35 +47,61 @@ def line_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return trimmed.select("key", "text_hash", "place", masked_words(F.col("line")).alias("words"))
 
 
-def recurring(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 6, depth: int = 3, similarity: float = 0.7, shortest: int = 5) -> tuple[DataFrame, DataFrame]:
+def _templates(open_lines: DataFrame, similarity: float, salt: int = 16, sample: int = 32) -> DataFrame:
+    """h1, h2 and their template's t1, t2, for the lines (leaf, h1, h2, words as
+    hashes, texts, need) that have one. A leaf's lines meet its sample in `salt` parts."""
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long")))
+    done = []
+    while True:
+        order = Window.partitionBy("leaf").orderBy("h1", "h2")
+        lowest = open_lines.groupBy("leaf", F.pmod(F.xxhash64("h2"), F.lit(salt)).alias("part")).agg(F.slice(F.array_sort(F.collect_list(F.struct("h1", "h2", "words"))), 1, sample).alias("c"))  # parts of a leaf, then the leaf
+        lowest = lowest.select("leaf", F.explode("c").alias("c")).select("leaf", "c.*").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample)
+        centers = lowest.select("leaf", F.col("h1").alias("t1"), F.col("h2").alias("t2"), F.col("words").alias("center"), salts.alias("salt"))
+        lines = open_lines.withColumn("salt", F.pmod(F.xxhash64("h1", "h2"), F.lit(salt)))
+        share = F.size(F.filter(F.zip_with("words", "center", lambda x, y: x == y), lambda same: same)) / F.size("words")
+        met = lines.join(centers, ["leaf", "salt"]).select("leaf", "h1", "h2", "texts", "t1", "t2", share.alias("share")).where(F.col("share") >= F.lit(similarity))
+        met = written(met, "met")
+        weight = met.groupBy("t1", "t2").agg(F.sum("texts").alias("weight"))
+        both = met.join(weight, ["t1", "t2"]).join(weight.toDF("h1", "h2", "own"), ["h1", "h2"])  # both are of the sample
+        beaten = both.where(F.struct("weight", "t1", "t2") > F.struct("own", "h1", "h2")).select(F.col("h1").alias("t1"), F.col("h2").alias("t2")).distinct()
+        best = F.max(F.struct("share", "t1", "t2")).alias("best")
+        found = written(met.join(beaten, ["t1", "t2"], "left_anti").groupBy("h1", "h2").agg(best).select("h1", "h2", "best.t1", "best.t2"), "found")
+        done.append(found)
+        rest = open_lines.join(found, ["h1", "h2"], "left_anti")
+        worth = rest.groupBy("leaf").agg(F.count(F.lit(1)).alias("lines"), F.sum("texts").alias("all"), F.min("need").alias("least"))
+        worth = worth.where((F.col("lines") > 1) & (F.col("all") >= F.col("least"))).select("leaf")
+        open_lines = written(rest.join(worth, "leaf", "left_semi").select(*open_lines.columns), "open")
+        if open_lines.isEmpty():
+            return functools.reduce(DataFrame.unionByName, done)
+        sample *= 2
+
+
+def recurring(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 6, depth: int = 3, similarity: float = 0.7, shortest: int = 5, least_long: int = 3, long: int = 16) -> tuple[DataFrame, DataFrame]:
     """(lines, templates): lines as hashes (h1, h2); the hashes whose template
     recurs, with its number of texts and first key. Lines of fewer than
     `shortest` words are not generalised beyond their masked fields."""
     size = F.size("words")
     leaf = F.when(size >= max(shortest, depth + 2), F.xxhash64(size, F.slice("words", 1, depth)))
-    lines = line_table(docs, key, text).select("key", "text_hash", "place", F.xxhash64("words").alias("h1"), F.hash("words").alias("h2"), leaf.alias("leaf"))
+    need = F.when(size >= long, F.lit(min(least, least_long))).otherwise(F.lit(least))
+    h1, h2 = F.xxhash64("words").alias("h1"), F.hash("words").alias("h2")
+    lines = line_table(docs, key, text).select("key", "text_hash", "place", h1, h2, leaf.alias("leaf"), need.alias("need"))
     lines = written(lines, "lines")
     # One row for each masked line and text: a line that fills a third of a table is counted where it stands.
-    pairs = written(lines.groupBy("h1", "h2", "text_hash").agg(F.min("key").alias("key"), F.min("leaf").alias("leaf")), "pairs")
-    exact = pairs.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("texts"), F.min("key").alias("first"), F.min("leaf").alias("leaf"))
-    crowded = exact.where("leaf is not null").groupBy("leaf").agg(F.count(F.lit(1)).alias("lines"), F.sum("texts").alias("texts"))
-    crowded = written(crowded.where((F.col("lines") > 1) & (F.col("texts") >= least)).select("leaf"), "leaves")
-    places = (
+    pairs = written(lines.groupBy("h1", "h2", "text_hash").agg(F.min("key").alias("key"), F.min("leaf").alias("leaf"), F.min("need").alias("need")), "pairs")
+    exact = written(pairs.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("texts"), F.min("key").alias("first"), F.min("leaf").alias("leaf"), F.min("need").alias("need")), "exact")
+    crowded = exact.where("leaf is not null").groupBy("leaf").agg(F.count(F.lit(1)).alias("lines"), F.sum("texts").alias("texts"), F.min("need").alias("need"))
+    crowded = written(crowded.where((F.col("lines") > 1) & (F.col("texts") >= F.col("need"))).select("leaf"), "leaves")
+    worded = (
         line_table(docs, key, text).select("words", leaf.alias("leaf")).join(crowded, "leaf", "left_semi")
-        .select("leaf", size.alias("n"), F.posexplode("words").alias("at", "word")).select("leaf", "n", "at", F.xxhash64("word").alias("word"))
-        .groupBy("leaf", "n", "at").agg(F.min("word").alias("low"), F.max("word").alias("high"))
-    )
-    merged = written(
-        places.groupBy("leaf", "n").agg(F.sum((F.col("low") == F.col("high")).cast("int")).alias("fixed"))
-        .where(F.col("fixed") >= F.lit(similarity) * F.col("n")).select("leaf").distinct(),
-        "merged",
+        .select(h1, h2, F.transform("words", lambda w: F.xxhash64(w)).alias("words")).groupBy("h1", "h2").agg(F.first("words").alias("words"))
     )
+    of_template = _templates(written(exact.join(worded, ["h1", "h2"]).select("leaf", "h1", "h2", "words", "texts", "need"), "open"), similarity)
     whole = (
-        pairs.join(merged, "leaf", "left_semi").groupBy("leaf", "text_hash").agg(F.min("key").alias("key"))
-        .groupBy("leaf").agg(F.count(F.lit(1)).alias("texts"), F.min("key").alias("first")).where(F.col("texts") >= least)
+        pairs.join(of_template, ["h1", "h2"]).groupBy("t1", "t2", "text_hash").agg(F.min("key").alias("key"), F.min("need").alias("need"))
+        .groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("texts"), F.min("key").alias("first"), F.min("need").alias("need")).where(F.col("texts") >= F.col("need"))
     )
-    of_leaf = exact.select("h1", "h2", "leaf").join(whole, "leaf").select("h1", "h2", "texts", "first", F.lit(True).alias("general"))
-    of_line = exact.where(F.col("texts") >= least).join(merged, "leaf", "left_anti").select("h1", "h2", "texts", "first", F.lit(False).alias("general"))
+    of_leaf = written(of_template.join(whole, ["t1", "t2"]).select("h1", "h2", "texts", "first", F.lit(True).alias("general")), "general")
+    of_line = exact.where(F.col("texts") >= F.col("need")).join(of_leaf, ["h1", "h2"], "left_anti").select("h1", "h2", "texts", "first", F.lit(False).alias("general"))
     return lines.select("key", "text_hash", "place", "h1", "h2"), of_leaf.unionByName(of_line)
 
 

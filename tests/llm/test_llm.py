@@ -142,6 +142,32 @@ def test_line_dedup(docs, empty):
     assert dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_keeps_several_templates_a_leaf(spark):
+    from gavelspark.llm.line_dedup import dedup_lines
+
+    r = random.Random(3)
+    vocabulary = [a + b for a in "abcdefghijklmn" for b in "opqrstuvwxyz"]
+    some = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    start = ["the", "same", "start"]
+    forms = [start + some(9), start + some(9)]
+
+    def line(form, changed=1):
+        form = list(form)
+        for at in r.sample(range(3, 12), changed):
+            form[at] = r.choice(vocabulary) + "x"
+        return " ".join(form)
+
+    firsts = [line(f) for f in forms]
+    texts = [*firsts, *(line(f) for _ in range(7) for f in forms), " ".join(start + some(9))]  # and one stray line
+    texts += [" ".join(start + some(9)) for _ in range(150)] + [line(forms[0]) for _ in range(3)]
+    passage = " ".join(some(30))
+    texts += [passage] * 3
+    df = spark.createDataFrame([(i, f"{' '.join(some(40))}\n{t}") for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    gone = {x.doc_id for x in dedup_lines(df).collect() if x.n_dropped_lines}
+    n = len(texts)
+    assert gone == {*range(2, 16), *range(167, 170), n - 2, n - 1}
+
+
 def brute_near(rows, threshold=0.8):
     sets = []
     for r in rows:
