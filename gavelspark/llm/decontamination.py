@@ -7,7 +7,9 @@ size, so an item inside a window has a Jaccard similarity of at least about a
 fifth with it, however long the document. A window is a candidate for an item
 if any of `hashes` minhashes agree, which misses such an item with a chance of
 0.8 ** hashes. Each candidate is verified by the exact share of the item's
-shingles that the whole document contains.
+shingles that the whole document contains. Items of fewer than eight shingles,
+which a window of 16 shows too faintly, are looked up exactly instead: each of
+their shingles in the documents' own.
 
 The items are the stated query set: they go to all tasks in blocks of bounded
 size, one pass over the documents for each block.
@@ -32,8 +34,13 @@ from .common import Words, ship, shingles, small_batches, utf8
 from .jaccard_join import minhashes
 
 
+#: Items of fewer shingles are found by each of them.
+_EXACT = 8
+
+
 class ItemIndex:
-    """Items by size class, with their minhashes sorted for each hash."""
+    """Items by size class, with their minhashes sorted for each hash; small
+    ones with all their shingles, sorted."""
 
     def __init__(self, texts: list[str | None], size: int, hashes: int):
         self.size, self.hashes = size, hashes
@@ -43,7 +50,11 @@ class ItemIndex:
         self.sets = [np.unique(values[a:b]) if ok else np.zeros(0, np.uint64) for a, b, ok in zip(first[:-1], first[1:], enough, strict=True)]
         self.classes = []
         size_of = np.array([len(s) for s in self.sets], dtype=np.int64)
-        for power in range(int(size_of.max(initial=0)).bit_length()):
+        small = np.flatnonzero((size_of > 0) & (size_of < _EXACT))
+        values = np.concatenate([self.sets[i] for i in small]) if len(small) else np.zeros(0, np.uint64)
+        order = np.argsort(values, kind="stable")
+        self.small_values, self.small_items = values[order], np.repeat(small, size_of[small])[order]
+        for power in range(_EXACT.bit_length() - 1, int(size_of.max(initial=0)).bit_length()):
             own = np.flatnonzero((size_of >= 1 << power) & (size_of < 2 << power))
             if len(own):
                 joined = np.concatenate([self.sets[i] for i in own])
@@ -58,9 +69,16 @@ class ItemIndex:
         values, first = shingles(words, self.size)
         counts = np.where(np.diff(words.first) >= self.size, np.diff(first), 0)
         rows = np.flatnonzero(counts)
-        if not len(rows) or not self.classes:
+        if not len(rows) or not (self.classes or len(self.small_values)):
             return []
         pairs: set[tuple[int, int]] = set()
+        if len(self.small_values):
+            left = np.searchsorted(self.small_values, values, side="left")
+            right = np.searchsorted(self.small_values, values, side="right")
+            at = np.flatnonzero(right > left)
+            for i, a, b in zip(np.searchsorted(first, at, side="right") - 1, left[at], right[at], strict=True):
+                if counts[i]:
+                    pairs.update((int(i), int(q)) for q in self.small_items[a:b])
         for stride, low, items in self.classes:
             parts = -(-counts[rows] // stride)
             row = np.repeat(rows, parts)

@@ -226,6 +226,19 @@ def test_decontamination(spark, docs, empty):
     assert contained_items(empty, bench).count() == 0 and contained_items(docs, bench.limit(0)).count() == 0
 
 
+def test_short_items_in_long_documents():
+    import pyarrow as pa
+
+    from gavelspark.llm.decontamination import ItemIndex
+
+    r = random.Random(11)
+    text = [f"w{r.randrange(100_000)}" for _ in range(12_000)]
+    items = [" ".join(text[at : at + 5 + k % 7]) for k, at in enumerate(range(0, 11_900, 30))]
+    items += [items[0], " ".join(text[:4])]
+    found = ItemIndex(items, 5, 48).found(pa.array(["one two", None, " ".join(text), ""]), 0.8)
+    assert [(i, q) for i, q, _ in found] == [(2, q) for q in range(len(items) - 1)]
+
+
 def tokenizer_path():
     import public_tokenizers
 
