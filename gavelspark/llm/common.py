@@ -19,25 +19,64 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
 
 
+_own_dir: str | None = None
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one
-    of our own where that is unset (a single machine, as in tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, else the
+    one given to setCheckpointDir, else, on a single machine (as in tests), one
+    of our own. A cluster without any is an error: its executors would each
+    write to their own disk."""
+    global _own_dir
+    given = spark.sparkContext._jsc.sc().getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", None) or (given.get() if given.isDefined() else None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="gavelspark-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = _own_dir = _own_dir or "file://" + tempfile.mkdtemp(prefix="gavelspark-")
     return found.rstrip("/")
 
 
+_written: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written once as a table in the shared folder and read from there:
     later uses neither repeat its work nor depend on any executor's disk."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_written(spark: SparkSession) -> int:
+    """Delete the tables that this application has written, once no result that
+    reads them is needed any more. How many there were."""
+    n = len(_written)
+    for path in _written:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _written.clear()
+    return n
+
+
+def split_by_heat(stats: DataFrame, n: str, total: int, least: int = 256, most: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """stats (one row for each key, with its number of rows n) in two: the keys
+    that hold more than 1/most of all `total` rows, and the others. There are
+    fewer than `most` of the first kind, whatever the data, so they may be
+    broadcast; the rows of no other key can swell a task."""
+    limit = max(least, total // most)
+    return stats.where(F.col(n) > limit), stats.where(F.col(n) <= limit)
+
+
+def join_by_heat(rows: DataFrame, stats: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """rows joined with stats on key: hot keys where their rows stand, the others in a shuffle."""
+    hot, cold = split_by_heat(stats, n, total)
+    hot = F.broadcast(hot)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
 _shipped: set[str] = set()
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import join_by_heat, written
 
 
 def are_stars(edges: DataFrame) -> bool:
@@ -22,16 +22,17 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     Each round hangs a node's larger neighbours on its smallest one, then its
     smaller ones; the edges shrink to one star a component in about log(n)
-    rounds. A node with a third of all edges is counted where its edges stand
-    and met in a join that splits. Each round ends in a written table; edges
-    that are stars already cost one look."""
+    rounds. The edges of a node that holds many of them are met where they stand
+    (see join_by_heat), those of others in a shuffle. Each round ends in a
+    written table; edges that are stars already cost one look."""
     e = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
     while not are_stars(e):
+        total = e.count()
         both = e.union(e.select("v", "u")).toDF("x", "y")
-        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.where("y > x").join(least, "x").select(F.col("y").alias("u"), F.col("m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = written(small.union(low).distinct(), "edges")
+        least = both.groupBy("x").agg(F.min("y").alias("m"), F.count(F.lit(1)).alias("n")).select("x", F.least("x", "m").alias("m"), "n")
+        large = written(join_by_heat(both.where("y > x"), least, "x", "n", 2 * total).select(F.col("y").alias("u"), F.col("m").alias("v")), "large")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = join_by_heat(large, low, "u", "n", total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = written(small.union(low.select("u", "m")).distinct(), "edges")
     own = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(own)

@@ -1,27 +1,37 @@
 """Documents whose sets of five-word shingles have a Jaccard similarity of 0.8
 or more, through a MinHash LSH forest.
 
-Each tree of the forest sorts documents by a sequence of minhashes, so those
-that share a prefix share a node of the tree's prefix trie. Matched prefixes
-start at full depth and are shortened until the chance that a pair at the
-threshold shares a node in some tree reaches the target recall. Documents that
-share nodes, directly or through others, form a neighbourhood; inside one,
-every pair is verified on whole shingle sets, in blocks that no single task
-holds alone. Documents with equal sets are one class from the start, so exact
-copies cost nothing further.
-
-Shingles and classes are 64-bit hashes of words (A-Z as a-z) and of sorted
-shingle sets.
+Each tree of the forest sorts documents by a sequence of minhashes; those that
+share a prefix share a node of the tree's prefix trie. Matching begins at the
+full depth. In a trie node, sketches (the low bytes of all minhashes) tell
+which members are likely near, and how near; from that and the depth follows,
+for each document, how many of its neighbours the matched prefixes show and how
+many they miss. Documents whose share of seen neighbours reaches the target
+recall are done; for all others, also those without a neighbour, the matched
+prefixes are shortened and matched again, down to the depth at which a pair at
+the threshold itself shares a node in some tree with the target chance.
+
+Likely neighbours form neighbourhoods. Each document's shingle set is brought to
+its neighbourhood once for each block of it, and every pair there is verified on
+whole sets, block against block, so no task holds a large neighbourhood alone.
+Documents with equal sets are one class from the start, so exact copies cost
+nothing further.
+
+Shingles are 64-bit hashes of words (A-Z as a-z), classes 128-bit digests of
+sorted shingle sets.
 
 Defined results: a null text is an empty one; texts without words are copies of
 each other and near nothing else; a text of one to four words has one shingle,
-of all its words; repeated rows, also with equal keys, are copies; null keys
-are rows like others (a class id is the lowest key that is not null); an empty
-table gives an empty result; other columns are ignored.
+of all its words; texts of any length are shingled whole; repeated rows, also
+with equal keys, are copies; null keys are rows like others (a class id is the
+lowest key that is not null); a pair at the threshold itself is near; keys may
+have any type that sorts; an empty table gives an empty result; other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -31,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix, ship, shingles, small_batches, utf8, written
+from .common import Words, join_by_heat, mix, ship, shingles, small_batches, utf8, written
 from .components import connected_components
 
 TREES, DEEPEST = 16, 8
@@ -60,35 +70,147 @@ def minhashes(values: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def signatures(docs: DataFrame, key: str, text: str, size: int, depth: int, trees: int) -> DataFrame:
-    """key, text_hash, node (the class's hash; 0: no words), weight (shingles)
-    and a prefix hash for each tree."""
-    schema = f"key {dict(docs.dtypes)[key]}, text_hash long, node long, weight int, prefixes array<long>"
+def trie_depths(threshold: float, recall: float) -> list[int]:
+    """The prefix lengths that are matched, one after the other."""
+    least = prefix_depth(threshold, recall)
+    return [*range(DEEPEST, least, -2), least]
+
+
+def signatures(docs: DataFrame, key: str, text: str, size: int, depths: list[int]) -> DataFrame:
+    """key, text_hash, node (the class's digest; zeros: no words), weight
+    (shingles), a prefix hash for each depth and tree, and the sketch."""
+    schema = f"key {dict(docs.dtypes)[key]}, text_hash long, node binary, weight int, prefixes array<long>, sketch binary"
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in small_batches(whole, "text", 1 << 20):
                 values, first = shingles(Words(*utf8(batch.column("text"))), size)
-                nodes, weights = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int32)
-                for i in np.flatnonzero(np.diff(first)):
+                nodes, weights = [bytes(16)] * len(batch), np.zeros(len(batch), np.int32)
+                full = np.flatnonzero(np.diff(first))
+                for i in full:
                     own = np.unique(values[first[i] : first[i + 1]])
                     weights[i] = len(own)
-                    nodes[i] = int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True) or 1
-                full = np.flatnonzero(np.diff(first))
-                low = minhashes(values, first[full], trees * depth) if len(full) else np.zeros((trees * depth, 0), np.uint64)
-                paths = low.reshape(trees, depth, -1)
-                keys = np.zeros((trees, len(full)), np.uint64)
-                for d in range(depth):
-                    keys = mix(keys * np.uint64(31) + paths[:, d] + np.arange(1, trees + 1, dtype=np.uint64)[:, None])
-                lengths = np.zeros(len(batch), np.int32)
-                lengths[full] = trees
-                prefixes = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), pa.array(keys.T.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("text_hash"), pa.array(nodes), pa.array(weights), prefixes], ["key", "text_hash", "node", "weight", "prefixes"])
+                    nodes[i] = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+                low = minhashes(values, first[full], TREES * DEEPEST) if len(full) else np.zeros((TREES * DEEPEST, 0), np.uint64)
+                paths = low.reshape(TREES, DEEPEST, -1)
+                keys, at = np.broadcast_to(np.arange(1, TREES + 1, dtype=np.uint64)[:, None], (TREES, len(full))), {}
+                for d in range(DEEPEST):
+                    keys = mix(keys * np.uint64(31) + paths[:, d])
+                    at[d + 1] = keys
+                chosen = np.concatenate([at[d] for d in depths]).T  # a row for each text: depth after depth
+                lengths, sketches = np.zeros(len(batch), np.int32), [b""] * len(batch)
+                lengths[full] = chosen.shape[1]
+                for i, sketch in zip(full, low.astype(np.uint8).T, strict=True):
+                    sketches[i] = sketch.tobytes()
+                prefixes = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), pa.array(np.ascontiguousarray(chosen).ravel().view(np.int64)))
+                columns = [batch.column("key"), batch.column("text_hash"), pa.array(nodes, pa.binary()), pa.array(weights), prefixes, pa.array(sketches, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "text_hash", "node", "weight", "prefixes", "sketch"])
 
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
     return rows.mapInArrow(sign, schema)
 
 
+def _fixed(column: pa.Array, width: int) -> np.ndarray:
+    """Binary values of one width as rows of bytes."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(len(column), width)
+
+
+def _match(depth: int, threshold: float):
+    """Likely neighbours inside trie nodes. Rows are sorted by trie node and
+    block pair (p, i, j), so a node's members stand together; only a node that
+    continues in the next batch is held back."""
+    hashes = TREES * DEEPEST
+    spread = (threshold * (1 - threshold) / hashes) ** 0.5
+    likely = threshold - 4 * spread
+
+    def matched(rows: pa.Table) -> pa.RecordBatch:
+        where = np.stack([rows.column(c).to_numpy() for c in ("p", "i", "j")])
+        group = np.concatenate([[0], np.cumsum((where[:, 1:] != where[:, :-1]).any(axis=0))])
+        block, open_ = rows.column("block").to_numpy(), rows.column("open").to_numpy(zero_copy_only=False)
+        inside = where[1] == where[2]
+        nodes, sketches = (_fixed(rows.column(c).combine_chunks(), w) for c, w in (("node", 16), ("sketch", hashes)))
+        found, missed, left, right = np.zeros(len(group)), np.zeros(len(group)), [], []
+        for step in range(1, int(np.bincount(group).max())):
+            a = np.flatnonzero(group[:-step] == group[step:])
+            b = a + step
+            use = (open_[a] | open_[b]) & (inside[a] | (block[a] != block[b]))
+            a, b = a[use], b[use]
+            share = ((sketches[a] == sketches[b]).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
+            near = share >= likely
+            a, b, share = a[near], b[near], np.clip(share[near] - spread, threshold, 1.0)
+            met = share**depth
+            weight = 1 / (TREES * met)  # a neighbour is met in that many trees
+            for end in (a, b):
+                np.add.at(found, end, weight)
+                np.add.at(missed, end, weight * (1 - met) ** TREES)
+            left.append(a)
+            right.append(b)
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+        label = np.arange(len(group))
+        while True:
+            low = np.minimum(label[a], label[b])
+            new = label.copy()
+            np.minimum.at(new, a, low)
+            np.minimum.at(new, b, low)
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        some = np.flatnonzero(found)
+        names = [pa.array(nodes[at].view("V16").ravel().tolist(), pa.binary()) for at in (some, label[some])]
+        return pa.RecordBatch.from_arrays([*names, pa.array(found[some]), pa.array(missed[some])], ["node", "peer", "found", "missed"])
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            held = rows if held is None else pa.concat_tables([held, rows])
+            if not len(held):
+                continue
+            last = np.ones(len(held), bool)
+            for c in ("p", "i", "j"):
+                x = held.column(c).to_numpy()
+                last &= x == x[-1]
+            done = len(held) - int(last[::-1].argmin()) if not last.all() else 0
+            if done:
+                yield matched(held.slice(0, done).combine_chunks())
+                held = held.slice(done)
+        if held is not None and len(held):
+            yield matched(held.combine_chunks())
+
+    return match
+
+
+def likely_neighbours(nodes: DataFrame, depths: list[int], threshold: float, recall: float, block_rows: int) -> DataFrame:
+    """node, peer: edges that connect the likely neighbours among nodes (node,
+    prefixes, sketch), from tries whose matched prefixes are shortened where
+    neighbours are missed."""
+    at = lambda depth: F.explode(F.slice("prefixes", depths.index(depth) * TREES + 1, TREES))
+    roots = nodes.select("node", at(depths[-1]).alias("p"))
+    shared = roots.groupBy("p").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    total = nodes.count() * TREES
+    some = join_by_heat(roots, shared, "p", "n", total).select("node").distinct()
+    # Only these share a prefix with any other; deeper prefixes are theirs alone.
+    nodes = written(nodes.join(some, "node", "left_semi"), "forest")
+    total, done, out = nodes.count() * TREES, None, []
+    for depth in depths:
+        open_nodes = nodes.withColumn("open", F.lit(True)) if done is None else nodes.join(done.withColumn("open", F.lit(False)), "node", "left").withColumn("open", F.coalesce("open", F.lit(True)))
+        members = open_nodes.select("node", "sketch", "open", at(depth).alias("p"))
+        sizes = members.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("any")).where("n > 1 and any").select("p", "n")
+        placed = join_by_heat(members, sizes, "p", "n", total)
+        blocks = F.ceil(F.col("n") / block_rows).cast("int")
+        placed = placed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = placed.select("p", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "open", "node", "sketch")
+        matched = dealt.repartition("p", "i", "j").sortWithinPartitions("p", "i", "j").mapInArrow(_match(depth, threshold), "node binary, peer binary, found double, missed double")
+        matched = written(matched, "matched")
+        out.append(matched.where("node <> peer").select("node", "peer"))
+        seen = matched.groupBy("node").agg(F.sum("found").alias("found"), F.sum("missed").alias("missed")).where(F.col("missed") <= (1 - recall) * F.col("found")).select("node")
+        done = written(seen if done is None else done.union(seen).distinct(), "done")
+    return functools.reduce(DataFrame.union, out)
+
+
 def _labels(near: np.ndarray) -> np.ndarray:
     """The component of each row of a square 0/1 matrix, named by its first row."""
     label = np.full(len(near), -1)
@@ -117,12 +239,12 @@ def _similar(sets: list[np.ndarray], threshold: float) -> np.ndarray:
         row, place = row[used], column[place[used]]
         order = np.argsort(place, kind="stable")
         row, place = row[order], place[order]
-        shared, width = np.zeros((m, m), np.float32), 8192
+        shared, width = np.zeros((m, m), np.int64), 8192
         for at in range(0, int(place[-1]) + 1 if len(place) else 0, width):
             part = slice(*np.searchsorted(place, [at, at + width]))
             block = np.zeros((m, width), np.float32)
             block[row[part], place[part] - at] = 1
-            shared += block @ block.T
+            shared += (block @ block.T).astype(np.int64)  # at most `width`, so exact
     near = shared * (1 + threshold) >= threshold * (sizes[:, None] + sizes[None, :]) - 1e-6
     np.fill_diagonal(near, False)
     return near
@@ -149,7 +271,7 @@ def _with_shingles(rows: DataFrame, size: int) -> DataFrame:
     names = ["node", "root", "blocks"]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for whole in batches:
             for batch in small_batches(whole, "text", 1 << 20):
                 nodes = batch.column("node").to_pylist()
@@ -160,7 +282,7 @@ def _with_shingles(rows: DataFrame, size: int) -> DataFrame:
                     sets = [np.unique(values[a:b]).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
                     yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(sets, pa.binary())], [*names, "shingles"])
 
-    return rows.select(*names, "text").mapInArrow(add, "node long, root long, blocks int, shingles binary")
+    return rows.select(*names, "text").mapInArrow(add, "node binary, root binary, blocks int, shingles binary")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, threshold: float = 0.8, recall: float = 0.999, block_rows: int = 1024, block_shingles: int = 4 << 20) -> DataFrame:
@@ -169,20 +291,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     shingles, itself included), n_links (other shingle sets that are near) and
     is_first: the one row of its class to keep."""
     ship(docs.sparkSession)
-    signed = written(signatures(docs, key, text, size, prefix_depth(threshold, recall), TREES), "signed")
+    depths = trie_depths(threshold, recall)
+    signed = written(signatures(docs, key, text, size, depths), "signed")
+    n_rows = signed.count()
     nodes = signed.groupBy("node").agg(
         F.count(F.lit(1)).alias("n_copies"), F.min(F.struct("key", "text_hash")).alias("head"), F.min("key").alias("low"),
-        F.first("weight").alias("weight"), F.first("prefixes").alias("prefixes"),
+        F.first("weight").alias("weight"), F.first("prefixes").alias("prefixes"), F.first("sketch").alias("sketch"),
     )
     nodes = written(nodes, "nodes")
-    members = nodes.select("node", F.explode("prefixes").alias("prefix"))
-    heads = members.groupBy("prefix").agg(F.min("node").alias("peer"), F.count(F.lit(1)).alias("n")).where("n > 1").select("prefix", "peer")
-    around = written(connected_components(members.join(heads, "prefix").where("node <> peer").select("node", "peer"), "node", "peer"), "around")
+    near = likely_neighbours(nodes.where("weight > 0").select("node", "prefixes", "sketch"), depths, threshold, recall, block_rows)
+    around = written(connected_components(near, "node", "peer"), "around")
 
-    inside = nodes.join(around, "node").select("node", "root", "weight", "head")
+    inside = written(nodes.join(around, "node").select("node", "root", "weight", "head"), "inside")
     volume = inside.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"))
-    volume = volume.select("root", F.greatest(F.ceil(F.col("n") / block_rows), F.ceil(F.col("w") / block_shingles)).cast("int").alias("blocks"))
-    wanted = inside.join(volume, "root").select("node", "root", "blocks", F.col("head.key").alias("k"), F.col("head.text_hash").alias("h"))
+    volume = volume.select("root", "n", F.greatest(F.ceil(F.col("n") / block_rows), F.ceil(F.col("w") / block_shingles)).cast("int").alias("blocks"))
+    wanted = join_by_heat(inside, volume, "root", "n", inside.count()).select("node", "root", "blocks", F.col("head.key").alias("k"), F.col("head.text_hash").alias("h"))
     wanted = written(wanted, "wanted")
     total = inside.agg(F.sum("weight")).first()[0] or 0
     bundles = max(64, int(total // (1 << 20)))  # neighbourhoods of one block share tasks
@@ -195,10 +318,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
             "node", "root", "block", "shingles", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-            F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(bundles))).otherwise(F.col("root")).alias("bundle"), (F.col("blocks") == 1).alias("small"),
+            F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(bundles))).otherwise(F.xxhash64("root")).alias("bundle"), (F.col("blocks") == 1).alias("small"),
         )
     )
-    links = written(dealt.groupBy("small", "bundle", "i", "j").applyInPandas(_verify(threshold), "node long, peer long, links long"), "links")
+    links = written(dealt.groupBy("small", "bundle", "i", "j").applyInPandas(_verify(threshold), "node binary, peer binary, links long"), "links")
     joined = connected_components(links.select("node", "peer"), "node", "peer")
     degree = links.groupBy("node").agg(F.sum("links").alias("n_links"))
     known = (
@@ -206,9 +329,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         .withColumn("root", F.coalesce("root", "node")).withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
     )
     known = written(known, "known")
-    classes = known.groupBy("root").agg(F.min("low").alias("class_id"), F.min("head").alias("class_head"))
-    known = known.join(classes, "root").select("node", "class_id", "class_head", "n_copies", "n_links")
-    return signed.select("key", "text_hash", "node").join(known, "node").select(
+    classes = known.groupBy("root").agg(F.min("low").alias("class_id"), F.min("head").alias("class_head"), F.count(F.lit(1)).alias("n"))
+    known = join_by_heat(known, classes, "root", "n", known.count()).select("node", "class_id", "class_head", "n_copies", "n_links")
+    return join_by_heat(signed.select("key", "text_hash", "node"), known, "node", "n_copies", n_rows).select(
         F.col("key").alias(key), "class_id", "n_copies", "n_links",
         (F.col("key").eqNullSafe(F.col("class_head.key")) & F.col("text_hash").eqNullSafe(F.col("class_head.text_hash"))).alias("is_first"), "text_hash",
     )
