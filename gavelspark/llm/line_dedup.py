@@ -21,8 +21,10 @@ Defined results: a null text is kept as it is; an empty text, and lines without
 a word, are never dropped; exact repeats of a row are one document, and all of
 them lose the same lines; rows with the same key and different texts are
 different documents; a document with a null key is first only where no key is
-known; an empty table gives an empty
-result; other columns pass through.
+known; of a line's templates that it agrees with equally, the one of the highest
+hash takes it; texts of any number of lines are read whole; an empty table gives
+an empty result; other columns pass through, but for one named n_dropped_lines,
+which is replaced.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_RUN, SPACES, written
+from .common import SPACE_RUN, SPACES, let, written
+
 
 def masked_words(line: Column) -> Column:
     """The words of a trimmed line; one with a digit in it is a variable field."""
@@ -118,11 +121,16 @@ def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", salt
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", **limits) -> DataFrame:
     """docs' columns with the text without its recurring lines, and n_dropped_lines."""
-    own = docs.columns
+    own = [c for c in docs.columns if c != "n_dropped_lines"]
     packed = docs.select(F.col(key).alias("_key"), F.xxhash64(F.col(text)).alias("_hash"), F.struct(*own).alias("_own"))
     gone = dropped_lines(docs, key, text, **limits).select(F.col("key").alias("_k"), F.col("text_hash").alias("_h"), "places")
     out = packed.join(gone, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_hash") == F.col("_h")), "left")
-    kept = F.array_join(F.filter(F.split(F.col(f"_own.{text}"), "\n", -1), lambda line, i: ~F.array_contains(F.col("places"), i)), "\n")
+    def without(lines: Column) -> Column:
+        """Set difference of places, so the work follows the number of lines."""
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "places")
+        return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+
+    kept = let(F.split(F.col(f"_own.{text}"), "\n", -1), without)
     columns = [
         F.when(F.col("places").isNull(), F.col("_own")[c]).otherwise(kept).alias(c) if c == text else F.col("_own")[c].alias(c) for c in own
     ]
