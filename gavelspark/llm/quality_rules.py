@@ -14,8 +14,10 @@ occurrence alone never rejects a text. The fences of a group with n texts count
 n times and those of its language `least` times; likewise a language and all.
 
 Defined results: a null text has no words and fails the base rules; a null
-language or source is a group of its own; repeated rows count each time; an
-empty table gives an empty result; other columns pass through `quality_filter`.
+language or source is a group of its own; repeated rows count each time; a text
+on a fence is kept; texts of any length are measured whole; keys may have any
+type; an empty table gives an empty result; other columns, whatever their names,
+pass through `quality_filter`.
 """
 
 from __future__ import annotations
@@ -44,10 +46,10 @@ def _words(text: Column) -> Column:
 def _repeated(w: Column) -> Column:
     """How many words lie in 3-word windows that occur twice or more.
 
-    A window's 38-bit hash and its position make one long; sorted, equal
+    A window's 33-bit hash and its position make one long; sorted, equal
     hashes are neighbours. Windows that share a hash are then compared as
     words, so the count is exact. w: a bound lambda argument."""
-    bits = 26  # of the position: texts of up to 67 million words
+    bits = 31  # of the position: all that an array can have
     hashes = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
     coded = lambda h: F.transform(h, lambda x, i: F.shiftleft(x, bits).bitwiseOR(i.cast("long")))
 
