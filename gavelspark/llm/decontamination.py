@@ -2,9 +2,9 @@
 containment search.
 
 Items are partitioned by the size of their shingle set, in powers of two. For
-each class, documents are cut into overlapping windows of twice the class's
-size, so an item inside a window has a Jaccard similarity of at least about a
-fifth with it, however long the document. A window is a candidate for an item
+each class, documents are cut into overlapping windows of up to four times the item's
+size, so an item inside a window has a Jaccard similarity of about a fifth or
+more with it, however long the document. A window is a candidate for an item
 if any of `hashes` minhashes agree, which misses such an item with a chance of
 0.8 ** hashes. Each candidate is verified by the exact share of the item's
 shingles that the whole document contains. Items of fewer than eight shingles,
@@ -16,9 +16,11 @@ size, one pass over the documents for each block.
 
 Defined results: null texts are empty; items of fewer than five words have no
 shingle and are never found, and neither do such documents contain any;
-repeated items each give a row, repeated documents too; null keys are carried;
-an empty table on either side finds nothing; other columns pass through
-`decontaminate` and are otherwise ignored.
+repeated items each give a row, repeated documents too; an item contained by
+just the threshold is found; null keys are carried, keys and item ids may have
+any type; texts of any length are searched whole; an empty table on either side
+finds nothing; other columns, whatever their names, pass through `decontaminate`
+and are otherwise ignored.
 """
 
 from __future__ import annotations
@@ -27,10 +29,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Words, ship, shingles, small_batches, utf8
+from .common import Words, ship, shingles, small_batches, utf8, written
 from .jaccard_join import minhashes
 
 
@@ -116,24 +121,30 @@ def contained_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text
     `threshold` of the shingles."""
     spark = docs.sparkSession
     ship(spark)
-    kind, item_kind = dict(docs.dtypes)[key], dict(items.dtypes)[item]
+    item_type = to_arrow_type(items.schema[item].dataType)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    schema = f"key {kind}, item {item_kind}, containment double"
-    out = spark.createDataFrame([], schema)
-    for ids, texts in _blocks(items, item, item_text, most_bytes):
-        shared = spark.sparkContext.broadcast((ids, ItemIndex(texts, size, hashes)))
+    schema = T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("item", items.schema[item].dataType), T.StructField("containment", T.DoubleType())])
 
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    def found_by(shared: Broadcast) -> DataFrame:
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, index = shared.value
             for whole in batches:
-                item_type = pa.int64() if item_kind == "bigint" else None
                 for batch in small_batches(whole, "text", 1 << 20):
                     hits = index.found(batch.column("text"), threshold)
                     if hits:
                         at = pa.array([i for i, _, _ in hits])
                         yield pa.RecordBatch.from_arrays([batch.column("key").take(at), pa.array([names[q] for _, q, _ in hits], item_type), pa.array([s for _, _, s in hits])], ["key", "item", "containment"])
 
-        out = out.unionByName(rows.mapInArrow(search, schema))
+        return rows.mapInArrow(search, schema)
+
+    out, held = spark.createDataFrame([], schema), None
+    for ids, texts in _blocks(items, item, item_text, most_bytes):
+        if held is not None:  # more than one block: each is searched and let go before the next comes
+            out = out.unionByName(written(found_by(held), "contained"))
+            held.destroy()
+        held = spark.sparkContext.broadcast((ids, ItemIndex(texts, size, hashes)))
+    if held is not None:
+        out = out.unionByName(found_by(held))
     return out.select(F.col("key").alias(key), F.col("item").alias(item), "containment")
 
 
@@ -141,20 +152,25 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item: s
     """docs without the rows that contain an item."""
     spark, own = docs.sparkSession, docs.columns
     ship(spark)
+    held = None
     for _, texts in _blocks(items, item, item_text, most_bytes):
-        shared = spark.sparkContext.broadcast(ItemIndex(texts, size, hashes))
-
-        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            at = own.index(text)
-            for whole in batches:
-                alone = pa.RecordBatch.from_arrays([whole.column(at)], ["text"])
-                done = 0
-                for batch in small_batches(alone, "text", 1 << 20):
-                    bad = {i for i, _, _ in shared.value.found(batch.column("text"), threshold)}
-                    kept = whole.slice(done, len(batch)).filter(pa.array([i not in bad for i in range(len(batch))]))
-                    done += len(batch)
-                    if len(kept):
-                        yield kept
-
-        docs = docs.mapInArrow(clean, docs.schema)
-    return docs
+        if held is not None:
+            docs = written(_without(docs, held, own.index(text), threshold), "clean")
+            held.destroy()
+        held = spark.sparkContext.broadcast(ItemIndex(texts, size, hashes))
+    return docs if held is None else _without(docs, held, own.index(text), threshold)
+
+
+def _without(docs: DataFrame, shared: Broadcast, at: int, threshold: float) -> DataFrame:
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            alone = pa.RecordBatch.from_arrays([whole.column(at)], ["text"])
+            done = 0
+            for batch in small_batches(alone, "text", 1 << 20):
+                bad = {i for i, _, _ in shared.value.found(batch.column("text"), threshold)}
+                kept = whole.slice(done, len(batch)).filter(pa.array([i not in bad for i in range(len(batch))]))
+                done += len(batch)
+                if len(kept):
+                    yield kept
+
+    return docs.mapInArrow(clean, docs.schema)
