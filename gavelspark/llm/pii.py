@@ -11,12 +11,15 @@ leftmost non-overlapping patterns give:
   card   [0-9]([\\x20-]?[0-9])+, 13 to 19 digits that pass Luhn's check
   phone  \\+[0-9][\\x20().0-9-]+[0-9], 9 to 15 digits
 
-Added kinds: login (scheme://user:password@host), iban (with its check digits)
-and account (6 to 17 digits after a word such as "account no.").
+Added kinds: login (scheme://user:password@host), iban (right after its cue but
+for marks and small words, with its check digits) and account (6 to 17 digits
+after a word such as "account no.").
 
 Defined results: a null text is an empty one and has no spans; repeated rows
-each give a row; null keys are carried; an empty table gives an empty result;
-other columns are ignored; offsets count code points, ends excluded.
+each give a row; null keys are carried, keys may have any type; texts and values
+of any length are read whole; where spans of two kinds overlap, both are given;
+an empty table gives an empty result; other columns, whatever their names, are
+ignored; offsets count code points, ends excluded.
 """
 
 from __future__ import annotations
@@ -44,10 +47,11 @@ _IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _RUN = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT_RUN = re.compile(r"[0-9]+")
-_LOGIN = re.compile(r"[^\s/@:?#]{1,256}:[^\s/@?#]{1,256}@[A-Za-z0-9.-]+")
-_SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{0,31}\Z")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ -]?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
-_NUMBER = re.compile(r"(?:\s|[:#.=-]|no\b|nr\b|number\b|nummer\b|num\b|numéro\b|número\b){0,6}?([0-9](?:[ -]?[0-9]){5,16})(?![0-9])", re.IGNORECASE)
+_LOGIN = re.compile(r"[^\s/@:?#]++:[^\s/@?#]++@[A-Za-z0-9.-]+")
+_SCHEME_LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
+_BEFORE_IBAN = re.compile(r"(?:[^A-Za-z0-9]++|(?:is|ist|est|es|no|nr|number|nummer|code)(?![A-Za-z0-9]))*+", re.IGNORECASE)
+_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:[ -]?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_NUMBER = re.compile(r"(?:\s|[:#.=-]|no\b|nr\b|number\b|nummer\b|num\b|numéro\b|número\b)*?([0-9](?:[ -]?[0-9]){5,16})(?![0-9])", re.IGNORECASE)
 
 
 def luhn(digits: str) -> bool:
@@ -111,11 +115,17 @@ def spans(text: str) -> list[Span]:
                 take("phone", last, m.end(), 9 <= sum(c in "0123456789" for c in m[0]) <= 15)
         elif kind == "scheme":
             at = last + 1
-            if at >= end["login"] and (before := _SCHEME.search(text, max(0, at - 35), at - 3)) and (m := _LOGIN.match(text, at)):
-                take("login", before.start(), m.end(), True)
+            if at >= end["login"] and (m := _LOGIN.match(text, at)):
+                start = at - 3
+                while start > end["login"] and text[start - 1] in _SCHEME_LETTERS:
+                    start -= 1
+                while start < at - 3 and not text[start].isalpha():
+                    start += 1
+                if start < at - 3:
+                    take("login", start, m.end(), True)
         else:
             at = last + 1
-            if text[at - length : at].lower() == "iban" and (m := _IBAN.search(text, at, at + 60)) and m.start() >= end["iban"]:
+            if text[at - length : at].lower() == "iban" and (m := _IBAN.match(text, _BEFORE_IBAN.match(text, at).end())) and m.start() >= end["iban"]:
                 take("iban", m.start(), m.end(), iban_checks(m[0]))
             elif (at == length or not text[at - length - 1].isalnum()) and (m := _NUMBER.match(text, at)) and m.start(1) >= end["account"] and m.start(1) > at:
                 take("account", m.start(1), m.end(1), True)
