@@ -1,19 +1,24 @@
 """License notices, through conditional compression.
 
-Lines that speak of licensing are candidate blocks. A block is compressed by
-itself and with each template as a raw zstandard dictionary; the template that
-saves the most bytes is the likeliest source. The best few are then compared
-with the block word by word, and the one that differs least is confirmed, or
-none if too much differs: compression proposes, wording decides.
-
-Defined results: a null or empty text has no block; each candidate block gives
-a row, also when no template is confirmed; repeated rows are scanned each; null
-keys are carried; an empty table gives an empty result; other columns are
-ignored; blocks are whole lines of any length.
+Words around a phrase that speaks of licensing are a candidate block, whether the
+notice is wrapped over many lines or stands in a text without any. A block is
+compressed by itself and with each template as a raw zstandard dictionary; the
+templates are ranked by how much of their own compressed size that saves, and
+those that save a fair share are compared with the block word by word. The
+wording with the most words confirmed is a notice; its words are then out, and
+the rest of the block is compared again, until no template is confirmed:
+compression proposes, wording decides.
+
+Defined results: a null or empty text has no block; a block in which no template
+is confirmed gives one row without a license; of wordings that tie, the earlier
+template's is taken; repeated rows are scanned each; null keys are carried, keys
+may have any type; texts of any length are scanned whole; an empty table gives an
+empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import re
 from collections.abc import Iterator
@@ -22,102 +27,183 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, ship
+from .common import ship
 
-#: What a candidate line speaks of (a Java pattern). Fixed values.
-CUES = r"(?i)licen[cs]|copyright|all rights reserved|creative commons|\bcc[ -]by|\bspdx|public domain|redistribution|warranty"
+#: What a candidate block speaks of (for Java and Python alike). Fixed values.
+CUES = (
+    r"(?i)licen[cs]|copyright|all\s+rights\s+reserved|creative\s+commons|\bcc[ -]by|\bspdx|public\s+domain|redistribution|warranty|permission\s+is\s+hereby|"
+    r"permission\s+to\s+use|without\s+limitation\s+the\s+rights|free\s+software|as[ -]is|unencumbered|neither\s+the\s+name"
+)
 
-#: Notices as their stewards word them; `*` stands for a name, year or version that is not compared. Fixed values.
+#: Notices as their stewards word them; names, years and versions that are not compared are left out. Fixed values.
 TEMPLATES: list[tuple[str, str]] = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
     ("MIT", "Released under the MIT License."),
+    ("MIT", "Licensed under the MIT License."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
+    ("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has dedicated all copyright to the public domain under CC0 1.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("all-rights-reserved", "All rights reserved."),
-    ("all-rights-reserved", "Copyright * *. All rights reserved."),
 ]
 
+_WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
+
 
 def _words(text: str) -> list[str]:
     """Words and version numbers, lower case; marks around them don't count."""
-    return re.findall(r"[^\W_]+(?:[.-][^\W_]+)*", text.lower())
+    return [w.lower() for w in _WORD.findall(text)]
 
 
-def wording(block: list[str], template: list[str]) -> tuple[int, int]:
-    """(words of the template that the block lacks, words between its first and
-    last match that the template lacks); `*` in a template matches nothing."""
+def wording(block: list, template: list[str], near: float) -> tuple[int, int, int, int]:
+    """The place of block most like the template: (first word, end, words of the
+    template that it lacks, words of its own). Found from the longest run of
+    words that both have, within the template's length of it."""
     match = difflib.SequenceMatcher(None, block, template, autojunk=False)
-    runs = [m for m in match.get_matching_blocks() if m.size]
-    if not runs:
-        return len(template), len(block)
-    shared = sum(m.size for m in runs)
-    return len(template) - shared, runs[-1].a + runs[-1].size - runs[0].a - shared
+    seed = match.find_longest_match()
+    if not seed.size:
+        return 0, 0, len(template), 0
+    slack = int(near * len(template)) + 2
+    low, high = max(0, seed.a - seed.b - slack), min(len(block), seed.a - seed.b + len(template) + slack)
+    runs = [m for m in difflib.SequenceMatcher(None, block[low:high], template, autojunk=False).get_matching_blocks() if m.size]
+    shared, first, end = sum(m.size for m in runs), low + runs[0].a, low + runs[-1].a + runs[-1].size
+    return first, end, len(template) - shared, end - first - shared
 
 
 class Scanner:
     """Templates, ready to compress with. `near` is the largest share of a
-    template's words that may differ; `ranked` templates are compared."""
+    template's words that may differ; a template is compared if the block saves
+    at least `saves` of the template's own compressed size with it."""
 
-    def __init__(self, templates: list[tuple[str, str]], near: float, ranked: int):
+    def __init__(self, templates: list[tuple[str, str]], near: float, saves: float):
         import zstandard
 
-        self.names, self.near, self.ranked = [n for n, _ in templates], near, ranked
+        self.names, self.near, self.saves = [n for n, _ in templates], near, saves
         self.words = [_words(t) for _, t in templates]
+        self.reach = max(map(len, self.words))
+        self.cue = re.compile(CUES)
         self.alone = zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=False)
-        # the whole text of a template stands in the dictionary, twice, to be matched near its end too
+        plain = [" ".join(w).encode() for w in self.words]
+        self.cost = [max(1, len(self.alone.compress(p))) for p in plain]
+        # a template stands in its dictionary twice, to be matched near its end too
         self.given = [
-            zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=False, dict_data=zstandard.ZstdCompressionDict((t.lower() + "\n").encode() * 2, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
-            for _, t in templates
+            zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=False, dict_data=zstandard.ZstdCompressionDict((p + b"\n") * 2, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+            for p in plain
         ]
+        self.known: dict[tuple[str, ...], list] = {}
 
-    def best(self, block: str) -> tuple[str | None, float, int, int]:
-        """(license or None, share of bytes saved, words missing, words added)."""
-        data = re.sub(r"\s+", " ", block.lower()).strip().encode()
+    def ranked(self, words: list[str]) -> list[tuple[float, int]]:
+        """(share of its own size that the template saves, template), best first."""
+        data = " ".join(words).encode()
         plain = len(self.alone.compress(data))
-        saved = sorted(((1 - len(c.compress(data)) / plain, -i) for i, c in enumerate(self.given)), reverse=True)[: self.ranked]
-        own = _words(block)
-        ranked = []
-        for gain, at in saved:
-            missing, added = wording(own, self.words[-at])
-            ranked.append(((missing + added) / max(1, len(self.words[-at])), -len(self.words[-at]), -gain, -at, missing, added))
-        differs, _, gain, at, missing, added = min(ranked)
-        return self.names[at] if differs <= self.near else None, -gain, missing, added
-
-
-def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: list[tuple[str, str]] | None = None, near: float = 0.25, ranked: int = 4) -> DataFrame:
-    """key, line (from 0), license (null: none confirmed), saved, missing, added
-    and the block, for each line that speaks of licensing."""
+        return sorted((((plain - len(c.compress(data))) / cost, -i) for i, (c, cost) in enumerate(zip(self.given, self.cost, strict=True))), reverse=True)
+
+    def notices(self, words: list[str]) -> list[tuple[int, int, int, float, int, int]]:
+        """(first word, end, template, saved, missing, added) of each notice in a block."""
+        key = tuple(words)
+        if key not in self.known:
+            if len(self.known) > 20_000:
+                self.known.clear()
+            chosen, own, found = [(-at, gain) for gain, at in self.ranked(words) if gain >= self.saves], list(words), []
+            while True:
+                best = None
+                for i, gain in sorted(chosen):
+                    first, end, missing, added = wording(own, self.words[i], self.near)
+                    n = len(self.words[i])
+                    if missing + added <= self.near * n and (best is None or n - missing > best[0]):
+                        best = (n - missing, (first, end, i, gain, missing, added))
+                if best is None:
+                    break
+                found.append(best[1])
+                own[best[1][0] : best[1][1]] = [None] * (best[1][1] - best[1][0])
+            self.known[key] = sorted(found)
+        return self.known[key]
+
+    def blocks(self, text: str) -> Iterator[tuple[list[tuple[int, int]], list[str]]]:
+        """Places and words of the blocks: cues within `reach` words share one, of
+        at most 4 * reach words; the next then begins `reach` words before its end."""
+        cues = [m.start() for m in self.cue.finditer(text)]
+        if not cues:
+            return
+        places = [m.span() for m in _WORD.finditer(text)]
+        starts = [a for a, _ in places]
+        low = high = None
+        for c in cues:
+            at = max(0, bisect.bisect_right(starts, c) - 1)
+            a, b = max(0, at - self.reach), min(len(places), at + self.reach)
+            if low is not None and a <= high and b - low <= 4 * self.reach:
+                high = b
+                continue
+            if low is not None:
+                yield places[low:high], [text[x:y].lower() for x, y in places[low:high]]
+            low, high = a, b
+        yield places[low:high], [text[x:y].lower() for x, y in places[low:high]]
+
+    def scan(self, text: str) -> list[tuple[int, int, str | None, float | None, int | None, int | None]]:
+        """(start, end, license or None, saved, missing, added): notices, those of
+        one license that follow each other within a few words as one."""
+        found: dict[tuple[int, int], tuple] = {}
+        empty = []
+        for places, words in self.blocks(text):
+            hits = self.notices(words)
+            for first, end, i, gain, missing, added in hits:
+                found.setdefault((places[first][0], i), (places[first][0], places[end - 1][1], self.names[i], round(gain, 4), missing, added))
+            if not hits and places:
+                empty.append((places[0][0], places[-1][1], None, None, None, None))
+        out: list[tuple] = []
+        for hit in sorted(found.values(), key=lambda h: (h[0], h[1])):
+            if out and out[-1][2] == hit[2] and hit[0] - out[-1][1] <= 80:
+                last = out.pop()
+                hit = (last[0], max(last[1], hit[1]), hit[2], max(last[3], hit[3]), last[4] + hit[4], last[5] + hit[5])
+            out.append(hit)
+        return sorted(out + empty, key=lambda h: h[:2])
+
+
+def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: list[tuple[str, str]] | None = None, near: float = 0.25, saves: float = 0.3) -> DataFrame:
+    """key, start, end (code points), license (null: none confirmed), saved,
+    missing, added and the wording itself, for each notice, and for each block
+    that speaks of licensing but holds none."""
     ship(docs.sparkSession)
     templates = templates or TEMPLATES
-    lines = docs.where(F.col(text).rlike(CUES)).select(F.col(key).alias("key"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("line", "block"))
-    lines = lines.where(F.col("block").rlike(CUES) & F.col("block").rlike(NOT_SPACE))
+    rows = docs.where(F.col(text).rlike(CUES)).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    kinds = {"start": pa.int64(), "end": pa.int64(), "license": pa.string(), "saved": pa.float64(), "missing": pa.int64(), "added": pa.int64(), "wording": pa.string()}
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates, near, ranked)
-        known: dict[str, tuple] = {}
+        scanner = Scanner(templates, near, saves)
         for batch in batches:
-            found = []
-            for block in batch.column("block").to_pylist():
-                if block not in known:
-                    if len(known) > 20_000:
-                        known.clear()
-                    known[block] = scanner.best(block)
-                found.append(known[block])
-            columns = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.int64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("line"), *columns, batch.column("block")], ["key", "line", "license", "saved", "missing", "added", "block"])
-
-    schema = f"key {dict(docs.dtypes)[key]}, line int, license string, saved double, missing long, added long, block string"
-    return lines.mapInArrow(scan, schema).withColumnRenamed("key", key)
+            at, found = [], []
+            for i, t in enumerate(batch.column("text").to_pylist()):
+                for hit in scanner.scan(t):
+                    at.append(i)
+                    found.append((*hit, t[hit[0] : hit[1]]))
+            if found:
+                columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds.values())]
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(at)), *columns], ["key", *kinds])
+
+    schema = f"key {dict(docs.dtypes)[key]}, start long, end long, license string, saved double, missing long, added long, wording string"
+    return rows.mapInArrow(scan, schema).withColumnRenamed("key", key)
