@@ -12,8 +12,10 @@ two, which need no padding.
 
 Defined results: a null text is an empty one (its end token alone is packed);
 repeated rows are packed each; null keys are carried; an example of no tokens
-gives no piece; an empty table gives an empty result; other columns are
-ignored; texts are tokenised whole, whatever their length.
+gives no piece; of examples that fit equally well the first of the pool is
+placed; keys may have any type; an empty table gives an empty result; other
+columns, whatever their names, are ignored; texts are tokenised whole, whatever
+their length.
 """
 
 from __future__ import annotations
@@ -148,52 +150,45 @@ LATIN_SPLIT = SPLIT.replace(r"[^\s\p{L}\p{N}]", rf"[^\s{_LETTER}{_NUMBER}]").rep
 NOT_LATIN = "[^\t-\r -~\xa0-ɏ]"
 
 
-def byte_letters() -> dict[int, str]:
-    """How byte-level BPE writes bytes: visible ones as they are, others as
-    letters from U+0100 on, in their order."""
-    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(seen)]
-    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
-
-
 class TokenCache(dict):
-    """The ids that the tokenizer of this file gives (tests hold them against
-    `tokenizers`), as bytes, piece by piece of its own splitting. A new piece is
-    merged by the ranks of the same file, then kept while it is in use: once
-    `most` pieces are held, those not met since the last such time go."""
+    """The ids that `tokenizers` gives for this file, as bytes, piece by piece of
+    the vocabulary's own splitting. Pieces not met before go to the tokenizer
+    together; once `most` are held, those not met since the last such time go. The
+    strings of special tokens are ordinary text, as the files' description has it."""
 
     def __init__(self, path: str, most: int = 600_000):
-        import json
+        import os
         import re
 
         import regex
-        import tiktoken
-
-        with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
-        of = {letter: byte for byte, letter in byte_letters().items()}
-        ranks = {bytes(of[c] for c in token): i for token, i in vocabulary.items() if token != "<|endoftext|>"}
-        # One piece at a time; merges by rank, which in this vocabulary is the order of ids.
-        self.merge = tiktoken.Encoding("pieces", pat_str="(?s).+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
         self.most, self.old = most, {}
         self.split, self.latin_split = regex.compile(SPLIT).findall, re.compile(LATIN_SPLIT).findall
         self.foreign = re.compile(NOT_LATIN).search
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.old.get(piece)
-        if ids is None:
-            ids = array("I", self.merge(piece)).tobytes()
-        if len(piece) <= 64:
-            self[piece] = ids
-        return ids
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids (little-endian, 32 bits) of each text; no special tokens."""
         if len(self) > self.most:
             self.old = dict(self)
             self.clear()
+        pieces = [(self.split if self.foreign(t) else self.latin_split)(t) for t in texts]
+        new = set().union(*pieces) - self.keys()
+        kept = new & self.old.keys()
+        self.update((p, self.old[p]) for p in kept)
+        fresh = list(new - kept)
+        for p, ids in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
+            self[p] = array("I", ids.ids).tobytes()
         get = self.__getitem__
-        return [b"".join(map(get, (self.split if self.foreign(t) else self.latin_split)(t))) for t in texts]
+        out = [b"".join(map(get, p)) for p in pieces]
+        for p in fresh:
+            if len(p) > 64:
+                del self[p]
+        return out
 
 
 _caches: dict[str, TokenCache] = {}
@@ -259,34 +254,57 @@ def pack_texts(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
 def pack_examples(examples: DataFrame, key: str, tokens: str, loss: str, limits: Limits = Limits()) -> DataFrame:
     """For instruction data: examples stay whole, with their token and loss
     counts given; each gets a sequence_id and an offset. An example over a limit
-    is given back with a null sequence_id."""
+    is given back with a null sequence_id. A task holds a pool of examples only."""
     ship(examples.sparkSession)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, next_id = Packer(limits, cut=False), TaskContext.get().partitionId() << 40
-        rows, sums, kind = [], {}, None
+        packer, next_id, kind = Packer(limits, cut=False), TaskContext.get().partitionId() << 40, None
+
+        def placed(alone: list[tuple]) -> pa.RecordBatch:
+            nonlocal next_id
+            rows = list(alone)
+            for sequence in packer.ready:
+                offset = 0
+                for (k, n, b), _, _ in sequence:
+                    rows.append((k, n, b, next_id, offset))
+                    offset += n
+                next_id += 1
+            packer.ready.clear()
+            names, kinds = ["key", "tokens", "loss", "sequence_id", "offset"], [kind, *[pa.int64()] * 4]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
+
         for batch in batches:
-            kind = batch.column("key").type
+            kind, alone = batch.column("key").type, []
             for k, n, b in zip(*(batch.column(c).to_pylist() for c in ("key", "tokens", "loss")), strict=True):
                 n, b = n or 0, min(b or 0, n or 0)
-                if n > limits.tokens or b > limits.loss:
-                    rows.append((k, n, b, None, None))
-                elif n:
+                if n == 0 or n > limits.tokens or b > limits.loss:
+                    alone.append((k, n, b, None, None))
+                else:
                     running = np.concatenate([np.zeros(n - b + 1, np.int64), np.arange(1, b + 1)])  # the prompt comes first
                     packer.add((k, n, b), n, running)
-                else:
-                    rows.append((k, n, b, None, None))
+            yield placed(alone)
         packer.finish()
-        for sequence in packer.ready:
-            offset = 0
-            for (k, n, b), _, _ in sequence:
-                rows.append((k, n, b, next_id, offset))
-                offset += n
-            next_id += 1
         if kind is not None:
-            names, kinds = ["key", "tokens", "loss", "sequence_id", "offset"], [kind, *[pa.int64()] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
+            yield placed([])
 
     given = examples.select(F.col(key).alias("key"), F.col(tokens).cast("long").alias("tokens"), F.col(loss).cast("long").alias("loss"))
     schema = f"key {dict(examples.dtypes)[key]}, tokens long, loss long, sequence_id long, offset long"
     return given.mapInArrow(pack, schema).withColumnRenamed("key", key)
+
+
+def conversation_examples(turns: DataFrame, tokenizer: str, key: str = "conv_id", role: str = "role", text: str = "text", answers: str = "assistant") -> DataFrame:
+    """key, tokens and loss of each conversation: ids of all its turns, each with
+    an end id, and of those that the model is to learn. Counts are added up where
+    the turns stand, so a conversation of any length is no single task's."""
+    ship(turns.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = _encoder(tokenizer)
+        for whole in batches:
+            for batch in small_batches(whole, "text", 1 << 20):
+                n = np.array([len(ids) // 4 + 1 for ids in encode([t or "" for t in batch.column("text").to_pylist()])], np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("learn"), pa.array(n)], ["key", "learn", "n"])
+
+    rows = turns.select(F.col(key).alias("key"), F.coalesce(F.col(role) == answers, F.lit(False)).alias("learn"), F.col(text).alias("text"))
+    counted = rows.mapInArrow(count, f"key {dict(turns.dtypes)[key]}, learn boolean, n long")
+    return counted.groupBy("key").agg(F.sum("n").alias("tokens"), F.sum(F.when(F.col("learn"), F.col("n")).otherwise(0)).alias("loss")).withColumnRenamed("key", key)

@@ -74,6 +74,16 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_table(spark, sf_dir, "documents"))
 
 
+def instruction_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator of op6 under all three limits, on instruction data."""
+    import public_tokenizers
+
+    from .packing import Limits, conversation_examples, pack_examples
+
+    examples = conversation_examples(_table(spark, sf_dir, "conversations"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack_examples(examples, "conv_id", "tokens", "loss", Limits(tokens=2048, segments=16, loss=1536))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_pii": op2_pii,
@@ -85,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_license_scan": op9_license_scan,
     "op10_line_dedup": op10_line_dedup,
+    "instruction_packing": instruction_packing,
 }
 
 ORACLES: dict[str, str] = {}

@@ -8,8 +8,9 @@ a whole shard.
 
 Defined results: a null key is a key like any other; a null text has no bytes;
 rows with equal keys share a shard, however many they are (their cells differ,
-so a hot key is still spread over tasks); an empty table gives an empty result;
-other columns are ignored.
+so a hot key is still spread over tasks); of shards with equal scores the last wins; texts of
+any length are measured whole; keys may have any type; an empty table gives an
+empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
