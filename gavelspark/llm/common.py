@@ -185,9 +185,10 @@ class Words:
                 h[s > 0] -= sums[s[s > 0] - 1]
                 hashes.append(mix(h * inverse[s]))
                 starts.append(s + at)
-                if keep_ends:  # the last two bytes, and the length
-                    low = _LOWER[part]
-                    tails.append(low[e].astype(np.int64) * 256 + np.where(e > s, low[np.maximum(e - 1, 0)], 0))
+                if keep_ends:  # the last two bytes and the first two
+                    low, more = _LOWER[part].astype(np.int64), e > s
+                    last = low[e] * 256 + np.where(more, low[np.maximum(e - 1, 0)], 0)
+                    tails.append((last << 16) + low[s] * 256 + np.where(more, low[np.minimum(s + 1, len(low) - 1)], 0))
             at = end
         self.hashes = np.concatenate(hashes) if hashes else np.zeros(0, _U)
         self.starts = np.concatenate(starts) if starts else np.zeros(0, np.int64)
