@@ -64,10 +64,31 @@ def labelled_prices(c: Column) -> Column:
     text, amounts = c, prices_in(c)
     after = lambda label: parse_money(F.nullif(F.regexp_extract(text, rf"(?is){label}[^0-9R]{{0,40}}R\$\s*([0-9][0-9.,]*)", 1), F.lit("")))
     first, second = after(r"(?:1[ºªo]|primeir[oa])\s*(?:leil[aã]o|pra[cç]a)"), after(r"(?:2[ºªo]|segund[oa])\s*(?:leil[aã]o|pra[cç]a)")
-    return F.struct(after("avalia[cç][aã]o").alias("evaluation"), F.coalesce(first, F.array_max(amounts)).alias("first"), F.coalesce(second, F.when(F.size(amounts) > 1, F.array_min(amounts))).alias("second"))
+    return F.struct(after("avalia[cç][aã]o").alias("evaluation"), after("lance m[ií]nimo").alias("minimum"), F.coalesce(first, F.array_max(amounts)).alias("first"), F.coalesce(second, F.when(F.size(amounts) > 1, F.array_min(amounts))).alias("second"))
 
 
 def value_similarity(a: Column, b: Column) -> Column:
-    """1, .8, .5, .3 or 0 by relative distance (10, 20, 30, 50 per cent)."""
+    """By relative distance: within 10 per cent 1, 20 .8, 30 .6, 50 .4, else .2; .5 where one is missing or 0."""
     off = F.abs(a - b) / F.greatest(a, b)
-    return F.when(a.isNull() | b.isNull() | (a <= 0) | (b <= 0), 0.0).when(off <= 0.1, 1.0).when(off <= 0.2, 0.8).when(off <= 0.3, 0.5).when(off <= 0.5, 0.3).otherwise(0.0)
+    return F.when(a.isNull() | b.isNull() | (a == 0) | (b == 0), 0.5).when(off <= 0.1, 1.0).when(off <= 0.2, 0.8).when(off <= 0.3, 0.6).when(off <= 0.5, 0.4).otherwise(0.2)
+
+
+def clean_discount(c: Column) -> Column:
+    """A number up to 1 is a share, up to 100 a percentage; else null."""
+    v = c.cast("double")
+    return F.when((v > 0) & (v <= 1), v * 100).when((v > 1) & (v <= 100), v)
+
+
+def reais(cents: Column) -> Column:
+    return (cents.cast("decimal(18,0)") / 100).cast("double")
+
+
+def cents(value: Column) -> Column:
+    """Half up, in decimals."""
+    return F.round(value.cast("decimal(18,4)") * 100, 0).cast("long")
+
+
+def script_price(html: Column) -> Column:
+    """The number that a page's script assigns to its price, else the first amount after R$."""
+    own = F.nullif(F.regexp_extract(html, r"(?i)\b(?:preco|price|valor)\s*[:=]\s*[\"']?([0-9]+(?:\.[0-9]+)?)", 1), F.lit("")).try_cast("double")
+    return F.coalesce(own, F.get(prices_in(html), 0))

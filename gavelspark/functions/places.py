@@ -22,7 +22,12 @@ CATEGORY_WORDS = [
     ("Rural", "rural|fazenda|sítio|sitio|chácara|chacara|haras"), ("Prédio", "prédio|predio|edifício|edificio"), ("Área", "área|area"),
 ]
 #: Words of things that are no real estate, and of those that are. Fixed values.
-OTHER_GOODS = "carro|moto|veículo|veiculo|caminhão|caminhao|trator|máquina|maquina|sucata|eletrônico|eletronico|celular|notebook|mobiliário|jóia|joia|gado"
+OTHER_GOODS = (
+    "carro|moto|motocicleta|caminhão|caminhao|veículo|veiculo|automóvel|automovel|auto|ônibus|onibus|van|pickup|picape|trator|reboque|carreta|cavalo mecânico|empilhadeira|retroescavadeira|escavadeira|motoniveladora|"
+    "pá carregadeira|rolo compactador|máquina|maquina|equipamento|ferramenta|gerador|compressor|motor|bomba|eletrônico|eletronico|computador|notebook|celular|smartphone|tablet|televisão|televisao|tv|monitor|impressora|"
+    "servidor|joia|jóia|relógio|relogio|anel|colar|pulseira|brinco|obra de arte|quadro|escultura|móvel|movel|mobília|mobilia|sofá|sofa|mesa|cadeira|armário|armario|estante|eletrodoméstico|eletrodomestico|geladeira|fogão|"
+    "crédito|credito|direito|ação|acao|quota|participação|participacao|título|titulo|semovente|gado|boi|vaca|cavalo|animal|sucata"
+)
 ESTATE_WORDS = "imóvel|imovel|apartamento|casa|terreno|lote|sala|loja|galpão|galpao|fazenda|sítio|sitio|chácara|chacara|prédio|predio|garagem|sobrado"
 
 
@@ -33,6 +38,26 @@ def state_code(c: Column) -> Column:
     return F.when(up.isin(*STATES), up).otherwise(F.coalesce(names[name], F.lit("XX")))
 
 
+def short_state(c: Column) -> Column:
+    """As state_code, but any two letters stay as they are."""
+    return F.when(F.coalesce(F.trim(c), F.lit("")) == "", "XX").when(F.length(F.trim(c)) == 2, F.upper(F.trim(c))).otherwise(state_code(c))
+
+
+def place_from(text: Column, url: Column) -> Column:
+    """(state, city) of "city/UF" or of the last two parts between commas, else of
+    the path /uf/city-name/ of the page."""
+    parts = F.split(text, r"\s*,\s*")
+    last = F.trim(F.element_at(parts, -1))
+    own = place_in(text)
+    by_comma = last.isin(*STATES) & (F.size(parts) > 1)
+    path = F.upper(F.regexp_extract(url, r"/([a-z]{2})/([a-z-]+)/", 1))
+    by_path = F.when(path.isin(*STATES), F.initcap(F.replace(F.regexp_extract(url, r"/([a-z]{2})/([a-z-]+)/", 2), F.lit("-"), F.lit(" "))))
+    return F.struct(
+        F.coalesce(F.when(by_comma, last), own["state"], F.when(path.isin(*STATES), path)).alias("state"),
+        F.coalesce(F.when(by_comma, F.trim(F.get(parts, F.size(parts) - 2))), F.trim(F.regexp_replace(own["city"], r"^.*,\s*", "")), by_path).alias("city"),
+    )
+
+
 def state_in(c: Column) -> Column:
     """The state code that ends a text, after a dash, slash, comma or bracket; else null."""
     code = F.regexp_extract(c, r"[-/,(]\s*([A-Z]{2})\)?\s*$", 1)
@@ -70,4 +95,4 @@ def occupancy(c: Column) -> Column:
 def is_estate(title: Column, url: Column, strict: bool = False) -> Column:
     """URL of other goods, then word of other goods, then word of real estate, else as strict says."""
     t, u = F.lower(F.coalesce(title, F.lit(""))), F.lower(F.coalesce(url, F.lit("")))
-    return F.when(u.rlike(r"/(veiculos?|carros?|motos?|maquinas?|sucatas?)(/|$)"), False).when(t.rlike(rf"(?U)\b({OTHER_GOODS})s?\b"), False).when(t.rlike(rf"(?U)\b({ESTATE_WORDS})s?\b"), True).otherwise(not strict)
+    return F.when(u.rlike(r"/(veiculos?|automoveis|automovel|carros?|motos?|maquinas?|equipamentos?|outros|diversos|bens-moveis|sucatas?)(/|$)"), False).when(t.rlike(rf"(?U)\b({OTHER_GOODS})s?\b"), False).when(t.rlike(rf"(?U)\b({ESTATE_WORDS})s?\b"), True).otherwise(not strict)

@@ -64,24 +64,70 @@ def clean_markup(c: Column) -> Column:
     return squeeze(out)
 
 
-#: Short and long forms of street words. Fixed values.
-STREETS = {"avenida": "av", "rua": "r", "praca": "pc", "travessa": "tv", "alameda": "al", "rodovia": "rod", "estrada": "est", "apartamento": "apto", "bloco": "bl", "numero": "n", "quadra": "qd", "lote": "lt", "edificio": "ed", "conjunto": "conj", "condominio": "cond"}
+#: Street words as they are shortened for keys, in this order. Fixed values.
+SHORT = [
+    ("rua", "r"), ("avenida", "av"), ("travessa", "tv"), ("praça", "pc"), ("estrada", "estr"), ("rodovia", "rod"), ("número", "n"), ("nº", "n"), ("apartamento", "apto"), ("apt", "apto"),
+    ("bloco", "bl"), ("edifício", "ed"), ("condomínio", "cond"), ("conjunto", "conj"), ("quadra", "qd"), ("lote", "lt"), ("sala", "sl"), ("andar", "and"),
+]
+#: Short forms as they are written out for comparison, in this order. Fixed values.
+LONG = [
+    ("av", "avenida"), ("r", "rua"), ("pca", "praca"), ("trav", "travessa"), ("al", "alameda"), ("rod", "rodovia"), ("est", "estrada"), ("lgo", "largo"), ("pq", "parque"), ("jd", "jardim"), ("vl", "vila"),
+    ("conj", "conjunto"), ("cond", "condominio"), ("ed", "edificio"), ("edif", "edificio"), ("apto?", "apartamento"), ("lt", "lote"), ("qd", "quadra"), ("bl", "bloco"),
+]
 
 
 def short_address(c: Column) -> Column:
-    """For keys: lower case, no accents or marks, street words in short form."""
-    out = F.regexp_replace(fold_accents(F.lower(c)), "[^a-z0-9 ]", " ")
-    for long, short in STREETS.items():
-        out = F.regexp_replace(out, rf"\b{long}\b", short)
-    return squeeze(out)
+    """For keys: lower case, street words in short form, then without marks."""
+    out = F.trim(F.lower(c))
+    for long, short in SHORT:
+        out = F.regexp_replace(out, rf"(?U)\b{long}\b", short)
+    return squeeze(F.regexp_replace(F.regexp_replace(out, r"\s+", " "), r"[^\p{L}\p{N}_\s]", ""))
 
 
 def long_address(c: Column) -> Column:
-    """As short_address, with street words in long form."""
-    out = F.regexp_replace(fold_accents(F.lower(c)), "[^a-z0-9 ]", " ")
-    for long, short in STREETS.items():
-        out = F.regexp_replace(out, rf"\b{short}\b", long)
-    return squeeze(out)
+    """For comparison: lower case, no accents, street words written out, then without marks."""
+    out = fold_accents(F.trim(F.lower(c)))
+    for short, long in LONG:
+        out = F.regexp_replace(out, rf"\b{short}\b\.?", long)
+    out = F.regexp_replace(out, r"\bn(?:um|r)?\b[°º.]?\s*(?=\d|o?\s)", "numero ")
+    return squeeze(F.regexp_replace(out, "[^a-z0-9_ ]", " "))
+
+
+#: Fixed values.
+STREET_TYPES = ["rua", "avenida", "alameda", "travessa", "praca", "largo", "rodovia", "estrada"]
+
+
+def address_parts(c: Column) -> Column:
+    """street_type, street_name and number of an address, after long_address."""
+    s = long_address(c)
+    kind = F.regexp_extract(s, rf"\b({'|'.join(STREET_TYPES)})\b", 1)
+    number = F.regexp_extract(s, r"numero (\d+)", 1)
+    name = F.regexp_extract(s, rf"\b(?:{'|'.join(STREET_TYPES)}) (.+?)(?: numero| \d|$)", 1)
+    return F.struct(F.nullif(kind, F.lit("")).alias("street_type"), F.nullif(name, F.lit("")).alias("street_name"), F.nullif(F.when(number != "", number).otherwise(F.regexp_extract(s, r"\b(\d{1,5})\b", 1)), F.lit("")).alias("number"))
+
+
+def assembled_address(street: Column, number: Column, extra: Column, district: Column) -> Column:
+    """The parts that are there, with commas; a district after a dash."""
+    some = lambda c: F.nullif(F.trim(c), F.lit(""))
+    return F.concat_ws(", ", some(street), some(number), some(extra), F.concat(F.lit("- "), some(district)))
+
+
+def without_prefix(title: Column) -> Column:
+    """A title without what sites put before it, and what stands after its first dash."""
+    s = F.regexp_replace(F.trim(title), r"(?i)^(leil[aã]o( de)?|lote \d+|im[oó]vel)\s*[:-]\s*", "")
+    return F.struct(F.trim(F.regexp_extract(s, r"^(.*?)(?: - |$)", 1)).alias("title"), F.nullif(F.trim(F.regexp_extract(s, r"^.*? - (.*)$", 1)), F.lit("")).alias("where"))
+
+
+def pt_number(c: Column, places: int = 2) -> Column:
+    """1234.5 as 1.234,50."""
+    return F.translate(F.format_number(c, places), ",.", ".,")
+
+
+def compact_number(c: Column) -> Column:
+    """1.2k and 3.4M, in decimals, half up; null: N/A."""
+    d = c.cast("decimal(18,2)")
+    short = lambda by, sign: F.concat(F.round(d / by, 1).cast("decimal(18,1)").cast("string"), F.lit(sign))
+    return F.when(c.isNull(), "N/A").when(c >= 1_000_000, short(1_000_000, "M")).when(c >= 1_000, short(1_000, "k")).otherwise(c.cast("long").cast("string"))
 
 
 def geocodable(address: Column) -> Column:

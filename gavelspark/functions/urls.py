@@ -51,14 +51,29 @@ def image_ok(c: Column) -> Column:
     return ~blocked_image(c) & (s.rlike(IMAGE_END) | s.rlike("cdn|cloudfront|googleusercontent|amazonaws|/image|/foto|/img"))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path without . and .. segments; .. beyond the root is dropped."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    kept = F.aggregate(
+        parts, F.array().cast("array<string>"),
+        lambda out, p: F.when(p == ".", out).when(p == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(1)))).otherwise(F.concat(out, F.array(p))),
+    )
+    return F.concat(F.array_join(kept, "/"), F.when(last.isin(".", ".."), "/").otherwise(""))
+
+
 def absolute_url(c: Column, base: Column) -> Column:
-    """c seen from base: absolute, scheme-relative, root-relative or relative."""
+    """c seen from base, as browsers resolve it: absolute, without scheme, from
+    the root, relative with . and .. segments, or a query or fragment alone."""
     root = F.regexp_extract(base, r"^([A-Za-z]+://[^/?#]+)", 1)
-    folder = F.regexp_replace(F.regexp_replace(base, "[?#].*$", ""), r"(?<=[^/:])/[^/]*$", "")
+    page = F.regexp_replace(F.regexp_replace(base, "[?#].*$", ""), r"^[A-Za-z]+://[^/]+", "")
+    page = F.when(page == "", "/").otherwise(page)
     s = F.trim(c)
+    path, rest = F.regexp_extract(s, "^([^?#]*)", 1), F.regexp_extract(s, "^[^?#]*(.*)$", 1)
+    full = F.when(path.startswith("/"), path).otherwise(F.concat(F.regexp_replace(page, "[^/]*$", ""), path))
     return (
         F.when(s.rlike("(?i)^[a-z][a-z0-9+.-]*:"), s).when(s.startswith("//"), F.concat(F.regexp_extract(base, "^([A-Za-z]+:)", 1), s))
-        .when(s.startswith("/"), F.concat(root, s)).otherwise(F.concat(folder, F.lit("/"), s))
+        .when(s.startswith("?"), F.concat(root, page, s)).when((s == "") | s.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), s)).otherwise(F.concat(root, _without_dots(full), rest))
     )
 
 

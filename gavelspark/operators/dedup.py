@@ -1,23 +1,24 @@
-"""Duplicate listings: keys, blocked pairs by fuzzy similarity, losers."""
+"""Duplicate listings: keys, fuzzy pairs in blocks, scores, and which row stays."""
 
 from __future__ import annotations
 
 import difflib
+import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import types as T
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.money import value_similarity
-from ..functions.text import fold_accents, short_address, squeeze
+from ..functions.text import address_parts, fold_accents, long_address, short_address, squeeze
 from ..functions.urls import host_path
 
 
 def address_key(address: Column, city: Column, state: Column) -> Column:
     """Address, city and state, normalised."""
-    return F.concat_ws("|", short_address(address), F.lower(F.trim(city)), F.lower(F.trim(state)))
+    return F.concat_ws("|", short_address(F.coalesce(address, F.lit(""))), *(F.lower(F.trim(F.coalesce(c, F.lit("")))) for c in (city, state)))
 
 
 def plain_key(address: Column, city: Column, state: Column) -> Column:
@@ -46,32 +47,131 @@ def text_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Se
         yield pd.Series(out)
 
 
-def blocked_pairs(rows: DataFrame, block: list[str], text: str, id: str, least: float = 0.85, grams: int = 3) -> DataFrame:
-    """Pairs (a < b) of equal block whose texts are similar by `least`, with the
-    ratio. Pairs come from shared character grams among each text's lowest
-    hashes, so a block is never paired with itself whole; lengths too far apart
-    for the ratio, and edit distances that rule it out, are dropped before Python."""
-    keyed = rows.select(F.col(id).alias("id"), *block, F.col(text).alias("t"))
+def distinct_texts(rows: DataFrame, block: list[str], text: str, id: str) -> DataFrame:
+    """One row for each text of a block: id (the lowest that has it), t, copies."""
+    return rows.where(F.col(text).isNotNull()).groupBy(*block, F.col(text).alias("t")).agg(F.min(id).alias("id"), F.count(F.lit(1)).alias("copies"))
+
+
+def _prefixes(texts: DataFrame, block: list[str], least: float) -> DataFrame:
+    """block, id, n (length) and the tokens of which similar texts share one.
+
+    Texts of a ratio r and T characters together match in M >= rT/2 of them, in at
+    most (1 - r)T + 1 runs, so they share at least T(2.5r - 2) - 2 three-letter
+    grams, counted with repeats, and rT/2 letters. The partner of a text of n
+    characters has at least nr / (2 - r). So if each text's tokens stand in one
+    order, the rarest of the block first, two similar texts share a token among
+    all but their last few. Texts too short for a gram bound are met by letters."""
+    per, whole = 2.5 * least - 2, 2 / (2 - least)
+    by_grams = math.floor(2 / per / 2) + 1 if per > 0.02 else 1 << 30  # both of this length: a shared gram for sure
+    longest_short = math.ceil((by_grams - 1) * (2 - least) / least)
     n = F.length("t")
-    shingle = F.transform(F.sequence(F.lit(1), F.greatest(n - grams + 1, F.lit(1))), lambda i: F.xxhash64(F.substring(F.lower("t"), i, F.lit(grams))))
-    cells = keyed.select("id", *block, F.explode(F.slice(F.array_sort(F.array_distinct(shingle)), 1, 8)).alias("cell"))
-    a, b = cells.alias("a"), cells.alias("b")
-    near = a.join(b, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*block, "cell"]] + [F.col("a.id") < F.col("b.id")])
-    pairs = near.groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b")).agg(F.count(F.lit(1)).alias("shared")).where("shared >= 2")
-    texts = keyed.select("id", "t")
-    full = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
-    la, lb = F.length("ta"), F.length("tb")
-    full = full.where((F.least(la, lb) * 2 >= F.lit(least) * (la + lb)))
-    return full.withColumn("ratio", text_ratio("ta", "tb")).where(F.col("ratio") >= least).select("a", "b", "ratio")
+    grams = F.when(n >= by_grams, F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring(F.col("t"), i, F.lit(3))))
+    letters = F.when(n <= longest_short, F.filter(F.split("t", ""), lambda x: x != ""))
+    kinds = F.array(F.struct(F.lit("g").alias("kind"), grams.alias("tokens")), F.struct(F.lit("l").alias("kind"), letters.alias("tokens")))
+    each = texts.select(*block, "id", n.alias("n"), F.explode(kinds).alias("k")).select(*block, "id", "n", "k.kind", F.explode("k.tokens").alias("token"))
+    counted = each.groupBy(*block, "id", "n", "kind", "token").agg(F.count(F.lit(1)).alias("times"))
+    tokens = counted.select(*block, "id", "n", "kind", F.explode(F.transform(F.sequence(F.lit(1), F.col("times").cast("int")), lambda i: F.struct(F.col("token").alias("token"), i.alias("i")))).alias("x"))
+    tokens = tokens.select(*block, "id", "n", "kind", F.xxhash64("kind", "x.token", "x.i").alias("token"))
+    known = tokens.groupBy(*block, "token").agg(F.count(F.lit(1)).alias("seen"))
+    a, b = tokens.alias("a"), known.alias("b")
+    ranked = a.join(b, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in block] + [F.col("a.token") == F.col("b.token")]).select("a.*", "b.seen")
+    place = F.row_number().over(Window.partitionBy("id", "kind", *block).orderBy("seen", "token"))  # of one text
+    size = F.when(F.col("kind") == "g", F.col("n") - 2).otherwise(F.col("n"))
+    shared = F.when(F.col("kind") == "g", F.ceil(F.col("n") * (whole * per) - 2 - 1e-9)).otherwise(F.ceil(F.col("n") * (whole * least / 2) - 1e-9))
+    return ranked.withColumn("place", place).where((F.col("seen") > 1) & (F.col("place") <= size - F.greatest(shared, F.lit(1)) + 1)).select(*block, "id", "n", "token")
+
+
+def blocked_pairs(rows: DataFrame, block: list[str], text: str, id: str, least: float = 0.85) -> DataFrame:
+    """Pairs (a < b) of texts of one block that differ and are similar by `least`,
+    with the ratio; a and b are the lowest ids that have them (see distinct_texts
+    for the others). No such pair is lost: see _prefixes. Lengths too far apart
+    for the ratio are dropped before Python."""
+    texts = distinct_texts(rows, block, text, id)
+    tokens = _prefixes(texts, block, least)
+    a, b = tokens.alias("a"), tokens.alias("b")
+    near = a.join(b, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in block] + [F.col("a.token") == F.col("b.token"), F.col("a.id") < F.col("b.id")])
+    near = near.where(F.least("a.n", "b.n") * 2 >= F.lit(least) * (F.col("a.n") + F.col("b.n")) - 1e-9)
+    pairs = near.select(*(F.col(f"a.{c}").alias(c) for c in block), F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    texts = texts.select(*block, "id", "t")
+    for side in ("a", "b"):  # an id may stand in several blocks
+        own = texts.toDF(*(f"_{c}" for c in block), f"_{side}", f"t{side}")
+        pairs = pairs.join(own, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in block] + [F.col(side) == F.col(f"_{side}")]).drop(*(f"_{c}" for c in block), f"_{side}")
+    return pairs.withColumn("ratio", text_ratio("ta", "tb")).where(F.col("ratio") >= least).select("a", "b", "ratio")
+
+
+def _full_address(prefix: str = "") -> Column:
+    return F.concat_ws(", ", *(F.coalesce(F.col(f"{prefix}{c}"), F.lit("")) for c in ("address", "neighborhood", "city", "state")))
 
 
 def pair_score(pairs: DataFrame) -> DataFrame:
-    """Weighted score of pairs (ratio, and a_/b_ columns of city, value and area) with its reasons."""
-    city = (F.lower("a_city") == F.lower("b_city")).cast("double")
-    value, area = value_similarity(F.col("a_value"), F.col("b_value")), value_similarity(F.col("a_area"), F.col("b_area"))
-    score = F.col("ratio") * 0.5 + F.coalesce(city, F.lit(0.0)) * 0.2 + value * 0.2 + area * 0.1
-    reasons = F.array_compact(F.array(F.when(F.col("ratio") >= 0.85, "text"), F.when(city > 0, "city"), F.when(value >= 0.8, "value"), F.when(area >= 0.8, "area")))
-    return pairs.withColumns({"score": F.round(score, 4), "reasons": F.array_join(reasons, ",")})
+    """pairs with a_* and b_* columns of listings, and: address (ratio of the
+    written-out addresses, plus .15 for the same number, .05 for the same street
+    type, .1 for street names alike by more than .8; at most 1), title, score
+    (.4 address, .2 title, .15 category, .15 value, .1 area) and its reasons."""
+    parts = {s: address_parts(_full_address(f"{s}_")) for s in "ab"}
+    out = pairs.withColumns({f"_{s}": parts[s] for s in "ab"} | {f"_{s}t": long_address(F.coalesce(f"{s}_title", F.lit(""))) for s in "ab"} | {f"_{s}f": long_address(_full_address(f"{s}_")) for s in "ab"})
+    out = out.withColumns({"_ratio": text_ratio("_af", "_bf"), "_titles": text_ratio("_at", "_bt"), "_names": text_ratio("_a.street_name", "_b.street_name")})
+    same = lambda f, points: F.when(F.col(f"_a.{f}") == F.col(f"_b.{f}"), points).otherwise(0.0)
+    bonus = same("number", 0.15) + same("street_type", 0.05) + F.when(F.col("_a.street_name").isNotNull() & F.col("_b.street_name").isNotNull() & (F.col("_names") > 0.8), 0.1).otherwise(0.0)
+    address = F.when((F.col("_af") == "") | (F.col("_bf") == ""), 0.0).when(F.col("_af") == F.col("_bf"), 1.0).otherwise(F.least(F.lit(1.0), F.col("_ratio") + bonus))
+    title = F.when((F.col("_at") == "") | (F.col("_bt") == ""), 0.0).otherwise(F.col("_titles"))
+    category = F.col("a_category").eqNullSafe(F.col("b_category"))
+    some = lambda s, *names: F.coalesce(*(F.nullif(F.col(f"{s}_{n}"), F.lit(0.0)) for n in names))
+    value = value_similarity(some("a", "evaluation_value", "first_auction_value"), some("b", "evaluation_value", "first_auction_value"))
+    area = value_similarity(some("a", "area_total", "area_privativa"), some("b", "area_total", "area_privativa"))
+    score = address * 0.4 + title * 0.2 + category.cast("double") * 0.15 + value * 0.15 + area * 0.1
+    reasons = F.array_compact(F.array(
+        F.when(address > 0.8, "address alike").when(address > 0.6, "address near"), F.when(title > 0.8, "title"), F.when(category, "category"), F.when(value > 0.8, "value"),
+        F.when(some("a", "area_total", "area_privativa").isNotNull() & some("b", "area_total", "area_privativa").isNotNull() & (area > 0.8), "area"),
+    ))
+    return out.withColumns({"address": F.round(address, 6), "title": F.round(title, 6), "score": F.round(score, 6), "reasons": F.array_join(reasons, ",")}).drop(*(f"_{x}" for x in ("a", "b", "at", "bt", "af", "bf", "ratio", "titles", "names")))
+
+
+_SCORED = ["title", "address", "neighborhood", "city", "state", "category", "evaluation_value", "first_auction_value", "area_total", "area_privativa"]
+
+
+def scored_pairs(rows: DataFrame, least: float = 0.75, least_address: float = 0.85) -> DataFrame:
+    """Listings a < b of different auctioneers in one city and state whose score is
+    at least `least`: a, b, score, reasons. Compared are pairs whose written-out
+    addresses have a ratio of at least `least_address`."""
+    own = rows.withColumns({"_city": F.lower("city"), "_state": F.upper("state"), "_full": long_address(_full_address())}).where("_city is not null and _state is not null")
+    block = ["_city", "_state"]
+    heads = distinct_texts(own, block, "_full", "id").select(*block, F.col("t").alias("_full"), F.col("id").alias("head"))
+    members = own.join(heads, [*block, "_full"]).select("head", "id", "auctioneer_id", *_SCORED)
+    near = blocked_pairs(own, block, "_full", "id", least_address).select(F.col("a").alias("h1"), F.col("b").alias("h2"))
+    near = near.union(heads.select("head", "head"))  # the same address is near itself
+    side = lambda s, h: members.select(F.col("head").alias(h), *(F.col(c).alias(f"{s}_{c}") for c in ["id", "auctioneer_id", *_SCORED]))
+    met = near.join(side("a", "h1"), "h1").join(side("b", "h2"), "h2").where(~F.col("a_auctioneer_id").eqNullSafe(F.col("b_auctioneer_id")) & ((F.col("h1") != F.col("h2")) | (F.col("a_id") < F.col("b_id"))))
+    scored = pair_score(met).where(F.col("score") >= least)
+    return scored.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), "score", "reasons")
+
+
+def greedy_groups(pairs: DataFrame, block: str) -> DataFrame:
+    """(id, original_id) of those that are absorbed: in the order of ids, each one
+    that is not yet absorbed takes all later ones it is paired with. The order
+    matters, so a block's pairs (not its rows) are worked through in one task."""
+
+    def absorb(group: pd.DataFrame) -> pd.DataFrame:
+        taken: dict = {}
+        for a, b in sorted(zip(group["a"], group["b"], strict=True)):
+            if a not in taken:
+                taken.setdefault(b, a)
+        return pd.DataFrame({"id": list(taken), "original_id": list(taken.values())})
+
+    kind = dict(pairs.dtypes)["a"]
+    return pairs.groupBy(block).applyInPandas(absorb, f"id {kind}, original_id {kind}")
+
+
+def probe(new: DataFrame, old: DataFrame, block: list[str], text: str, least: float = 0.85) -> DataFrame:
+    """new's ids with the existing row they repeat: the lowest id of the same block
+    and text, else the lowest that is similar by `least`; null: none."""
+    both = new.select("id", *block, text, F.lit(True).alias("is_new")).union(old.select("id", *block, text, F.lit(False)))
+    heads = both.where(F.col(text).isNotNull()).groupBy(*block, text).agg(F.min("id").alias("head"), F.min(F.when(~F.col("is_new"), F.col("id"))).alias("old"))
+    exact = new.join(heads, [*block, text], "left").select("id", "head", F.col("old").alias("exact"))
+    pairs = blocked_pairs(both, block, text, "id", least)
+    edges = pairs.select("a", "b").union(pairs.select("b", "a")).toDF("head", "other")
+    fuzzy = edges.join(heads.where("old is not null").select(F.col("head").alias("other"), "old"), "other").groupBy("head").agg(F.min("old").alias("fuzzy"))
+    return exact.join(fuzzy, "head", "left").select("id", F.coalesce("exact", "fuzzy").alias("original_id"))
 
 
 def losers(pairs: DataFrame, points: DataFrame) -> DataFrame:

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import latest
 from .stats import percent
 
 
@@ -13,37 +12,55 @@ def run_ratios(runs: DataFrame) -> DataFrame:
     return runs.select("scraper", "day", "found", percent(F.col("found") - F.col("failed"), F.col("found"), 2).alias("pct_ok"), percent(F.col("redirected"), F.col("found"), 2).alias("pct_redirected"))
 
 
+def _summed(runs: DataFrame, n: int) -> DataFrame:
+    """All that the reports need of each scraper, from one window and one aggregate."""
+    by_age = Window.partitionBy("scraper").orderBy(F.desc("day"))
+    so_far = by_age.rowsBetween(Window.unboundedPreceding, 0)
+    marked = runs.withColumns({
+        "age": F.row_number().over(by_age), "good": F.sum(F.col("ok").cast("long")).over(so_far), "size": F.least(F.count(F.lit(1)).over(Window.partitionBy("scraper")), F.lit(n)),
+    })
+    last = F.col("age") <= n
+    newer, older = last & (F.col("age") <= F.floor(F.col("size") / 2)), last & (F.col("age") > F.floor(F.col("size") / 2))
+    total = lambda c, where: F.coalesce(F.sum(F.when(where, F.col(c))), F.lit(0))
+    return marked.groupBy("scraper").agg(
+        F.count_if(F.col("good") == 0).alias("streak"), F.max(F.when(F.col("ok"), F.col("start_time"))).alias("last_ok"), F.count_if(last).alias("runs"), F.count_if(last & F.col("ok")).alias("works"),
+        total("found", last).alias("found"), total("failed", last).alias("failed"), total("redirected", last).alias("redirected"),
+        total("found", newer).alias("new_found"), F.count_if(newer).alias("new_runs"), total("found", older).alias("old_found"), F.count_if(older).alias("old_runs"),
+    )
+
+
+def _declined() -> Column:
+    """The newer half of the runs found less than half of what the older did; means compared without dividing."""
+    return (F.col("runs") >= 4) & (2 * F.col("new_found") * F.col("old_runs") < F.col("old_found") * F.col("new_runs"))
+
+
 def failure_streak(runs: DataFrame) -> DataFrame:
     """How many of the newest runs failed in a row, and when one last worked."""
-    w = Window.partitionBy("scraper").orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, 0)
-    good_so_far = F.sum(F.col("ok").cast("long")).over(w)
-    return runs.withColumn("good", good_so_far).groupBy("scraper").agg(F.count_if(F.col("good") == 0).alias("streak"), F.max(F.when(F.col("ok"), F.col("start_time"))).alias("last_ok"))
+    return _summed(runs, 1).select("scraper", "streak", "last_ok")
 
 
 def decline(runs: DataFrame, n: int = 10) -> DataFrame:
     """Whether the newer half of the last n runs found less than half of what the older half did."""
-    last = latest(runs, "scraper", "day", n)
-    size = F.count(F.lit(1)).over(Window.partitionBy("scraper"))
-    halves = last.withColumn("runs", size).withColumn("newer", F.col("age") <= F.floor(F.col("runs") / 2))
-    out = halves.groupBy("scraper").agg(
-        F.max("runs").alias("runs"), F.sum(F.when(F.col("newer"), F.col("found")).otherwise(0)).alias("new_found"), F.count_if("newer").alias("new_runs"),
-        F.sum(F.when(~F.col("newer"), F.col("found")).otherwise(0)).alias("old_found"), F.count_if(~F.col("newer")).alias("old_runs"),
-    )
-    # means compared without dividing
-    return out.withColumn("declined", (F.col("runs") >= 4) & (2 * F.col("new_found") * F.col("old_runs") < F.col("old_found") * F.col("new_runs")))
+    return _summed(runs, n).select("scraper", "runs", "new_found", "new_runs", "old_found", "old_runs", _declined().alias("declined"))
 
 
 def health_report(runs: DataFrame, n: int = 10) -> DataFrame:
     """Status of each scraper over its last n runs, with up to three issues."""
-    last = latest(runs, "scraper", "day", n)
-    sums = last.groupBy("scraper").agg(F.count(F.lit(1)).alias("runs"), F.count_if("ok").alias("good"), F.sum("found").alias("found"), F.sum("failed").alias("failed"), F.sum("redirected").alias("redirected"))
-    out = sums.join(failure_streak(runs), "scraper").join(decline(runs, n).select("scraper", "declined"), "scraper")
-    rate = percent(F.col("good"), F.col("runs"), 2)
+    rate = percent(F.col("works"), F.col("runs"), 2)
     issues = F.array_compact(F.array(
-        F.when(F.col("failed") > 5, "many failures"), F.when(F.col("redirected") * 5 > F.col("found"), "redirects"), F.when(F.col("declined"), "decline"), F.when(F.col("found") < 5 * F.col("runs"), "few found"),
+        F.when(F.col("failed") > 5, "many failures"), F.when(F.col("redirected") * 5 > F.col("found"), "redirects"), F.when(_declined(), "decline"), F.when(F.col("found") < 5 * F.col("runs"), "few found"),
     ))
     status = F.when(F.col("streak") >= 3, "FAILING").when(rate >= 80, "HEALTHY").when(rate >= 50, "DEGRADED").otherwise("FAILING")
-    return out.select("scraper", "runs", "streak", rate.alias("pct_good"), status.alias("status"), F.array_join(F.slice(issues, 1, 3), ", ").alias("issues"))
+    return _summed(runs, n).select("scraper", "runs", "streak", rate.alias("pct_good"), status.alias("status"), F.array_join(F.slice(issues, 1, 3), ", ").alias("issues"))
+
+
+def run_lengths(runs: DataFrame) -> DataFrame:
+    """Seconds of each run, and per cents of its valid rows and addresses; 0 of nothing."""
+    urls = F.col("urls_validated") + F.col("urls_failed")
+    return runs.select(
+        "scraper_name", "run_id", F.timestamp_diff("SECOND", F.col("start_time"), F.col("end_time")).alias("seconds"), percent(F.col("properties_valid"), F.col("properties_found"), 2).alias("pct_valid"),
+        percent(F.col("urls_validated"), urls, 2).alias("pct_urls"), F.array_join(F.slice(F.array_sort(F.array_distinct("errors")), 1, 5), "; ").alias("errors"),
+    )
 
 
 def system_summary(report: DataFrame) -> DataFrame:
@@ -58,9 +75,10 @@ def retained(runs: DataFrame, as_of: str, days: int = 7) -> DataFrame:
 
 
 def alerts(listings: DataFrame, runs: DataFrame, as_of: str) -> DataFrame:
-    """(rule, subject) of each rule that fires."""
+    """(rule, subject) of each rule that fires: failing and idle scrapers; a catalog with many rows without a
+    place, fewer than half with a price, or nothing new for a day."""
     idle = runs.groupBy("scraper").agg(F.max("day").alias("d")).where(F.datediff(F.lit(as_of).cast("date"), F.col("d")) > 2).select(F.lit("idle").alias("rule"), F.concat(F.lit("scraper "), "scraper").alias("subject"))
     failing = health_report(runs).where("status = 'FAILING'").select(F.lit("failing").alias("rule"), F.concat(F.lit("scraper "), "scraper").alias("subject"))
-    sums = listings.agg(F.count_if(F.col("neighborhood").isNull()).alias("lacking"), F.count_if(F.col("first_auction_value") > 0).alias("priced"), F.count(F.lit(1)).alias("n"))
-    rules = F.array_compact(F.array(F.when(F.col("lacking") > 100, "no neighborhood"), F.when(F.col("priced") * 2 < F.col("n"), "half unpriced")))
+    sums = listings.agg(F.count_if(F.col("neighborhood").isNull()).alias("lacking"), F.count_if(F.col("first_auction_value") > 0).alias("priced"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("created_at") >= F.lit(as_of).cast("timestamp_ntz") - F.expr("interval 1 day")).alias("new"))
+    rules = F.array_compact(F.array(F.when(F.col("lacking") > 100, "no neighborhood"), F.when(F.col("priced") * 2 < F.col("n"), "half unpriced"), F.when(F.col("new") == 0, "nothing new")))
     return failing.unionByName(idle).unionByName(sums.select(F.explode(rules).alias("subject"), F.lit("catalog").alias("rule")))

@@ -15,8 +15,10 @@ from ..functions.text import is_blank
 def merge(old: DataFrame, new: DataFrame, key: str, rules: dict[str, str], protect: Column | None = None) -> DataFrame:
     """old after new: key, the ruled columns, action (inserted, updated,
     unchanged or kept). protect: a condition on o.* and n.* under which an old
-    row stays as it is. Keys must be unique on both sides."""
-    o, n = old.alias("o"), new.alias("n")
+    row stays as it is. Of several rows of one key, the highest in the ruled
+    columns' order stands for it, so no key multiplies."""
+    used = [key, *rules, *([c for c in new.columns if c in old.columns and c != key and c not in rules])]
+    o, n = (_one_each(df, key, [c for c in used if c in df.columns]).alias(a) for df, a in ((old, "o"), (new, "n")))
     both = o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")
     has_old, has_new = F.col(f"o.{key}").isNotNull(), F.col(f"n.{key}").isNotNull()
     write = has_new & (~F.coalesce(protect, F.lit(False)) if protect is not None else F.lit(True))
@@ -34,6 +36,35 @@ def merge(old: DataFrame, new: DataFrame, key: str, rules: dict[str, str], prote
     return both.select(*columns, action.alias("action"))
 
 
+def _one_each(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    rest = [c for c in columns if c != key]
+    return rows.groupBy(key).agg(F.max(F.struct(*rest)).alias("_r")).select(key, *(F.col(f"_r.{c}").alias(c) for c in rest))
+
+
+def tracked(old: DataFrame, new: DataFrame, key: str, values: list[str], as_of: str) -> DataFrame:
+    """old after new by value: a value that is there, not 0 and different replaces
+    the old one, which stays beside it with the time; a row that is met again is
+    active. Rows of new alone are not added."""
+    n = _one_each(new, key, [key, *values]).select(F.col(key).alias("_key"), *(F.col(v).alias(f"_{v}") for v in values))
+    out = old.join(n, F.col(key) == F.col("_key"), "left")
+    change = {v: F.coalesce((F.col(f"_{v}") != 0) & ~F.col(f"_{v}").eqNullSafe(F.col(v)), F.lit(False)) for v in values}
+    any_change = F.lit(False)
+    for c in change.values():
+        any_change = any_change | c
+    columns = {f"previous_{v}": F.when(change[v], F.col(v)) for v in values}
+    out = out.withColumns(columns | {"value_changed_at": F.when(any_change, F.lit(as_of).cast("timestamp_ntz")), "_change": F.array(*change.values())})
+    new_values = {v: F.when(F.get("_change", F.lit(i)), F.col(f"_{v}")).otherwise(F.col(v)) for i, v in enumerate(values)}
+    return out.withColumns(new_values | {"is_active": F.col("is_active") | F.col("_key").isNotNull()}).drop("_key", "_change", *(f"_{v}" for v in values))
+
+
+def imported(old: DataFrame, new: DataFrame, rules: dict[str, str], protect: Column | None = None) -> DataFrame:
+    """merge by id of posted rows; those without an id or state are skipped and come back with action `skipped`."""
+    good = ~is_blank(F.col("id")) & ~is_blank(F.col("state"))
+    done = merge(old, new.where(good), "id", rules, protect)
+    skipped = new.where(~good).select("id", *(F.col(c) for c in rules), *(F.lit(None).cast(dict(new.dtypes)[c]).alias(f"previous_{c}") for c, r in rules.items() if r == "track"), F.lit("skipped").alias("action"))
+    return done.unionByName(skipped)
+
+
 def latest_by_key(rows: DataFrame, key: str, order: Column) -> DataFrame:
     """One row for each key, the one highest in `order`: an aggregate, so hot keys combine before the shuffle."""
     return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
@@ -47,12 +78,19 @@ def match_by_url_or_id(old: DataFrame, new: DataFrame) -> DataFrame:
     return out.withColumn("old_id", F.coalesce("id_by_url", "id_by_id")).drop("u", "id_by_url", "id_by_id")
 
 
-def deactivate_unseen(listings: DataFrame, seen: DataFrame, auctioneer: object) -> DataFrame:
-    """listings with is_active off where the auctioneer's URL is not among those seen."""
+def deactivate_unseen(listings: DataFrame, seen: DataFrame, auctioneer: object, as_of: str | None = None) -> DataFrame:
+    """listings with is_active off where one auctioneer's active row, no duplicate,
+    has an address that is not among those seen; with as_of also deactivated_at
+    and updated_at. Only that auctioneer's rows are matched; all others pass."""
+    own = F.coalesce(F.col("auctioneer_id") == auctioneer, F.lit(False)) & F.col("is_active") & ~F.coalesce("is_duplicate", F.lit(False))
     urls = seen.select(normalize_url(F.col("source_url")).alias("seen_url")).distinct()
-    out = listings.join(urls, normalize_url(F.col("source_url")) == F.col("seen_url"), "left")
-    gone = F.coalesce(F.col("auctioneer_id") == auctioneer, F.lit(False)) & F.col("seen_url").isNull()
-    return out.withColumn("is_active", F.col("is_active") & ~gone).drop("seen_url")
+    gone = listings.where(own).join(urls, normalize_url(F.col("source_url")) == F.col("seen_url"), "left").withColumn("_gone", F.col("seen_url").isNull()).drop("seen_url")
+    out = listings.where(~F.coalesce(own, F.lit(False))).withColumn("_gone", F.lit(False)).unionByName(gone).withColumn("is_active", F.col("is_active") & ~F.col("_gone"))
+    if as_of is not None:
+        now = F.lit(as_of).cast("timestamp_ntz")
+        before = F.col("deactivated_at") if "deactivated_at" in listings.columns else F.lit(None).cast("timestamp_ntz")
+        out = out.withColumns({"deactivated_at": F.when(F.col("_gone"), now).otherwise(before), "updated_at": F.when(F.col("_gone"), now).otherwise(F.col("updated_at"))})
+    return out.drop("_gone")
 
 
 def deactivate_stale(listings: DataFrame, as_of: str, days: int = 7) -> DataFrame:

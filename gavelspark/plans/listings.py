@@ -10,32 +10,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def listings(spark: SparkSession, sf_dir: str, values: bool = True) -> DataFrame:
     """One listing for each order: line sums are made before the join, on the
-    join's key, so orders and sums meet in one exchange."""
-    orders, lines, customer, nation, region, supplier = (table(spark, sf_dir, n) for n in ("orders", "lineitem", "customer", "nation", "region", "supplier"))
-    price, off = F.col("l_extendedprice").cast("decimal(18,2)"), F.col("l_discount").cast("decimal(4,2)")
-    sums = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-        F.sum(price).cast("decimal(18,2)").alias("first_value"), F.sum(price * (1 - off)).cast("decimal(20,4)").alias("second_value"),
-        F.max("l_shipdate").alias("second_auction_date"), F.min("l_suppkey").alias("s_suppkey"),
-    )
+    join's key, so orders and sums meet in one exchange. Without `values`, lines
+    and sellers stay unread, and the columns that come from them are left out."""
+    orders, customer, nation, region = (table(spark, sf_dir, n) for n in ("orders", "customer", "nation", "region"))
     k = F.col("o_orderkey")
-    return (
-        orders.join(sums, "o_orderkey", "left")
-        .join(customer.withColumnRenamed("c_custkey", "o_custkey"), "o_custkey").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-        .join(supplier.select("s_suppkey", "s_name"), "s_suppkey", "left")
-        .select(
-            F.concat(F.lit("ord-"), k).alias("id"), k.alias("key"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("category"), F.col("o_orderpriority").alias("auction_type"),
-            F.col("n_name").alias("state"), F.col("r_name").alias("city"), F.when(k % 3 > 0, F.concat(F.lit("Zone "), k % 11)).alias("neighborhood"),
-            F.col("o_totalprice").alias("evaluation_value"), F.col("first_value").cast("double").alias("first_auction_value"), F.col("second_value").cast("double").alias("second_auction_value"),
-            F.when(F.col("first_value") > 0, (1 - F.col("second_value").cast("double") / F.col("first_value").cast("double")) * 100).alias("discount_percentage"),
-            F.col("o_orderdate").alias("first_auction_date"), "second_auction_date", F.col("s_suppkey").alias("auctioneer_id"), F.col("s_name").alias("auctioneer_name"),
-            F.when(F.col("o_custkey") % 5 == 0, "caixa").otherwise("leiloeiro").alias("source"), (F.col("o_orderstatus") != "F").alias("is_active"), (k % 7 == 0).alias("is_duplicate"),
-            F.when(k % 4 > 0, F.concat(F.lit("https://img.site/foto-"), k, F.lit(".jpg"))).alias("image_url"), F.concat(F.lit("https://Site"), k % 9, F.lit(".com/lote/"), k % 500, F.lit("/?utm_source=x")).alias("source_url"),
-            F.when(k % 6 > 0, (k % 90 - 45).cast("double")).alias("latitude"), F.when(k % 6 > 0, (k % 180 - 90).cast("double")).alias("longitude"),
-            F.col("o_orderdate").alias("created_at"), F.col("second_auction_date").alias("updated_at"),
+    columns = [
+        F.concat(F.lit("ord-"), k).alias("id"), k.alias("key"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("category"), F.col("o_orderpriority").alias("auction_type"),
+        F.col("n_name").alias("state"), F.col("r_name").alias("city"), F.when(k % 3 > 0, F.concat(F.lit("Zone "), k % 11)).alias("neighborhood"), F.col("o_totalprice").alias("evaluation_value"),
+        F.col("o_orderdate").alias("first_auction_date"), F.when(F.col("o_custkey") % 5 == 0, "caixa").otherwise("leiloeiro").alias("source"), (F.col("o_orderstatus") != "F").alias("is_active"), (k % 7 == 0).alias("is_duplicate"),
+        F.when(k % 4 > 0, F.concat(F.lit("https://img.site/foto-"), k, F.lit(".jpg"))).alias("image_url"), F.concat(F.lit("https://Site"), k % 9, F.lit(".com/lote/"), k % 500, F.lit("/?utm_source=x")).alias("source_url"),
+        F.when(k % 6 > 0, (k % 90 - 45).cast("double")).alias("latitude"), F.when(k % 6 > 0, (k % 180 - 90).cast("double")).alias("longitude"), F.col("o_orderdate").alias("created_at"),
+    ]
+    if values:
+        price, off = F.col("l_extendedprice").cast("decimal(18,2)"), F.col("l_discount").cast("decimal(4,2)")
+        sums = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+            F.sum(price).cast("decimal(18,2)").alias("first_value"), F.sum(price * (1 - off)).cast("decimal(20,4)").alias("second_value"),
+            F.max("l_shipdate").alias("second_auction_date"), F.min("l_suppkey").alias("s_suppkey"),
         )
-    )
+        orders = orders.join(sums, "o_orderkey", "left").join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "s_suppkey", "left")
+        columns += [
+            F.col("first_value").cast("double").alias("first_auction_value"), F.col("second_value").cast("double").alias("second_auction_value"),
+            F.when(F.col("first_value") > 0, (1 - F.col("second_value").cast("double") / F.col("first_value").cast("double")) * 100).alias("discount_percentage"),
+            "second_auction_date", F.col("s_suppkey").alias("auctioneer_id"), F.col("s_name").alias("auctioneer_name"), F.col("second_auction_date").alias("updated_at"),
+        ]
+    return orders.join(customer.withColumnRenamed("c_custkey", "o_custkey"), "o_custkey").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(*columns)
 
 
 #: The same relation in SQL, as a common table expression.

@@ -2,34 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import dates, money, places, text, urls
 from .operators import dedup, health, merge, quality, ranking, search, stats
 from .operators.search import SearchRequest
 from .plans.listings import LISTINGS_SQL, RUNS_SQL, listings, scraper_runs, table
-from .sources import bank_csv, html_items, json_items
+from .registry import ORACLES, QUERIES, query  # noqa: F401
+from .sources import bank_csv, html_items
 from .streaming import search_log
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None, over: str = ""):
-    """Register a query under its function's name; `over` goes before sql as a WITH clause."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = f"WITH {over}\n{sql}" if over else sql
-        return f
-
-    return add
-
-
 L, R = LISTINGS_SQL, RUNS_SQL
 _PAGE = ["id", "title", "category", "state", "city", "first_auction_value", "is_active"]
 _PAGE_SQL = ", ".join(_PAGE)
@@ -64,37 +45,37 @@ def search_ascending(spark, sf_dir):
 
 @query("SELECT count(*) AS total, CAST(ceil(count(*) / 18.0) AS BIGINT) AS pages FROM listings WHERE is_active AND NOT is_duplicate", L)
 def search_pages(spark, sf_dir):
-    return search.page_info(listings(spark, sf_dir), SearchRequest())
+    return search.page_info(listings(spark, sf_dir, values=False), SearchRequest())
 
 
 @query("SELECT id, title, category, city, state, latitude, longitude FROM listings WHERE is_active AND NOT is_duplicate AND latitude <> 0 AND longitude <> 0 ORDER BY id LIMIT 1000", L)
 def map_search(spark, sf_dir):
-    return search.on_map(listings(spark, sf_dir))
+    return search.on_map(listings(spark, sf_dir, values=False))
 
 
 @query("SELECT count(*) AS n, min(latitude) AS south, max(latitude) AS north, min(longitude) AS west, max(longitude) AS east, (min(latitude) + max(latitude)) / 2 AS center_lat, (min(longitude) + max(longitude)) / 2 AS center_lon FROM listings WHERE is_active AND latitude <> 0 AND longitude <> 0", L)
 def map_bounds(spark, sf_dir):
-    return search.map_bounds(listings(spark, sf_dir))
+    return search.map_bounds(listings(spark, sf_dir, values=False))
 
 
 @query("SELECT id, state FROM listings WHERE (latitude IS NULL OR latitude = 0 OR longitude IS NULL OR longitude = 0) AND state <> 'XX' AND is_active ORDER BY created_at DESC NULLS LAST, id LIMIT 50", L)
 def pending_geocode(spark, sf_dir):
-    return search.pending_geocode(listings(spark, sf_dir)).select("id", "state")
+    return search.pending_geocode(listings(spark, sf_dir, values=False)).select("id", "state")
 
 
 @query("SELECT state, count(*) AS n FROM listings WHERE is_active AND trim(state) <> '' GROUP BY 1", L)
 def facet_states(spark, sf_dir):
-    return search.facet(listings(spark, sf_dir), "state")
+    return search.facet(listings(spark, sf_dir, values=False), "state")
 
 
 @query("SELECT state, city, count(*) AS n FROM listings WHERE is_active GROUP BY 1, 2", L)
 def facet_cities(spark, sf_dir):
-    return search.facet(listings(spark, sf_dir), "state", "city")
+    return search.facet(listings(spark, sf_dir, values=False), "state", "city")
 
 
 @query("SELECT city, neighborhood, count(*) AS n FROM listings WHERE is_active AND neighborhood IS NOT NULL GROUP BY 1, 2", L)
 def facet_neighborhoods(spark, sf_dir):
-    return search.facet(listings(spark, sf_dir), "city", "neighborhood")
+    return search.facet(listings(spark, sf_dir, values=False), "city", "neighborhood")
 
 
 # --- statistics ---
@@ -109,14 +90,14 @@ def stats_overview(spark, sf_dir):
 
 @query("SELECT category, count(*) AS n FROM listings GROUP BY 1 ORDER BY n DESC, category LIMIT 10", L)
 def count_by_category(spark, sf_dir):
-    return stats.count_by(listings(spark, sf_dir), "category", most=10)
+    return stats.count_by(listings(spark, sf_dir, values=False), "category", most=10)
 
 
 @query("""SELECT dimension, value, count(*) AS n FROM (
   SELECT 'category' AS dimension, category AS value FROM listings UNION ALL SELECT 'state', state FROM listings UNION ALL SELECT 'auction_type', auction_type FROM listings)
 WHERE value IS NOT NULL GROUP BY 1, 2""", L)
 def stats_by_dimension(spark, sf_dir):
-    return stats.count_by_each(listings(spark, sf_dir), ["category", "state", "auction_type"])
+    return stats.count_by_each(listings(spark, sf_dir, values=False), ["category", "state", "auction_type"])
 
 
 @query("""SELECT is_bank, dimension, value, count(*) AS n FROM (
@@ -128,7 +109,7 @@ def stats_by_source(spark, sf_dir):
 
 @query("SELECT state, count(*) AS n, CAST(round(count(*) * 100.0 / sum(count(*)) OVER (), 2) AS DOUBLE) AS share FROM listings GROUP BY state", L)
 def share_of_total(spark, sf_dir):
-    return stats.share_of_total(listings(spark, sf_dir), "state")
+    return stats.share_of_total(listings(spark, sf_dir, values=False), "state")
 
 
 _FIELDS_SQL = {f: f"count({f})" for f in stats.FIELDS}
@@ -152,16 +133,16 @@ def audit_counts(spark, sf_dir):
     return stats.audit_counts(listings(spark, sf_dir))
 
 
-@query("""SELECT lower(w) AS folded, string_agg(DISTINCT w, '|' ORDER BY w) AS variants, count(*) AS n FROM (SELECT split_part(text, ' ', 3) AS w FROM documents)
+@query("""SELECT lower(w) AS folded, string_agg(DISTINCT w, '|' ORDER BY w) AS variants, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS w FROM documents)
 WHERE w IS NOT NULL GROUP BY 1 HAVING count(DISTINCT w) > 1""")
 def case_variants(spark, sf_dir):
-    first = F.split_part("text", F.lit(" "), F.lit(3)).alias("w")
-    return stats.case_variants(table(spark, sf_dir, "documents").select(first), "w")
+    words = F.explode(F.split("text", " ", -1)).alias("w")
+    return stats.case_variants(table(spark, sf_dir, "documents").select(words), "w")
 
 
 @query("SELECT 'https://site' || (key % 9) || '.com/lote/' || (key % 500) AS url, count(*) AS n, min(key) AS first_key FROM listings GROUP BY 1 HAVING count(*) > 1", L)
 def duplicate_urls(spark, sf_dir):
-    return stats.duplicate_urls(listings(spark, sf_dir))
+    return stats.duplicate_urls(listings(spark, sf_dir, values=False))
 
 
 @query("SELECT auctioneer_id, count(*) AS n, min(created_at) AS first_at, max(created_at) AS last_at, count(*) FILTER (image_url IS NULL) AS no_image FROM listings WHERE auctioneer_id IS NOT NULL GROUP BY 1", L)
@@ -171,12 +152,12 @@ def per_auctioneer(spark, sf_dir):
 
 @query("SELECT category, count(*) AS n, count(image_url) AS with_image, CAST(round((count(*) - count(image_url)) * 100.0 / count(*), 1) AS DOUBLE) AS pct_missing FROM listings GROUP BY 1", L)
 def image_coverage(spark, sf_dir):
-    return stats.image_coverage(listings(spark, sf_dir), "category")
+    return stats.image_coverage(listings(spark, sf_dir, values=False), "category")
 
 
 @query("SELECT count(DISTINCT category) AS distinct_category, count(DISTINCT state) AS distinct_state, count(DISTINCT neighborhood) AS distinct_neighborhood FROM listings", L)
 def distinct_counts(spark, sf_dir):
-    return stats.distinct_counts(listings(spark, sf_dir), ["category", "state", "neighborhood"])
+    return stats.distinct_counts(listings(spark, sf_dir, values=False), ["category", "state", "neighborhood"])
 
 
 @query("SELECT count(*) AS n_rows, count(second_auction_value) AS n_values FROM listings", L)
@@ -202,7 +183,7 @@ def value_anomalies(spark, sf_dir):
 @query("""SELECT CAST(sum(n) AS BIGINT) AS total, count(*) FILTER (n > 1) AS groups, max(n) AS largest, CAST(sum(n - 1) AS BIGINT) AS extra, CAST(round(sum(n - 1) * 100.0 / sum(n), 2) AS DOUBLE) AS pct_extra
 FROM (SELECT title, state, count(*) AS n FROM listings GROUP BY 1, 2)""", L)
 def dedup_stats(spark, sf_dir):
-    return stats.dedup_stats(listings(spark, sf_dir), F.concat_ws("|", "title", "state"))
+    return stats.dedup_stats(listings(spark, sf_dir, values=False), F.concat_ws("|", "title", "state"))
 
 
 @query("SELECT json_extract_string(props, '$.k') AS value, count(*) AS n FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL GROUP BY 1 ORDER BY n DESC, value LIMIT 10")
@@ -212,7 +193,7 @@ def top_json_keys(spark, sf_dir):
 
 @query("SELECT state, category AS modal, n FROM (SELECT state, category, count(*) AS n, row_number() OVER (PARTITION BY state ORDER BY count(*) DESC, category) AS r FROM listings GROUP BY 1, 2) WHERE r = 1", L)
 def modal_category(spark, sf_dir):
-    return stats.modal(listings(spark, sf_dir), "state", "category")
+    return stats.modal(listings(spark, sf_dir, values=False), "state", "category")
 
 
 @query("SELECT CAST(ts AS DATE) AS day, count(*) AS n, count(DISTINCT user_id) AS users, count(*) FILTER (event_type = 'view') AS views FROM events GROUP BY 1")
@@ -295,7 +276,8 @@ def system_summary(spark, sf_dir):
 @query("""SELECT 'failing' AS rule, 'scraper ' || scraper AS subject FROM report WHERE status = 'FAILING'
 UNION ALL SELECT 'idle', 'scraper ' || scraper FROM runs GROUP BY scraper HAVING date_diff('day', max(day), DATE '2024-02-15') > 2
 UNION ALL SELECT 'catalog', 'no neighborhood' FROM listings HAVING count(*) FILTER (neighborhood IS NULL) > 100
-UNION ALL SELECT 'catalog', 'half unpriced' FROM listings HAVING count(*) FILTER (first_auction_value > 0) * 2 < count(*)""", _HEALTH + "," + L)
+UNION ALL SELECT 'catalog', 'half unpriced' FROM listings HAVING count(*) FILTER (first_auction_value > 0) * 2 < count(*)
+UNION ALL SELECT 'catalog', 'nothing new' FROM listings HAVING count(*) FILTER (created_at >= TIMESTAMP '2024-02-15' - INTERVAL 1 DAY) = 0""", _HEALTH + "," + L)
 def alerts(spark, sf_dir):
     return health.alerts(listings(spark, sf_dir), scraper_runs(spark, sf_dir), "2024-02-15")
 
@@ -357,7 +339,7 @@ def match_by_url_or_id(spark, sf_dir):
     return merge.match_by_url_or_id(rows.where("key % 2 = 0 or key % 5 = 0"), rows.where("key % 2 = 1")).select("id", "old_id")
 
 
-@query("""SELECT id, is_active AND NOT (coalesce(auctioneer_id = 1, FALSE) AND NOT EXISTS (SELECT 1 FROM listings s WHERE s.key % 2 = 0 AND s.key % 9 = l.key % 9 AND s.key % 500 = l.key % 500)) AS is_active FROM listings l""", L)
+@query("""SELECT id, is_active AND NOT (coalesce(auctioneer_id = 1, FALSE) AND NOT is_duplicate AND NOT EXISTS (SELECT 1 FROM listings s WHERE s.key % 2 = 0 AND s.key % 9 = l.key % 9 AND s.key % 500 = l.key % 500)) AS is_active FROM listings l""", L)
 def deactivate_unseen(spark, sf_dir):
     rows = listings(spark, sf_dir)
     return merge.deactivate_unseen(rows, rows.where("key % 2 = 0"), 1).select("id", "is_active")
@@ -435,68 +417,35 @@ def missing_fields(spark, sf_dir):
     return quality.missing_fields(listings(spark, sf_dir), ["neighborhood", "latitude", "first_auction_value"]).select("id", "missing")
 
 
-# --- expressions, over literal cases: the SQL states the expected values ---
-
-
-def cases(name: str, given: list[tuple], expression: Callable[[Column], Column], kind: str = "VARCHAR") -> None:
-    """Register a query that applies expression to literal inputs; its SQL lists inputs and results."""
-
-    def sql_value(v: object) -> str:
-        return "NULL" if v is None else "'" + str(v).replace("'", "''") + "'"
-
-    def run(spark, sf_dir):
-        rows = spark.createDataFrame([(i, g[0]) for i, g in enumerate(given)], "n int, given string")
-        spark_kind = {"VARCHAR": "string", "DOUBLE": "double", "BOOLEAN": "boolean", "TIMESTAMP": "timestamp_ntz"}[kind]
-        return rows.select("n", "given", expression(F.col("given")).cast(spark_kind).alias("result"))
-
-    QUERIES[name] = run
-    values = ", ".join(f"({i}, {sql_value(g)}, CAST({sql_value(r)} AS {kind}))" for i, (g, r) in enumerate(given))
-    ORACLES[name] = f"SELECT CAST(n AS INTEGER) AS n, CAST(given AS VARCHAR) AS given, result FROM (VALUES {values}) v(n, given, result)"
-
-
-cases("money_parse", [("R$ 1.234,56", 1234.56), ("1,234.56", 1234.56), ("100.000", 100000.0), ("R&#36; 250.000,00", 250000.0), ("1,000.00", 1000.0), ("12,5", 12.5), ("12.5", 12.5), ("", None), (None, None), ("abc", None), ("1.234.567", 1234567.0), ("-5", -5.0)], money.parse_money, "DOUBLE")
-cases("area_parse", [("120 m²", 120.0), ("2,5 ha", 25000.0), ("1.200,50 m2", 1200.5), ("casa", None), (None, None)], money.parse_area, "DOUBLE")
-cases("percent_parse", [("35,5%", 35.5), ("40 %", 40.0), ("-3", -3.0), ("x", None)], money.parse_percent, "DOUBLE")
-cases("date_parse", [("2025-03-09", "2025-03-09 00:00:00"), ("9/3/2025 às 14:30", "2025-03-09 14:30:00"), ("dia 3 de março de 2025", "2025-03-03 00:00:00"), ("05/06/25", "2025-06-05 00:00:00"), ("31/02/2025", None), ("sem data", None), (None, None), ("1d 2h 30m", "2025-01-02 02:30:00")], lambda c: dates.parse_date(c, F.lit("2025-01-01")), "TIMESTAMP")
-cases("auction_date_labels", [("1º leilão: 10/05/2025 2º leilão: 20/05/2025", "2025-05-20 00:00:00"), ("10/05/2025 e 12/05/2025", "2025-05-12 00:00:00"), ("nada", None)], lambda c: dates.auction_dates(c)["second"], "TIMESTAMP")
-cases("url_normalize", [(" HTTPS://Site.com/A/?utm_source=x&b=2&a=1#top ", "https://site.com/A?a=1&b=2"), ("site.com/x/", "https://site.com/x"), ("//cdn.site/y", "https://cdn.site/y"), ("", None), (None, None), ("http://a.b?utm_x=1", "http://a.b")], urls.normalize_url)
-cases("image_block", [("https://a.b/foto1.jpg", "false"), ("https://a.b/logo.png", "true"), ("", "true"), (None, "true"), ("https://a.b/100x80/x.jpg", "true"), ("https://a.b/800x600/x.jpg", "false"), ("data:image/png;base64,AA", "true"), ("https://a.b/x.svg", "true")], urls.blocked_image, "BOOLEAN")
-cases("absolute_urls", [("/a/b.jpg", "https://s.com/a/b.jpg"), ("c.jpg", "https://s.com/x/c.jpg"), ("//t.com/d", "https://t.com/d"), ("http://z.com", "http://z.com")], lambda c: urls.absolute_url(c, F.lit("https://s.com/x/page.html?q=1")))
-cases("listing_ids", [("https://s.com/lote/123/abc", "123"), ("https://s.com/a/b/casa-9/", "casa-9"), ("https://s.com/d.asp?hdnimovel=777", "777")], urls.listing_id)
-cases("title_case", [("RIO DE JANEIRO", "Rio de Janeiro"), ("  são   josé DOS campos ", "São José dos Campos"), ("da silva", "Da Silva"), ("", ""), (None, None)], text.title_case)
-cases("title_every_letter", [("o'neil d-4x", "O'Neil D-4X"), ("água fria", "Água Fria")], text.title_every_letter)
-cases("city_names", [("CURITIBA - PR", "Curitiba"), ("santo antônio do monte/MG", "Santo Antônio do Monte"), ("Embu das Artes", "Embu das Artes")], text.city_name)
-cases("state_codes", [("sp", "SP"), ("Paraná", "PR"), ("São Paulo", "SP"), ("mato grosso do sul", "MS"), ("??", "XX"), (None, "XX")], places.state_code)
-cases("category_map", [("Apartamento 2 quartos", "Apartamento"), ("casal procura", "Outro"), ("CASA térrea", "Casa"), ("Lote urbano", "Terreno"), ("Galpão industrial", "Comercial"), ("Vaga de garagem", "Estacionamento"), ("Fazenda", "Rural"), (None, "Outro")], places.category)
-cases("auction_types", [("Leilão Extrajudicial", "Extrajudicial"), ("JUDICIAL", "Judicial"), ("venda direta online", "Venda Direta"), ("Alienação fiduciária", "Leilão SFI"), ("", "Outros")], places.auction_type)
-cases("occupancy_flags", [("Imóvel desocupado", "desocupado"), ("ocupado por terceiros", "ocupado"), ("x", None)], places.occupancy)
-cases("real_estate_filter", [("Casa no centro", "true"), ("Carro 2010", "false"), ("Objeto", "true"), ("Moto e casa", "false"), ("caseiro", "true")], lambda c: places.is_estate(c, F.lit("https://s.com/x")), "BOOLEAN")
-cases("place_in_text", [("Rua A, Curitiba/PR", "Curitiba"), ("Lote em x, São Paulo - SP", "São Paulo"), ("Casa / ZZ", None)], lambda c: places.place_in(c)["city"])
-cases("slugs", [("Casa à venda: São Paulo!", "casa-a-venda-sao-paulo"), ("---", "")], text.slug)
-cases("clean_markup", [("<b>Casa</b>&nbsp; &amp; lote", "Casa & lote"), ("a<br/>b", "a b")], text.clean_markup)
-cases("address_keys", [("Avenida Brasil, nº 10 - Apartamento 3|X", "av brasil n 10 apto 3 x"), ("RUA DAS FLORES", "r das flores")], lambda c: text.short_address(c))
-cases("geocodable_addresses", [("Rua das Flores 100", "ok"), ("curta", "too_short"), ("Oportunidade única no centro", "promotional")], lambda c: text.geocodable(c)["reason"])
-cases("labelled_prices", [("Avaliação: R$ 300.000,00 1º leilão R$ 200.000,00 2º leilão R$ 150.000,00", 200000.0), ("por R$ 90.000,00 ou R$ 80.000,00", 90000.0), ("grátis", None)], lambda c: money.labelled_prices(c)["first"], "DOUBLE")
-cases("separators", [("a;b;c", ";"), ("a,b,c;d", ","), ("a\tb\tc", "\t")], bank_csv.separator_of)
-cases("json_items", [('{"items":[{"titulo":"A","preco":"1.000,00"}]}', "A"), ('[{"name":"B"}]', "B"), ('{"x":1}', None)], lambda c: F.coalesce(F.get_json_object(F.get(json_items.items_of(c), 0), "$.titulo"), F.get_json_object(F.get(json_items.items_of(c), 0), "$.name")))
-cases("page_data", [('<script id="__NEXT_DATA__" type="x">{"a":1}</script>', '{"a":1}'), ("<p>", None)], json_items.page_data)
+# --- sources and fuzzy duplicates; no SQL says the same ---
 
 
-# --- sources and fuzzy duplicates; no SQL says the same ---
+_LINE = r"""lines AS (SELECT o_orderkey AS key, CAST(o_orderkey % 90 + 100 AS DOUBLE) * 1000 + 0.5 AS price, CAST(o_orderkey % 900 + 100 AS DOUBLE) * 1000 AS appraisal, ['SP', 'PR', 'XX', 'MG'][o_orderkey % 4 + 1] AS uf,
+  ['Sao Paulo', 'Embu das Artes'][o_orderkey % 2 + 1] AS city, ['Apartamento', 'Casa', 'Terreno', 'Outro'][o_orderkey % 4 + 1] AS category FROM orders WHERE o_orderkey % 10 > 0)"""
 
 
-@query()
+@query("SELECT 'caixa-' || key AS id, category, CASE WHEN uf = 'XX' THEN 'XX' ELSE uf END AS state, city, price AS first_auction_value, appraisal AS evaluation_value, CASE WHEN key % 3 > 0 THEN 12.5 ELSE CAST(greatest(round((CAST(appraisal AS DECIMAL(18,2)) - CAST(price AS DECIMAL(18,2))) * 100 / CAST(appraisal AS DECIMAL(18,2)), 2), 0) AS DOUBLE) END AS discount_percentage FROM lines", _LINE)
 def bank_rows(spark, sf_dir):
-    lines = ["Lista de imóveis", " N° do imóvel;UF;Cidade;Bairro;Endereço;Preço;Avaliação;Desconto;Descrição;Modalidade;Link", "144-1;SP;SAO PAULO;CENTRO;RUA A, 1;100.000,00;200.000,00;50,00;Apartamento, 50 m2;Venda Direta;https://x.y/d.asp?hdnimovel=1441", ""]
-    return bank_csv.to_listings(bank_csv.split_lines(spark.createDataFrame([(x,) for x in lines], "line string")))
+    """Bank files with titles, headers and empty lines among rows of three separators."""
+    k = F.col("o_orderkey")
+    pick = lambda *v: F.get(F.array(*map(F.lit, v)), F.pmod(k, F.lit(len(v))).cast("int"))
+    fields = [k.cast("string"), pick("SP", "PR", "XX", "MG"), pick("SAO PAULO", "EMBU DAS ARTES"), F.lit("CENTRO"), F.lit("RUA A 1"), F.concat(F.format_string("%d", k % 90 + 100), F.lit(".000,50")), F.concat(F.format_string("%d", k % 900 + 100), F.lit(".000")), F.when(k % 3 > 0, "12.5").otherwise(" "), pick("Apartamento 50 m2", "Casa térrea", "Terreno 9 x 20", "Objeto"), F.lit("Venda Direta"), F.concat(F.lit("https://x.y/d.asp?hdnimovel="), k)]
+    comma = [F.replace(f, F.lit(","), F.lit(".")) for f in fields]
+    line = F.when(k % 10 == 0, pick("Lista de imóveis", "", "N° do imóvel;UF;Cidade", " ")).when(k % 3 == 0, F.concat_ws(";", *fields)).otherwise(F.concat_ws("\t", *fields))
+    return bank_csv.to_listings(bank_csv.split_lines(table(spark, sf_dir, "orders").select(line.alias("line")))).select("id", "category", "state", "city", "first_auction_value", "evaluation_value", "discount_percentage")
 
 
-@query()
+_CLEAN = "trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace({}, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&nbsp;', ' '), '&#36;', '$'), '&amp;', '&'), '\\s+', ' ', 'g'))"
+
+
+@query("SELECT page_id, " + _CLEAN.format("nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '')") + """ AS title, nullif(trim(regexp_extract(html, '(?is)<meta[^>]+name=["'']description["''][^>]+content=["'']([^"'']*)', 1)), '') AS description,
+  len(regexp_extract_all(html, '(?i)<a\\s')) AS links, len(regexp_extract_all(html, '(?i)<img\\s')) AS images, len(regexp_extract_all(html, '(?i)<p[\\s>]')) AS paragraphs, """ + _CLEAN.format("regexp_replace(html, '(?is)(<script\\b.*?</script>)|(<style\\b.*?</style>)', ' ', 'g')") + """ AS text,
+  md5(array_to_string(list_sort(list_distinct(regexp_extract_all(html, '(?i)<([a-z0-9]+(?:[^>]*?class=["''][^"'']*)?)', 1))), ',')) AS signature FROM pages""")
 def html_pages(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", html_items.page_fields(F.col("html")).alias("p"), html_items.structure_signature(F.col("html")).alias("signature")).select("page_id", "p.*", "signature")
 
 
-@query()
+@query("""SELECT DISTINCT url, CASE WHEN regexp_matches(h, '(?i)^[a-z]+:') THEN h ELSE regexp_extract(url, '^([A-Za-z]+://[^/?#]+)', 1) || h END AS link FROM (SELECT url, unnest(regexp_extract_all(html, '(?i)<a[^>]+href=["'']([^"''#]+)', 1)) AS h FROM pages)""")
 def html_links(spark, sf_dir):
     return html_items.links(table(spark, sf_dir, "pages"))
 
@@ -509,6 +458,9 @@ def dedup_blocked_pairs(spark, sf_dir):
 
 @query("SELECT id, upper(state) || '_' || substr(regexp_replace(lower(city), '[^a-z]', '', 'g'), 1, 20) || '_customer' AS k, lower(trim(title)) || '|' || lower(city) || '|' || lower(state) AS plain FROM listings", L)
 def dedup_keys(spark, sf_dir):
-    rows = listings(spark, sf_dir)
+    rows = listings(spark, sf_dir, values=False)
     c = {n: F.col(n) for n in ("title", "city", "state")}
     return rows.select("id", dedup.words_key(c["title"], c["city"], c["state"]).alias("k"), dedup.plain_key(c["title"], c["city"], c["state"]).alias("plain"))
+
+
+from . import queries_fields, queries_more  # noqa: E402, F401  they register theirs

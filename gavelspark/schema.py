@@ -32,3 +32,8 @@ STATES = "AC AL AP AM BA CE DF ES GO MA MT MS MG PA PB PR PE PI RJ RN RS RO RR S
 CATEGORIES = ["Apartamento", "Casa", "Terreno", "Comercial", "Estacionamento", "Rural", "Área", "Prédio", "Outro"]
 AUCTION_TYPES = ["Judicial", "Extrajudicial", "Venda Direta", "Leilão SFI", "Outros"]
 SORTABLE = ["created_at", "updated_at", "first_auction_value", "second_auction_value", "evaluation_value", "discount_percentage", "first_auction_date", "city", "title"]
+
+
+def closed_sets(spark) -> "DataFrame":  # noqa: F821
+    """The closed sets of values as a relation: kind, name."""
+    return spark.createDataFrame([("category", c) for c in CATEGORIES] + [("auction_type", t) for t in AUCTION_TYPES], "kind string, name string")

@@ -15,15 +15,21 @@ from ..functions.urls import listing_id
 FIELDS = ["number", "state", "city", "district", "address", "price", "appraisal", "discount", "description", "modality", "link"]
 
 
-def read_bank_csv(spark: SparkSession, path: str, separator: str = ";", encoding: str = "ISO-8859-1") -> DataFrame:
+def read_bank_csv(spark: SparkSession, path: str, separator: str | None = None, encoding: str = "ISO-8859-1") -> DataFrame:
     """All rows of one or many files as text fields by position. Title, header
     and blank lines are told by content, line by line, so files split freely."""
     lines = spark.read.option("encoding", encoding).option("sep", "\x00").option("quote", "").schema("line string").csv(path)
     return split_lines(lines, separator)
 
 
-def split_lines(lines: DataFrame, separator: str = ";") -> DataFrame:
-    parts = F.split("line", separator, -1)
+def split_lines(lines: DataFrame, separator: str | None = None) -> DataFrame:
+    """Rows among the lines. Without a given separator, each line is split by the
+    first of ; tab and comma that gives it enough fields."""
+    if separator is None:
+        enough = lambda sep: F.size(F.split("line", sep, -1)) >= len(FIELDS) - 1
+        parts = F.when(enough(";"), F.split("line", ";", -1)).when(enough("\t"), F.split("line", "\t", -1)).otherwise(F.split("line", ",", -1))
+    else:
+        parts = F.split("line", separator, -1)
     is_row = (F.size(parts) >= len(FIELDS) - 1) & F.trim(F.get(parts, 0)).rlike("^[0-9][0-9.-]*$")
     return lines.where(is_row).select(*(F.trim(F.get(parts, i)).alias(f) for i, f in enumerate(FIELDS)))
 
@@ -43,6 +49,11 @@ ALIASES = {
 }
 
 
+def read_with_header(spark: SparkSession, path: str, separator: str = ";", encoding: str = "ISO-8859-1") -> DataFrame:
+    """Files whose header may name and order the fields in any known way, one folder of one header."""
+    return renamed(spark.read.option("encoding", encoding).option("sep", separator).option("header", True).csv(path))
+
+
 def renamed(rows: DataFrame) -> DataFrame:
     """rows with known header spellings under our names; the first of several that is not null wins."""
     import unicodedata

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.money import prices_in
+from ..functions.money import parse_money, prices_in
 from ..functions.places import place_in
 from ..functions.text import clean_markup
 from ..functions.urls import absolute_url, images_in
@@ -36,6 +36,18 @@ def cards(pages: DataFrame, begin: str = r'(?i)(?=<(?:div|article|li)[^>]+class=
     return out.where("title is not null or link is not null").select(url, "place", "title", "link", "price", "image_url", "where.city", "where.state")
 
 
+def configured_cards(pages: DataFrame, config: dict, keep: list[str], html: str = "html", url: str = "url") -> DataFrame:
+    """Cards as a site's settings describe them: `card` is a tag and a class, the
+    other entries are patterns whose first group is the field. Kept if there is a
+    title or a link."""
+    tag, kind = config["card"]
+    begin = rf'(?i)(?=<{tag}[^>]+class=["\'][^"\']*\b{kind}\b)'
+    parts = pages.select(*keep, url, F.posexplode(F.split(F.concat(F.lit(" "), F.col(html)), begin)).alias("place", "card")).where("place > 0")
+    field = lambda name: clean_markup(first_match(F.col("card"), config[name])) if name in config else F.lit(None).cast("string")
+    out = parts.select(*keep, "place", F.nullif(field("title"), F.lit("")).alias("title"), absolute_url(first_match(F.col("card"), config["link"]), F.col(url)).alias("link"), parse_money(F.nullif(field("price"), F.lit(""))).alias("price"))
+    return out.where("title is not null or link is not null")
+
+
 def links(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """Distinct absolute links of each page."""
     found = F.regexp_extract_all(F.col(html), F.lit(r'(?i)<a[^>]+href=["\']([^"\'#]+)'), F.lit(1))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.money import parse_money
 
 #: Where an answer may hold its items, and names of each field, in order of trust. Fixed values.
-ITEM_KEYS = ["properties", "imoveis", "items", "offers", "data", "results", "lots"]
+ITEM_KEYS = ["properties", "imoveis", "items", "offers", "data", "results", "lots", "leiloes", "lotes"]
 FIELD_KEYS = {
     "external_id": ["id", "codigo", "lote_id", "offerId"], "title": ["title", "titulo", "name", "nome", "shortDesc", "product.shortDesc"], "price": ["price", "preco", "valor", "valor_minimo", "currentBid"],
     "evaluation": ["evaluation_value", "avaliacao", "valor_avaliacao"], "city": ["city", "cidade", "product.location.city"], "state": ["state", "uf", "estado", "product.location.state"],

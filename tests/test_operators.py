@@ -2,6 +2,7 @@
 
 import difflib
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -77,6 +78,82 @@ def test_blocked_pairs_like_difflib(spark):
     assert mine == pytest.approx(expected)
 
 
+def similar(a, b):
+    return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
+
+
+@pytest.mark.parametrize("least", [0.85, 0.7])
+def test_no_similar_pair_is_lost(spark, least):
+    r = random.Random(4)
+    words = ["casa", "rua", "das", "flores", "avenida", "brasil", "n", "12", "apto", "centro", "ab", "abc"]
+    data = []
+    for i in range(250):
+        t = " ".join(r.choice(words) for _ in range(r.randint(1, 7)))
+        t = t[: r.randint(1, 10)] if r.random() < 0.3 else t
+        data.append((i, r.choice("xy"), t))
+        at = r.randrange(len(t))
+        data.append((1000 + i, data[-1][1], t[:at] + r.choice("abcxyz1") + t[at + 1 :]))
+    data += [(2000, "x", "abc"), (2001, "x", "abc"), (2002, "x", "aaaaaaa"), (2003, "y", None)]
+    mine = {(x.a, x.b): x.ratio for x in dedup.blocked_pairs(spark.createDataFrame(data, "id int, block string, name string"), ["block"], "name", "id", least).collect()}
+    first, expected = {}, {}
+    for i, b, v in sorted(data, key=lambda d: d[0]):
+        if v is not None:
+            first.setdefault((b, v), i)
+    for ((b, v), i), ((c, w), j) in itertools.combinations(first.items(), 2):
+        (i, v), (j, w) = sorted([(i, v), (j, w)])
+        if b == c and (ratio := similar(v, w)) >= least:
+            expected[(i, j)] = ratio
+    assert mine == pytest.approx(expected) and expected
+
+
+def test_scored_pairs(spark):
+    columns = "id string, auctioneer_id int, title string, address string, neighborhood string, city string, state string, category string, evaluation_value double, first_auction_value double, area_total double, area_privativa double"
+    base = ("Casa térrea", "Rua das Flores, 120", "Centro", "Santos", "SP", "Casa", 100000.0, 90000.0, 50.0, None)
+    rows = [
+        ("a", 1, *base), ("b", 2, "Casa terrea", "R. das Flores, 120", *base[2:]), ("c", 1, *base), ("d", 3, *base[:3], "Campinas", *base[4:]),
+        ("e", 4, "Apartamento", *base[1:5], "Apartamento", 300000.0, None, 400.0, None), ("f", 5, *base[:4], "sp", *base[5:]), ("g", 6, *[None] * 10),
+    ]
+    found = {(r.a, r.b): r for r in dedup.scored_pairs(spark.createDataFrame(rows, columns)).collect()}
+    assert set(found) == {("a", "b"), ("b", "c"), ("a", "f"), ("b", "f"), ("c", "f")}  # c is of a's auctioneer, d of another city, e too unlike
+    assert found[("a", "f")].score == pytest.approx(1.0) and found[("a", "f")].reasons == "address alike,title,category,value,area"
+    address, title = "rua das flores 120 centro santos sp", similar("casa terrea", "casa terrea")
+    assert found[("a", "b")].score == pytest.approx(0.4 * min(1, similar(address, address) + 0.3) + 0.2 * title + 0.4)
+
+
+def test_greedy_groups_and_probe(spark):
+    pairs = spark.createDataFrame([("x", 1, 2), ("x", 2, 3), ("x", 3, 4), ("y", 7, 9)], "block string, a int, b int")
+    assert {r.id: r.original_id for r in dedup.greedy_groups(pairs, "block").collect()} == {2: 1, 4: 3, 9: 7}
+    old = spark.createDataFrame([(1, "s", "rua das flores 10"), (2, "s", "avenida brasil 5")], "id int, st string, t string")
+    new = spark.createDataFrame([(10, "s", "rua das flores 10"), (11, "s", "rua das flores 11"), (12, "s", "praca nova"), (13, "t", "avenida brasil 5"), (14, "s", None)], "id int, st string, t string")
+    assert {r.id: r.original_id for r in dedup.probe(new, old, ["st"], "t").collect()} == {10: 1, 11: 1, 12: None, 13: None, 14: None}
+
+
+def test_merge_keeps_one_row_a_key(spark):
+    old = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "z")], "id string, v string")
+    new = spark.createDataFrame([("a", "n"), ("a", "m")], "id string, v string")
+    assert sorted(tuple(r) for r in merge.merge(old, new, "id", {"v": "replace"}).collect()) == [("a", "n", "updated"), ("b", "z", "kept")]
+
+
+def test_separators_are_found(spark):
+    row = ["144-1", "SP", "S", "C", "RUA A", "1", "2", "3", "D; x", "V", "https://x.y/?id=1"]
+    lines = spark.createDataFrame([(s.join(row),) for s in (",", "\t")] + [("Lista; de, imóveis",)], "line string")
+    assert [r.number for r in bank_csv.split_lines(lines).collect()] == ["144-1", "144-1"]
+
+
+def test_sessions_as_a_stream_with_late_rows(spark, tmp_path):
+    rows = [(1, "2024-01-01 10:00:00"), (1, "2024-01-01 10:10:00"), (2, "2024-01-05 10:00:00")]
+    schema = "user_id long, ts timestamp_ntz"
+    make = lambda data: spark.createDataFrame(data, "user_id long, t string").selectExpr("user_id", "cast(t as timestamp_ntz) as ts").coalesce(1)
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = search_log.sessions(stream)
+    for i, data in enumerate((rows, [(1, "2024-01-01 10:20:00"), (3, "2024-01-09 00:00:00")], [(4, "2024-01-20 00:00:00")])):
+        make(data).write.mode("append").parquet(str(tmp_path / "in"))
+        out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start().awaitTermination(120)
+    done = {(r.user_id, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert (1, 2) in done and (2, 1) in done and (1, 3) not in done  # the late row of user 1 came after its session was closed
+
+
 def test_losers_and_marks(spark):
     pairs = spark.createDataFrame([(1, 2), (2, 3)], "a int, b int")
     points = spark.createDataFrame([(1, 5), (2, 5), (3, 9)], "id int, points int")
