@@ -99,51 +99,57 @@ def blocked_pairs(rows: DataFrame, block: list[str], text: str, id: str, least:
     return pairs.withColumn("ratio", text_ratio("ta", "tb")).where(F.col("ratio") >= least).select("a", "b", "ratio")
 
 
-def _full_address(prefix: str = "") -> Column:
-    return F.concat_ws(", ", *(F.coalesce(F.col(f"{prefix}{c}"), F.lit("")) for c in ("address", "neighborhood", "city", "state")))
-
-
-def pair_score(pairs: DataFrame) -> DataFrame:
-    """pairs with a_* and b_* columns of listings, and: address (ratio of the
-    written-out addresses, plus .15 for the same number, .05 for the same street
-    type, .1 for street names alike by more than .8; at most 1), title, score
-    (.4 address, .2 title, .15 category, .15 value, .1 area) and its reasons."""
-    parts = {s: address_parts(_full_address(f"{s}_")) for s in "ab"}
-    out = pairs.withColumns({f"_{s}": parts[s] for s in "ab"} | {f"_{s}t": long_address(F.coalesce(f"{s}_title", F.lit(""))) for s in "ab"} | {f"_{s}f": long_address(_full_address(f"{s}_")) for s in "ab"})
-    out = out.withColumns({"_ratio": text_ratio("_af", "_bf"), "_titles": text_ratio("_at", "_bt"), "_names": text_ratio("_a.street_name", "_b.street_name")})
+def with_address(pairs: DataFrame, a: str, b: str, ratio: Column | None = None) -> DataFrame:
+    """pairs with `address`: the ratio of two written-out addresses (given, if it
+    is known), plus .15 for the same number, .05 for the same street type, .1 for
+    street names alike by more than .8; at most 1."""
+    out = pairs.withColumns({"_a": address_parts(F.col(a)), "_b": address_parts(F.col(b)), "_ratio": text_ratio(a, b) if ratio is None else ratio})
+    out = out.withColumn("_names", text_ratio("_a.street_name", "_b.street_name"))
     same = lambda f, points: F.when(F.col(f"_a.{f}") == F.col(f"_b.{f}"), points).otherwise(0.0)
     bonus = same("number", 0.15) + same("street_type", 0.05) + F.when(F.col("_a.street_name").isNotNull() & F.col("_b.street_name").isNotNull() & (F.col("_names") > 0.8), 0.1).otherwise(0.0)
-    address = F.when((F.col("_af") == "") | (F.col("_bf") == ""), 0.0).when(F.col("_af") == F.col("_bf"), 1.0).otherwise(F.least(F.lit(1.0), F.col("_ratio") + bonus))
-    title = F.when((F.col("_at") == "") | (F.col("_bt") == ""), 0.0).otherwise(F.col("_titles"))
+    address = F.when((F.col(a) == "") | (F.col(b) == ""), 0.0).when(F.col(a) == F.col(b), 1.0).otherwise(F.least(F.lit(1.0), F.col("_ratio") + bonus))
+    return out.withColumn("address", address).drop("_a", "_b", "_ratio", "_names")
+
+
+_SCORED = ["title", "category", "evaluation_value", "first_auction_value", "area_total", "area_privativa"]
+
+
+def pair_score(pairs: DataFrame, least: float = 0.0) -> DataFrame:
+    """pairs with `address` and a_* and b_* columns of listings, and their score (.4
+    address, .2 title, .15 category, .15 value, .1 area) and its reasons, where it
+    is at least `least`. Titles are compared only where the rest leaves that open."""
     category = F.col("a_category").eqNullSafe(F.col("b_category"))
     some = lambda s, *names: F.coalesce(*(F.nullif(F.col(f"{s}_{n}"), F.lit(0.0)) for n in names))
-    value = value_similarity(some("a", "evaluation_value", "first_auction_value"), some("b", "evaluation_value", "first_auction_value"))
-    area = value_similarity(some("a", "area_total", "area_privativa"), some("b", "area_total", "area_privativa"))
-    score = address * 0.4 + title * 0.2 + category.cast("double") * 0.15 + value * 0.15 + area * 0.1
+    areas = [some(s, "area_total", "area_privativa") for s in "ab"]
+    value, area = value_similarity(some("a", "evaluation_value", "first_auction_value"), some("b", "evaluation_value", "first_auction_value")), value_similarity(*areas)
+    rest = F.col("address") * 0.4 + category.cast("double") * 0.15 + value * 0.15 + area * 0.1
+    out = pairs.where(rest + 0.2 >= least - 1e-9).withColumns({f"_{s}t": long_address(F.coalesce(f"{s}_title", F.lit(""))) for s in "ab"})
+    out = out.withColumn("_titles", text_ratio("_at", "_bt"))
+    title = F.when((F.col("_at") == "") | (F.col("_bt") == ""), 0.0).otherwise(F.col("_titles"))
     reasons = F.array_compact(F.array(
-        F.when(address > 0.8, "address alike").when(address > 0.6, "address near"), F.when(title > 0.8, "title"), F.when(category, "category"), F.when(value > 0.8, "value"),
-        F.when(some("a", "area_total", "area_privativa").isNotNull() & some("b", "area_total", "area_privativa").isNotNull() & (area > 0.8), "area"),
+        F.when(F.col("address") > 0.8, "address alike").when(F.col("address") > 0.6, "address near"), F.when(title > 0.8, "title"), F.when(category, "category"), F.when(value > 0.8, "value"),
+        F.when(areas[0].isNotNull() & areas[1].isNotNull() & (area > 0.8), "area"),
     ))
-    return out.withColumns({"address": F.round(address, 6), "title": F.round(title, 6), "score": F.round(score, 6), "reasons": F.array_join(reasons, ",")}).drop(*(f"_{x}" for x in ("a", "b", "at", "bt", "af", "bf", "ratio", "titles", "names")))
-
-
-_SCORED = ["title", "address", "neighborhood", "city", "state", "category", "evaluation_value", "first_auction_value", "area_total", "area_privativa"]
+    return out.withColumns({"score": F.round(rest + title * 0.2, 6), "reasons": F.array_join(reasons, ",")}).where(F.col("score") >= least).drop("_at", "_bt", "_titles")
 
 
 def scored_pairs(rows: DataFrame, least: float = 0.75, least_address: float = 0.85) -> DataFrame:
     """Listings a < b of different auctioneers in one city and state whose score is
     at least `least`: a, b, score, reasons. Compared are pairs whose written-out
-    addresses have a ratio of at least `least_address`."""
-    own = rows.withColumns({"_city": F.lower("city"), "_state": F.upper("state"), "_full": long_address(_full_address())}).where("_city is not null and _state is not null")
+    addresses have a ratio of at least `least_address`; addresses are compared once
+    for each two that differ, not for each two listings."""
+    full = F.concat_ws(", ", *(F.coalesce(F.col(c), F.lit("")) for c in ("address", "neighborhood", "city", "state")))
+    own = rows.withColumns({"_city": F.lower("city"), "_state": F.upper("state"), "_full": long_address(full)}).where("_city is not null and _state is not null")
     block = ["_city", "_state"]
     heads = distinct_texts(own, block, "_full", "id").select(*block, F.col("t").alias("_full"), F.col("id").alias("head"))
     members = own.join(heads, [*block, "_full"]).select("head", "id", "auctioneer_id", *_SCORED)
-    near = blocked_pairs(own, block, "_full", "id", least_address).select(F.col("a").alias("h1"), F.col("b").alias("h2"))
-    near = near.union(heads.select("head", "head"))  # the same address is near itself
+    near = blocked_pairs(own, block, "_full", "id", least_address)
+    named = lambda i: heads.select(F.col("head").alias(f"h{i}"), F.col("_full").alias(f"t{i}"))
+    near = with_address(near.toDF("h1", "h2", "ratio").join(named(1), "h1").join(named(2), "h2"), "t1", "t2", F.col("ratio")).select("h1", "h2", "address")
+    near = near.union(heads.select("head", "head", F.when(F.col("_full") == "", 0.0).otherwise(1.0)))  # the same address is near itself
     side = lambda s, h: members.select(F.col("head").alias(h), *(F.col(c).alias(f"{s}_{c}") for c in ["id", "auctioneer_id", *_SCORED]))
     met = near.join(side("a", "h1"), "h1").join(side("b", "h2"), "h2").where(~F.col("a_auctioneer_id").eqNullSafe(F.col("b_auctioneer_id")) & ((F.col("h1") != F.col("h2")) | (F.col("a_id") < F.col("b_id"))))
-    scored = pair_score(met).where(F.col("score") >= least)
-    return scored.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), "score", "reasons")
+    return pair_score(met, least).select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), "score", "reasons")
 
 
 def greedy_groups(pairs: DataFrame, block: str) -> DataFrame:

@@ -395,19 +395,20 @@ def _places(spark, sf_dir):
 
 @query()
 def duplicate_scores(spark, sf_dir):
-    return dedup.scored_pairs(_places(spark, sf_dir))
+    rows = _places(spark, sf_dir).withColumn("city", F.concat_ws(" ", "city", F.floor(F.col("key") / 3) % 40))  # towns of a region
+    return dedup.scored_pairs(rows)
 
 
 @query()
 def greedy_duplicates(spark, sf_dir):
-    rows = _places(spark, sf_dir).withColumns({"block": F.concat_ws("|", F.lower("city"), F.upper("state")), "t": text.short_address(F.col("address"))})
+    rows = _places(spark, sf_dir).withColumns({"block": F.concat_ws("|", F.lower("city"), F.upper("state"), F.floor(F.col("key") / 3) % 40), "t": text.short_address(F.col("address"))})
     pairs = dedup.blocked_pairs(rows, ["block"], "t", "id")
     return dedup.greedy_groups(pairs.join(rows.select(F.col("id").alias("a"), "block"), "a"), "block")
 
 
 @query()
 def probed_duplicates(spark, sf_dir):
-    rows = _places(spark, sf_dir).withColumn("t", text.short_address(F.col("address")))
+    rows = _places(spark, sf_dir).withColumns({"t": text.short_address(F.col("address")), "city": F.concat_ws(" ", "city", F.floor(F.col("key") / 6) % 40)})
     return dedup.probe(rows.where("key % 2 = 1"), rows.where("key % 2 = 0"), ["state", "city"], "t")
 
 
