@@ -13,9 +13,9 @@ leaf for a template. A template, or a single masked line, met in at least
 boilerplate: its lines in the first document (lowest key) stay, so that no
 wording is lost from the corpus, and all others are dropped.
 
-Work is spread by (key of a line) with counts made before rows are moved; only
-distinct masked lines are split into words, and only in leaves that hold more
-than one. Texts move once, whole, to meet the places of their dropped lines.
+Work is spread by (key of a line) with counts made before rows are moved; lines
+are split into words only in leaves that hold more than one. Texts move once,
+whole, to meet the places of their dropped lines.
 
 Defined results: a null text is kept as it is; an empty text, and lines without
 a word, are never dropped; exact repeats of a row are one document, and all of
@@ -37,17 +37,26 @@ from pyspark.sql import functions as F
 from .common import SPACE_RUN, SPACES, let, written
 
 
-def masked_words(line: Column) -> Column:
-    """The words of a trimmed line; one with a digit in it is a variable field."""
-    words = F.split(line, SPACE_RUN)
-    return F.when(line.rlike("[0-9]"), F.transform(words, lambda w: F.when(w.rlike("[0-9]"), "<*>").otherwise(w))).otherwise(words)
+#: A word with a digit in it, read once from its beginning (as a Java pattern, between single spaces).
+FIELD = r"(?<![^\x20])[^\x200-9]*+[0-9][^\x20]*+"
+
+
+def masked(line: Column) -> Column:
+    """A trimmed line with one space between words; one with a digit in it is a variable field."""
+    spaced = F.when(line.rlike(r"[\x09-\x0D]|\x20\x20"), F.regexp_replace(line, SPACE_RUN, " ")).otherwise(line)
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(spaced, FIELD, "<*>")).otherwise(spaced)
+
+
+def n_words(line: Column) -> Column:
+    """Of a masked line: words are not split to be counted."""
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
 def line_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each line with a word: key, text_hash, place and its masked words."""
+    """One row for each line with a word: key, text_hash, place and the masked line."""
     exploded = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("text_hash"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("place", "line"))
     trimmed = exploded.withColumn("line", F.btrim("line", F.lit(SPACES))).where("line <> ''")
-    return trimmed.select("key", "text_hash", "place", masked_words(F.col("line")).alias("words"))
+    return trimmed.select("key", "text_hash", "place", masked(F.col("line")).alias("line"))
 
 
 def _templates(open_lines: DataFrame, similarity: float, salt: int = 16, sample: int = 32) -> DataFrame:
@@ -83,10 +92,10 @@ def recurring(docs: DataFrame, key: str = "doc_id", text: str = "text", least: i
     """(lines, templates): lines as hashes (h1, h2); the hashes whose template
     recurs, with its number of texts and first key. Lines of fewer than
     `shortest` words are not generalised beyond their masked fields."""
-    size = F.size("words")
-    leaf = F.when(size >= max(shortest, depth + 2), F.xxhash64(size, F.slice("words", 1, depth)))
+    size = n_words(F.col("line"))
+    leaf = F.when(size >= max(shortest, depth + 2), F.xxhash64(size, F.substring_index("line", " ", depth)))
     need = F.when(size >= long, F.lit(min(least, least_long))).otherwise(F.lit(least))
-    h1, h2 = F.xxhash64("words").alias("h1"), F.hash("words").alias("h2")
+    h1, h2 = F.xxhash64("line").alias("h1"), F.hash("line").alias("h2")
     lines = line_table(docs, key, text).select("key", "text_hash", "place", h1, h2, leaf.alias("leaf"), need.alias("need"))
     lines = written(lines, "lines")
     # One row for each masked line and text: a line that fills a third of a table is counted where it stands.
@@ -95,8 +104,8 @@ def recurring(docs: DataFrame, key: str = "doc_id", text: str = "text", least: i
     crowded = exact.where("leaf is not null").groupBy("leaf").agg(F.count(F.lit(1)).alias("lines"), F.sum("texts").alias("texts"), F.min("need").alias("need"))
     crowded = written(crowded.where((F.col("lines") > 1) & (F.col("texts") >= F.col("need"))).select("leaf"), "leaves")
     worded = (
-        line_table(docs, key, text).select("words", leaf.alias("leaf")).join(crowded, "leaf", "left_semi")
-        .select(h1, h2, F.transform("words", lambda w: F.xxhash64(w)).alias("words")).groupBy("h1", "h2").agg(F.first("words").alias("words"))
+        line_table(docs, key, text).select("line", leaf.alias("leaf")).join(crowded, "leaf", "left_semi")
+        .select(h1, h2, F.transform(F.split("line", " "), lambda w: F.xxhash64(w)).alias("words")).groupBy("h1", "h2").agg(F.first("words").alias("words"))
     )
     of_template = _templates(written(exact.join(worded, ["h1", "h2"]).select("leaf", "h1", "h2", "words", "texts", "need"), "open"), similarity)
     whole = (

@@ -159,6 +159,17 @@ def test_line_dedup(docs, empty):
     assert dedup_lines(empty).count() == 0
 
 
+def test_masked_lines_as_words(spark):
+    from gavelspark.llm.line_dedup import line_table, n_words
+
+    r = random.Random(9)
+    texts = ["".join(r.choice("ab1é😀\u00a0 \t\r\x0b#-") for _ in range(r.randint(0, 30))) for _ in range(600)] + ["x" * 300_000 + " 7", "y" * 300_000 + "1 z"]
+    rows = line_table(spark.createDataFrame(enumerate(texts), "doc_id long, text string")).select("key", "line", n_words(F.col("line")).alias("n")).collect()
+    expected = {i: ["<*>" if re.search("[0-9]", w) else w for w in WORD.findall(t)] for i, t in enumerate(texts) if WORD.search(t)}
+    assert {x.key: x.line.split(" ") for x in rows} == expected
+    assert all(x.n == len(expected[x.key]) for x in rows)
+
+
 def test_line_dedup_keeps_several_templates_a_leaf(spark):
     from gavelspark.llm.line_dedup import dedup_lines
 
