@@ -31,7 +31,8 @@ from .common import let
 SECRET_NAMES = "api[_-]?key|access[_-]?key|secret[_-]?key|private[_-]?key|client[_-]?secret|auth[_-]?token|token|secret|passwd|password|passphrase|pwd|credentials?"
 PRIVATE_KEY = "-----BEGIN [A-Z ]*PRIVATE KEY-----"
 SIGNED = r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"
-ASSIGNED = rf"(?<=(?i:{SECRET_NAMES})[\"']?\x20?[:=]\x20?[\"']?)(?<![\w.$-])[^\s\"'`,;&<>()\[\]{{}}:=]{{6,}}+={{0,2}}"
+#: What precedes is looked at from the nearest mark outwards, so that most places cost one character.
+ASSIGNED = rf"(?<=[:=\x20\"'])(?<=[:=]\x20?[\"']?)(?<![\w.$-])(?<=(?i:{SECRET_NAMES})[\"']?\x20?[:=]\x20?[\"']?)[^\s\"'`,;&<>()\[\]{{}}:=]{{6,}}+={{0,2}}"
 RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
 CANDIDATE = f"{PRIVATE_KEY}|{SIGNED}|{ASSIGNED}|{RUN}"
 #: Words that make up identifiers and paths rather than keys. Fixed values.
