@@ -82,6 +82,12 @@ def op12_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import manifest
+
+    return manifest(_table(spark, sf_dir, "documents"))
+
+
 def instruction_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The operator of op6 under all three limits, on instruction data."""
     import public_tokenizers
@@ -104,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": op9_license_scan,
     "op10_line_dedup": op10_line_dedup,
     "op12_token_output": op12_token_output,
+    "op13_merkle_manifest": op13_merkle_manifest,
     "instruction_packing": instruction_packing,
 }
 
