@@ -4,14 +4,16 @@ or more, through a MinHash LSH forest.
 Each tree of the forest sorts documents by a sequence of minhashes; those that
 share a prefix share a node of the tree's prefix trie. Matching begins at the
 full depth. In a trie node, sketches (the low bytes of all minhashes) tell
-which members are likely near, and how near; from that and the depth follows,
-for each document, how many of its neighbours the matched prefixes show and how
-many they miss. Documents whose share of seen neighbours reaches the target
-recall are done; for all others, also those without a neighbour, the matched
-prefixes are shortened and matched again, down to the depth at which a pair at
-the threshold itself shares a node in some tree with the target chance.
-
-Likely neighbours form neighbourhoods. Each document's shingle set is brought to
+which members are likely near; likely neighbours form neighbourhoods. Then the
+matched prefixes are shortened, step by step, down to the depth at which a pair
+at the threshold itself shares a node in some tree with the target chance. How
+far a trie node is matched depends on what longer prefixes have shown: a node
+whose members are all of one neighbourhood is done, since every pair of a
+neighbourhood is verified anyway, and in others only pairs of different
+neighbourhoods are compared. So dense groups are met in long prefixes, in small
+nodes, yet no pair of documents is left out at the last depth because either has
+other neighbours.
+ Each document's shingle set is brought to
 its neighbourhood once for each block of it, and every pair there is verified on
 whole sets, block against block, so no task holds a large neighbourhood alone.
 Documents with equal sets are one class from the start, so exact copies cost
@@ -31,7 +33,6 @@ whatever their names, are ignored.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -116,36 +117,28 @@ def _fixed(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(len(column), width)
 
 
-def _match(depth: int, threshold: float):
+def _match(threshold: float):
     """Likely neighbours inside trie nodes. Rows are sorted by trie node and
     block pair (p, i, j), so a node's members stand together; only a node that
     continues in the next batch is held back."""
     hashes = TREES * DEEPEST
-    spread = (threshold * (1 - threshold) / hashes) ** 0.5
-    likely = threshold - 4 * spread
+    likely = threshold - 4 * (threshold * (1 - threshold) / hashes) ** 0.5
 
     def matched(rows: pa.Table) -> pa.RecordBatch:
         where = np.stack([rows.column(c).to_numpy() for c in ("p", "i", "j")])
         group = np.concatenate([[0], np.cumsum((where[:, 1:] != where[:, :-1]).any(axis=0))])
-        block, open_ = rows.column("block").to_numpy(), rows.column("open").to_numpy(zero_copy_only=False)
+        block, around = rows.column("block").to_numpy(), rows.column("around").to_numpy()
         inside = where[1] == where[2]
         nodes, sketches = (_fixed(rows.column(c).combine_chunks(), w) for c, w in (("node", 16), ("sketch", hashes)))
-        found, missed, left, right = np.zeros(len(group)), np.zeros(len(group)), [], []
+        left, right = [], []
         for step in range(1, int(np.bincount(group).max())):
-            a = np.flatnonzero(group[:-step] == group[step:])
+            a = np.flatnonzero((group[:-step] == group[step:]) & (around[:-step] != around[step:]))
             b = a + step
-            use = (open_[a] | open_[b]) & (inside[a] | (block[a] != block[b]))
+            use = inside[a] | (block[a] != block[b])
             a, b = a[use], b[use]
-            share = ((sketches[a] == sketches[b]).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
-            near = share >= likely
-            a, b, share = a[near], b[near], np.clip(share[near] - spread, threshold, 1.0)
-            met = share**depth
-            weight = 1 / (TREES * met)  # a neighbour is met in that many trees
-            for end in (a, b):
-                np.add.at(found, end, weight)
-                np.add.at(missed, end, weight * (1 - met) ** TREES)
-            left.append(a)
-            right.append(b)
+            near = ((sketches[a] == sketches[b]).mean(axis=1) - 1 / 256) / (1 - 1 / 256) >= likely
+            left.append(a[near])
+            right.append(b[near])
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
         label = np.arange(len(group))
         while True:
@@ -157,9 +150,9 @@ def _match(depth: int, threshold: float):
             if (new == label).all():
                 break
             label = new
-        some = np.flatnonzero(found)
+        some = np.flatnonzero(label != np.arange(len(group)))
         names = [pa.array(nodes[at].view("V16").ravel().tolist(), pa.binary()) for at in (some, label[some])]
-        return pa.RecordBatch.from_arrays([*names, pa.array(found[some]), pa.array(missed[some])], ["node", "peer", "found", "missed"])
+        return pa.RecordBatch.from_arrays(names, ["node", "peer"])
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -182,10 +175,10 @@ def _match(depth: int, threshold: float):
     return match
 
 
-def likely_neighbours(nodes: DataFrame, depths: list[int], threshold: float, recall: float, block_rows: int) -> DataFrame:
-    """node, peer: edges that connect the likely neighbours among nodes (node,
-    prefixes, sketch), from tries whose matched prefixes are shortened where
-    neighbours are missed."""
+def neighbourhoods(nodes: DataFrame, depths: list[int], threshold: float, block_rows: int) -> DataFrame:
+    """node, root: those of nodes (node, prefixes, sketch) that have likely
+    neighbours, with the root of their neighbourhood, from tries whose matched
+    prefixes are shortened where members are not yet of one neighbourhood."""
     at = lambda depth: F.explode(F.slice("prefixes", depths.index(depth) * TREES + 1, TREES))
     roots = nodes.select("node", at(depths[-1]).alias("p"))
     shared = roots.groupBy("p").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -193,22 +186,21 @@ def likely_neighbours(nodes: DataFrame, depths: list[int], threshold: float, rec
     some = join_by_heat(roots, shared, "p", "n", total).select("node").distinct()
     # Only these share a prefix with any other; deeper prefixes are theirs alone.
     nodes = written(nodes.join(some, "node", "left_semi"), "forest")
-    total, done, out = nodes.count() * TREES, None, []
+    total, found = nodes.count() * TREES, None
     for depth in depths:
-        open_nodes = nodes.withColumn("open", F.lit(True)) if done is None else nodes.join(done.withColumn("open", F.lit(False)), "node", "left").withColumn("open", F.coalesce("open", F.lit(True)))
-        members = open_nodes.select("node", "sketch", "open", at(depth).alias("p"))
-        sizes = members.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("any")).where("n > 1 and any").select("p", "n")
+        known = nodes if found is None else nodes.join(found, "node", "left")
+        root = F.col("node") if found is None else F.coalesce("root", "node")
+        members = known.select("node", "sketch", F.xxhash64(root).alias("around"), at(depth).alias("p"))
+        sizes = members.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.min("around").alias("low"), F.max("around").alias("high")).where("low < high").select("p", "n")
         placed = join_by_heat(members, sizes, "p", "n", total)
         blocks = F.ceil(F.col("n") / block_rows).cast("int")
         placed = placed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = placed.select("p", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "open", "node", "sketch")
-        matched = dealt.repartition("p", "i", "j").sortWithinPartitions("p", "i", "j").mapInArrow(_match(depth, threshold), "node binary, peer binary, found double, missed double")
-        matched = written(matched, "matched")
-        out.append(matched.where("node <> peer").select("node", "peer"))
-        seen = matched.groupBy("node").agg(F.sum("found").alias("found"), F.sum("missed").alias("missed")).where(F.col("missed") <= (1 - recall) * F.col("found")).select("node")
-        done = written(seen if done is None else done.union(seen).distinct(), "done")
-    return functools.reduce(DataFrame.union, out)
+        dealt = placed.select("p", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "around", "node", "sketch")
+        matched = dealt.repartition("p", "i", "j").sortWithinPartitions("p", "i", "j").mapInArrow(_match(threshold), "node binary, peer binary")
+        edges = matched if found is None else matched.union(found)
+        found = written(connected_components(edges, "node", "peer"), "around")
+    return found
 
 
 def _labels(near: np.ndarray) -> np.ndarray:
@@ -299,8 +291,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         F.first("weight").alias("weight"), F.first("prefixes").alias("prefixes"), F.first("sketch").alias("sketch"),
     )
     nodes = written(nodes, "nodes")
-    near = likely_neighbours(nodes.where("weight > 0").select("node", "prefixes", "sketch"), depths, threshold, recall, block_rows)
-    around = written(connected_components(near, "node", "peer"), "around")
+    around = neighbourhoods(nodes.where("weight > 0").select("node", "prefixes", "sketch"), depths, threshold, block_rows)
 
     inside = written(nodes.join(around, "node").select("node", "root", "weight", "head"), "inside")
     volume = inside.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"))

@@ -255,14 +255,39 @@ def test_trie_matches_hold_back_open_groups():
     near, far = r.integers(0, 256, 128, dtype=np.uint8), r.integers(0, 256, 128, dtype=np.uint8)
     almost = near.copy()
     almost[:10] ^= 1
-    members = [(1, near), (1, almost), (1, far), (2, far), (2, near), (2, almost), (2, near)]
+    members = [(1, near), (1, almost), (1, far), (2, far), (2, near), (2, almost), (2, near), (3, near), (3, almost)]
     node = lambda i: bytes([i] * 16)
-    rows = [{"p": p, "i": 0, "j": 0, "block": 0, "open": True, "node": node(i), "sketch": s.tobytes()} for i, (p, s) in enumerate(members)]
-    table = pa.Table.from_pylist(rows, pa.schema([("p", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("block", pa.int32()), ("open", pa.bool_()), ("node", pa.binary()), ("sketch", pa.binary())]))
-    for size in (1, 2, 7):
-        out = pa.Table.from_batches(list(_match(8, 0.8)(iter(table.to_batches(max_chunksize=size))))).to_pylist()
-        assert [(x["node"][0], x["peer"][0]) for x in out] == [(0, 0), (1, 0), (4, 4), (5, 4), (6, 4)]
-        assert all(x["missed"] < x["found"] for x in out)
+    # The last two are of one neighbourhood already, so they are not compared.
+    rows = [{"p": p, "i": 0, "j": 0, "block": 0, "around": min(i, 7), "node": node(i), "sketch": s.tobytes()} for i, (p, s) in enumerate(members)]
+    table = pa.Table.from_pylist(rows, pa.schema([("p", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("block", pa.int32()), ("around", pa.int64()), ("node", pa.binary()), ("sketch", pa.binary())]))
+    for size in (1, 2, 9):
+        out = pa.Table.from_batches(list(_match(0.8)(iter(table.to_batches(max_chunksize=size))))).to_pylist()
+        assert [(x["node"][0], x["peer"][0]) for x in out] == [(1, 0), (5, 4), (6, 4)]
+
+
+def test_near_copies_do_not_hide_farther_ones(spark):
+    """A and A', B and B' are very near; the four links between the pairs are just above the threshold."""
+    from gavelspark.llm.jaccard_join import near_duplicates
+
+    r, rows = random.Random(8), []
+
+    def edited(words, places):
+        out = list(words)
+        for i in places:
+            out[i] = f"e{r.randrange(10**9)}"
+        return out
+
+    for g in range(500):
+        a = [f"w{r.randrange(10**9)}" for _ in range(500)]
+        b = edited(a, range(20, 20 + 10 * 10, 10))  # 50 of 496 shingles differ
+        four = [a, edited(a, [499]), b, edited(b, [0])]
+        rows += [(4 * g + i, " ".join(x)) for i, x in enumerate(four)]
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    sets = {k: {tuple(t.split(" ")[i : i + 5]) for i in range(496)} for k, t in rows[:4]}
+    low = [len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in (0, 1) for j in (2, 3)]
+    assert all(0.8 < x < 0.83 for x in low)
+    assert sum(x.n_links for x in found) >= 0.999 * 12 * 500
+    assert len({x.class_id for x in found}) == 500
 
 
 def test_decontamination(spark, docs, empty):
