@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from ..functions.money import value_similarity
 from ..functions.text import address_parts, fold_accents, long_address, short_address, squeeze
 from ..functions.urls import host_path
+from .first_wins import absorbed
 
 
 def address_key(address: Column, city: Column, state: Column) -> Column:
@@ -99,6 +100,19 @@ def blocked_pairs(rows: DataFrame, block: list[str], text: str, id: str, least:
     return pairs.withColumn("ratio", text_ratio("ta", "tb")).where(F.col("ratio") >= least).select("a", "b", "ratio")
 
 
+def batch_duplicates(rows: DataFrame, block: list[str], text: str, id: str, least: float = 0.85) -> DataFrame:
+    """(id, original_id) of the rows that repeat an earlier one: in the order of ids
+    each row of a block that is not yet taken takes all later ones whose text is
+    similar by `least`. Rows of equal texts go together: the first of them is taken
+    or takes, the others follow it."""
+    texts = distinct_texts(rows, block, text, id)
+    taken = absorbed(blocked_pairs(rows, block, text, id, least).select("a", "b"))
+    heads = texts.select(*block, F.col("t").alias(text), F.col("id").alias("head"))
+    same = rows.select(id, *block, text).join(heads, [*block, text])
+    own = same.join(taken.withColumnRenamed("id", "head"), "head", "left")
+    return own.select(F.col(id).alias("id"), F.coalesce("original_id", F.when(F.col("head") != F.col(id), F.col("head"))).alias("original_id")).where("original_id is not null")
+
+
 def with_address(pairs: DataFrame, a: str, b: str, ratio: Column | None = None) -> DataFrame:
     """pairs with `address`: the ratio of two written-out addresses (given, if it
     is known), plus .15 for the same number, .05 for the same street type, .1 for
@@ -152,22 +166,6 @@ def scored_pairs(rows: DataFrame, least: float = 0.75, least_address: float = 0.
     return pair_score(met, least).select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), "score", "reasons")
 
 
-def greedy_groups(pairs: DataFrame, block: str) -> DataFrame:
-    """(id, original_id) of those that are absorbed: in the order of ids, each one
-    that is not yet absorbed takes all later ones it is paired with. The order
-    matters, so a block's pairs (not its rows) are worked through in one task."""
-
-    def absorb(group: pd.DataFrame) -> pd.DataFrame:
-        taken: dict = {}
-        for a, b in sorted(zip(group["a"], group["b"], strict=True)):
-            if a not in taken:
-                taken.setdefault(b, a)
-        return pd.DataFrame({"id": list(taken), "original_id": list(taken.values())})
-
-    kind = dict(pairs.dtypes)["a"]
-    return pairs.groupBy(block).applyInPandas(absorb, f"id {kind}, original_id {kind}")
-
-
 def probe(new: DataFrame, old: DataFrame, block: list[str], text: str, least: float = 0.85) -> DataFrame:
     """new's ids with the existing row they repeat: the lowest id of the same block
     and text, else the lowest that is similar by `least`; null: none."""

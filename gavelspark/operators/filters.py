@@ -95,19 +95,6 @@ def after_page(rows: DataFrame, column: str, value: object, id: object, size: in
     return rows.where((c < value) | (c == value) & (F.col("id") > id)).orderBy(c.desc(), "id").limit(size)
 
 
-def first_of_each(items: DataFrame, order: str, keys: list[str]) -> DataFrame:
-    """Items in `order`, without those that share any of their keys with an
-    earlier one. An item's earliest partner by each key is an aggregate."""
-    out = items
-    for i, key in enumerate(keys):
-        first = items.where(~is_blank(F.col(key))).groupBy(key).agg(F.min(order).alias(f"_first{i}"))
-        out = out.join(first, key, "left")
-    new = F.lit(True)
-    for i in range(len(keys)):
-        new = new & (F.col(f"_first{i}").isNull() | (F.col(f"_first{i}") == F.col(order)))
-    return out.where(new).select(*items.columns)
-
-
 def page_overlap(pages: DataFrame) -> DataFrame:
     """pages (page, titles) with the share of its titles that the page before has,
     and whether to stop there: nothing on two pages running, or 80 per cent the same."""

@@ -12,15 +12,16 @@ from ..functions.urls import blocked_image, normalize_url, valid_source_url
 from ..functions.text import is_blank
 
 
-def merge(old: DataFrame, new: DataFrame, key: str, rules: dict[str, str], protect: Column | None = None) -> DataFrame:
+def merge(old: DataFrame, new: DataFrame, key: str, rules: dict[str, str], protect: Column | None = None, order: str | None = None) -> DataFrame:
     """old after new: key, the ruled columns, action (inserted, updated,
-    unchanged or kept). protect: a condition on o.* and n.* under which an old
-    row stays as it is. Of several rows of one key, the highest in the ruled
-    columns' order stands for it, so no key multiplies."""
-    used = [key, *rules, *([c for c in new.columns if c in old.columns and c != key and c not in rules])]
-    o, n = (_one_each(df, key, [c for c in used if c in df.columns]).alias(a) for df, a in ((old, "o"), (new, "n")))
+    unchanged, protected or kept). protect: a condition on o.* and n.* under which
+    an old row stays as it is. order: where new may have several rows of one key,
+    the column by which the last of them wins; else new has one row a key. A null
+    key matches nothing: such old rows are kept, such new ones inserted."""
+    o = old.withColumn("_there", F.lit(True)).alias("o")
+    n = (new if order is None else last_posted(new, key, order)).withColumn("_there", F.lit(True)).alias("n")
     both = o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")
-    has_old, has_new = F.col(f"o.{key}").isNotNull(), F.col(f"n.{key}").isNotNull()
+    has_old, has_new = F.col("o._there").isNotNull(), F.col("n._there").isNotNull()
     write = has_new & (~F.coalesce(protect, F.lit(False)) if protect is not None else F.lit(True))
     columns, changed = [F.coalesce(f"o.{key}", f"n.{key}").alias(key)], F.lit(False)
     for c, rule in rules.items():
@@ -36,16 +37,17 @@ def merge(old: DataFrame, new: DataFrame, key: str, rules: dict[str, str], prote
     return both.select(*columns, action.alias("action"))
 
 
-def _one_each(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    rest = [c for c in columns if c != key]
-    return rows.groupBy(key).agg(F.max(F.struct(*rest)).alias("_r")).select(key, *(F.col(f"_r.{c}").alias(c) for c in rest))
+def last_posted(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """Of the rows of a key the last by `order`; rows without a key stay, each."""
+    last = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*rows.columns), order).alias("_r"))
+    return last.select("_r.*").unionByName(rows.where(F.col(key).isNull()))
 
 
-def tracked(old: DataFrame, new: DataFrame, key: str, values: list[str], as_of: str) -> DataFrame:
+def tracked(old: DataFrame, new: DataFrame, key: str, values: list[str], as_of: str, order: str | None = None) -> DataFrame:
     """old after new by value: a value that is there, not 0 and different replaces
     the old one, which stays beside it with the time; a row that is met again is
-    active. Rows of new alone are not added."""
-    n = _one_each(new, key, [key, *values]).select(F.col(key).alias("_key"), *(F.col(v).alias(f"_{v}") for v in values))
+    active. Rows of new alone are not added. order: as in merge."""
+    n = (new if order is None else last_posted(new, key, order)).where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), *(F.col(v).alias(f"_{v}") for v in values))
     out = old.join(n, F.col(key) == F.col("_key"), "left")
     change = {v: F.coalesce((F.col(f"_{v}") != 0) & ~F.col(f"_{v}").eqNullSafe(F.col(v)), F.lit(False)) for v in values}
     any_change = F.lit(False)
@@ -57,10 +59,10 @@ def tracked(old: DataFrame, new: DataFrame, key: str, values: list[str], as_of:
     return out.withColumns(new_values | {"is_active": F.col("is_active") | F.col("_key").isNotNull()}).drop("_key", "_change", *(f"_{v}" for v in values))
 
 
-def imported(old: DataFrame, new: DataFrame, rules: dict[str, str], protect: Column | None = None) -> DataFrame:
+def imported(old: DataFrame, new: DataFrame, rules: dict[str, str], protect: Column | None = None, order: str | None = None) -> DataFrame:
     """merge by id of posted rows; those without an id or state are skipped and come back with action `skipped`."""
     good = ~is_blank(F.col("id")) & ~is_blank(F.col("state"))
-    done = merge(old, new.where(good), "id", rules, protect)
+    done = merge(old, new.where(good), "id", rules, protect, order)
     skipped = new.where(~good).select("id", *(F.col(c) for c in rules), *(F.lit(None).cast(dict(new.dtypes)[c]).alias(f"previous_{c}") for c, r in rules.items() if r == "track"), F.lit("skipped").alias("action"))
     return done.unionByName(skipped)
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .functions import text
 from .functions.urls import host
-from .operators import dedup, discovery, filters, health, lifecycle, merge, quality, reports
+from .operators import dedup, discovery, filters, first_wins, health, lifecycle, merge, quality, reports
 from .plans.listings import LISTINGS_SQL as L
 from .plans.listings import listings, table
 from .plans.messy import AUCTIONEERS_SQL as A
@@ -348,10 +348,36 @@ def all_sources(spark, sf_dir):
     return lifecycle.with_source({"bank": rows.where("source = 'caixa'").select("id", "evaluation_value"), "rest": rows.where("source <> 'caixa'").select("id")}).select("id", "from_source", "evaluation_value")
 
 
-@query("SELECT event_id FROM (SELECT *, min(event_id) OVER (PARTITION BY user_id, CAST(ts AS DATE)) AS f1, min(event_id) OVER (PARTITION BY value) AS f2 FROM events) WHERE event_id = f1 AND (event_id = f2 OR value IS NULL)")
+#: Item after item of each user, with the keys of those kept so far.
+_IN_TURN = """RECURSIVE e AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, event_type || '-' || (event_id % 5) AS a, CASE WHEN event_id % 7 > 0 THEN CAST(hour(ts) AS VARCHAR) ELSE '' END AS b FROM events),
+turn AS (SELECT user_id, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS taken, CAST(NULL AS BIGINT) AS event_id, FALSE AS kept FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL SELECT user_id, i, CASE WHEN free THEN list_concat(taken, own) ELSE taken END, event_id, free FROM (
+    SELECT e.user_id, e.i, t.taken, e.event_id, CASE WHEN e.b = '' THEN ['a' || e.a] ELSE ['a' || e.a, 'b' || e.b] END AS own, NOT list_has_any(t.taken, own) AS free FROM turn t JOIN e ON e.user_id = t.user_id AND e.i = t.i + 1))"""
+
+
+def _items(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", "user_id", F.concat_ws("-", "event_type", F.col("event_id") % 5).alias("a"), F.when(F.col("event_id") % 7 > 0, F.hour("ts").cast("string")).otherwise("").alias("b"))
+
+
+@query("SELECT event_id FROM turn WHERE kept", _IN_TURN)
 def first_of_each(spark, sf_dir):
-    e = table(spark, sf_dir, "events").withColumns({"a": F.concat_ws(":", "user_id", F.to_date("ts")), "b": F.col("value").cast("string")})
-    return filters.first_of_each(e, "event_id", ["a", "b"]).select("event_id")
+    return first_wins.first_of_each(_items(spark, sf_dir), "event_id", ["a", "b"], ["user_id"]).select("event_id")
+
+
+@query("SELECT event_id FROM turn WHERE kept", _IN_TURN, name="first_of_each_in_rounds")
+def first_of_each_in_rounds(spark, sf_dir):
+    """The same where all rounds run on tables, none in one task."""
+    return first_wins.first_of_each(_items(spark, sf_dir), "event_id", ["a", "b"], ["user_id"], few=0).select("event_id")
+
+
+@query("SELECT event_id FROM e WHERE event_id % 3 > 0 AND i = 1 AND NOT EXISTS (SELECT 1 FROM e o WHERE o.user_id = e.user_id AND o.event_id % 3 = 0 AND (o.a = e.a OR (o.b = e.b AND e.b <> '')))", "e AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_id % 3 > 0 ORDER BY event_id) AS i FROM (SELECT event_id, user_id, event_type || '-' || (event_id % 5) AS a, CASE WHEN event_id % 7 > 0 THEN CAST(hour(ts) AS VARCHAR) ELSE '' END AS b FROM events))")
+def first_unmet(spark, sf_dir):
+    """Of each user's new items the first, where no existing item has one of its keys."""
+    rows = _items(spark, sf_dir)
+    new = rows.where("event_id % 3 > 0")
+    firsts = new.groupBy("user_id").agg(F.min_by(F.struct("event_id", "a", "b"), "event_id").alias("r")).select("user_id", "r.*")
+    return first_wins.first_of_each(firsts, "event_id", ["a", "b"], ["user_id"], rows.where("event_id % 3 = 0")).select("event_id")
 
 
 @query("""SELECT site, page, CAST(round(CASE WHEN len(titles) > 0 AND before IS NOT NULL THEN len(list_intersect(titles, before)) / len(titles) ELSE 0.0 END, 4) AS DOUBLE) AS overlap, CASE WHEN len(titles) > 0 AND before IS NOT NULL THEN len(list_intersect(titles, before)) / len(titles) ELSE 0.0 END >= 0.8 AS stop
@@ -402,8 +428,7 @@ def duplicate_scores(spark, sf_dir):
 @query()
 def greedy_duplicates(spark, sf_dir):
     rows = _places(spark, sf_dir).withColumns({"block": F.concat_ws("|", F.lower("city"), F.upper("state"), F.floor(F.col("key") / 3) % 40), "t": text.short_address(F.col("address"))})
-    pairs = dedup.blocked_pairs(rows, ["block"], "t", "id")
-    return dedup.greedy_groups(pairs.join(rows.select(F.col("id").alias("a"), "block"), "a"), "block")
+    return dedup.batch_duplicates(rows.where("t <> ''"), ["block"], "t", "id")
 
 
 @query()

@@ -120,18 +120,88 @@ def test_scored_pairs(spark):
     assert found[("a", "b")].score == pytest.approx(0.4 * min(1, similar(address, address) + 0.3) + 0.2 * title + 0.4)
 
 
-def test_greedy_groups_and_probe(spark):
-    pairs = spark.createDataFrame([("x", 1, 2), ("x", 2, 3), ("x", 3, 4), ("y", 7, 9)], "block string, a int, b int")
-    assert {r.id: r.original_id for r in dedup.greedy_groups(pairs, "block").collect()} == {2: 1, 4: 3, 9: 7}
+def test_first_of_each_remembers_kept_items_only(spark):
+    from gavelspark.operators.first_wins import first_of_each
+
+    rows = spark.createDataFrame([(0, "1", "a"), (1, "1", "b"), (2, "2", "b"), (3, None, " "), (4, "", None), (5, "2", "z"), (6, "9", "z"), (7, "b", "1")], "at int, id string, url string")
+    for few in (0, 2, 50_000):
+        assert sorted(r.at for r in first_of_each(rows, "at", ["id", "url"], few=few).collect()) == [0, 2, 3, 4, 6, 7]
+    old = spark.createDataFrame([("2", "q"), ("x", "a"), (None, "")], "id string, url string")
+    assert sorted(r.at for r in first_of_each(rows, "at", ["id", "url"], existing=old).collect()) == [1, 3, 4, 6, 7]
+    assert first_of_each(rows.limit(0), "at", ["id", "url"]).count() == 0
+
+
+def test_first_of_each_as_item_after_item(spark):
+    import random
+
+    from gavelspark.operators.first_wins import first_of_each
+
+    r = random.Random(3)
+    rows = [(i, r.choice("xy"), f"i{r.randrange(60)}", f"u{r.randrange(60)}" if r.random() < 0.9 else None) for i in range(400)]
+    rows += [(400 + i, "chain", f"c{i // 2}", f"d{(i + 1) // 2}") for i in range(21)]  # each hangs on the one before
+    rows += [(500 + i, "hot", "same", f"u{i}") for i in range(60)]
+    taken, kept = set(), []
+    for at, site, *keys in rows:
+        own = {(site, n, k) for n, k in enumerate(keys) if k}
+        if not own & taken:
+            taken |= own
+            kept.append(at)
+    df = spark.createDataFrame(rows, "at int, site string, id string, url string").repartition(5)
+    for few in (0, 50_000):
+        assert sorted(x.at for x in first_of_each(df, "at", ["id", "url"], ["site"], few=few).collect()) == kept
+
+
+def in_turn(pairs):
+    out = {}
+    for a, b in sorted(pairs):
+        if a not in out:
+            out.setdefault(b, a)
+    return out
+
+
+def test_absorbed_as_in_turn(spark):
+    import random
+
+    from gavelspark.operators.first_wins import absorbed
+
+    r = random.Random(9)
+    for n, edges in ((4, [(1, 2), (2, 3), (3, 4)]), (60, None), (200, None)):
+        pairs = edges or list({tuple(sorted(r.sample(range(n), 2))) for _ in range(2 * n)}) + [(0, i) for i in range(1, n, 3)]
+        df = spark.createDataFrame(pairs, "a int, b int")
+        for few in (0, 50_000):
+            assert {x.id: x.original_id for x in absorbed(df, few=few).collect()} == in_turn(pairs)
+    assert absorbed(spark.createDataFrame([], "a int, b int"), few=0).count() == 0
+
+
+def test_batch_duplicates(spark):
+    import random
+
+    r = random.Random(5)
+    texts = [f"rua {r.choice(['das flores', 'da serra', 'do sol nascente'])} {r.randrange(130)} {r.choice(['centro', 'lado sul'])}" for _ in range(120)]
+    rows = [(i, r.choice("st"), t) for i, t in enumerate(texts)]
+    out = {}
+    for n, (i, b, t) in enumerate(rows):
+        if i not in out:
+            for j, c, u in rows[n + 1 :]:
+                if j not in out and b == c and similar(t, u) >= 0.85:
+                    out[j] = i
+    got = dedup.batch_duplicates(spark.createDataFrame(rows, "id int, site string, t string"), ["site"], "t", "id").collect()
+    assert {x.id: x.original_id for x in got} == out and out
+
+
+def test_probe(spark):
     old = spark.createDataFrame([(1, "s", "rua das flores 10"), (2, "s", "avenida brasil 5")], "id int, st string, t string")
     new = spark.createDataFrame([(10, "s", "rua das flores 10"), (11, "s", "rua das flores 11"), (12, "s", "praca nova"), (13, "t", "avenida brasil 5"), (14, "s", None)], "id int, st string, t string")
     assert {r.id: r.original_id for r in dedup.probe(new, old, ["st"], "t").collect()} == {10: 1, 11: 1, 12: None, 13: None, 14: None}
 
 
-def test_merge_keeps_one_row_a_key(spark):
-    old = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "z")], "id string, v string")
-    new = spark.createDataFrame([("a", "n"), ("a", "m")], "id string, v string")
-    assert sorted(tuple(r) for r in merge.merge(old, new, "id", {"v": "replace"}).collect()) == [("a", "n", "updated"), ("b", "z", "kept")]
+def test_merge_last_posted_wins_and_null_keys_pass(spark):
+    old = spark.createDataFrame([("a", "x"), (None, "p"), (None, "q"), ("b", "z"), ("c", "same")], "id string, v string")
+    new = spark.createDataFrame([("a", "zz-first", 1), ("a", "aa-last", 2), (None, "n1", 3), (None, "n2", 4), ("d", "new", 5), ("c", "same", 6)], "id string, v string, at int")
+    got = sorted((tuple(r) for r in merge.merge(old, new, "id", {"v": "replace"}, order="at").collect()), key=repr)
+    assert got == sorted([("a", "aa-last", "updated"), (None, "p", "kept"), (None, "q", "kept"), ("b", "z", "kept"), ("c", "same", "unchanged"), ("d", "new", "inserted"), (None, "n1", "inserted"), (None, "n2", "inserted")], key=repr)
+    done = merge.imported(old.withColumn("state", F.lit("SP")), new.withColumn("state", F.when(F.col("at") != 5, "RJ")), {"v": "track", "state": "keep"}, order="at")
+    assert {(r.id, r.v, r.previous_v, r.action) for r in done.where("id is not null").collect()} == {("a", "aa-last", "x", "updated"), ("b", "z", None, "kept"), ("c", "same", None, "unchanged"), ("d", "new", None, "skipped")}
 
 
 def test_separators_are_found(spark):
