@@ -103,13 +103,6 @@ def named(listings: DataFrame, auctioneers: DataFrame) -> DataFrame:
     return out.withColumn("auctioneer_name", F.when(is_blank(F.col("auctioneer_name")), F.coalesce("_name", words)).otherwise(F.col("auctioneer_name"))).drop("_id", "_name")
 
 
-def by_site(rows: DataFrame, auctioneers: DataFrame, host_of: Column, own_host: Column) -> DataFrame:
-    """rows with the auctioneer (lowest id) of their host: an equi-join, where
-    looking for one address inside another would compare all pairs."""
-    known = auctioneers.select(own_host.alias("_host"), F.col("id").alias("_id")).where("_host <> ''").groupBy("_host").agg(F.min("_id").alias("site_auctioneer"))
-    return rows.withColumn("_of", host_of).join(known, F.col("_of") == F.col("_host"), "left").drop("_of", "_host")
-
-
 def without_ids(rows: DataFrame, gone: DataFrame, id: str = "id") -> DataFrame:
     return rows.join(gone.select(id).distinct(), id, "left_anti")
 

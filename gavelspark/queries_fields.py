@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .functions import categories, dates, geo, money, places, text, urls
-from .operators import discovery, filters, lifecycle, reports
+from .operators import discovery, filters, lifecycle, lookup, reports
 from .plans.messy import messy, messy_sql
 from .registry import query
 from .sources import bank_csv, html_items, json_items
@@ -193,14 +193,14 @@ def title_parts(spark, sf_dir):
     return rows.select("key", text.without_prefix(prefixed).alias("p")).select("key", "p.title", F.col("p.where").alias("place"))
 
 
-_PLACES = ", ".join(f"({i}, '{c}', '{s}', {a}, {b}, {str(geo.CAPITALS[s] == c).upper()})" for i, (c, s, a, b) in enumerate(geo.places()))
+_PLACES = ", ".join(f"({i}, '{c}', '{s}', {a}, {b}, {str(geo.CAPITALS[s] == c).upper()})" for i, (c, s, a, b) in enumerate(geo.PLACES))
 
 
 @query("""SELECT key, m.latitude, m.longitude, m.matched FROM (SELECT key, min(struct_pack(rank := CASE WHEN g.city = c THEN 0 WHEN contains(g.city, c) OR contains(c, g.city) THEN 1 ELSE 2 END, n := n, latitude := lat, longitude := lon,
   matched := CASE WHEN g.city IS NULL THEN NULL WHEN g.city = c THEN 'city' WHEN contains(g.city, c) OR contains(c, g.city) THEN 'part' ELSE 'capital' END)) AS m FROM m LEFT JOIN g ON g.state = s AND (contains(g.city, c) OR contains(c, g.city) OR g.capital) GROUP BY key)""",
        messy_sql("city", "state") + f", m AS (SELECT key, trim({_FOLD.format('lower(city)')}) AS c, lower(trim(state)) AS s FROM messy), g(n, city, state, lat, lon, capital) AS (SELECT n, city, state, CAST(lat AS DOUBLE), CAST(lon AS DOUBLE), capital FROM (VALUES {_PLACES}) v(n, city, state, lat, lon, capital))")
 def geocode_lookup(spark, sf_dir):
-    return messy(spark, sf_dir, "city", "state").select("key", geo.coordinates(F.col("city"), F.col("state")).alias("p")).select("key", "p.latitude", "p.longitude", "p.matched")
+    return lookup.located(messy(spark, sf_dir, "city", "state")).select("key", "latitude", "longitude", "matched")
 
 
 _TITLE_CATEGORY = "CASE " + " ".join(f"WHEN regexp_matches(lower(title), '(^|{_NOT_WORD})({w})({_NOT_WORD}|$)') THEN '{n}'" for n, w in categories.TITLE_WORDS) + " END"

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import text
-from .functions.urls import host
-from .operators import dedup, discovery, filters, first_wins, health, lifecycle, merge, quality, reports
+from .operators import dedup, discovery, filters, first_wins, health, lifecycle, lookup, merge, quality, reports
 from .plans.listings import LISTINGS_SQL as L
 from .plans.listings import listings, table
 from .plans.messy import AUCTIONEERS_SQL as A
@@ -324,11 +323,13 @@ def name_backfill(spark, sf_dir):
     return lifecycle.named(rows, dim).select("id", "auctioneer_name")
 
 
-@query("SELECT l.id, a.site AS site_auctioneer FROM listings l LEFT JOIN (SELECT id % 400 AS n, min(id) AS site FROM auctioneers WHERE website IS NOT NULL GROUP BY 1) a ON l.key % 500 = a.n", L + "," + A)
+_SITE_PARTS = "CASE key % 6 WHEN 0 THEN 'SITE' || key % 500 || '.com.br' WHEN 1 THEN 'https://www.site' || key % 450 || '.com.br' WHEN 2 THEN 'site' || key % 40 WHEN 3 THEN 'nowhere' || key % 90 WHEN 4 THEN key % 500 || '.com' WHEN 5 THEN CASE WHEN key % 4 = 0 THEN '' WHEN key % 4 > 1 THEN 'w' END END"
+
+
+@query("SELECT id, site_auctioneer FROM p LEFT JOIN (SELECT part, min(a.id) AS site_auctioneer FROM (SELECT DISTINCT part FROM p) JOIN auctioneers a ON contains(lower(website), part) GROUP BY part) USING (part)", L + "," + A + f", p AS (SELECT id, lower({_SITE_PARTS}) AS part FROM listings)")
 def site_owner(spark, sf_dir):
     rows = listings(spark, sf_dir, values=False)
-    of = F.concat(F.lit("site"), F.col("key") % 500, F.lit(".com.br"))
-    return lifecycle.by_site(rows, auctioneers(spark, sf_dir), of, host(F.col("website"))).select("id", "site_auctioneer")
+    return lookup.first_containing(rows, F.expr(_SITE_PARTS), auctioneers(spark, sf_dir), "website", "id", "site_auctioneer").select("id", "site_auctioneer")
 
 
 @query("SELECT id FROM listings WHERE key % 3 > 0", L)

@@ -253,3 +253,22 @@ def test_pending_batches(spark, tmp_path):
     q = search_log.process_pending(stream, lambda b: b.withColumn("done", F.lit(True)), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 10
+
+
+def test_first_containing_as_all_pairs(spark):
+    from gavelspark.operators.lookup import first_containing
+
+    sites = [(3, "https://www.Leilao.com.br"), (1, "www.leilao-b.com"), (2, None), (4, ""), (0, "x"), (5, "https://ação.br")]
+    parts = ["leilao", "LEILAO.com", "com", "b", "", None, "nowhere", "https://www.leilao.com.br", "ação", "x", "https://www.leilao.com.br/more", "com"]
+    expected = [None if p is None else min((i for i, s in sites if s and p.lower() in s.lower()), default=None) for p in parts]
+    rows = spark.createDataFrame(list(enumerate(parts)), "n int, p string")
+    got = first_containing(rows, F.col("p"), spark.createDataFrame(sites, "id int, site string"), "site", "id", "found").orderBy("n").collect()
+    assert [r.found for r in got] == expected
+
+
+def test_located_in_order(spark):
+    from gavelspark.operators.lookup import located
+
+    rows = [(1, "São Paulo", " SP "), (2, "sao", "sp"), (3, "Santos, litoral", "SP"), (4, "Xyz", "rj"), (5, "Xyz", "??"), (6, None, "mg"), (7, "", "PR"), (8, "Curitiba", None)]
+    got = {r.n: (r.latitude, r.matched) for r in located(spark.createDataFrame(rows, "n int, city string, state string")).collect()}
+    assert got == {1: (-23.5505, "city"), 2: (-23.5505, "part"), 3: (-23.9608, "part"), 4: (-22.9068, "capital"), 5: (None, None), 6: (-19.9167, "capital"), 7: (-25.4284, "part"), 8: (None, None)}
