@@ -53,33 +53,52 @@ def distinct_texts(rows: DataFrame, block: list[str], text: str, id: str) -> Dat
     return rows.where(F.col(text).isNotNull()).groupBy(*block, F.col(text).alias("t")).agg(F.min(id).alias("id"), F.count(F.lit(1)).alias("copies"))
 
 
-def _prefixes(texts: DataFrame, block: list[str], least: float) -> DataFrame:
-    """block, id, n (length) and the tokens of which similar texts share one.
+def _bounds(least: float) -> tuple[float, float, int, int]:
+    """What a ratio means for three-letter grams: the share of a pair's characters
+    that are shared grams, that of its longer text, and the lengths from which grams,
+    and up to which letters are compared.
 
     Texts of a ratio r and T characters together match in M >= rT/2 of them, in at
     most (1 - r)T + 1 runs, so they share at least T(2.5r - 2) - 2 three-letter
     grams, counted with repeats, and rT/2 letters. The partner of a text of n
-    characters has at least nr / (2 - r). So if each text's tokens stand in one
-    order, the rarest of the block first, two similar texts share a token among
-    all but their last few. Texts too short for a gram bound are met by letters."""
+    characters has at least nr / (2 - r)."""
     per, whole = 2.5 * least - 2, 2 / (2 - least)
     by_grams = math.floor(2 / per / 2) + 1 if per > 0.02 else 1 << 30  # both of this length: a shared gram for sure
-    longest_short = math.ceil((by_grams - 1) * (2 - least) / least)
+    return per, whole, by_grams, math.ceil((by_grams - 1) * (2 - least) / least)
+
+
+def text_tokens(texts: DataFrame, keep: list[str], least: float, within: list[str] = []) -> DataFrame:  # noqa: B006
+    """keep, id, n (length), kind and token for each gram, and for short texts each
+    letter, of texts (t); repeats are tokens of their own. within: columns that are part of the token."""
+    _, _, by_grams, longest_short = _bounds(least)
     n = F.length("t")
     grams = F.when(n >= by_grams, F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring(F.col("t"), i, F.lit(3))))
     letters = F.when(n <= longest_short, F.filter(F.split("t", ""), lambda x: x != ""))
     kinds = F.array(F.struct(F.lit("g").alias("kind"), grams.alias("tokens")), F.struct(F.lit("l").alias("kind"), letters.alias("tokens")))
-    each = texts.select(*block, "id", n.alias("n"), F.explode(kinds).alias("k")).select(*block, "id", "n", "k.kind", F.explode("k.tokens").alias("token"))
-    counted = each.groupBy(*block, "id", "n", "kind", "token").agg(F.count(F.lit(1)).alias("times"))
-    tokens = counted.select(*block, "id", "n", "kind", F.explode(F.transform(F.sequence(F.lit(1), F.col("times").cast("int")), lambda i: F.struct(F.col("token").alias("token"), i.alias("i")))).alias("x"))
-    tokens = tokens.select(*block, "id", "n", "kind", F.xxhash64("kind", "x.token", "x.i").alias("token"))
+    each = texts.select(*keep, "id", n.alias("n"), F.explode(kinds).alias("k")).select(*keep, "id", "n", "k.kind", F.explode("k.tokens").alias("token"))
+    counted = each.groupBy(*keep, "id", "n", "kind", "token").agg(F.count(F.lit(1)).alias("times"))
+    tokens = counted.select(*keep, "id", "n", "kind", F.explode(F.transform(F.sequence(F.lit(1), F.col("times").cast("int")), lambda i: F.struct(F.col("token").alias("token"), i.alias("i")))).alias("x"))
+    return tokens.select(*keep, "id", "n", "kind", F.xxhash64("kind", "x.token", "x.i", *within).alias("token"))
+
+
+def kept_tokens(ranked: DataFrame, of_text: list[str], least: float) -> DataFrame:
+    """Of tokens with `seen`, those of which two similar texts share one: if each
+    text's stand in one order, the rarest first, all but the last few."""
+    per, whole, _, _ = _bounds(least)
+    place = F.row_number().over(Window.partitionBy("id", "kind", *of_text).orderBy("seen", "token"))  # of one text
+    size = F.when(F.col("kind") == "g", F.col("n") - 2).otherwise(F.col("n"))
+    shared = F.when(F.col("kind") == "g", F.ceil(F.col("n") * (whole * per) - 2 - 1e-9)).otherwise(F.ceil(F.col("n") * (whole * least / 2) - 1e-9))
+    return ranked.withColumn("place", place).where(F.col("place") <= size - F.greatest(shared, F.lit(1)) + 1)
+
+
+def _prefixes(texts: DataFrame, block: list[str], least: float) -> DataFrame:
+    """block, id, n (length) and the tokens of which similar texts share one; texts
+    too short for a gram bound are met by letters."""
+    tokens = text_tokens(texts, block, least)
     known = tokens.groupBy(*block, "token").agg(F.count(F.lit(1)).alias("seen"))
     a, b = tokens.alias("a"), known.alias("b")
     ranked = a.join(b, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in block] + [F.col("a.token") == F.col("b.token")]).select("a.*", "b.seen")
-    place = F.row_number().over(Window.partitionBy("id", "kind", *block).orderBy("seen", "token"))  # of one text
-    size = F.when(F.col("kind") == "g", F.col("n") - 2).otherwise(F.col("n"))
-    shared = F.when(F.col("kind") == "g", F.ceil(F.col("n") * (whole * per) - 2 - 1e-9)).otherwise(F.ceil(F.col("n") * (whole * least / 2) - 1e-9))
-    return ranked.withColumn("place", place).where((F.col("seen") > 1) & (F.col("place") <= size - F.greatest(shared, F.lit(1)) + 1)).select(*block, "id", "n", "token")
+    return kept_tokens(ranked, block, least).where("seen > 1").select(*block, "id", "n", "token")
 
 
 def blocked_pairs(rows: DataFrame, block: list[str], text: str, id: str, least: float = 0.85) -> DataFrame:
@@ -166,18 +185,6 @@ def scored_pairs(rows: DataFrame, least: float = 0.75, least_address: float = 0.
     return pair_score(met, least).select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), "score", "reasons")
 
 
-def probe(new: DataFrame, old: DataFrame, block: list[str], text: str, least: float = 0.85) -> DataFrame:
-    """new's ids with the existing row they repeat: the lowest id of the same block
-    and text, else the lowest that is similar by `least`; null: none."""
-    both = new.select("id", *block, text, F.lit(True).alias("is_new")).union(old.select("id", *block, text, F.lit(False)))
-    heads = both.where(F.col(text).isNotNull()).groupBy(*block, text).agg(F.min("id").alias("head"), F.min(F.when(~F.col("is_new"), F.col("id"))).alias("old"))
-    exact = new.join(heads, [*block, text], "left").select("id", "head", F.col("old").alias("exact"))
-    pairs = blocked_pairs(both, block, text, "id", least)
-    edges = pairs.select("a", "b").union(pairs.select("b", "a")).toDF("head", "other")
-    fuzzy = edges.join(heads.where("old is not null").select(F.col("head").alias("other"), "old"), "other").groupBy("head").agg(F.min("old").alias("fuzzy"))
-    return exact.join(fuzzy, "head", "left").select("id", F.coalesce("exact", "fuzzy").alias("original_id"))
-
-
 def losers(pairs: DataFrame, points: DataFrame) -> DataFrame:
     """Of each pair the row with fewer points (id, points); the second of a tie. Distinct ids with their best partner."""
     p = points.select("id", "points")

@@ -189,10 +189,27 @@ def test_batch_duplicates(spark):
     assert {x.id: x.original_id for x in got} == out and out
 
 
-def test_probe(spark):
-    old = spark.createDataFrame([(1, "s", "rua das flores 10"), (2, "s", "avenida brasil 5")], "id int, st string, t string")
-    new = spark.createDataFrame([(10, "s", "rua das flores 10"), (11, "s", "rua das flores 11"), (12, "s", "praca nova"), (13, "t", "avenida brasil 5"), (14, "s", None)], "id int, st string, t string")
-    assert {r.id: r.original_id for r in dedup.probe(new, old, ["st"], "t").collect()} == {10: 1, 11: 1, 12: None, 13: None, 14: None}
+def test_probe_index(spark, tmp_path):
+    import random
+
+    from gavelspark.operators.probe_index import ProbeIndex
+
+    r = random.Random(6)
+    make = lambda ids: [(i, r.choice(["s", "t", None]), r.choice([None, "", "a", "ab"]) if i % 20 == 0 else f"{r.choice(['rua', 'avenida'])} {r.choice(['das flores', 'da serra', 'brasil'])} {r.randrange(70)} {r.choice(['centro', 'sul'])}") for i in ids]
+    old, more, new = make(range(0, 80)), make(range(80, 130)), make(range(1000, 1150))
+    df = lambda rows: spark.createDataFrame(rows, "id int, st string, t string")
+    index = ProbeIndex(spark, str(tmp_path / "index"), ["st"], "t", buckets=3).create(df(old)).add(df(more))
+    def first(block, text):
+        return min((i for i, b, t in old + more if None not in (t, text) and b == block and (t == text or (t and text and similar(t, text) >= 0.85))), default=None)
+
+    expected = {i: first(b, t) for i, b, t in new}
+    assert {x.id: x.original_id for x in index.probe(df(new)).collect()} == expected and len(set(expected.values())) > 20
+    later = ProbeIndex(spark, str(tmp_path / "index"), ["st"], "t", buckets=3)  # another session knows the folder only
+    found = later.probe(df(new))
+    assert {x.id: x.original_id for x in found.collect()} == expected
+    read = {f.split("/index/")[1].split("/")[0] for f in found.inputFiles() if "/index/" in f}
+    assert read == {"order", "texts", "tokens"}
+    assert later.probe(df([])).count() == 0
 
 
 def test_merge_last_posted_wins_and_null_keys_pass(spark):
