@@ -4,7 +4,10 @@ with DataFrame functions only.
 A line's way down the tree is its number of words, then its first `depth`
 words; words that hold a digit are a wildcard from the start. A leaf holds any
 number of templates. Lines agree if they have the same word in at least
-`similarity` of their places; of a sample of the leaf's lines, those with more
+`similarity` of their places. Lines that agree differ in few places, so if the
+places after the first words are cut into one run more than that, they have a run
+in common; lines of a leaf that share no run with any other agree with none and
+need not be compared, however many a leaf holds. Of the others: of a sample of the leaf's lines, those with more
 texts in agreement than every sampled line they agree with are templates, and
 each line goes to the template that it agrees with most. Lines that have none
 are sampled again, more of them each round, until too few texts are left in the
@@ -59,15 +62,28 @@ def line_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return trimmed.select("key", "text_hash", "place", masked(F.col("line")).alias("line"))
 
 
+def may_agree(lines: DataFrame, similarity: float, depth: int) -> DataFrame:
+    """Of lines (leaf, h1, h2, words as hashes) those that share a run of places with another of their leaf."""
+    n = F.size("words")
+    runs = n - F.ceil(n * F.lit(similarity) - 1e-9).cast("int") + 1
+    start = lambda j: F.floor(j * (n - depth) / runs).cast("int")
+    run = F.explode(F.transform(F.sequence(F.lit(0), runs - 1), lambda j: F.xxhash64("leaf", j, F.slice("words", depth + 1 + start(j), start(j + 1) - start(j)))))
+    each = lines.select("h1", "h2", run.alias("run"))
+    shared = each.groupBy("run").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("run")
+    some = each.join(shared, "run", "left_semi").select("h1", "h2").distinct()
+    return lines.join(some, ["h1", "h2"], "left_semi")
+
+
 def _templates(open_lines: DataFrame, similarity: float, salt: int = 16, sample: int = 32) -> DataFrame:
     """h1, h2 and their template's t1, t2, for the lines (leaf, h1, h2, words as
     hashes, texts, need) that have one. A leaf's lines meet its sample in `salt` parts."""
     salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long")))
     done = []
     while True:
-        order = Window.partitionBy("leaf").orderBy("h1", "h2")
-        lowest = open_lines.groupBy("leaf", F.pmod(F.xxhash64("h2"), F.lit(salt)).alias("part")).agg(F.slice(F.array_sort(F.collect_list(F.struct("h1", "h2", "words"))), 1, sample).alias("c"))  # parts of a leaf, then the leaf
-        lowest = lowest.select("leaf", F.explode("c").alias("c")).select("leaf", "c.*").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample)
+        in_part, in_leaf = (Window.partitionBy(*by).orderBy("h1", "h2") for by in (("leaf", "part"), ("leaf",)))
+        parts = open_lines.select("leaf", "h1", "h2", "words", F.pmod(F.xxhash64("h2"), F.lit(salt)).alias("part"))
+        lowest = parts.withColumn("rank", F.row_number().over(in_part)).where(F.col("rank") <= sample)  # of parts of a leaf, then of the leaf
+        lowest = lowest.withColumn("rank", F.row_number().over(in_leaf)).where(F.col("rank") <= sample)
         centers = lowest.select("leaf", F.col("h1").alias("t1"), F.col("h2").alias("t2"), F.col("words").alias("center"), salts.alias("salt"))
         lines = open_lines.withColumn("salt", F.pmod(F.xxhash64("h1", "h2"), F.lit(salt)))
         share = F.size(F.filter(F.zip_with("words", "center", lambda x, y: x == y), lambda same: same)) / F.size("words")
@@ -107,7 +123,8 @@ def recurring(docs: DataFrame, key: str = "doc_id", text: str = "text", least: i
         line_table(docs, key, text).select("line", leaf.alias("leaf")).join(crowded, "leaf", "left_semi")
         .select(h1, h2, F.transform(F.split("line", " "), lambda w: F.xxhash64(w)).alias("words")).groupBy("h1", "h2").agg(F.first("words").alias("words"))
     )
-    of_template = _templates(written(exact.join(worded, ["h1", "h2"]).select("leaf", "h1", "h2", "words", "texts", "need"), "open"), similarity)
+    candidates = written(exact.join(worded, ["h1", "h2"]).select("leaf", "h1", "h2", "words", "texts", "need"), "candidates")
+    of_template = _templates(written(may_agree(candidates, similarity, depth), "open"), similarity)
     whole = (
         pairs.join(of_template, ["h1", "h2"]).groupBy("t1", "t2", "text_hash").agg(F.min("key").alias("key"), F.min("need").alias("need"))
         .groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("texts"), F.min("key").alias("first"), F.min("need").alias("need")).where(F.col("texts") >= F.col("need"))
