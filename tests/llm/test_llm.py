@@ -453,6 +453,32 @@ def test_every_notice_is_found_wrapped():
     assert scanner.scan("") == [] and [f[2] for f in scanner.scan("the license of my car has nothing to do with any of this")] == [None]
 
 
+LGPL_21 = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, "
+    "this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+
+
+@pytest.mark.parametrize(
+    ("text", "licenses"),
+    [
+        (LGPL_21, ["LGPL-2.1"]), (LGPL_21.replace("2.1", "7.9"), [None]), (BSD, ["BSD-2-Clause"]), (BSD + NAMES, ["BSD-3-Clause"]), ("Licensed under CC BY 2.0.", ["CC-BY-2.0"]),
+        ("Licensed under the Apache License, Version 1.1.", ["Apache-1.1"]), ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1.", ["MPL-1.1"]),
+        ("This work is licensed under the GNU General Public License, version 1.", ["GPL-1.0"]), ("Licensed under CC BY-NC-ND 4.0.", ["CC-BY-NC-ND-4.0"]), ("Licensed under CC BY-SA 3.0.", ["CC-BY-SA-3.0"]),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 3.0 International License.", ["CC-BY-NC-SA-3.0"]), ("Distributed under the Boost Software License, Version 1.0.", ["BSL-1.0"]),
+        ("Licensed under the BSD 2-Clause License.", ["BSD-2-Clause"]), ("Licensed under the BSD 4-Clause License.", ["BSD-4-Clause"]), ("Licensed under the Artistic License 2.0.", ["Artistic-2.0"]), ("Eclipse Public License - v 1.0", ["EPL-1.0"]),
+        ("Licensed under the Frobnicate License, Version 2.0.", [None]), ("Licensed under the Apache License, Version 3.7.", [None]), ("Licensed under CC BY-XX 4.0.", [None]), ("GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999", ["LGPL-2.1"]),
+        ("Licensed under the MIT License. " + "word " * 40 + "Licensed under the MIT License.", ["MIT", "MIT"]), ("the License of Version 2.0 of my story", [None]),
+    ],
+)
+def test_near_misses_are_told_apart(text, licenses):
+    from gavelspark.llm.license_scan import TEMPLATES, Scanner
+
+    assert [f[2] for f in Scanner(TEMPLATES, 0.25, 0.3).scan(f"some words before it. {text} and some after it")] == licenses
+
+
 def test_secret_candidates(spark):
     from gavelspark.llm.secret_scan import candidates
 
