@@ -13,6 +13,8 @@ from .plans.listings import listings, table
 from .plans.messy import AUCTIONEERS_SQL as A
 from .plans.messy import auctioneers, messy, messy_sql
 from .registry import query
+from .sources import html_items
+from .streaming import paging
 from .tables import shared_folder
 
 NOW = "2024-03-10"
@@ -352,6 +354,12 @@ def all_sources(spark, sf_dir):
     return lifecycle.with_source({"bank": rows.where("source = 'caixa'").select("id", "evaluation_value"), "rest": rows.where("source <> 'caixa'").select("id")}).select("id", "from_source", "evaluation_value")
 
 
+@query("SELECT page_id, place, title, source_url, price, location, image_url FROM (SELECT page_id, CAST(1 AS INTEGER) AS place, replace(replace(replace(trim(regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1, 's')), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title, url AS source_url, CAST(NULL AS DOUBLE) AS price, '' AS location, '' AS image_url FROM pages) WHERE length(title) >= 10")
+def selected_cards(spark, sf_dir):
+    """Items of raw pages, whose cards are their articles."""
+    return html_items.selected_cards(table(spark, sf_dir, "pages"), {"title": "article > h1"}, ["page_id"])
+
+
 #: Item after item of each user, with the keys of those kept so far.
 _IN_TURN = """RECURSIVE e AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, event_type || '-' || (event_id % 5) AS a, CASE WHEN event_id % 7 > 0 THEN CAST(hour(ts) AS VARCHAR) ELSE '' END AS b FROM events),
 turn AS (SELECT user_id, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS taken, CAST(NULL AS BIGINT) AS event_id, FALSE AS kept FROM (SELECT DISTINCT user_id FROM events)
@@ -392,6 +400,23 @@ def page_overlap(spark, sf_dir):
     return filters.page_overlap(pages).select("site", "page", "overlap", "stop")
 
 
+_PAGES = """e AS (SELECT user_id % 50 AS site, event_id // 500 AS page, list(event_type || '-' || (event_id % 7) ORDER BY event_id) AS t FROM events GROUP BY 1, 2),
+pages AS (SELECT site, page, 'https://s/' || site || '?page=' || (page % (10 + site % 7)) AS url, CASE WHEN (site + page) % 11 < 2 THEN [] ELSE t END AS titles FROM e),
+seen AS (SELECT *, list(url) OVER before AS urls, coalesce(lag(len(titles) = 0) OVER (PARTITION BY site ORDER BY page), FALSE) AS empty_before, flatten(list(titles) OVER before)[-20:] AS last
+  FROM pages WINDOW before AS (PARTITION BY site ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+judged AS (SELECT *, CASE WHEN coalesce(list_contains(urls, url), FALSE) THEN 'revisit' WHEN len(titles) = 0 AND empty_before THEN 'two empty' WHEN len(titles) > 0 AND coalesce(len(list_distinct(list_intersect(titles, last))), 0) > len(list_distinct(titles)) * 0.8 THEN 'same titles' END AS why FROM seen),
+stopped AS (SELECT *, coalesce(max(CASE WHEN why IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY site ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS over FROM judged)"""
+
+
+@query("SELECT site, page, len(titles) AS n, CASE WHEN over THEN 'after a stop' ELSE why END AS reason, why IS NULL AND NOT over AND len(titles) > 0 AS kept FROM stopped", _PAGES)
+def page_stops(spark, sf_dir):
+    e = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 50).alias("site"), F.floor(F.col("event_id") / 500).alias("page"))
+    items = e.agg(F.sort_array(F.collect_list(F.struct("event_id", F.concat_ws("-", "event_type", F.col("event_id") % 7).alias("title")))).alias("t"))
+    titles = F.when((F.col("site") + F.col("page")) % 11 < 2, F.array().cast("array<string>")).otherwise(F.col("t.title"))
+    url = F.concat(F.lit("https://s/"), "site", F.lit("?page="), F.col("page") % (F.col("site") % 7 + 10))
+    return paging.stops(items.select("site", "page", url.alias("url"), titles.alias("titles"))).select("site", "page", F.size("titles").cast("long").alias("n"), "reason", "kept")
+
+
 @query("SELECT * FROM (VALUES ('category', 'Apartamento'), ('category', 'Casa'), ('category', 'Terreno'), ('category', 'Comercial'), ('category', 'Estacionamento'), ('category', 'Rural'), ('category', 'Área'), ('category', 'Prédio'), ('category', 'Outro'), ('auction_type', 'Judicial'), ('auction_type', 'Extrajudicial'), ('auction_type', 'Venda Direta'), ('auction_type', 'Leilão SFI'), ('auction_type', 'Outros')) v(kind, name)")
 def closed_sets(spark, sf_dir):
     from .schema import closed_sets as sets
