@@ -14,6 +14,7 @@ from .plans.messy import AUCTIONEERS_SQL as A
 from .plans.messy import auctioneers, messy, messy_sql
 from .registry import query
 from .sources import html_items
+from .sources.config_store import ConfigStore
 from .streaming import paging
 from .tables import shared_folder
 
@@ -354,6 +355,18 @@ def all_sources(spark, sf_dir):
     return lifecycle.with_source({"bank": rows.where("source = 'caixa'").select("id", "evaluation_value"), "rest": rows.where("source <> 'caixa'").select("id")}).select("id", "from_source", "evaluation_value")
 
 
+@query("""SELECT CAST(id AS VARCHAR) AS site, CASE WHEN id % 4 = 1 THEN 'replaced' ELSE json_extract_string(scrape_config, '$.site_type') END AS site_type, CASE WHEN id % 4 = 1 THEN property_count END AS pages
+FROM auctioneers WHERE (scrape_config IS NOT NULL OR id % 4 = 1) AND id % 7 > 0""", A)
+def config_store(spark, sf_dir):
+    """Settings of all auctioneers saved, some replaced, some removed, and what holds then."""
+    rows = auctioneers(spark, sf_dir).withColumn("site", F.col("id").cast("string"))
+    store = ConfigStore(spark, f"{shared_folder(spark)}/configs-{uuid.uuid4().hex}")
+    store.save(rows.where("scrape_config is not null"), "site", "scrape_config")
+    store.save(rows.where("id % 4 = 1").withColumn("new", F.to_json(F.struct(F.lit("replaced").alias("site_type"), F.struct(F.col("property_count").alias("n")).alias("pages")))), "site", "new")
+    store.delete(rows.where("id % 7 = 0"))
+    return store.all().select("site", F.try_variant_get("config", "$.site_type", "string").alias("site_type"), F.try_variant_get("config", "$.pages.n", "int").alias("pages"))
+
+
 @query("SELECT page_id, place, title, source_url, price, location, image_url FROM (SELECT page_id, CAST(1 AS INTEGER) AS place, replace(replace(replace(trim(regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1, 's')), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title, url AS source_url, CAST(NULL AS DOUBLE) AS price, '' AS location, '' AS image_url FROM pages) WHERE length(title) >= 10")
 def selected_cards(spark, sf_dir):
     """Items of raw pages, whose cards are their articles."""
