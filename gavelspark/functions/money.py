@@ -5,26 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
+
+#: Digits, with groups of three after dots and decimals after a comma, or neither.
+_USUAL = r"^[0-9]{1,3}(?:\.[0-9]{3})*,[0-9]+$|^[0-9]+(?:,[0-9]{1,2})?$"
+
 
 def parse_money(c: Column) -> Column:
     """The last of two kinds of separators marks decimals; a lone dot or comma
     marks them unless exactly three digits follow it (then it groups
     thousands; a lone comma with three digits too)."""
-    s = F.regexp_replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&#36;"), F.lit("$")), r"[^0-9.,-]", "")
-    s = F.regexp_replace(s, r"^[.,]+|[.,]+$", "")
+    raw = F.replace(F.coalesce(c, F.lit("")), F.lit("&#36;"), F.lit("$"))
+    return let(F.regexp_replace(F.regexp_replace(raw, r"[^0-9.,-]", ""), r"^[.,]+|[.,]+$", ""), amount)
+
+
+def amount(s: Column) -> Column:
+    """The number that digits with separators write; s is evaluated more than once."""
     comma, dot = F.length(s) - F.locate(",", F.reverse(s)), F.length(s) - F.locate(".", F.reverse(s))
     both = s.contains(",") & s.contains(".")
-    brazilian = F.replace(F.replace(s, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-    american = F.replace(s, F.lit(","), F.lit(""))
-    plain = F.regexp_replace(s, "[.,]", "")
-    out = (
+    brazilian = F.translate(s, ",.", ".")
+    return (
         F.when(both & (comma > dot), brazilian)
-        .when(both, american)
-        .when(s.rlike(r"^-?[0-9]{1,3}([.,][0-9]{3})+$"), plain)
+        .when(both, F.replace(s, F.lit(","), F.lit("")))
+        .when(s.rlike(r"^-?[0-9]{1,3}([.,][0-9]{3})+$"), F.translate(s, ",.", ""))
         .when(s.contains(","), brazilian)
         .otherwise(s)
-    )
-    return out.try_cast("double")
+    ).try_cast("double")
 
 
 def positive_money(c: Column) -> Column:
@@ -54,17 +61,32 @@ def parse_area(c: Column) -> Column:
     return F.when(F.lower(c).rlike(r"[0-9]\s*(ha|hectares?)\b"), v * 10000).otherwise(v)
 
 
+def _written(digits: Column) -> Column:
+    """The number that a run of digits, dots and commas writes; in the usual way without further looks."""
+    return F.when(digits.rlike(_USUAL), F.translate(digits, ",.", ".").try_cast("double")).otherwise(let(F.rtrim(digits, F.lit(".,")), amount))
+
+
 def prices_in(c: Column) -> Column:
     """All amounts after R$ in a text, in order."""
-    return F.filter(F.transform(F.regexp_extract_all(c, F.lit(r"R\$\s*([0-9][0-9.,]*)"), F.lit(1)), parse_money), lambda x: x.isNotNull())
+    return F.array_compact(F.transform(F.regexp_extract_all(c, F.lit(r"R\$\s*([0-9][0-9.,]*)"), F.lit(1)), _written))
+
+
+#: What announces a value, and the value's name; at most forty other characters stand before R$. Fixed values.
+_LABELS = {"evaluation": "avalia[cç][aã]o", "minimum": "lance m[ií]nimo", "first": r"(?:1[ºªo]|primeir[oa])\s*(?:leil[aã]o|pra[cç]a)", "second": r"(?:2[ºªo]|segund[oa])\s*(?:leil[aã]o|pra[cç]a)"}
 
 
 def labelled_prices(c: Column) -> Column:
     """Appraisal, first and second auction values by their labels; where no label is found, the largest amount is first and the smallest second."""
-    text, amounts = c, prices_in(c)
-    after = lambda label: parse_money(F.nullif(F.regexp_extract(text, rf"(?is){label}[^0-9R]{{0,40}}R\$\s*([0-9][0-9.,]*)", 1), F.lit("")))
-    first, second = after(r"(?:1[ºªo]|primeir[oa])\s*(?:leil[aã]o|pra[cç]a)"), after(r"(?:2[ºªo]|segund[oa])\s*(?:leil[aã]o|pra[cç]a)")
-    return F.struct(after("avalia[cç][aã]o").alias("evaluation"), after("lance m[ií]nimo").alias("minimum"), F.coalesce(first, F.array_max(amounts)).alias("first"), F.coalesce(second, F.when(F.size(amounts) > 1, F.array_min(amounts))).alias("second"))
+
+    def labelled(text: Column) -> Column:
+        after = {name: _written(F.regexp_extract(text, rf"(?is){label}[^0-9R]{{0,40}}R\$\s*([0-9][0-9.,]*)", 1)) for name, label in _LABELS.items()}
+        return F.struct(prices_in(text).alias("all"), *(v.alias(name) for name, v in after.items()))
+
+    def chosen(p: Column) -> Column:
+        low = F.when(F.size(p["all"]) > 1, F.array_min(p["all"]))
+        return F.struct(p["evaluation"], p["minimum"], F.coalesce(p["first"], F.array_max(p["all"])).alias("first"), F.coalesce(p["second"], low).alias("second"))
+
+    return let(let(c, labelled), chosen)
 
 
 def value_similarity(a: Column, b: Column) -> Column:
