@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .stats import percent
@@ -12,20 +12,55 @@ def run_ratios(runs: DataFrame) -> DataFrame:
     return runs.select("scraper", "day", "found", percent(F.col("found") - F.col("failed"), F.col("found"), 2).alias("pct_ok"), percent(F.col("redirected"), F.col("found"), 2).alias("pct_redirected"))
 
 
+_RUN = ["day", "found", "failed", "redirected", "ok", "start_time"]
+
+
+def run_summary(runs: DataFrame, n: int = 10) -> DataFrame:
+    """What the reports need of each scraper's history: runs (their number), streak
+    (of failures at its end), last_ok and last, the newest n runs, newest first.
+    Months are summed up apart and then put together, so no task sees a scraper's
+    whole history, and a summary goes on from another (see merge_summaries)."""
+    months = runs.groupBy("scraper", F.trunc("day", "month").alias("at")).agg(F.sort_array(F.collect_list(F.struct(*_RUN)), asc=False).alias("r"))
+    r = F.col("r")
+    first_ok = F.array_position(F.transform(r, lambda x: x["ok"]), True)
+    parts = months.select(
+        "scraper", "at", F.size(r).cast("long").alias("runs"), F.when(first_ok > 0, first_ok - 1).otherwise(F.size(r)).cast("long").alias("streak"),
+        F.array_max(F.transform(F.filter(r, lambda x: x["ok"]), lambda x: x["start_time"])).alias("last_ok"), F.slice(r, 1, n).alias("last"),
+    )
+    return _together(parts, n)
+
+
+def merge_summaries(old: DataFrame, new: DataFrame, n: int = 10) -> DataFrame:
+    """The summary of a history and of the runs after it."""
+    return _together(old.withColumn("at", F.lit(0)).unionByName(new.withColumn("at", F.lit(1))), n)
+
+
+def _together(parts: DataFrame, n: int) -> DataFrame:
+    fields = ["at", "runs", "streak", "last_ok", "last"]
+    each = parts.groupBy("scraper").agg(F.sum("runs").alias("all"), F.sort_array(F.collect_list(F.struct(*fields)), asc=False).alias("p"))  # a row for each month
+    p = F.col("p")
+    nothing = F.struct(
+        F.lit(0).cast("long").alias("streak"), F.lit(True).alias("failing"), F.get(F.transform(F.slice(p, 1, 0), lambda x: x["last_ok"]), 0).alias("last_ok"), F.slice(F.get(p, 0)["last"], 1, 0).alias("last"),
+    )
+
+    def older(so_far: Column, part: Column) -> Column:
+        return F.struct(
+            F.when(so_far["failing"], so_far["streak"] + part["streak"]).otherwise(so_far["streak"]).alias("streak"), (so_far["failing"] & (part["streak"] == part["runs"])).alias("failing"),
+            F.greatest(so_far["last_ok"], part["last_ok"]).alias("last_ok"), F.slice(F.concat(so_far["last"], part["last"]), 1, n).alias("last"),
+        )
+
+    return each.select("scraper", F.col("all").alias("runs"), F.aggregate(p, nothing, older).alias("s")).select("scraper", "runs", "s.streak", "s.last_ok", "s.last")
+
+
 def _summed(runs: DataFrame, n: int) -> DataFrame:
-    """All that the reports need of each scraper, from one window and one aggregate."""
-    by_age = Window.partitionBy("scraper").orderBy(F.desc("day"))
-    so_far = by_age.rowsBetween(Window.unboundedPreceding, 0)
-    marked = runs.withColumns({
-        "age": F.row_number().over(by_age), "good": F.sum(F.col("ok").cast("long")).over(so_far), "size": F.least(F.count(F.lit(1)).over(Window.partitionBy("scraper")), F.lit(n)),
-    })
-    last = F.col("age") <= n
-    newer, older = last & (F.col("age") <= F.floor(F.col("size") / 2)), last & (F.col("age") > F.floor(F.col("size") / 2))
-    total = lambda c, where: F.coalesce(F.sum(F.when(where, F.col(c))), F.lit(0))
-    return marked.groupBy("scraper").agg(
-        F.count_if(F.col("good") == 0).alias("streak"), F.max(F.when(F.col("ok"), F.col("start_time"))).alias("last_ok"), F.count_if(last).alias("runs"), F.count_if(last & F.col("ok")).alias("works"),
-        total("found", last).alias("found"), total("failed", last).alias("failed"), total("redirected", last).alias("redirected"),
-        total("found", newer).alias("new_found"), F.count_if(newer).alias("new_runs"), total("found", older).alias("old_found"), F.count_if(older).alias("old_runs"),
+    """Sums over the newest n runs of each scraper, and over their newer and older half."""
+    last = F.col("last")
+    half = F.floor(F.size(last) / 2).cast("int")
+    total = lambda c, of: F.aggregate(of, F.lit(0).cast("long"), lambda t, x: t + x[c])
+    newer, older = F.slice(last, 1, half), F.slice(last, half + 1, F.size(last) - half)
+    return run_summary(runs, n).select(
+        "scraper", "streak", "last_ok", F.size(last).cast("long").alias("runs"), F.size(F.filter(last, lambda x: x["ok"])).cast("long").alias("works"), *(total(c, last).alias(c) for c in ("found", "failed", "redirected")),
+        total("found", newer).alias("new_found"), half.cast("long").alias("new_runs"), total("found", older).alias("old_found"), (F.size(last) - half).cast("long").alias("old_runs"),
     )
 
 

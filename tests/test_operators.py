@@ -289,3 +289,27 @@ def test_located_in_order(spark):
     rows = [(1, "São Paulo", " SP "), (2, "sao", "sp"), (3, "Santos, litoral", "SP"), (4, "Xyz", "rj"), (5, "Xyz", "??"), (6, None, "mg"), (7, "", "PR"), (8, "Curitiba", None)]
     got = {r.n: (r.latitude, r.matched) for r in located(spark.createDataFrame(rows, "n int, city string, state string")).collect()}
     assert got == {1: (-23.5505, "city"), 2: (-23.5505, "part"), 3: (-23.9608, "part"), 4: (-22.9068, "capital"), 5: (None, None), 6: (-19.9167, "capital"), 7: (-25.4284, "part"), 8: (None, None)}
+
+
+def test_health_goes_on_from_a_summary(spark):
+    import random
+    from datetime import date, datetime, timedelta
+
+    from gavelspark.operators import health
+
+    r = random.Random(2)
+    rows = [(s, date(2024, 1, 1) + timedelta(days=3 * i), r.randrange(30), r.randrange(3), 0, s != "never" and (s == "x" or r.random() < 0.4), datetime(2024, 1, 1, 8) + timedelta(days=3 * i)) for s in ("x", "y", "z", "never") for i in range(r.randrange(5, 40))]
+    schema = "scraper string, day date, found long, failed long, redirected long, ok boolean, start_time timestamp_ntz"
+    whole = health.run_summary(spark.createDataFrame(rows, schema), 4)
+    expected = {}
+    for s in {x[0] for x in rows}:
+        own = sorted((x for x in rows if x[0] == s), key=lambda x: x[1], reverse=True)
+        streak = next((i for i, x in enumerate(own) if x[5]), len(own))
+        expected[s] = (len(own), streak, max((x[6] for x in own if x[5]), default=None), [x[1] for x in own[:4]])
+    plain = lambda df: {x.scraper: (x.runs, x.streak, x.last_ok, [y.day for y in x["last"]]) for x in df.collect()}
+    assert plain(whole) == expected
+    cut = date(2024, 2, 10)
+    old, new = (health.run_summary(spark.createDataFrame([x for x in rows if (x[1] < cut) == early], schema), 4) for early in (True, False))
+    assert plain(health.merge_summaries(old, new, 4)) == expected
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
