@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schema import STATES
+from .binding import let
 from .text import fold_accents
 
 #: Fixed values.
@@ -15,6 +16,23 @@ STATE_NAMES = {
     "piaui": "PI", "rio de janeiro": "RJ", "rio grande do norte": "RN", "rio grande do sul": "RS", "rondonia": "RO", "roraima": "RR", "santa catarina": "SC",
     "sao paulo": "SP", "sergipe": "SE", "tocantins": "TO",
 }
+#: States by name, in the order in which parts of names are compared. Fixed values.
+STATE_LABELS = {
+    "AC": "Acre", "AL": "Alagoas", "AP": "Amapá", "AM": "Amazonas", "BA": "Bahia", "CE": "Ceará", "DF": "Distrito Federal", "ES": "Espírito Santo", "GO": "Goiás", "MA": "Maranhão", "MT": "Mato Grosso",
+    "MS": "Mato Grosso do Sul", "MG": "Minas Gerais", "PA": "Pará", "PB": "Paraíba", "PR": "Paraná", "PE": "Pernambuco", "PI": "Piauí", "RJ": "Rio de Janeiro", "RN": "Rio Grande do Norte",
+    "RS": "Rio Grande do Sul", "RO": "Rondônia", "RR": "Roraima", "SC": "Santa Catarina", "SP": "São Paulo", "SE": "Sergipe", "TO": "Tocantins",
+}
+#: Spellings of a listing's category, and the parts of words that are looked for after them, in order. Fixed values.
+CATEGORY_SPELLINGS = {
+    "apartamento": "Apartamento", "apto": "Apartamento", "apt": "Apartamento", "casa": "Casa", "residencia": "Casa", "residência": "Casa", "sobrado": "Casa", "terreno": "Terreno", "lote": "Terreno", "gleba": "Terreno",
+    "comercial": "Comercial", "prédio comercial": "Comercial", "predio comercial": "Comercial", "galpão": "Comercial", "galpao": "Comercial", "rural": "Rural", "fazenda": "Rural", "sítio": "Rural", "sitio": "Rural",
+    "chácara": "Rural", "chacara": "Rural", "garagem": "Garagem", "vaga": "Garagem", "box": "Garagem", "loja": "Loja", "sala comercial": "Sala Comercial", "sala": "Sala Comercial", "conjunto": "Sala Comercial",
+    "área": "Área", "area": "Área", "outro": "Outro", "outros": "Outro", "não informado": "Outro", "nao informado": "Outro", "": "Outro",
+}
+CATEGORY_PARTS = [
+    ("Apartamento", "apartamento|apto"), ("Casa", "casa|sobrado|residencia"), ("Terreno", "terreno|lote"), ("Comercial", "comercial|galpão|galpao"), ("Rural", "rural|fazenda|sítio|chácara"), ("Garagem", "garagem|vaga"),
+    ("Loja", "loja"), ("Sala Comercial", "sala"),
+]
 #: Category by the first word that is met in this order. Fixed values.
 CATEGORY_WORDS = [
     ("Apartamento", "apartamento|apto|flat|kitnet|cobertura|loft|studio"), ("Casa", "casa|sobrado|residencia|residência|chalé|chale|mansão"),
@@ -43,6 +61,35 @@ def short_state(c: Column) -> Column:
     return F.when(F.coalesce(F.trim(c), F.lit("")) == "", "XX").when(F.length(F.trim(c)) == 2, F.upper(F.trim(c))).otherwise(state_code(c))
 
 
+def state_prefix(c: Column) -> Column:
+    """The code that a text begins with, in any case, else XX."""
+    code = F.upper(F.left(F.upper(F.trim(c)), F.lit(2)))
+    return F.when(code.isin(*STATES), code).otherwise("XX")
+
+
+def named_state(c: Column) -> Column:
+    """A code; the code of a name; of the first name that holds the text or is held
+    by it; else the text's first two letters. Nothing for less than two."""
+
+    def chosen(s: Column) -> Column:
+        low = F.lower(s)
+        exact = F.create_map(*(F.lit(x) for code, name in STATE_LABELS.items() for x in (name.lower(), code)))[low]
+        part = F.coalesce(*(F.when(F.contains(F.lit(name.lower()), low) | F.contains(low, F.lit(name.lower())), code) for code, name in STATE_LABELS.items()))
+        return F.when(s == "", "").when(s.isin(*STATES), s).otherwise(F.coalesce(exact, part, F.when(F.length(s) >= 2, F.left(s, F.lit(2))), F.lit("")))
+
+    return let(F.upper(F.trim(F.coalesce(c, F.lit("")))), chosen)
+
+
+def listing_category(c: Column) -> Column:
+    """A spelling of a category, else the first of which a part is in the text, else Outro."""
+
+    def chosen(low: Column) -> Column:
+        parts = F.coalesce(*(F.when(low.rlike(words), name) for name, words in CATEGORY_PARTS))
+        return F.coalesce(F.create_map(*(F.lit(x) for pair in CATEGORY_SPELLINGS.items() for x in pair))[low], parts, F.lit("Outro"))
+
+    return let(F.lower(F.trim(F.coalesce(c, F.lit("")))), chosen)
+
+
 def place_from(text: Column, url: Column) -> Column:
     """(state, city) of "city/UF" or of the last two parts between commas, else of
     the path /uf/city-name/ of the page."""

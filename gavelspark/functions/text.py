@@ -3,6 +3,8 @@ Each takes and returns Columns; a null stays null unless said otherwise."""
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,6 +49,43 @@ def city_name(c: Column) -> Column:
     return title_case(F.regexp_replace(F.trim(c), r"\s*[-/,]\s*[A-Za-z]{2}$", ""))
 
 
+#: Cities as they are written, by their names without accents. Fixed values.
+CITY_SPELLINGS = [
+    "São Paulo", "Rio de Janeiro", "Belo Horizonte", "Porto Alegre", "São José dos Campos", "São Bernardo do Campo", "Santo André", "São Caetano do Sul", "Ribeirão Preto", "Uberlândia", "Contagem", "Juiz de Fora",
+    "Joinville", "Florianópolis", "Curitiba", "Goiânia", "Brasília", "Salvador", "Fortaleza", "Recife", "Manaus", "Belém", "Guarulhos", "Campinas", "Osasco", "Niterói", "Maceió", "Natal", "Teresina", "Campo Grande",
+    "João Pessoa", "Cuiabá", "Aracaju", "Vitória", "São Luís", "Porto Velho", "Macapá", "Boa Vista", "Rio Branco", "Palmas",
+]
+_NAME_PARTICLES = ("de", "da", "do", "das", "dos", "e", "em", "na", "no", "nas", "nos")
+
+
+def name_case(c: Column, particles: tuple[str, ...] = _NAME_PARTICLES) -> Column:
+    """Words with one capital, the first letter, but for particles that are not first; blank text is empty, null null."""
+    words = F.split(F.lower(squeeze(c)), " ")
+    capital = lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, 2, 1 << 30))
+    return F.array_join(F.transform(words, lambda w, i: F.when((i > 0) & w.isin(*particles), w).otherwise(capital(w))), " ")
+
+
+def city_accented(c: Column) -> Column:
+    """A known city with its accents, whatever its case, if it is written without them; else as name_case."""
+    bare = [("".join(x for x in unicodedata.normalize("NFD", name) if not unicodedata.combining(x)).upper(), name) for name in CITY_SPELLINGS]
+    known = F.create_map(*(F.lit(x) for pair in bare for x in pair))
+    return F.when(F.length(c) > 0, F.coalesce(known[F.upper(squeeze(c))], name_case(c)))
+
+
+#: UTF-8 read as Latin-1, and what it stands for, in the order in which it is mended. Fixed values.
+MOJIBAKE = [("Â²", "²"), ("Â", ""), ("Ã³", "ó"), ("Ã£", "ã"), ("Ã©", "é"), ("Ã\u00ad", "í"), ("Ãº", "ú"), ("Ã§", "ç"), ("Ã¡", "á"), ("Ãª", "ê"), ("Ã´", "ô"), ("Ã", "À")]
+
+
+def mended_text(c: Column) -> Column:
+    """Entities as characters, wrong encodings mended, no tags, one space between words; null is empty."""
+    out = F.coalesce(c, F.lit(""))
+    for entity in [e for e in ENTITIES if e != "&amp;"] + ["&amp;"]:
+        out = F.replace(out, F.lit(entity), F.lit(ENTITIES[entity]))
+    for wrong, right in MOJIBAKE:
+        out = F.replace(out, F.lit(wrong), F.lit(right))
+    return squeeze(F.regexp_replace(out, "<[^>]+>", " "))
+
+
 def slug(c: Column, most: int = 80) -> Column:
     words = F.trim(F.regexp_replace(fold_accents(F.lower(c)), "[^a-z0-9]+", " "))
     return F.replace(F.trim(F.left(words, F.lit(most))), F.lit(" "), F.lit("-"))

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.places import listing_category, state_prefix
 from ..functions.text import is_blank
 from ..schema import SORTABLE
 
@@ -15,7 +16,9 @@ from ..schema import SORTABLE
 @dataclass(frozen=True)
 class SearchRequest:
     """What a search asks for; None means no condition. value_on says which
-    value a range holds for: first, second, or either."""
+    value a range holds for: first, second, or either. normalised: state and
+    category are brought to their stored forms first, and text is looked for in
+    titles alone."""
 
     state: str | None = None
     city: str | None = None
@@ -31,6 +34,7 @@ class SearchRequest:
     text: str | None = None
     active_only: bool = True
     duplicates: bool = False
+    normalised: bool = False
     sort_by: str = "created_at"
     descending: bool = True
     page: int = 1
@@ -48,11 +52,14 @@ def conditions(r: SearchRequest) -> list[Column]:
         out.append(F.col("is_active"))
     if not r.duplicates:
         out.append(~F.col("is_duplicate"))
-    out += [F.lower(n) == str(v).lower() for n, v in (("state", r.state), ("category", r.category)) if v is not None]
+    if r.normalised:
+        out += [F.col(n) == form(F.lit(v)) for n, v, form in (("state", r.state, state_prefix), ("category", r.category, listing_category)) if v]
+    else:
+        out += [F.lower(n) == str(v).lower() for n, v in (("state", r.state), ("category", r.category)) if v is not None]
     out += [F.col(n) == v for n, v in (("auction_type", r.auction_type), ("source", r.source), ("auctioneer_id", r.auctioneer_id)) if v is not None]
     out += [contains(F.col(n), v) for n, v in (("city", r.city), ("neighborhood", r.neighborhood)) if v is not None]
     if r.text is not None:
-        out.append(contains(F.col("title"), r.text) | contains(F.col("city"), r.text))
+        out.append(contains(F.col("title"), r.text) if r.normalised else contains(F.col("title"), r.text) | contains(F.col("city"), r.text))
     values = {"first": ["first_auction_value"], "second": ["second_auction_value"], "either": ["first_auction_value", "second_auction_value"]}[r.value_on]
     if r.min_value is not None:
         out.append(reduce(Column.__or__, [F.col(v) >= r.min_value for v in values]))
@@ -70,10 +77,11 @@ def matching(listings: DataFrame, r: SearchRequest) -> DataFrame:
 
 
 def ordering(r: SearchRequest) -> list[Column]:
-    """Nulls last going down, first going up; the id breaks ties."""
-    if r.sort_by not in SORTABLE:
+    """Nulls last going down, first going up; the id breaks ties. A field that is
+    none of the known ones means created_at, but in normalised searches it is an error."""
+    if r.normalised and r.sort_by not in SORTABLE:
         raise ValueError(f"not a sort field: {r.sort_by}")
-    c = F.col(r.sort_by)
+    c = F.col(r.sort_by if r.sort_by in SORTABLE else "created_at")
     return [c.desc_nulls_last() if r.descending else c.asc_nulls_first(), F.col("id")]
 
 

@@ -66,6 +66,7 @@ FIELDS: dict[str, list] = {
     "url": [P(" HTTPS://Site.com/A/", "site.com/x/", "//cdn.site/y", "http://a.b/lote/", "https://www.s.com/d.asp?hdnimovel=", "", None), N(900, 7), P("?utm_source=x&b=2&a=1#top", "", "/", "?utm_x=1", "?z=1&y=2", by=3)],
     "image": [P("https://a.b/foto", "https://a.b/logo", "https://cdn.x/img/", "/fotos/", "data:image/png;base64,", "https://a.b/100x80/", "https://a.b/800x600/", "", None), N(500), P(".jpg", ".png", ".svg", ".webp?w=3", "", by=9)],
     "href": [P("/a/b", "c", "//t.com/d", "http://z.com/", "../img/", "./e", "?p=", "#top", "g/../h/./i", "../../../k"), N(50, 10)],
+    "broken_text": [P("SÃ£o JosÃ©", "120 mÂ²", "RegiÃ£o", "Ã\u00adndice", "Ã¡gua", "nenhum", None), P(" &amp; ", " <i>", "  ", by=7), P("vocÃª", "avÃ´", "aÃ§o", "baÃº", "Ãtomo", "plano", by=21), N(40, 5)],
     "markup": ["<b>", P("Casa", "Lote"), "</b>&nbsp; ", P("&amp;", "&lt;x&gt;", "&quot;a&quot;", "&#39;", "<br/>"), " fim ", N(9)],
     "page": ["<html><body><div class=\"item\"><h3>", P("Casa", "Lote", "", "Apto &amp; vaga"), " ", N(90), "</h3><a href=\"/lote/", N(400), "\">ver</a> ", P("R$ 1.500,00", "", "R$ 90.000,50", by=4), "</div><div class=\"other\">", P("imóvel leilão lance", "nada", "casa r$ m²", by=3), "</div><script>var preco = ", N(9000, 2, 100), ".50;</script></body></html>"],
     "item_json": ["{\"", P("items", "offers", "leiloes", "lotes", "data", "nothing"), "\":[{\"", P("titulo", "name", "title", by=6), "\":\"T", N(99), "\",\"", P("preco", "valor", "price", by=2), "\":\"", N(900, 1, 1), ".000,00\",\"cidade\":\"", P("Santos", "", by=5), "\"}]}"],

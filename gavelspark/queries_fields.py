@@ -95,7 +95,8 @@ each("all_dates", "dates_notice", lambda c: F.array_join(F.transform(dates.all_d
 
 def _url(keep: str = "FALSE") -> str:
     s = r"regexp_replace(CASE WHEN trim(x) = '' THEN NULL WHEN trim(x) LIKE '//%' THEN 'https:' || trim(x) WHEN regexp_matches(trim(x), '(?i)^https?://') THEN trim(x) ELSE 'https://' || trim(x) END, '#.*$', '')"
-    parts = f"list_sort(list_filter(string_split(regexp_extract(s, '[?](.*)$', 1), '&'), lambda p: p <> '' AND ({keep} OR NOT starts_with(p, 'utm_'))))"
+    parts = f"list_filter(string_split(regexp_extract(s, '[?](.*)$', 1), '&'), lambda p: p <> '' AND ({keep} OR NOT starts_with(lower(p), 'utm_')))"
+    parts = f"list_sort({parts})" if keep == "TRUE" else parts
     return rf"(SELECT lower(regexp_extract(s, '^([A-Za-z]+://[^/?]+)', 1)) || regexp_replace(regexp_extract(s, '^[A-Za-z]+://[^/?]+([^?]*)', 1), '/+$', '') || CASE WHEN len({parts}) > 0 THEN '?' || array_to_string({parts}, '&') ELSE '' END FROM (SELECT {s} AS s))"
 
 
@@ -126,6 +127,28 @@ each("title_every_letter", "city", text.title_every_letter, "array_to_string(lis
 _STATE_NAMES = "CASE " + _FOLD.format("lower(trim(x))") + " " + " ".join(f"WHEN '{n}' THEN '{c}'" for n, c in places.STATE_NAMES.items()) + " ELSE 'XX' END"
 each("state_codes", "state", places.state_code, f"CASE WHEN list_contains({_list(places.STATES)}, upper(trim(x))) THEN upper(trim(x)) ELSE {_STATE_NAMES} END")
 each("state_short", "state", places.short_state, f"CASE WHEN coalesce(trim(x), '') = '' THEN 'XX' WHEN list_contains({_list(places.STATES)}, upper(trim(x))) OR length(trim(x)) = 2 THEN upper(trim(x)) ELSE {_STATE_NAMES} END")
+_LABELS = [(name.lower(), code) for code, name in places.STATE_LABELS.items()]
+_PARTLY = "CASE " + " ".join(f"WHEN contains('{n}', lower(s)) OR contains(lower(s), '{n}') THEN '{c}'" for n, c in _LABELS) + " WHEN length(s) >= 2 THEN s[1:2] ELSE '' END"
+each("state_named", "state", places.named_state, f"(SELECT CASE WHEN s = '' THEN '' WHEN list_contains({_list(places.STATES)}, s) THEN s ELSE coalesce(CASE lower(s) " + " ".join(f"WHEN '{n}' THEN '{c}'" for n, c in _LABELS) + f" END, {_PARTLY}) END FROM (SELECT upper(trim(coalesce(x, ''))) AS s))")
+each("state_prefix", "state", places.state_prefix, f"CASE WHEN list_contains({_list(places.STATES)}, upper(trim(x))[1:2]) THEN upper(trim(x))[1:2] ELSE 'XX' END")
+_SPELLED = "CASE lower(trim(coalesce(x, ''))) " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in places.CATEGORY_SPELLINGS.items()) + " END"
+_PARTS = "CASE " + " ".join(f"WHEN regexp_matches(lower(x), '{w}') THEN '{n}'" for n, w in places.CATEGORY_PARTS) + " ELSE 'Outro' END"
+each("category_listing", "category", places.listing_category, f"coalesce({_SPELLED}, {_PARTS})")
+each("category_of_title", "title", places.listing_category, f"coalesce({_SPELLED}, {_PARTS})")
+
+
+def _cased(x: str, particles: str) -> str:
+    return f"array_to_string(list_transform(string_split(lower({_SQUEEZE.format(x)}), ' '), lambda w, i: CASE WHEN i > 1 AND list_contains({particles}, w) THEN w ELSE upper(w[1]) || w[2:] END), ' ')"
+
+
+_SMALL_WORDS = "['de', 'da', 'do', 'das', 'dos', 'e', 'em', 'na', 'no', 'nas', 'nos']"
+each("name_case", "address", text.name_case, _cased("x", _SMALL_WORDS))
+each("name_case_short", "city", lambda c: text.name_case(c, ("de", "da", "do", "das", "dos", "e")), _cased("x", "['de', 'da', 'do', 'das', 'dos', 'e']"))
+each("city_accented", "city", lambda c: text.city_accented(F.translate(c, "ãéâ", "aea")), f"(SELECT CASE WHEN length(y) > 0 THEN coalesce(CASE upper({_SQUEEZE.format('y')}) WHEN 'SAO PAULO' THEN 'São Paulo' WHEN 'CAMPINAS' THEN 'Campinas' WHEN 'RIO DE JANEIRO' THEN 'Rio de Janeiro' WHEN 'SAO JOSE DOS CAMPOS' THEN 'São José dos Campos' WHEN 'BELO HORIZONTE' THEN 'Belo Horizonte' WHEN 'PALMAS' THEN 'Palmas' END, {_cased('y', _SMALL_WORDS)}) END FROM (SELECT translate(x, 'ãéâ', 'aea') AS y))")
+_MENDED = "replace(coalesce(x, ''), '&amp;', '&')"
+for _wrong, _right in (("Â²", "²"), ("Â", ""), ("Ã³", "ó"), ("Ã£", "ã"), ("Ã©", "é"), ("Ã\u00ad", "í"), ("Ãº", "ú"), ("Ã§", "ç"), ("Ã¡", "á"), ("Ãª", "ê"), ("Ã´", "ô"), ("Ã", "À")):
+    _MENDED = f"replace({_MENDED}, '{_wrong}', '{_right}')"
+each("mended_text", "broken_text", text.mended_text, _SQUEEZE.format(f"regexp_replace({_MENDED}, '<[^>]+>', ' ', 'g')"))
 each("category_map", "title", places.category, "CASE " + " ".join(f"WHEN regexp_matches(lower(coalesce(x, '')), '(^|[^a-zà-ÿ0-9_])({w})s?([^a-zà-ÿ0-9_]|$)') THEN '{n}'" for n, w in places.CATEGORY_WORDS) + " ELSE 'Outro' END")
 _PLAIN = "CASE lower(trim(x)) " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in categories.PLAIN_NAMES.items()) + " END"
 each("category_plain", "category", categories.plain_category, f"CASE WHEN coalesce(lower(trim(x)), '') IN ('', 'none') THEN 'Outro' ELSE coalesce({_PLAIN}, array_to_string(list_transform(string_split(lower(trim(x)), ' '), lambda w: upper(w[1]) || w[2:]), ' ')) END")

@@ -6,8 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from .functions import text
-from .operators import dedup, discovery, filters, first_wins, health, lifecycle, lookup, merge, probe_index, quality, reports
+from .functions import places, text, urls
+from .operators import dedup, discovery, filters, first_wins, health, lifecycle, lookup, merge, probe_index, quality, reports, search
 from .plans.listings import LISTINGS_SQL as L
 from .plans.listings import listings, table
 from .plans.messy import AUCTIONEERS_SQL as A
@@ -373,6 +373,44 @@ def selected_cards(spark, sf_dir):
     return html_items.selected_cards(table(spark, sf_dir, "pages"), {"title": "article > h1"}, ["page_id"])
 
 
+_MARKUP = """'<img alt="x" data-src="/foto/' || page_id || '.jpg?w=1"><img src=''//cdn.site/i' || page_id % 7 || '''><div style="background-image: url(/bg/' || page_id % 5 || '.png)" data-bg="/b' || page_id % 3 || '.webp"></div><meta property="og:image" content="https://s.com/foto/' || page_id || '.jpg"> https://a.b/x' || page_id % 4 || '-50x80.jpg https://a.b/' || page_id % 6 || '.png?q=2 <img src="/logo.png"><meta content="/m' || page_id % 9 || '.gif" property="og:image"><meta name="twitter:image" content="/t.png"><p data-url="/no/image">'"""
+
+
+def _images_sql() -> str:
+    q = "[\"'']"
+    n = "[^\"'']"
+    img = rf"regexp_extract_all(h, '(?is)<img\s+[^>]*?(?:src|data-src|data-lazy|data-original)\s*=\s*{q}({n}+){q}[^>]*?>', 1)"
+    like = r"lambda u: regexp_matches(lower(string_split(u, '?')[1]), '\.(jpg|jpeg|png|webp|gif|bmp|avif)$') OR regexp_matches(u, '(?i)cloudinary\.com|imgix\.net|cdn\.|images\.|fotos?\.|photos?\.')"
+    attributes = "|".join(("src", "data-src", "data-lazy", "data-lazy-src", "data-original", "data-srcset", "srcset", "data-bg", "data-background", "data-image", "data-img", "data-url", "data-full", "data-zoom", "data-large", "data-high-res", "content"))
+    attribute = rf"list_filter(regexp_extract_all(h, '(?i)(?:{attributes})\s*=\s*{q}({n}+){q}', 1), {like})"
+    direct = r"""regexp_extract_all(h, '(?i)(https?://[^\s"''<>)\]]+\.(?:jpg|jpeg|png|webp|gif|avif)(?:\?[^\s"''<>)\]]*)?)', 1)"""
+    style = rf"""list_filter(regexp_extract_all(h, '(?i)background(?:-image)?\s*:\s*url\s*\(\s*{q}?([^"'')\s]+){q}?\s*\)', 1), {like})"""
+    metas = [rf"regexp_extract_all(h, '(?is)<meta\s+[^>]*?{m}', 1)" for m in (rf"property\s*=\s*{q}og:image{q}[^>]*?content\s*=\s*{q}({n}+){q}", rf"content\s*=\s*{q}({n}+){q}[^>]*?property\s*=\s*{q}og:image{q}", rf"(?:name|property)\s*=\s*{q}twitter:image{q}[^>]*?content\s*=\s*{q}({n}+){q}")]
+    whole = "lambda u: CASE WHEN starts_with(u, '//') THEN 'https:' || u WHEN starts_with(u, '/') THEN regexp_extract(url, '^[A-Za-z]+://[^/?#]+') || u ELSE u END"
+    good = r"""lambda u: NOT regexp_matches(u, '(?i)logo|icon|favicon|placeholder|loading|spinner|avatar|profile|banner|ad[s]?[_-]|tracking|pixel|spacer|transparent|blank|1x1|facebook|twitter|instagram|whatsapp|linkedin|youtube|google|analytics|cdn\..*\.(svg|ico)')
+      AND NOT coalesce(TRY_CAST(regexp_extract(u, '[_-](\d+)x(\d+)\.', 1) AS INTEGER) < 100 OR TRY_CAST(regexp_extract(u, '[_-](\d+)x(\d+)\.', 2) AS INTEGER) < 100, FALSE)"""
+    found = " || ".join([img, attribute, direct, style, *metas])
+    keys = "list_transform(us, lambda u: string_split(string_split(u, '#')[1], '?')[1])"
+    return f"""SELECT page_id, array_to_string(list_filter(us, lambda u, i: list_position(keys, keys[i]) = i), ' ') AS images FROM (SELECT *, {keys} AS keys FROM (
+SELECT page_id, list_filter(list_transform({found}, {whole}), {good}) AS us FROM (SELECT page_id, url, html || {_MARKUP} AS h FROM pages)))"""
+
+
+@query(_images_sql())
+def page_images(spark, sf_dir):
+    """Images of all pages, to whose markup some of each kind are added."""
+    pages = table(spark, sf_dir, "pages").withColumn("html", F.concat("html", F.expr(_MARKUP)))
+    return pages.select("page_id", F.array_join(urls.page_images(F.col("html"), F.col("url")), " ").alias("images"))
+
+
+@query("SELECT l.id, l.state, l.category, l.title FROM (SELECT l.id, l.is_active, l.title, l.first_auction_value, CASE WHEN upper(trim(m.state))[1:2] IN ('SP', 'RJ', 'MG', 'TO') THEN upper(trim(m.state))[1:2] ELSE 'XX' END AS state, CASE WHEN regexp_matches(lower(m.category), 'apartamento|apto') THEN 'Apartamento' ELSE '-' END AS category FROM listings l JOIN messy m USING (key)) l WHERE is_active AND state = 'SP' AND category = 'Apartamento' AND first_auction_value <= 90000 AND contains(lower(title), 'customer')", L + ", " + messy_sql("state", "category"))
+def search_normalised(spark, sf_dir):
+    """A search as visitors write it, over rows in their stored forms."""
+    rows = listings(spark, sf_dir).drop("state", "category").join(messy(spark, sf_dir, "state", "category"), "key")
+    rows = rows.withColumns({"state": places.state_prefix(F.col("state")), "category": places.listing_category(F.col("category"))}).withColumn("category", F.when(F.col("category") == "Apartamento", F.col("category")).otherwise("-"))
+    asked = search.SearchRequest(state=" sp (capital)", category="APTO de praia", text="CUSTOMER", max_value=90000, duplicates=True, normalised=True)
+    return search.matching(rows, asked).select("id", "state", "category", "title")
+
+
 #: Item after item of each user, with the keys of those kept so far.
 _IN_TURN = """RECURSIVE e AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, event_type || '-' || (event_id % 5) AS a, CASE WHEN event_id % 7 > 0 THEN CAST(hour(ts) AS VARCHAR) ELSE '' END AS b FROM events),
 turn AS (SELECT user_id, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS taken, CAST(NULL AS BIGINT) AS event_id, FALSE AS kept FROM (SELECT DISTINCT user_id FROM events)

@@ -14,7 +14,7 @@ CASES = [
     ("percent_parse", [("35,5%", 35.5), ("40 %", 40.0), ("-3", -3.0), ("x", None)], money.parse_percent, "DOUBLE"),
     ("date_parse", [("2025-03-09", "2025-03-09 00:00:00"), ("9/3/2025 às 14:30", "2025-03-09 14:30:00"), ("dia 3 de março de 2025", "2025-03-03 00:00:00"), ("05/06/25", "2025-06-05 00:00:00"), ("31/02/2025", None), ("sem data", None), (None, None), ("1d 2h 30m", "2025-01-02 02:30:00")], lambda c: dates.parse_date(c, F.lit("2025-01-01")), "TIMESTAMP"),
     ("auction_date_labels", [("1º leilão: 10/05/2025 2º leilão: 20/05/2025", "2025-05-20 00:00:00"), ("10/05/2025 e 12/05/2025", "2025-05-12 00:00:00"), ("nada", None)], lambda c: dates.auction_dates(c)["second"], "TIMESTAMP"),
-    ("url_normalize", [(" HTTPS://Site.com/A/?utm_source=x&b=2&a=1#top ", "https://site.com/A?a=1&b=2"), ("site.com/x/", "https://site.com/x"), ("//cdn.site/y", "https://cdn.site/y"), ("", None), (None, None), ("http://a.b?utm_x=1", "http://a.b")], urls.normalize_url),
+    ("url_normalize", [(" HTTPS://Site.com/A/?utm_source=x&b=2&a=1#top ", "https://site.com/A?b=2&a=1"), ("site.com/x/", "https://site.com/x"), ("//cdn.site/y", "https://cdn.site/y"), ("", None), (None, None), ("http://a.b?utm_x=1", "http://a.b")], urls.normalize_url),
     ("image_block", [("https://a.b/foto1.jpg", "false"), ("https://a.b/logo.png", "true"), ("", "true"), (None, "true"), ("https://a.b/100x80/x.jpg", "true"), ("https://a.b/800x600/x.jpg", "false"), ("data:image/png;base64,AA", "true"), ("https://a.b/x.svg", "true")], urls.blocked_image, "BOOLEAN"),
     ("absolute_urls", [("/a/b.jpg", "https://s.com/a/b.jpg"), ("c.jpg", "https://s.com/x/c.jpg"), ("//t.com/d", "https://t.com/d"), ("http://z.com", "http://z.com")], lambda c: urls.absolute_url(c, F.lit("https://s.com/x/page.html?q=1"))),
     ("listing_ids", [("https://s.com/lote/123/abc", "123"), ("https://s.com/a/b/casa-9/", "casa-9"), ("https://s.com/d.asp?hdnimovel=777", "777")], urls.listing_id),
@@ -38,6 +38,14 @@ CASES = [
     ("months", [("15 jan 2025", "2025-01-15 00:00:00"), ("15 janeiro 2025", "2025-01-15 00:00:00"), ("15 de jan. de 2025", "2025-01-15 00:00:00"), ("3 Março 2024 às 9h30", "2024-03-03 09:30:00")], dates.parse_date, "TIMESTAMP"),
     ("no date inside a number", [("2020-04-31", None), ("120/3/2025", None)], dates.parse_date, "TIMESTAMP"),
     ("dots", [("../img/a.jpg", "https://s.com/img/a.jpg"), ("?p=2", "https://s.com/x/page.html?p=2"), ("", "https://s.com/x/page.html?q=1"), ("../../../a", "https://s.com/a"), ("./", "https://s.com/x/")], lambda c: urls.absolute_url(c, F.lit("https://s.com/x/page.html?q=1")), "VARCHAR"),
+    ("url order", [("http://a.b/?z=1&a=2&UTM_x=3", "http://a.b?z=1&a=2")], urls.normalize_url),
+    ("url sorted", [("http://a.b/?z=1&a=2&utm_x=3", "http://a.b?a=2&utm_x=3&z=1")], lambda c: urls.normalize_url(c, True)),
+    ("state_named", [("sp", "SP"), ("São Paulo", "SP"), ("estado do paraná", "PR"), ("Rio Grande", "RN"), ("mato grosso do sul", "MS"), ("??", "??"), ("x", ""), ("", ""), (None, ""), ("q", "")], places.named_state),
+    ("state_prefix", [("sp", "SP"), ("Rj - capital", "RJ"), ("São Paulo", "XX"), (None, "XX"), ("", "XX")], places.state_prefix),
+    ("category_listing", [("BOX", "Garagem"), ("apto 3 quartos", "Apartamento"), ("Sala comercial", "Sala Comercial"), ("salas comerciais", "Sala Comercial"), ("Galpão novo", "Comercial"), ("chácara linda", "Rural"), ("ÁREA", "Área"), ("zzz", "Outro"), (None, "Outro"), (" ", "Outro")], places.listing_category),
+    ("city_accented", [("SAO  PAULO", "São Paulo"), ("brasilia", "Brasília"), ("são paulo", "São Paulo"), ("embu DAS artes", "Embu das Artes"), ("", None), (None, None)], text.city_accented),
+    ("mended_text", [("SÃ£o  JosÃ© &amp; <b>mÂ²</b>", "São José & m²"), ("voc\u00c3\u00aa", "você"), (None, ""), ("Ãx", "Àx")], text.mended_text),
+    ("page_images", [('<img src="/a.jpg?x=1"><p style="background: url(b.png)"> https://c.d/e.jpeg <meta property="og:image" content="https://s.com/a.jpg">', "https://s.com/a.jpg?x=1 https://c.d/e.jpeg https://s.com/x/b.png"), ("<img src='//i.j/logo.png'><img src='/t-90x200.jpg'>", ""), ("", ""), (None, None)], lambda c: F.when(c.isNotNull(), F.array_join(urls.page_images(c, F.lit("https://s.com/x/page.html")), " "))),
     ("short addresses keep accents", [("Estrada Velha, nº 5 Sala 2", "estr velha n 5 sl 2"), ("Praça São José", "pc são josé")], text.short_address, "VARCHAR"),
 ]
 
