@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from .functions import places, text, urls
-from .operators import dedup, discovery, filters, first_wins, health, lifecycle, lookup, merge, probe_index, quality, reports, search
+from .operators import dedup, discovery, filters, first_wins, health, lifecycle, lookup, merge, probe_index, quality, reports, search, upserts
 from .plans.listings import LISTINGS_SQL as L
 from .plans.listings import listings, table
 from .plans.messy import AUCTIONEERS_SQL as A
@@ -411,6 +411,53 @@ def search_normalised(spark, sf_dir):
     return search.matching(rows, asked).select("id", "state", "category", "title")
 
 
+_POSTED = """, posted AS (SELECT id, key, upper(title) AS title, array_to_string(list_transform(string_split(lower(city), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS city, replace(neighborhood, 'ZONE', 'Zone') AS neighborhood,
+  CASE WHEN key % 5 > 0 THEN image_url END AS image_url, CASE WHEN key % 7 = 0 THEN 'https://seller' || key % 9 || '.com' ELSE source_url END AS source_url, key % 4 > 0 AS is_active, auctioneer_id + 1 AS auctioneer_id FROM listings WHERE key % 2 = 0)"""
+
+
+@query("""SELECT coalesce(o.id, n.id) AS id, CASE WHEN n.id IS NULL THEN o.title ELSE n.title END AS title, CASE WHEN n.id IS NULL THEN o.city ELSE n.city END AS city, CASE WHEN n.id IS NULL THEN o.neighborhood ELSE n.neighborhood END AS neighborhood, CASE WHEN n.id IS NULL THEN o.image_url ELSE n.image_url END AS image_url,
+  CASE WHEN n.id IS NULL THEN o.source_url ELSE n.source_url END AS source_url, CASE WHEN n.id IS NULL THEN o.is_active ELSE n.is_active END AS is_active, coalesce(o.auctioneer_id, n.auctioneer_id) AS auctioneer_id,
+  CASE WHEN o.id IS NULL THEN TIMESTAMP '2024-03-10' ELSE o.created_at END AS created_at, CASE WHEN n.id IS NULL THEN o.updated_at ELSE TIMESTAMP '2024-03-10' END AS updated_at
+FROM (SELECT * FROM listings WHERE key % 3 > 0) o FULL JOIN posted n ON o.id = n.id""", L + _POSTED)
+def upsert_cleaned(spark, sf_dir):
+    rows, k = listings(spark, sf_dir), F.col("key")
+    posted = rows.where("key % 2 = 0").withColumns({
+        "title": F.upper("title"), "city": F.concat(F.lit(" "), F.lower("city")), "neighborhood": F.upper("neighborhood"), "image_url": F.when(k % 5 == 0, "https://img.site/logo-large-picture.png").otherwise(F.col("image_url")),
+        "source_url": F.when(k % 7 == 0, "javascript:x").otherwise(F.col("source_url")), "auctioneer_url": F.concat(F.lit("https://seller"), k % 9, F.lit(".com")), "is_active": k % 4 > 0, "auctioneer_id": F.col("auctioneer_id") + 1,
+    })
+    columns = ["id", "title", "city", "neighborhood", "image_url", "source_url", "is_active", "auctioneer_id", "created_at", "updated_at"]
+    return upserts.store(rows.where("key % 3 > 0").select(*columns), posted, NOW)
+
+
+@query("""SELECT r.id, coalesce(max(t.title ORDER BY t.key), any_value(r.title)) AS title, coalesce(arg_max(t.city, t.key), any_value(r.city)) AS city, bool_or(r.added OR t.key IS NOT NULL) AS written
+FROM r LEFT JOIN t ON t.to_id = r.id GROUP BY r.id""".replace("max(t.title ORDER BY t.key)", "arg_max(t.title, t.key)"), L + """, old AS (SELECT id, source_url AS url, title, city FROM listings WHERE key % 3 > 0),
+p AS (SELECT CASE WHEN key % 4 = 0 THEN id ELSE 'new-' || key END AS id, key, source_url AS url, CASE WHEN key % 6 > 0 THEN upper(title) END AS title, CASE WHEN key % 22 = 0 THEN lower(city) END AS city FROM listings WHERE key % 2 = 0 AND key % 10 > 0),
+fresh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY key) AS i FROM p WHERE id NOT IN (SELECT id FROM old) AND url NOT IN (SELECT url FROM old)) WHERE i = 1),
+r AS (SELECT id, url, title, city, FALSE AS added FROM old UNION ALL SELECT id, url, title, city, TRUE FROM fresh),
+t AS (SELECT r.id AS to_id, p.* FROM r JOIN p ON p.id = r.id UNION SELECT r.id, p.* FROM r JOIN p ON p.url = r.url)""")
+def upsert_audited(spark, sf_dir):
+    rows, k = listings(spark, sf_dir), F.col("key")
+    posted = rows.where("key % 2 = 0").withColumns({
+        "id": F.when(k % 4 == 0, F.col("id")).otherwise(F.concat(F.lit("new-"), k)), "title": F.when(k % 6 > 0, F.upper("title")), "city": F.when(k % 22 == 0, F.lower("city")), "state": F.when(k % 10 > 0, F.col("state")),
+    })
+    old = rows.where("key % 3 > 0").select("id", "source_url", "title", "city", "created_at", "updated_at")
+    out = upserts.store_audited(old, posted, "2030-01-01", "key", [f"NATION_{i}" for i in range(25)])
+    return out.select("id", "title", "city", F.col("updated_at").eqNullSafe(F.lit("2030-01-01").cast("timestamp_ntz")).alias("written"))
+
+
+@query("""SELECT coalesce(n.id, o.id) AS id, CASE WHEN n.id IS NULL THEN o.title ELSE n.title END AS title, coalesce(n.dedup_key, o.dedup_key) AS dedup_key, CASE WHEN n.id IS NULL THEN o.is_duplicate OR o.other ELSE FALSE END AS is_duplicate, CASE WHEN n.id IS NULL AND o.other THEN o.b END AS original_id,
+  CASE WHEN n.id IS NULL THEN o.is_active ELSE TRUE END AS is_active FROM (SELECT old.*, b, coalesce(source <> 'caixa' AND b <> old.id, FALSE) AS other FROM old LEFT JOIN bank USING (dedup_key, city, state)) o FULL JOIN n ON o.id = n.id""",
+       L + ", " + messy_sql("address") + r""", k AS (SELECT l.*, coalesce(nullif(trim(regexp_replace(regexp_replace(lower(coalesce(address, '')), '[^\p{L}\p{N}_\s]', '', 'g'), '\s+', ' ', 'g')), ''), l.id) AS dedup_key FROM listings l JOIN messy m ON l.key = m.key),
+old AS (SELECT * FROM k WHERE key % 3 > 0), stored AS (SELECT dedup_key, city, state, min(id) AS lo, max(id) AS hi FROM old WHERE source = 'caixa' GROUP BY 1, 2, 3),
+n AS (SELECT k.* REPLACE (upper(title) AS title) FROM k LEFT JOIN stored USING (dedup_key, city, state) WHERE source = 'caixa' AND key % 2 = 0 AND (lo IS NULL OR (lo = id AND hi = id))), bank AS (SELECT dedup_key, city, state, min(id) AS b FROM n GROUP BY 1, 2, 3)""")
+def upsert_bank(spark, sf_dir):
+    rows = listings(spark, sf_dir).join(messy(spark, sf_dir, "address"), "key")
+    old = rows.where("key % 3 > 0").withColumns({"dedup_key": lifecycle.conflict_key(F.col("address"), F.col("id")), "original_id": F.lit(None).cast("string")})
+    posted = rows.where("source = 'caixa' and key % 2 = 0").withColumn("title", F.upper("title"))
+    out = upserts.store_bank(old, posted, NOW)
+    return out.select("id", "title", "dedup_key", "is_duplicate", "original_id", "is_active")
+
+
 #: Item after item of each user, with the keys of those kept so far.
 _IN_TURN = """RECURSIVE e AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, event_type || '-' || (event_id % 5) AS a, CASE WHEN event_id % 7 > 0 THEN CAST(hour(ts) AS VARCHAR) ELSE '' END AS b FROM events),
 turn AS (SELECT user_id, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS taken, CAST(NULL AS BIGINT) AS event_id, FALSE AS kept FROM (SELECT DISTINCT user_id FROM events)
