@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from . import schema
 from .functions import places, text, urls
 from .operators import dedup, discovery, filters, first_wins, health, lifecycle, lookup, merge, probe_index, quality, reports, search, upserts
 from .plans.listings import LISTINGS_SQL as L
@@ -515,11 +516,16 @@ def page_stops(spark, sf_dir):
     return paging.stops(items.select("site", "page", url.alias("url"), titles.alias("titles"))).select("site", "page", F.size("titles").cast("long").alias("n"), "reason", "kept")
 
 
-@query("SELECT * FROM (VALUES ('category', 'Apartamento'), ('category', 'Casa'), ('category', 'Terreno'), ('category', 'Comercial'), ('category', 'Estacionamento'), ('category', 'Rural'), ('category', 'Área'), ('category', 'Prédio'), ('category', 'Outro'), ('auction_type', 'Judicial'), ('auction_type', 'Extrajudicial'), ('auction_type', 'Venda Direta'), ('auction_type', 'Leilão SFI'), ('auction_type', 'Outros')) v(kind, name)")
-def closed_sets(spark, sf_dir):
-    from .schema import closed_sets as sets
+_SETS = "(VALUES ('category', 'Apartamento'), ('category', 'Casa'), ('category', 'Terreno'), ('category', 'Comercial'), ('category', 'Estacionamento'), ('category', 'Rural'), ('category', 'Área'), ('category', 'Prédio'), ('category', 'Outro'), ('auction_type', 'Judicial'), ('auction_type', 'Extrajudicial'), ('auction_type', 'Venda Direta'), ('auction_type', 'Leilão SFI'), ('auction_type', 'Outros')) v(kind, name)"
+_TYPE = "CASE WHEN contains(t, 'extrajudicial') THEN 'Extrajudicial' WHEN contains(t, 'judicial') THEN 'Judicial' WHEN contains(t, 'venda direta') THEN 'Venda Direta' WHEN regexp_matches(t, 'sfi|fiduci') THEN 'Leilão SFI' ELSE 'Outros' END"
+
 
-    return sets(spark)
+@query(f"SELECT kind, name, coalesce(n, 0) AS n FROM {_SETS} LEFT JOIN (SELECT 'auction_type' AS kind, {_TYPE} AS name, count(*) AS n FROM (SELECT strip_accents(lower(coalesce(kind, ''))) AS t FROM messy) GROUP BY 2 UNION ALL SELECT 'category', category, count(*) FROM messy WHERE category IN ('Apartamento', 'Casa', 'Terreno', 'Comercial', 'Estacionamento', 'Rural', 'Área', 'Prédio', 'Outro') GROUP BY 2) USING (kind, name)", messy_sql("kind", "category"))
+def closed_sets(spark, sf_dir):
+    """The closed sets of values, and how many listings hold each as it is stored."""
+    rows = messy(spark, sf_dir, "kind", "category").select(F.explode(F.array(F.struct(F.lit("auction_type").alias("kind"), places.auction_type(F.col("kind")).alias("name")), F.struct(F.lit("category").alias("kind"), F.col("category").alias("name")))).alias("v"))
+    counts = rows.groupBy("v.kind", "v.name").agg(F.count(F.lit(1)).alias("n"))
+    return schema.closed_sets(spark).join(counts, ["kind", "name"], "left").select("kind", "name", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("""SELECT l.id, CASE WHEN n.id IS NOT NULL AND n.v <> 0 AND n.v IS DISTINCT FROM l.first_auction_value THEN n.v ELSE l.first_auction_value END AS first_auction_value, CASE WHEN n.id IS NOT NULL AND n.v <> 0 AND n.v IS DISTINCT FROM l.first_auction_value THEN l.first_auction_value END AS previous_first_auction_value,

@@ -313,3 +313,17 @@ def test_health_goes_on_from_a_summary(spark):
     assert plain(health.merge_summaries(old, new, 4)) == expected
     plan = whole._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan
+
+
+def test_upserts_with_nulls_and_repeats(spark):
+    from gavelspark.operators import upserts
+
+    schema = "id string, title string, city string, neighborhood string, image_url string, source_url string, is_active boolean, created_at timestamp_ntz, updated_at timestamp_ntz"
+    df = lambda *rows: spark.createDataFrame([(*r, None, None) for r in rows], schema)
+    old = df(("a", "A", "Santos", "Centro", None, "http://s.com/a", True), (None, "no id", None, None, None, None, True))
+    new = df(("a", "first", "SAO PAULO", "JARDIM DA LUZ", "http://s.com/logo-of-the-house.png", "http://s.com/b", False), ("a", "last", "campinas", "", "http://s.com/photos/house.jpg", "nothing", True), (None, "also none", None, None, None, None, None))
+    got = {(r.id, r.title): r for r in upserts.store(old, new.withColumn("at", F.when(F.col("title") == "last", 2).otherwise(1)), "2024-01-02", "at").collect()}
+    assert set(got) == {("a", "last"), (None, "no id"), (None, "also none")}
+    a = got[("a", "last")]
+    assert (a.city, a.neighborhood, a.image_url, a.source_url, a.created_at, str(a.updated_at)) == ("Campinas", None, "http://s.com/photos/house.jpg", None, None, "2024-01-02 00:00:00")
+    assert upserts.store(old, new.limit(0), "2024-01-02").count() == 2 and upserts.store(old.limit(0), new, "2024-01-02").count() == 3
