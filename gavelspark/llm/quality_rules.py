@@ -183,12 +183,16 @@ def judged(rows: DataFrame, language: str = "lang", source: str = "source", reac
     )
 
     def fence(name: str) -> Column:
-        """Of the group, drawn towards its language's, which is drawn towards that of all."""
-        x = F.col(f"_f3.{name}")
+        """Of the group, drawn towards its language's, which is drawn towards that of
+        all; upper ones by their logarithms, so that a few odd texts of a small group
+        don't open its fence to themselves."""
+        upper = name.startswith("high_")
+        scaled = lambda x: F.log1p(x) if upper else x
+        x = scaled(F.col(f"_f3.{name}"))
         for part in ("_f2", "_f1"):
             n = F.col(f"{part}.texts")
-            x = F.coalesce((n * F.col(f"{part}.{name}") + least * x) / (n + least), x)
-        return x
+            x = F.coalesce((n * scaled(F.col(f"{part}.{name}")) + least * x) / (n + least), x)
+        return F.expm1(x) if upper else x
 
     bad = F.lit(False)
     for k, unit in MEASURES.items():

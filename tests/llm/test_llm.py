@@ -98,6 +98,18 @@ def test_quality_fences_follow_the_group(spark):
     assert all(k for i, k in kept.items() if i < 2000) and not any(k for i, k in kept.items() if i >= 5000)
 
 
+def test_a_small_group_does_not_open_its_own_fence(spark):
+    from gavelspark.llm.quality_rules import judged
+
+    def row(i, source, symbols):
+        return (i, "de", source, 1000, 5000, symbols, 100, 0, 0, False)
+
+    schema = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long, base_failed boolean"
+    data = [row(i, "prose", i % 3) for i in range(800)] + [row(2000 + i, "odd", 3000) for i in range(3)] + [row(3000, "odd", 2), row(3001, "new", 1)]
+    kept = {r.doc_id: r.kept for r in judged(spark.createDataFrame(data, schema)).collect()}
+    assert not any(kept[2000 + i] for i in range(3)) and kept[3000] and kept[3001] and all(kept[i] for i in range(800))
+
+
 def test_sharding(docs, empty):
     from gavelspark.llm.sharding import assign_shards
 
