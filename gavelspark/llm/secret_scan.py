@@ -35,6 +35,9 @@ SIGNED = r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0
 ASSIGNED = rf"(?<=[:=\x20\"'])(?<=[:=]\x20?[\"']?)(?<![\w.$-])(?<=(?i:{SECRET_NAMES})[\"']?\x20?[:=]\x20?[\"']?)[^\s\"'`,;&<>()\[\]{{}}:=]{{6,}}+={{0,2}}"
 RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
 CANDIDATE = f"{PRIVATE_KEY}|{SIGNED}|{ASSIGNED}|{RUN}"
+#: How tokens begin that their issuers mark. Fixed values.
+ISSUED = r"^(xox[abeprs]-|gh[pousr]_|github_pat_|glpat-|sk-|sk_live_|rk_live_|AKIA|ASIA|AIza|npm_|hf_|pypi-|dop_v1_|SG\.|EAAC|ya29\.)"
+UUID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 #: Words that make up identifiers and paths rather than keys. Fixed values.
 DICTIONARY = (
     "access account action admin alpha api app apply archive asset auth auto back base beta block board body build button cache card case category "
@@ -52,7 +55,7 @@ DICTIONARY = (
 
 FEATURES = [
     "length", "changes", "entropy", "digits", "upper", "lower", "marks", "hex", "distinct", "covered", "in_path", "test_path", "key_word", "hash_word",
-    "assigned", "quoted", "key_head", "signed",
+    "assigned", "quoted", "key_head", "signed", "issued", "uuid",
 ]
 #: Characters on each side that the neighbouring words are taken from.
 CONTEXT = 128
@@ -113,9 +116,10 @@ def with_features(found: DataFrame) -> DataFrame:
         "hex": flag(c.rlike("^[0-9a-fA-F]+$")), "distinct": F.size(letters) / n, "covered": covered,
         "in_path": flag(before.rlike(r"(://\S*|[/\\.])$") & ~before.rlike(r"=$") | after.rlike(r"^[./\\]\w") | c.contains("/") & c.rlike("[a-z]{4,}/")),
         "test_path": flag(F.lower("path").rlike(r"test|example|sample|fixture|mock|lock|\.md")),
-        "key_word": flag(before.rlike(r"(?i)(api.?key|token|secret|passw|pwd|passphrase|credential|auth|private|access.?key|\bkey)\W{0,6}\w{0,12}\W{0,6}$")),
+        "key_word": flag(before.rlike(r"(?i)(api.?key|token|secret|passw|pwd|passphrase|credential|auth|bearer|private|access.?key|\bkey)\W{0,6}\w{0,12}\W{0,6}$")),
         "hash_word": flag(before.rlike(r"(?i)(sha-?\d*|md5|commit|checksum|digest|hash|uuid|guid|etag|revision|build|example|dummy|\bid|isbn|order|card|phone)\W{0,6}\w{0,12}\W{0,6}$")),
         "assigned": flag(before.rlike(r"[=:]\s*[\"'`]?$")), "quoted": flag(before.rlike("[\"'`]$") & after.rlike("^[\"'`]")), "key_head": flag(c.startswith("-----BEGIN")), "signed": flag(c.rlike(f"^{SIGNED}$")),
+        "issued": flag(c.rlike(ISSUED)), "uuid": flag(c.rlike(UUID)),
     })
 
 
@@ -137,6 +141,8 @@ def example_findings(spark: SparkSession, rows: int = 8000) -> DataFrame:
     size = (F.lit(24) + F.pmod(F.xxhash64(i, F.lit(4)), F.lit(40))).cast("int")
     row = lambda before, text, after, label: F.struct(F.concat(before).alias("before"), F.concat(text).alias("candidate"), F.concat(after).alias("after"), F.lit(label).alias("label"))
     assigned, text = F.concat(word2, F.lit(" "), name, loose, quote), F.lit
+    uuid = F.concat_ws("-", F.substring(hexes, 1, 8), F.substring(hexes, 9, 4), F.substring(hexes, 13, 4), F.substring(hexes, 17, 4), F.substring(hexes, 21, 12))
+    of_kind = lambda a, b: F.when(F.pmod(F.xxhash64(i, F.lit(13)), F.lit(2)) == 0, a).otherwise(F.translate(b, "+/", "xY"))
     shell = F.concat(text("export "), F.upper(F.concat(word, text("_"), name)), text("="))
     made = [
         row(assigned, F.substring(hexes, 1, 40), quote, 1.0), row(assigned, F.left(hexes, size), quote, 1.0), row(assigned, b64, quote, 1.0),
@@ -146,6 +152,9 @@ def example_findings(spark: SparkSession, rows: int = 8000) -> DataFrame:
         row(shell, F.left(b64, size), text("\n"), 1.0), row(shell, F.substring(hexes, 1, 40), text("\n"), 1.0),
         row(F.concat(text("https://host.example/"), word, text("?"), name, text("=")), F.substring(hexes, 1, 32), text("&page=2"), 1.0),
         row(F.concat(text("authorization bearer ")), F.concat(text("eyJ"), F.left(b64, F.lit(20)), text("."), F.left(F.translate(more, "+/", "xY"), F.lit(30)), text("."), F.left(letters, F.lit(20))), text(" "), 1.0),
+        row(F.concat(of(["Authorization: Bearer ", "authorization: bearer ", "-H 'Authorization: Token "], 11)), F.left(of_kind(hexes, b64), size), text("\n"), 1.0),
+        row(F.concat(word, text(" ")), F.concat(of(["xoxb-", "xoxp-", "glpat-", "github_pat_", "sk-", "npm_", "hf_", "AIza", "dop_v1_"], 12), F.substring(digits, 1, 11), F.left(F.translate(b64, "+/", "xY"), F.lit(24))), text(" "), 1.0),
+        row(F.concat(name, text("_id"), loose, quote), uuid, quote, 0.0), row(F.concat(word, text("_uuid"), loose, quote), uuid, quote, 0.0), row(F.concat(text("request "), word, text(" ")), uuid, text(" "), 0.0),
         row(assigned, F.left(letters, F.pmod(i, F.lit(20)).cast("int") + 12), quote, 1.0),
         row(assigned, F.concat(word, F.left(letters, F.lit(4)), word2, F.substring(digits, 1, 2), text("!")), quote, 1.0),
         row(assigned, F.concat(F.left(letters, F.lit(5)), text("#"), F.substring(digits, 1, 4), text("$"), F.right(letters, F.lit(3))), quote, 1.0),
