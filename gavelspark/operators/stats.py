@@ -74,6 +74,40 @@ def completeness(listings: DataFrame, dim: str, fields: list[str] = FIELDS) -> D
     return out.withColumn("band", F.when(s >= 80, "excellent").when(s >= 60, "good").when(s >= 40, "fair").otherwise("poor"))
 
 
+def quality_score(listings: DataFrame, fields: list[str]) -> DataFrame:
+    """One row: active listings, the share of them that has each field (per cent, one
+    decimal), the mean of the shares, and its band (80, 60, 40)."""
+    n = F.count(F.lit(1))
+    shares = [F.when(n > 0, present(f) * 100 / n).otherwise(0.0) for f in fields]
+    out = listings.where("is_active").agg(n.alias("total"), *(F.round(x, 1).alias(f"pct_{f}") for f, x in zip(fields, shares, strict=True)), (sum(shares[1:], shares[0]) / len(fields)).alias("score"))
+    s = F.col("score")
+    return out.withColumns({"band": F.when(s >= 80, "excellent").when(s >= 60, "good").when(s >= 40, "fair").otherwise("poor"), "score": F.round("score", 1)})
+
+
+_BAD_IMAGES = "facebook|logo|placeholder|no-image"
+
+
+def maintenance(listings: DataFrame) -> DataFrame:
+    """One row: five counts of what can be mended and three totals."""
+    shouted = lambda c: (F.col(c) == F.upper(c)) & (F.length(c) > 2)
+    no_url, bank = is_blank(F.col("source_url")), F.col("id").startswith("caixa-")
+    return listings.agg(
+        F.count_if(shouted("city")).alias("uppercase_cities"), F.count_if(shouted("neighborhood")).alias("uppercase_neighborhoods"), F.count_if(F.col("image_url").rlike(_BAD_IMAGES)).alias("invalid_images"),
+        F.count_if(no_url & bank).alias("missing_bank_urls"), F.count_if(no_url & ~bank).alias("missing_other_urls"), F.count(F.lit(1)).alias("total"), F.count_if(~is_blank(F.col("image_url"))).alias("with_image"), F.count_if(~no_url).alias("with_url"),
+    )
+
+
+def maintained(listings: DataFrame, page: str) -> DataFrame:
+    """listings with what `maintenance` counts mended: names in title case, no such
+    images, and the bank's own page (`page` and the number) where its rows have none."""
+    named = lambda c: F.when(F.col(c) == F.upper(c), F.initcap(c)).otherwise(F.col(c))
+    lacks = is_blank(F.col("source_url")) & F.col("id").startswith("caixa-")
+    return listings.withColumns({
+        "city": named("city"), "neighborhood": named("neighborhood"), "image_url": F.when(~F.col("image_url").rlike(_BAD_IMAGES), F.col("image_url")),
+        "source_url": F.when(lacks, F.concat(F.lit(page), F.replace("id", F.lit("caixa-"), F.lit("")))).otherwise(F.col("source_url")),
+    })
+
+
 def audit_counts(listings: DataFrame) -> DataFrame:
     no = lambda c: is_blank(F.col(c))
     first, second = F.coalesce("first_auction_value", F.lit(0.0)), F.coalesce("second_auction_value", F.lit(0.0))
@@ -103,8 +137,17 @@ def per_auctioneer(listings: DataFrame) -> DataFrame:
 
 
 def image_coverage(listings: DataFrame, dim: str) -> DataFrame:
+    return listings.groupBy(dim).agg(*_images())
+
+
+def image_coverage_overall(listings: DataFrame) -> DataFrame:
+    """The same of all listings, in one row."""
+    return listings.agg(*_images())
+
+
+def _images() -> list[Column]:
     n, good = F.count(F.lit(1)), F.count_if(~blocked_image(F.col("image_url")))
-    return listings.groupBy(dim).agg(n.alias("n"), good.alias("with_image"), percent(n - good, n).alias("pct_missing"))
+    return [n.alias("n"), good.alias("with_image"), percent(n - good, n).alias("pct_missing")]
 
 
 def distinct_counts(listings: DataFrame, dims: list[str]) -> DataFrame:

@@ -463,4 +463,4 @@ def dedup_keys(spark, sf_dir):
     return rows.select("id", dedup.words_key(c["title"], c["city"], c["state"]).alias("k"), dedup.plain_key(c["title"], c["city"], c["state"]).alias("plain"))
 
 
-from . import queries_fields, queries_more  # noqa: E402, F401  they register theirs
+from . import queries_fields, queries_more, queries_sources  # noqa: E402, F401  they register theirs
