@@ -8,7 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .functions import categories, dates, geo, money, places, text, urls
-from .operators import discovery, filters, lifecycle, lookup, reports
+from .operators import dedup, discovery, filters, lifecycle, lookup, reports
+from .plans.listings import LISTINGS_SQL, listings
 from .plans.messy import messy, messy_sql
 from .registry import query
 from .sources import bank_csv, html_items, json_items
@@ -303,3 +304,38 @@ _CONFIG = {"card": ("div", "item"), "title": r"(?is)<h3>(.*?)</h3>", "link": r'h
 def configured_cards(spark, sf_dir):
     pages = messy(spark, sf_dir, "page").select("key", F.col("page").alias("html"), F.lit("https://s.com/l?p=1").alias("url"))
     return html_items.configured_cards(pages, _CONFIG, ["key"]).select("key", "title", "link", "price")
+
+
+# --- keys and measures of duplicates, each by a rule of its own in SQL ---
+
+_BARE = _FOLD.format("lower({})")
+
+
+@query(f"SELECT key, concat_ws('_', upper(state), left(regexp_replace({_BARE.format('city')}, '[^a-z]', '', 'g'), 20), left(array_to_string(list_filter(string_split({_SQUEEZE.format('regexp_replace(' + _BARE.format('address') + ', ' + chr(39) + '[^a-z ]' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')}, ' '), lambda w: length(w) > 2)[1:5], ''), 30)) AS k FROM messy", messy_sql("address", "city", "state"))
+def dedup_word_keys(spark, sf_dir):
+    rows = messy(spark, sf_dir, "address", "city", "state")
+    return rows.select("key", dedup.words_key(F.col("address"), F.col("city"), F.col("state")).alias("k"))
+
+
+_HOST_PATH = r"regexp_replace(lower(regexp_extract(trim(url), '^[A-Za-z]+://([^/?:#]+)', 1)), '^www\.', '') || regexp_replace(regexp_extract(trim(url), '^[A-Za-z]+://[^/?#]+([^?#]*)', 1), '/+$', '')"
+
+
+@query(f"SELECT key, md5(concat_ws(':', CAST(key % 7 AS VARCHAR), {_HOST_PATH})) AS k FROM messy", messy_sql("url"))
+def dedup_url_keys(spark, sf_dir):
+    return messy(spark, sf_dir, "url").select("key", dedup.url_key(F.col("key") % 7, F.trim("url")).alias("k"))
+
+
+@query("SELECT id, CASE WHEN a IS NULL OR b IS NULL OR a = 0 OR b = 0 THEN 0.5 ELSE (SELECT CASE WHEN off <= 0.1 THEN 1.0 WHEN off <= 0.2 THEN 0.8 WHEN off <= 0.3 THEN 0.6 WHEN off <= 0.5 THEN 0.4 ELSE 0.2 END FROM (SELECT abs(a - b) / greatest(a, b) AS off)) END::DOUBLE AS alike FROM (SELECT id, CASE WHEN key % 9 = 0 THEN 0 WHEN key % 9 > 1 THEN evaluation_value END AS a, evaluation_value * (key % 12 + 1) / 10 AS b FROM listings)", LISTINGS_SQL)
+def value_similarities(spark, sf_dir):
+    rows, k = listings(spark, sf_dir, values=False), F.col("key")
+    first = F.when(k % 9 == 0, 0.0).when(k % 9 > 1, F.col("evaluation_value"))
+    return rows.select("id", money.value_similarity(first, F.col("evaluation_value") * (k % 12 + 1) / 10).alias("alike"))
+
+
+_SITE = "CASE key % 5 WHEN 0 THEN 'https://s.com/veiculos/9' WHEN 1 THEN 'https://s.com/imoveis/casa' WHEN 2 THEN 'https://s.com/OUTROS' WHEN 3 THEN 'https://s.com/automotivos/1' END"
+
+
+@query(f"SELECT key, CASE WHEN key % 5 IN (0, 2) THEN FALSE WHEN title IN ('Carro usado', 'Trator e reboque') THEN FALSE WHEN title = 'Lance' THEN FALSE ELSE TRUE END AS strict_or_not FROM (SELECT key, split_part(split_part(split_part(coalesce(title, ''), ' em ', 1), ' - ', 1), ': ', 1) AS title FROM messy)", messy_sql("title"))
+def real_estate_by_url(spark, sf_dir):
+    """Addresses of other goods decide first, then words of titles."""
+    return messy(spark, sf_dir, "title").select("key", places.is_estate(F.col("title"), F.expr(_SITE)).alias("strict_or_not"))
