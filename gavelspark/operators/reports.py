@@ -39,11 +39,11 @@ def page_with_total(rows: DataFrame, page: int, size: int, *order: Column) -> Da
     return rows.orderBy(*order).offset((page - 1) * size).limit(size).join(F.broadcast(total))
 
 
-def groups_with_members(rows: DataFrame, by: str, member: str, weight: str) -> DataFrame:
-    """Members of each group as one sorted text, largest weight first. For dimension
-    tables: a group's members stand in one row."""
-    pairs = F.array_sort(F.collect_list(F.struct((-F.col(weight)).alias("w"), F.col(member).cast("string").alias("m"))))
-    return rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), pairs.alias("p")).select(by, "n", F.array_join(F.transform("p", lambda x: x["m"]), ",").alias("members"))
+def group_members(rows: DataFrame, by: str, member: str, weight: str) -> DataFrame:
+    """Members of each group, a row each, largest weight first, with the group's number of members."""
+    counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+    out = rows.select(F.col(by).alias("_by"), F.col(member).alias("member"), F.col(weight).alias("weight")).join(counts, F.col("_by").eqNullSafe(F.col(by)))
+    return out.select(by, "n", "member", "weight").orderBy(by, F.desc("weight"), "member")
 
 
 def discovery_report(sites: DataFrame) -> DataFrame:
@@ -53,13 +53,13 @@ def discovery_report(sites: DataFrame) -> DataFrame:
 
 
 def consolidated(runs: DataFrame) -> DataFrame:
-    """One row over all sources (source, total, ok): totals, active sources, success rate and totals by source."""
+    """A row for each source (source, total, ok) with its total and whether all its
+    runs went well, and on each row what holds for all: total, sources, active ones,
+    success rate."""
     n = F.count(F.lit(1))
-    by_source = runs.groupBy("source").agg(F.sum("total").alias("total"), F.min(F.col("ok").cast("int")).alias("ok"))
-    return by_source.agg(
-        F.sum("total").alias("total"), n.alias("sources"), F.count_if(F.col("total") > 0).alias("active"), percent(F.count_if(F.col("ok") == 1), n, 1).alias("pct_ok"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source", "total"))), lambda x: F.concat_ws("=", x["source"], x["total"])), ",").alias("by_source"),
-    )
+    by_source = runs.groupBy("source").agg(F.sum("total").alias("source_total"), F.min(F.col("ok").cast("int")).alias("_ok"))
+    whole = by_source.agg(F.sum("source_total").alias("total"), n.alias("sources"), F.count_if(F.col("source_total") > 0).alias("active"), percent(F.count_if(F.col("_ok") == 1), n, 1).alias("pct_ok"))
+    return by_source.join(F.broadcast(whole)).select("source", "source_total", (F.col("_ok") == 1).alias("source_ok"), "total", "sources", "active", "pct_ok")  # one row
 
 
 def error_class(error: Column) -> Column:

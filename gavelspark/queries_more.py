@@ -159,9 +159,9 @@ def site_types(spark, sf_dir):
     return reports.counts(auctioneers(spark, sf_dir), "site_type", F.get_json_object("scrape_config", "$.site_type"))
 
 
-@query("SELECT platform, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY -priority, CAST(id AS VARCHAR)) AS members FROM auctioneers GROUP BY 1", A)
+@query("SELECT platform, count(*) OVER (PARTITION BY platform) AS n, id AS member, priority AS weight FROM auctioneers", A)
 def platform_groups(spark, sf_dir):
-    return reports.groups_with_members(auctioneers(spark, sf_dir), "platform", "id", "priority")
+    return reports.group_members(auctioneers(spark, sf_dir), "platform", "id", "priority")
 
 
 _METHOD = "CASE WHEN platform = 'A' AND id % 3 = 0 THEN 'browser_stealth' WHEN id % 3 = 0 THEN 'browser' WHEN platform = 'A' THEN 'http_stealth' WHEN trim(website) <> '' THEN 'http' ELSE 'investigate' END"
@@ -178,7 +178,7 @@ def discovery_report(spark, sf_dir):
 _RUNS = "s AS (SELECT CAST(user_id % 12 AS VARCHAR) AS source, CAST(sum(CASE WHEN event_type = 'view' AND user_id % 12 <> 5 THEN 1 ELSE 0 END) AS BIGINT) AS total, bool_and(user_id % 12 < 9) AS ok FROM events GROUP BY 1)"
 
 
-@query("SELECT CAST(sum(total) AS BIGINT) AS total, count(*) AS sources, count(*) FILTER (total > 0) AS active, CAST(round(count(*) FILTER (ok) * 100.0 / count(*), 1) AS DOUBLE) AS pct_ok, string_agg(source || '=' || total, ',' ORDER BY source) AS by_source FROM s", _RUNS)
+@query("SELECT source, s.total AS source_total, s.ok AS source_ok, w.* FROM s, (SELECT CAST(sum(total) AS BIGINT) AS total, count(*) AS sources, count(*) FILTER (total > 0) AS active, CAST(round(count(*) FILTER (ok) * 100.0 / count(*), 1) AS DOUBLE) AS pct_ok FROM s) w", _RUNS)
 def run_consolidation(spark, sf_dir):
     k = F.col("user_id") % 12
     runs = table(spark, sf_dir, "events").select(k.cast("string").alias("source"), ((F.col("event_type") == "view") & (k != 5)).cast("long").alias("total"), (k < 9).alias("ok"))
