@@ -13,9 +13,12 @@ from gavelspark.sources import bank_csv, html_items, json_items, snapshot
 from gavelspark.streaming import search_log
 
 
-def test_bad_sort_field(spark):
+def test_unknown_sort_field(spark):
+    """Means created_at, but is an error where requests are normalised."""
     with pytest.raises(ValueError):
-        search.ordering(search.SearchRequest(sort_by="id; drop"))
+        search.ordering(search.SearchRequest(sort_by="id; drop", normalised=True))
+    order = [[str(c) for c in search.ordering(search.SearchRequest(sort_by=by))] for by in ("id; drop", "created_at")]
+    assert order[0] == order[1]
 
 
 def test_contains_takes_wildcards_as_they_are(spark):
