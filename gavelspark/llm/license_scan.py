@@ -39,7 +39,7 @@ from .common import ship
 #: What a candidate block speaks of (for Java and Python alike). Fixed values.
 CUES = (
     r"(?i)licen[cs]|copyright|all\s+rights\s+reserved|creative\s+commons|\bcc[ -]by|\bspdx|public\s+domain|redistribution|warranty|permission\s+is\s+hereby|"
-    r"permission\s+to\s+use|without\s+limitation\s+the\s+rights|free\s+software|as[ -]is|unencumbered|neither\s+the\s+name"
+    r"permission\s+to\s+use|without\s+limitation\s+the\s+rights|free\s+software|\bas[ -]is\b|unencumbered|neither\s+the\s+name"
 )
 
 #: Notices as their stewards word them, one for all versions and kinds (see `stated`). Fixed values.
@@ -96,6 +96,8 @@ KINDS = ["BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"]
 FAMILIES = {w: w for w in ("apache", "mit", "isc", "bsd", "gnu", "lesser", "affero", "mozilla", "eclipse", "boost", "artistic", "cc", "cc0", "unencumbered")} | {"general": "gnu", "creative": "cc", "commons": "cc"}
 _LONG_KINDS = {"attribution": "BY", "sharealike": "SA", "noncommercial": "NC", "noderivatives": "ND", "noderivs": "ND"}
 
+#: zstandard's level: from this one on it looks for matches at every place of a dictionary as short as a notice.
+LEVEL = 13
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
 
@@ -175,7 +177,9 @@ def license_named(name: str, found: list[tuple[str, str]]) -> str | None:
 class Scanner:
     """Templates, ready to compress with. `near` is the largest share of a
     template's words that may differ; a template is compared if the block saves
-    at least `saves` of the template's own compressed size with it."""
+    at least `saves` of the template's own compressed size with it, or if it is one
+    of the three that save most (a notice of three words at the end of a long block
+    saves a few bytes only)."""
 
     def __init__(self, templates: list[tuple[str, str]], near: float, saves: float):
         import zstandard
@@ -188,12 +192,12 @@ class Scanner:
         self.families = [families(words) for words in self.words]
         self.both_bsd = {i for i, (name, words) in enumerate(zip(self.names, self.words, strict=True)) if name == "BSD-2-Clause" and not self.slots[i]}
         self.cue = re.compile(CUES)
-        self.alone = zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=False)
+        self.alone = zstandard.ZstdCompressor(level=LEVEL, write_checksum=False, write_content_size=False)
         plain = [_plain(w) for w in self.words]
         self.cost = [max(1, len(self.alone.compress(p))) for p in plain]
         # a template stands in its dictionary twice, to be matched near its end too
         self.given = [
-            zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=False, dict_data=zstandard.ZstdCompressionDict((p + b"\n") * 2, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+            zstandard.ZstdCompressor(level=LEVEL, write_checksum=False, write_content_size=False, dict_data=zstandard.ZstdCompressionDict((p + b"\n") * 2, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
             for p in plain
         ]
         self.known: dict[tuple[str, ...], list] = {}
@@ -210,7 +214,7 @@ class Scanner:
         if key not in self.known:
             if len(self.known) > 20_000:
                 self.known.clear()
-            chosen, own, found = [(-at, gain) for gain, at in self.ranked(words) if gain >= self.saves], list(words), []
+            chosen, own, found = [(-at, gain) for n, (gain, at) in enumerate(self.ranked(words)) if gain >= self.saves or (n < 3 and gain > 0.05)], list(words), []
             while True:
                 best = None
                 for i, gain in sorted(chosen):
