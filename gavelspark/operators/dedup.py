@@ -166,23 +166,42 @@ def pair_score(pairs: DataFrame, least: float = 0.0) -> DataFrame:
     return out.withColumns({"score": F.round(rest + title * 0.2, 6), "reasons": F.array_join(reasons, ",")}).where(F.col("score") >= least).drop("_at", "_bt", "_titles")
 
 
-def scored_pairs(rows: DataFrame, least: float = 0.75, least_address: float = 0.85) -> DataFrame:
-    """Listings a < b of different auctioneers in one city and state whose score is
-    at least `least`: a, b, score, reasons. Compared are pairs whose written-out
-    addresses have a ratio of at least `least_address`; addresses are compared once
-    for each two that differ, not for each two listings."""
+def profiles(rows: DataFrame) -> DataFrame:
+    """rows of a known city and state with _city, _state, _full (the written-out
+    address) and profile: the lowest id of the rows there that are alike in all that a
+    score looks at."""
     full = F.concat_ws(", ", *(F.coalesce(F.col(c), F.lit("")) for c in ("address", "neighborhood", "city", "state")))
     own = rows.withColumns({"_city": F.lower("city"), "_state": F.upper("state"), "_full": long_address(full)}).where("_city is not null and _state is not null")
-    block = ["_city", "_state"]
-    heads = distinct_texts(own, block, "_full", "id").select(*block, F.col("t").alias("_full"), F.col("id").alias("head"))
-    members = own.join(heads, [*block, "_full"]).select("head", "id", "auctioneer_id", *_SCORED)
+    alike = ["_city", "_state", "_full", *_SCORED]
+    heads = own.groupBy(*alike).agg(F.min("id").alias("profile"))
+    a, b = own.alias("a"), heads.alias("b")
+    return a.join(b, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in alike]).select("a.*", "b.profile")
+
+
+def scored_pairs(rows: DataFrame, least: float = 0.75, least_address: float = 0.85) -> DataFrame:
+    """Profiles a <= b (see `profiles`) in one city and state that different
+    auctioneers have, whose score is at least `least`: a, b, n_a and n_b (their
+    listings), score, reasons. a = b: listings of one profile by several auctioneers.
+    So equal listings, however many stand at one address, are one row. Compared are
+    profiles whose addresses have a ratio of at least `least_address`; addresses are
+    compared once for each two that differ."""
+    own = profiles(rows)
+    block, seller = ["_city", "_state"], F.coalesce(F.col("auctioneer_id").cast("string"), F.lit(""))
+    one = own.groupBy(*block, "_full", "profile", *_SCORED).agg(F.count(F.lit(1)).alias("n"), F.min(seller).alias("low"), F.max(seller).alias("high"))
+    heads = one.groupBy(*block, "_full").agg(F.min("profile").alias("head"))
+    members = one.join(heads, [*block, "_full"]).select("head", "profile", "n", "low", "high", *_SCORED)
     near = blocked_pairs(own, block, "_full", "id", least_address)
     named = lambda i: heads.select(F.col("head").alias(f"h{i}"), F.col("_full").alias(f"t{i}"))
     near = with_address(near.toDF("h1", "h2", "ratio").join(named(1), "h1").join(named(2), "h2"), "t1", "t2", F.col("ratio")).select("h1", "h2", "address")
     near = near.union(heads.select("head", "head", F.when(F.col("_full") == "", 0.0).otherwise(1.0)))  # the same address is near itself
-    side = lambda s, h: members.select(F.col("head").alias(h), *(F.col(c).alias(f"{s}_{c}") for c in ["id", "auctioneer_id", *_SCORED]))
-    met = near.join(side("a", "h1"), "h1").join(side("b", "h2"), "h2").where(~F.col("a_auctioneer_id").eqNullSafe(F.col("b_auctioneer_id")) & ((F.col("h1") != F.col("h2")) | (F.col("a_id") < F.col("b_id"))))
-    return pair_score(met, least).select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), "score", "reasons")
+    side = lambda s, h: members.select(F.col("head").alias(h), *(F.col(c).alias(f"{s}_{c}") for c in ["profile", "n", "low", "high", *_SCORED]))
+    several = (F.col("a_low") != F.col("b_low")) | (F.col("a_high") != F.col("b_high")) | (F.col("a_low") != F.col("a_high"))
+    met = near.join(side("a", "h1"), "h1").join(side("b", "h2"), "h2").where(several & ((F.col("h1") != F.col("h2")) | (F.col("a_profile") <= F.col("b_profile"))))
+    swapped = F.col("a_profile") > F.col("b_profile")
+    return pair_score(met, least).select(
+        F.least("a_profile", "b_profile").alias("a"), F.greatest("a_profile", "b_profile").alias("b"), F.when(swapped, F.col("b_n")).otherwise(F.col("a_n")).alias("n_a"),
+        F.when(swapped, F.col("a_n")).otherwise(F.col("b_n")).alias("n_b"), "score", "reasons",
+    )
 
 
 def losers(pairs: DataFrame, points: DataFrame) -> DataFrame:

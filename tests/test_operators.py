@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from gavelspark.functions import text
 from gavelspark.operators import dedup, merge, search
 from gavelspark.schema import PROPERTIES
 from gavelspark.sources import bank_csv, html_items, json_items, snapshot
@@ -117,12 +118,40 @@ def test_scored_pairs(spark):
         ("e", 4, "Apartamento", *base[1:5], "Apartamento", 300000.0, None, 400.0, None), ("f", 5, *base[:4], "sp", *base[5:]), ("g", 6, *[None] * 10),
     ]
     found = {(r.a, r.b): r for r in dedup.scored_pairs(spark.createDataFrame(rows, columns)).collect()}
-    assert set(found) == {("a", "b"), ("b", "c"), ("a", "f"), ("b", "f"), ("c", "f")}  # c is of a's auctioneer, d of another city, e too unlike
-    assert found[("a", "f")].score == pytest.approx(1.0) and found[("a", "f")].reasons == "address alike,title,category,value,area"
+    assert set(found) == {("a", "b"), ("a", "a")}  # c and f are as a is, f of another auctioneer; d is of another city, e too unlike
+    assert found[("a", "a")].score == pytest.approx(1.0) and found[("a", "a")].reasons == "address alike,title,category,value,area"
+    assert (found[("a", "b")].n_a, found[("a", "b")].n_b) == (3, 1)
+    members = {r.id: r.profile for r in dedup.profiles(spark.createDataFrame(rows, columns)).collect()}
+    assert members == {"a": "a", "b": "b", "c": "a", "d": "d", "e": "e", "f": "a"}
     address, title = "rua das flores 120 centro santos sp", similar("casa terrea", "casa terrea")
     assert found[("a", "b")].score == pytest.approx(0.4 * min(1, similar(address, address) + 0.3) + 0.2 * title + 0.4)
 
 
+def test_scored_pairs_as_all_pairs(spark):
+    import random
+
+    r = random.Random(8)
+    columns = "id int, auctioneer_id int, title string, address string, neighborhood string, city string, state string, category string, evaluation_value double, first_auction_value double, area_total double, area_privativa double"
+    rows = [
+        (i, r.choice([1, 2, 3, None]), r.choice(["casa", "casa nova", "apartamento", None]), f"rua das flores {r.randrange(3)}" if r.random() < 0.8 else None, r.choice(["centro", None]), r.choice(["Santos", "santos", "Recife"]),
+         "SP", r.choice(["Casa", "Apartamento", None]), r.choice([100.0, 105.0, 400.0, None, 0.0]), 90.0, r.choice([50.0, None]), None) for i in range(90)
+    ]
+    df = spark.createDataFrame(rows, columns)
+    profile = {x.id: x.profile for x in dedup.profiles(df).collect()}
+    seller = {x[0]: str(x[1] or "") for x in rows}
+    found = {(x.a, x.b): x.score for x in dedup.scored_pairs(df, 0.75, 0.85).collect()}
+    full = lambda x: ", ".join(v or "" for v in (x[3], x[4], x[5], x[6]))
+    pairs = [(x, y) for n, x in enumerate(rows) for y in rows[n + 1 :] if x[5].lower() == y[5].lower() and seller[x[0]] != seller[y[0]]]
+    schema = "a string, b string, " + ", ".join(f"{s}_{c} string" for s in "ab" for c in ("title", "category")) + ", " + ", ".join(f"{s}_{c} double" for s in "ab" for c in ("evaluation_value", "first_auction_value", "area_total", "area_privativa")) + ", x int, y int"
+    flat = [(full(x), full(y), x[2], x[7], y[2], y[7], *x[8:12], *y[8:12], x[0], y[0]) for pair in pairs for x, y in (pair, pair[::-1])]  # difflib's ratio hangs on the order
+    made = spark.createDataFrame(flat, schema).withColumns({c: text.long_address(F.col(c)) for c in "ab"})
+    scores = {}
+    for x in dedup.pair_score(dedup.with_address(made, "a", "b").withColumn("near", dedup.text_ratio("a", "b") >= 0.85), 0.0).collect():
+        scores.setdefault(tuple(sorted((profile[x.x], profile[x.y]))), []).append(x.score if x.near else 0.0)
+    assert {p for p, own in scores.items() if min(own) >= 0.75} <= set(found) <= {p for p, own in scores.items() if max(own) >= 0.75} and len(found) > 20
+    assert all(any(score == pytest.approx(s) for s in scores[p]) for p, score in found.items())
+
+
 def test_first_of_each_remembers_kept_items_only(spark):
     from gavelspark.operators.first_wins import first_of_each
 
