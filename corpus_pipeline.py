@@ -1,6 +1,15 @@
 """The corpus pipeline: quality rules, line dedup, near copies, benchmark
 passages, packing. Each stage takes (spark, docs, sf_dir) and returns the rows
-that the next one works on."""
+that the next one works on, with all columns of documents but for the last.
+
+Defined results: a null or empty text has no words, so the first stage drops it;
+where a stage gets one (a text may lose all its lines), near copies keeps one
+empty document, benchmark keeps it, and packing gives its end id. Null languages
+and sources are groups like others. A null key is a key like any other, but for
+ties: of copies, and of documents with a recurring line, the one of the lowest key
+that is not null stays. Repeated rows are copies of each other. An empty table
+stays empty from stage to stage, and an empty benchmark drops nothing. Texts of
+any length are read whole."""
 
 from __future__ import annotations
 
