@@ -50,20 +50,20 @@ FIELD_PLACES = {
 LOT_LINK = "(?i)/imovel|/lote|/item|/detalhes"
 
 
-def selected_cards(pages: DataFrame, settings: dict[str, str] | None = None, keep: list[str] | None = None, most_cards: int = 50, most_links: int = 20, least_title: int = 10, html: str = "html", url: str = "url") -> DataFrame:
+def selected_cards(pages: DataFrame, settings: dict[str, str] | None = None, keep: list[str] | None = None, most_cards: int = 50, most_links: int = 20, least_title: int = 10, html: str = "html", url: str = "url", references: tuple[str, ...] | None = None) -> DataFrame:
     """Items of pages by selectors: keep, place, title, source_url, price, location,
     image_url. The first card selector that names any element (the settings' `card`,
     then CARD_PLACES) gives at most `most_cards` cards, nested ones each; where none
     does, links to lots give at most `most_links`. A field is what the settings'
     selector for it names first, else FIELD_PLACES. Items whose title has fewer than
-    `least_title` characters go. A page that is null or has neither gives none."""
+    `least_title` characters go. A page that is null or has neither gives none. references: see Tree."""
     settings, keep = settings or {}, keep or []
     card_places = [s for s in [settings.get("card", ""), *CARD_PLACES] if s]
     places = {f: ([settings[f]] if f in settings else []) + FIELD_PLACES[f] for f in FIELD_PLACES}
     kinds = {"place": pa.int32(), "title": pa.string(), "href": pa.string(), "price_text": pa.string(), "location": pa.string(), "src": pa.string()}
 
     def of_page(page: str) -> list[tuple]:
-        tree, out = Tree(page), []
+        tree, out = Tree(page, references), []
         found = next((x for x in map(tree.select, card_places) if x), None)
         if found is None:
             linked = [i for i in tree.select("a[href]") if re.search(LOT_LINK, tree.attributes[i]["href"])]

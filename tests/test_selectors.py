@@ -1,7 +1,9 @@
 """Selectors on pages with nested, unclosed and unquoted markup, and items by them."""
 
+import duckdb
 import pytest
 
+from gavelspark.queries import ORACLES, QUERIES
 from gavelspark.sources.html_items import selected_cards
 from gavelspark.sources.selectors import Tree
 
@@ -42,3 +44,15 @@ def test_selected_cards(spark):
     assert len(by[3]) == 50 and by[3][49].image_url == "http://s.com/x/i49.png" and by[3][0].source_url == "http://s.com/x/"
     assert [(r.title, r.price, r.location) for r in by[6]] == [("Ten letters or more", 900.5, "Rio")]
     assert set(by) == {1, 2, 3, 6}
+
+
+def test_character_references_of_titles_as_sql_reads_them(spark, tmp_path):
+    titles = ["a token = &quot;0123456789", "The first &amp;&amp; the second", "Words that are cut here &amp", "&lt;b&gt; is &amp;lt;b&amp;gt;", "Marks &#39; &#x27; &eacute; &copy", "AT&T and a b&c", "&ltno end and &gt no"]
+    rows = [(i, f"http://s.com/{i}", f"<html><body><article><h1>{t}</h1><p>x &quot; y</p></article></body></html>") for i, t in enumerate(titles)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    theirs = dict(con.execute(f"SELECT page_id, title FROM ({ORACLES['selected_cards']})").fetchall())
+    got = {r.page_id: r.title for r in QUERIES["selected_cards"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(titles) and got == theirs
+    assert [Tree("<p>a &quot;b&quot; &amp c").text(0), Tree("<p>a &quot;b&quot; &amp c", ()).text(0)] == ['a "b" & c', "a &quot;b&quot; &amp c"]
