@@ -25,22 +25,24 @@ def overlap(titles: Column, before: Column) -> Column:
 
 
 def stops(pages: DataFrame, tail: int = 20, share: float = 0.8) -> DataFrame:
-    """pages (site, page, url, titles) with kept and reason. A site's pages are few
-    (sources stop at fifty); null titles are none."""
+    """pages (site, page, url, titles) with kept and reason; null titles are none. The
+    work grows with the pages of a site, not with their square: an address was seen
+    if it isn't its first row, and the last titles stand in the last `tail` pages that
+    have any, so a row's frame holds no more of them."""
     w = Window.partitionBy("site").orderBy("page")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     titles = F.coalesce(F.col("titles"), F.array().cast("array<string>"))
     out = pages.withColumn("titles", titles).withColumn("_empty", F.size("titles") == 0)
-    out = out.withColumns({
-        "_seen": F.array_contains(F.collect_list("url").over(before), F.col("url")), "_empty_before": F.coalesce(F.lag("_empty").over(w), F.lit(False)),
-        "_last": F.flatten(F.collect_list("titles").over(before)),
-    })
+    out = out.withColumns({"_at": F.row_number().over(w), "_full": F.count_if(~F.col("_empty")).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_empty_before": F.coalesce(F.lag("_empty").over(w), F.lit(False))})
+    ends = F.when(~F.col("_empty"), F.slice("titles", F.greatest(F.size("titles") - tail, F.lit(0)) + 1, tail))  # null: not collected
+    out = out.withColumn("_last", F.flatten(F.collect_list(ends).over(Window.partitionBy("site").orderBy("_full").rangeBetween(-tail, -1))))
+    out = out.withColumn("_seen", F.col("url").isNotNull() & (F.min("_at").over(Window.partitionBy("site", "url")) < F.col("_at")))
     last = F.slice("_last", F.greatest(F.size("_last") - tail, F.lit(0)) + 1, tail)
     alike = overlap(F.col("titles"), last) > F.size(F.array_distinct("titles")) * F.lit(share)
     out = out.withColumn("reason", F.when(F.col("_seen"), REVISIT).when(F.col("_empty") & F.col("_empty_before"), EMPTY).when(~F.col("_empty") & alike, LOOP))
     out = out.withColumn("_stopped", F.coalesce(F.max(F.col("reason").isNotNull()).over(before), F.lit(False)))
     out = out.withColumn("reason", F.when(F.col("_stopped"), AFTER).otherwise(F.col("reason")))
-    return out.withColumn("kept", F.col("reason").isNull() & ~F.col("_empty")).drop("_empty", "_seen", "_empty_before", "_last", "_stopped")
+    return out.withColumn("kept", F.col("reason").isNull() & ~F.col("_empty")).drop("_empty", "_at", "_full", "_seen", "_empty_before", "_last", "_stopped")
 
 
 class _Stops(StatefulProcessor):

@@ -38,3 +38,19 @@ def test_stream_with_a_restart_gives_what_the_table_gives(spark, tmp_path):
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     table = paging.stops(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted((r.site, r.page, r.reason or "", r.kept) for r in got) == sorted((r.site, r.page, r.reason or "", r.kept) for r in table)
+
+
+def test_frames_of_titles_do_not_grow_with_a_site(spark):
+    many = [("a", i, f"u{i % 60 if i > 90 else i}", [f"t{i}-{j}" for j in range(i % 4)] or None) for i in range(100) if i % 4 or i % 8]
+    many += [("b", i, f"u{i}", [f"w{i % 5}", f"x{i // 25}"]) for i in range(100)]
+    df = paging.stops(spark.createDataFrame(many, SCHEMA).repartition(3))
+    assert "unboundedpreceding$(), -1" not in df._jdf.queryExecution().optimizedPlan().toString().lower().split("collect_list", 1)[-1].split("]", 1)[0]
+    got = {(r.site, r.page): r.reason for r in df.collect()}
+    for site in "ab":
+        seen, last, empty, over = set(), [], False, False
+        for _, page, url, titles in sorted(r for r in many if r[0] == site):
+            own = set(titles or [])
+            why = "after a stop" if over else "revisit" if url in seen else "two empty" if not own and empty else "same titles" if own and len(own & set(last)) > len(own) * 0.8 else None
+            assert got[site, page] == why
+            seen.add(url)
+            last, empty, over = (last + (titles or []))[-20:], not own, over or why is not None
