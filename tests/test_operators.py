@@ -359,3 +359,14 @@ def test_upserts_with_nulls_and_repeats(spark):
     a = got[("a", "last")]
     assert (a.city, a.neighborhood, a.image_url, a.source_url, a.created_at, str(a.updated_at)) == ("Campinas", None, "http://s.com/photos/house.jpg", None, None, "2024-01-02 00:00:00")
     assert upserts.store(old, new.limit(0), "2024-01-02").count() == 2 and upserts.store(old.limit(0), new, "2024-01-02").count() == 3
+
+
+def test_mapped_items_parse_an_item_once_and_read_values_as_they_stand(spark):
+    items = ['{"titulo":"","title":"T","valor":0,"preco":1.50,"cidade":null,"city":["a",1],"uf":{"b":1},"id":12,"link":"../x?y=/./"}', '{"id":"a","data":true,"area":0.0,"m2":1e2,"foto":"/p/./q.jpg"}', '{"city":"no title"}', "[1]", "no json", None, '{"title":false}']
+    rows = spark.createDataFrame(list(enumerate(items)), "key int, item string").where("length(item) < 1000 or item is null")
+    out = json_items.mapped_items(rows, "item", F.lit("s"), F.lit("https://s.example/list/index.html"), ["key"])
+    got = {r.key: r for r in out.collect()}
+    assert set(got) == {0, 1}
+    assert (got[0].title, got[0].price, got[0].city, got[0].state, got[0].url, got[0].external_id) == ("T", "1.5", '["a",1]', '{"b":1}', "https://s.example/x?y=/./", "s_12")
+    assert (got[1].auction_date, got[1].area, got[1].image_url) == ("true", "100.0", "https://s.example/p/q.jpg")
+    assert out._jdf.queryExecution().executedPlan().toString().lower().count("parsejson") == 1
