@@ -6,7 +6,9 @@ import difflib
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +16,7 @@ from pyspark.sql import types as T
 from ..functions.money import value_similarity
 from ..functions.text import address_parts, fold_accents, long_address, short_address, squeeze
 from ..functions.urls import host_path
+from ..tables import stored
 from .first_wins import absorbed
 
 
@@ -39,13 +42,19 @@ def url_key(auctioneer: Column, url: Column) -> Column:
 @F.pandas_udf(T.DoubleType())
 def text_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Twice the matching characters over all characters, as difflib counts them. No built-in gives this."""
-    match = difflib.SequenceMatcher(autojunk=False)
+    match, known = difflib.SequenceMatcher(autojunk=False), {}
     for a, b in batches:
         out = []
         for x, y in zip(a, b, strict=True):
-            match.set_seqs(x or "", y or "")
-            out.append(match.ratio())
-        yield pd.Series(out)
+            ratio = known.get((x, y))
+            if ratio is None:
+                match.set_seqs(x or "", y or "")
+                ratio = match.ratio()
+                if len(known) >= 50_000:
+                    known.clear()
+                known[x, y] = ratio
+            out.append(ratio)
+        yield pd.Series(out, dtype=float)
 
 
 def distinct_texts(rows: DataFrame, block: list[str], text: str, id: str) -> DataFrame:
@@ -101,12 +110,92 @@ def _prefixes(texts: DataFrame, block: list[str], least: float) -> DataFrame:
     return kept_tokens(ranked, block, least).where("seen > 1").select(*block, "id", "n", "token")
 
 
-def blocked_pairs(rows: DataFrame, block: list[str], text: str, id: str, least: float = 0.85) -> DataFrame:
+def similar_pairs(texts: list[str], least: float) -> Iterator[tuple[int, int, float]]:
+    """(i, j, ratio) of texts i < j that are similar by `least`. Matching characters
+    stand in one order in both texts, so there are at most as many as in their longest
+    common subsequence. Its length, from bits of 64 characters at a time for many
+    pairs at once, says which pairs are compared by difflib."""
+    if len(texts) < 2:
+        return
+    match, size, every = difflib.SequenceMatcher(autojunk=False), np.array([len(t) for t in texts]), range(len(texts))
+    low, high = min(texts), max(texts)  # what all begin and end with is common to all pairs
+    begin = next((i for i, c in enumerate(low) if high[i : i + 1] != c), len(low))
+    ends = [t[begin:][::-1] for t in texts]
+    low, high = min(ends), max(ends)
+    end = next((i for i, c in enumerate(low) if high[i : i + 1] != c), len(low))
+    inner = [t[begin : len(t) - end] for t in texts]
+    letters = {c: i for i, c in enumerate(sorted(set("".join(inner))), 1)}  # 0: past the end
+    codes = np.zeros((len(texts), max(map(len, inner))), np.int64)
+    for i, t in enumerate(inner):
+        codes[i, : len(t)] = [letters[c] for c in t]
+    masks = []
+    for at in range(0, codes.shape[1], 64):
+        mask, part = np.zeros((len(letters) + 1, len(texts)), np.uint64), codes[:, at : at + 64]
+        for j in range(part.shape[1]):
+            mask[part[:, j], every] |= np.uint64(1 << j)
+        mask[0] = 0
+        masks.append(mask)
+    step = max(1, (1 << 16) // len(texts))
+    for first in range(0, len(texts), step):
+        mine = codes[first : first + step]
+        common = np.full((len(mine), len(texts) - first), begin + end)
+        for mask in masks:
+            open_ = np.full(common.shape, ~np.uint64(0))
+            for column in mine[:, : int((mine > 0).sum(axis=1).max())].T:
+                met = open_ & mask[column, first:]
+                open_ = (open_ + met) | (open_ - met)
+            common += np.bitwise_count(~open_)
+        near = 2 * common >= least * (size[first : first + step, None] + size[None, first:]) - 1e-9
+        for j, i in zip(*np.nonzero(np.triu(near, 1).T), strict=True):
+            if i == 0 or match.b is not texts[first + j]:
+                match.set_seq2(texts[first + j])
+            match.set_seq1(texts[first + i])
+            if (ratio := match.ratio()) >= least:
+                yield first + int(i), first + int(j), ratio
+
+
+def _pairs_of_blocks(texts: DataFrame, block: list[str], least: float) -> DataFrame:
+    """Pairs of blocks whose texts fit one task."""
+    kind = texts.schema["id"].dataType
+    blocks = texts.groupBy(*block).agg(F.sort_array(F.collect_list(F.struct("id", "t"))).alias("x")).select(F.col("x.id").alias("id"), F.col("x.t").alias("t"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, own in zip(batch.column("id"), batch.column("t").to_pylist(), strict=True):
+                found = list(similar_pairs(own, least))
+                sides = [ids.values.take(pa.array([pair[side] for pair in found], pa.int64())) for side in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*sides, pa.array([ratio for _, _, ratio in found], pa.float64())], ["a", "b", "ratio"])
+
+    tasks = max(32, 4 * texts.sparkSession.sparkContext.defaultParallelism)  # much work in few bytes
+    return blocks.repartition(tasks).mapInArrow(compare, T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("ratio", T.DoubleType())]))
+
+
+def blocked_pairs(rows: DataFrame, block: list[str], text: str, id: str, least: float = 0.85, most: int = 2048) -> DataFrame:
     """Pairs (a < b) of texts of one block that differ and are similar by `least`,
     with the ratio; a and b are the lowest ids that have them (see distinct_texts
-    for the others). No such pair is lost: see _prefixes. Lengths too far apart
-    for the ratio are dropped before Python."""
-    texts = distinct_texts(rows, block, text, id)
+    for the others)."""
+    return text_pairs(stored(distinct_texts(rows, block, text, id), "texts"), block, least, most)
+
+
+def text_pairs(texts: DataFrame, block: list[str], least: float, most: int = 2048) -> DataFrame:
+    """blocked_pairs of stored distinct texts (block, t, id). In blocks of at most
+    `most` texts all are held against all by bounds that cost little (similar_pairs):
+    texts of a block that have much in common share so many grams that meeting by
+    grams makes more rows than there are pairs. In larger blocks texts meet by their
+    rarest grams. No pair is lost in either."""
+    large = texts.groupBy(*block).agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") > most)
+    if large.isEmpty():
+        return _pairs_of_blocks(texts, block, least)
+    a, b = texts.alias("a"), stored(large, "large").alias("b")
+    same = F.lit(True)
+    for c in block:
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    return _pairs_of_blocks(a.join(b, same, "left_anti"), block, least).union(_gram_pairs(a.join(b, same, "left_semi"), block, least))
+
+
+def _gram_pairs(texts: DataFrame, block: list[str], least: float) -> DataFrame:
+    """Pairs of texts that meet by their rarest grams: see _prefixes. Lengths too far
+    apart for the ratio are dropped before Python."""
     tokens = _prefixes(texts, block, least)
     a, b = tokens.alias("a"), tokens.alias("b")
     near = a.join(b, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in block] + [F.col("a.token") == F.col("b.token"), F.col("a.id") < F.col("b.id")])
@@ -132,11 +221,12 @@ def batch_duplicates(rows: DataFrame, block: list[str], text: str, id: str, leas
     return own.select(F.col(id).alias("id"), F.coalesce("original_id", F.when(F.col("head") != F.col(id), F.col("head"))).alias("original_id")).where("original_id is not null")
 
 
-def with_address(pairs: DataFrame, a: str, b: str, ratio: Column | None = None) -> DataFrame:
+def with_address(pairs: DataFrame, a: str, b: str, ratio: Column | None = None, parts: tuple[Column, Column] | None = None) -> DataFrame:
     """pairs with `address`: the ratio of two written-out addresses (given, if it
-    is known), plus .15 for the same number, .05 for the same street type, .1 for
+    is known, as are their parts), plus .15 for the same number, .05 for the same street type, .1 for
     street names alike by more than .8; at most 1."""
-    out = pairs.withColumns({"_a": address_parts(F.col(a)), "_b": address_parts(F.col(b)), "_ratio": text_ratio(a, b) if ratio is None else ratio})
+    own = parts or (address_parts(F.col(a)), address_parts(F.col(b)))
+    out = pairs.withColumns({"_a": own[0], "_b": own[1], "_ratio": text_ratio(a, b) if ratio is None else ratio})
     out = out.withColumn("_names", text_ratio("_a.street_name", "_b.street_name"))
     same = lambda f, points: F.when(F.col(f"_a.{f}") == F.col(f"_b.{f}"), points).otherwise(0.0)
     bonus = same("number", 0.15) + same("street_type", 0.05) + F.when(F.col("_a.street_name").isNotNull() & F.col("_b.street_name").isNotNull() & (F.col("_names") > 0.8), 0.1).otherwise(0.0)
@@ -166,12 +256,16 @@ def pair_score(pairs: DataFrame, least: float = 0.0) -> DataFrame:
     return out.withColumns({"score": F.round(rest + title * 0.2, 6), "reasons": F.array_join(reasons, ",")}).where(F.col("score") >= least).drop("_at", "_bt", "_titles")
 
 
+def _placed(rows: DataFrame) -> DataFrame:
+    full = F.concat_ws(", ", *(F.coalesce(F.col(c), F.lit("")) for c in ("address", "neighborhood", "city", "state")))
+    return rows.withColumns({"_city": F.lower("city"), "_state": F.upper("state"), "_full": long_address(full)}).where("_city is not null and _state is not null")
+
+
 def profiles(rows: DataFrame) -> DataFrame:
     """rows of a known city and state with _city, _state, _full (the written-out
     address) and profile: the lowest id of the rows there that are alike in all that a
     score looks at."""
-    full = F.concat_ws(", ", *(F.coalesce(F.col(c), F.lit("")) for c in ("address", "neighborhood", "city", "state")))
-    own = rows.withColumns({"_city": F.lower("city"), "_state": F.upper("state"), "_full": long_address(full)}).where("_city is not null and _state is not null")
+    own = _placed(rows)
     alike = ["_city", "_state", "_full", *_SCORED]
     heads = own.groupBy(*alike).agg(F.min("id").alias("profile"))
     a, b = own.alias("a"), heads.alias("b")
@@ -185,14 +279,13 @@ def scored_pairs(rows: DataFrame, least: float = 0.75, least_address: float = 0.
     So equal listings, however many stand at one address, are one row. Compared are
     profiles whose addresses have a ratio of at least `least_address`; addresses are
     compared once for each two that differ."""
-    own = profiles(rows)
     block, seller = ["_city", "_state"], F.coalesce(F.col("auctioneer_id").cast("string"), F.lit(""))
-    one = own.groupBy(*block, "_full", "profile", *_SCORED).agg(F.count(F.lit(1)).alias("n"), F.min(seller).alias("low"), F.max(seller).alias("high"))
-    heads = one.groupBy(*block, "_full").agg(F.min("profile").alias("head"))
-    members = one.join(heads, [*block, "_full"]).select("head", "profile", "n", "low", "high", *_SCORED)
-    near = blocked_pairs(own, block, "_full", "id", least_address)
-    named = lambda i: heads.select(F.col("head").alias(f"h{i}"), F.col("_full").alias(f"t{i}"))
-    near = with_address(near.toDF("h1", "h2", "ratio").join(named(1), "h1").join(named(2), "h2"), "t1", "t2", F.col("ratio")).select("h1", "h2", "address")
+    one = stored(_placed(rows).groupBy(*block, "_full", *_SCORED).agg(F.min("id").alias("profile"), F.count(F.lit(1)).alias("n"), F.min(seller).alias("low"), F.max(seller).alias("high")), "profiles")
+    heads = stored(one.groupBy(*block, "_full").agg(F.min("profile").alias("head")).withColumn("parts", address_parts(F.col("_full"))), "heads")
+    members = one.join(heads.drop("parts"), [*block, "_full"]).select("head", "profile", "n", "low", "high", *_SCORED)
+    near = text_pairs(heads.select(*block, F.col("_full").alias("t"), F.col("head").alias("id")), block, least_address)
+    named = lambda i: heads.select(F.col("head").alias(f"h{i}"), F.col("_full").alias(f"t{i}"), F.col("parts").alias(f"p{i}"))
+    near = with_address(near.toDF("h1", "h2", "ratio").join(named(1), "h1").join(named(2), "h2"), "t1", "t2", F.col("ratio"), (F.col("p1"), F.col("p2"))).select("h1", "h2", "address")
     near = near.union(heads.select("head", "head", F.when(F.col("_full") == "", 0.0).otherwise(1.0)))  # the same address is near itself
     side = lambda s, h: members.select(F.col("head").alias(h), *(F.col(c).alias(f"{s}_{c}") for c in ["profile", "n", "low", "high", *_SCORED]))
     several = (F.col("a_low") != F.col("b_low")) | (F.col("a_high") != F.col("b_high")) | (F.col("a_low") != F.col("a_high"))

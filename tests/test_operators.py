@@ -370,3 +370,27 @@ def test_mapped_items_parse_an_item_once_and_read_values_as_they_stand(spark):
     assert (got[0].title, got[0].price, got[0].city, got[0].state, got[0].url, got[0].external_id) == ("T", "1.5", '["a",1]', '{"b":1}', "https://s.example/x?y=/./", "s_12")
     assert (got[1].auction_date, got[1].area, got[1].image_url) == ("true", "100.0", "https://s.example/p/q.jpg")
     assert out._jdf.queryExecution().executedPlan().toString().lower().count("parsejson") == 1
+
+
+def test_texts_of_a_block_that_have_much_in_common_meet_as_all_pairs(spark):
+    rng = random.Random(5)
+    end = lambda b: f", zone {b}, middle east 39, nation_24" if b else ""
+    rows = [(i, b, rng.choice(["rua das flores", "avenida brasil", "praça 漢"]) + f", n {rng.randint(0, 40)}" + rng.choice(["", " apartamento 12", " bloco b" * 9]) + end(b)) for i, b in enumerate([1, 2, None] * 30)]
+    df = spark.createDataFrame(rows, "id int, block int, t string")
+    texts = {}
+    for i, b, t in rows:
+        texts.setdefault((b, t), i)
+    expected = {}
+    for ((b1, t1), i1), ((b2, t2), i2) in itertools.combinations(texts.items(), 2):
+        if b1 == b2 and (ratio := difflib.SequenceMatcher(None, t1, t2, autojunk=False).ratio()) >= 0.85:
+            expected[i1, i2] = ratio
+    assert len(expected) > 100
+    for most in (0, 29, 2048):  # by grams, either, all against all
+        assert {(r.a, r.b): r.ratio for r in dedup.blocked_pairs(df, ["block"], "t", "id", 0.85, most).collect()} == expected
+    made = []
+    known, dedup._gram_pairs = dedup._gram_pairs, lambda *a: made.append(1) or known(*a)
+    try:
+        dedup.blocked_pairs(df, ["block"], "t", "id").collect()
+        assert not made
+    finally:
+        dedup._gram_pairs = known
