@@ -213,8 +213,9 @@ def batch_duplicates(rows: DataFrame, block: list[str], text: str, id: str, leas
     each row of a block that is not yet taken takes all later ones whose text is
     similar by `least`. Rows of equal texts go together: the first of them is taken
     or takes, the others follow it."""
-    texts = distinct_texts(rows, block, text, id)
-    taken = absorbed(blocked_pairs(rows, block, text, id, least).select("a", "b"))
+    rows = stored(rows.select(*dict.fromkeys([id, *block, text])), "rows")  # read twice
+    texts = stored(distinct_texts(rows, block, text, id), "texts")
+    taken = absorbed(text_pairs(texts, block, least).select("a", "b"))
     heads = texts.select(*block, F.col("t").alias(text), F.col("id").alias("head"))
     same = rows.select(id, *block, text).join(heads, [*block, text])
     own = same.join(taken.withColumnRenamed("id", "head"), "head", "left")
