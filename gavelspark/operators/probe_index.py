@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import stored
 from .dedup import distinct_texts, kept_tokens, text_ratio, text_tokens
 
 
@@ -50,7 +51,7 @@ class ProbeIndex:
         """text_key, place (its block), t and the lowest id of each text of a block."""
         each = distinct_texts(rows, self.block, self.text, self.id)
         place = F.xxhash64(*(F.coalesce(F.concat(F.lit("+"), F.col(c).cast("string")), F.lit("")) for c in self.block)) if self.block else F.lit(0).cast("long")
-        return each.select(place.alias("place"), "t", "id").withColumn("text_key", F.xxhash64("place", "t"))
+        return stored(each.select(place.alias("place"), "t", "id").withColumn("text_key", F.xxhash64("place", "t")), "texts")  # read more than once
 
     def _cut(self, texts: DataFrame) -> DataFrame:
         """text_key, n and token of the tokens that decide."""
@@ -63,12 +64,14 @@ class ProbeIndex:
         texts = self._distinct(rows)
         tokens = text_tokens(texts.where("t <> ''").select("place", "t", F.col("text_key").alias("id")), ["place"], self.least, ["place"])
         tokens.groupBy("token").agg(F.count(F.lit(1)).alias("seen")).write.insertInto(self._order())
-        return self.add(rows)
+        return self._append(texts, dict(rows.dtypes)[self.id])
 
     def add(self, rows: DataFrame) -> ProbeIndex:
         """Append further rows."""
-        texts = self._distinct(rows)
-        texts.select("text_key", "t", "place", "id").write.insertInto(self._texts(dict(rows.dtypes)[self.id]))
+        return self._append(self._distinct(rows), dict(rows.dtypes)[self.id])
+
+    def _append(self, texts: DataFrame, kind: str) -> ProbeIndex:
+        texts.select("text_key", "t", "place", "id").write.insertInto(self._texts(kind))
         self._cut(texts).write.insertInto(self._tokens())
         return self
 
