@@ -640,6 +640,61 @@ def test_lm_beats_unigrams_whatever_the_tasks(spark):
     assert sum(x.score for x in held) > 0.9 * sum(x.base_score for x in held)
 
 
+def test_lm_feature_rows_grow_with_the_words(spark):
+    from gavelspark.llm.lm_scoring import Shape, parts_and_rows, score_texts
+
+    r = random.Random(5)
+    after = {f"b{i}x": [f"{k}n{e}" for k in range(3)] for i in range(1500) for e in [r.choice(("aa", "bb", "cc", "dd", "ee", "ff"))]}
+    text = lambda: " ".join(f"{w} {r.choice(after[w])}" for w in r.choices(list(after), k=150))
+    df = spark.createDataFrame([(i, text()) for i in range(400)], "doc_id long, text string")
+    gains = []
+    for shape in (Shape(), Shape(most_rows=64)):  # few rows a part must not mean few rows in all
+        held = [x for x in score_texts(df, shape=shape).collect() if x.held_out]
+        gains.append(sum(x.score - x.base_score for x in held) / sum(x.n_tokens for x in held))
+    assert gains[1] > 0.55 * gains[0] > 0.1  # with 64 rows in all it was 0.087 a token, of 0.26
+    shape = Shape()
+    for distinct, total in ((10, 50), (10**6, 10**7), (10**8, 10**9), (10**10, 10**10), (10, 10**10)):
+        parts, rows = parts_and_rows(total, distinct, shape)
+        assert parts * rows >= distinct // 4 and parts * shape.part_tokens >= total and rows <= shape.most_rows
+
+
+def test_lm_parts(spark):
+    """What the shuffle brings back is each part's model over its own tokens; no part swells."""
+    import pyarrow as pa
+
+    from gavelspark.llm.lm_scoring import Shape, Tokens, _prepared, packed, parts_and_rows, score_texts, start, train, word_counts
+
+    r = random.Random(9)
+    texts = ["the the the the cat"] * 300 + [" ".join(r.choice(("the", "of", "a", f"w{r.randrange(900)}")) for _ in range(60)) for _ in range(200)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    shape = Shape(part_tokens=1 << 10)
+    rows = _prepared(df, "doc_id", "text", 2, 7)
+    counts = word_counts(rows.where("not held_out")).cache()
+    model = start(counts, *parts_and_rows(*counts.agg(F.sum("n"), F.count("*")).first(), shape), shape)
+    assert model.parts > 9
+    local = rows.orderBy("key").collect()
+    tokens = Tokens(pa.array([x.text for x in local]))
+    lengths = np.diff(tokens.first)
+    hashes = np.array([x.hash for x in local])
+    own, routes = model.events(tokens), model.routes(tokens, hashes.view(np.uint64).repeat(lengths))
+    step = np.array([3 if x.held_out else x.hash % 3 for x in local]).repeat(lengths)
+    logs = np.zeros(len(own))
+    for part in range(model.parts):
+        steps = [np.unique(own[(routes == part) & (step == k)], return_counts=True) for k in range(3)]
+        at = np.flatnonzero(routes == part)
+        distinct, place = np.unique(own[at], return_inverse=True)
+        logs[at] = train(model, steps, 4.0, 100).event_scores(distinct, 100)[place]
+    known, n = model.vocabulary.known(tokens.words)
+    expected = np.add.reduceat(logs + np.log10(n + 1.0), tokens.first[:-1])
+    for tasks in (1, 5):
+        found = {x.doc_id: x.score for x in score_texts(df.repartition(tasks), shape=shape).collect()}
+        assert [found[i] for i in range(len(texts))] == pytest.approx(list(expected), abs=1e-3)
+        assert len({round(found[i], 6) for i in range(300)}) == 1
+    made = packed(rows, model, 3).where("data is not null").groupBy("part").agg((F.sum(F.octet_length("codes")) / 2).alias("n")).collect()
+    assert sum(x.n for x in made) == len(own)
+    assert max(x.n for x in made) < 3 * shape.part_tokens
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
