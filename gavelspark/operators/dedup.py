@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +19,7 @@ from ..functions.text import address_parts, fold_accents, long_address, short_ad
 from ..functions.urls import host_path
 from ..tables import stored
 from .first_wins import absorbed
+from .matching import ratios
 
 
 def address_key(address: Column, city: Column, state: Column) -> Column:
@@ -105,19 +107,19 @@ def _prefixes(texts: DataFrame, block: list[str], least: float) -> DataFrame:
     too short for a gram bound are met by letters."""
     tokens = text_tokens(texts, block, least)
     known = tokens.groupBy(*block, "token").agg(F.count(F.lit(1)).alias("seen"))
-    a, b = tokens.alias("a"), known.alias("b")
+    a, b = tokens.alias("a"), known.hint("merge").alias("b")
     ranked = a.join(b, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in block] + [F.col("a.token") == F.col("b.token")]).select("a.*", "b.seen")
     return kept_tokens(ranked, block, least).where("seen > 1").select(*block, "id", "n", "token")
 
 
-def similar_pairs(texts: list[str], least: float) -> Iterator[tuple[int, int, float]]:
-    """(i, j, ratio) of texts i < j that are similar by `least`. Matching characters
-    stand in one order in both texts, so there are at most as many as in their longest
-    common subsequence. Its length, from bits of 64 characters at a time for many
-    pairs at once, says which pairs are compared by difflib."""
+def similar_pairs(texts: list[str], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places i and j and the ratio of texts i < j that are similar by `least`. Matching
+    characters stand in one order in both texts, so there are at most as many as in
+    their longest common subsequence. Its length, from bits of 64 characters at a time
+    for many pairs at once, says of which pairs the ratio is taken."""
     if len(texts) < 2:
-        return
-    match, size, every = difflib.SequenceMatcher(autojunk=False), np.array([len(t) for t in texts]), range(len(texts))
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    size, every, found = np.array([len(t) for t in texts]), range(len(texts)), []
     low, high = min(texts), max(texts)  # what all begin and end with is common to all pairs
     begin = next((i for i, c in enumerate(low) if high[i : i + 1] != c), len(low))
     ends = [t[begin:][::-1] for t in texts]
@@ -146,12 +148,11 @@ def similar_pairs(texts: list[str], least: float) -> Iterator[tuple[int, int, fl
                 open_ = (open_ + met) | (open_ - met)
             common += np.bitwise_count(~open_)
         near = 2 * common >= least * (size[first : first + step, None] + size[None, first:]) - 1e-9
-        for j, i in zip(*np.nonzero(np.triu(near, 1).T), strict=True):
-            if i == 0 or match.b is not texts[first + j]:
-                match.set_seq2(texts[first + j])
-            match.set_seq1(texts[first + i])
-            if (ratio := match.ratio()) >= least:
-                yield first + int(i), first + int(j), ratio
+        i, j = np.nonzero(np.triu(near, 1))
+        ratio = ratios(texts, first + i, first + j)
+        kept = ratio >= least
+        found.append((first + i[kept], first + j[kept], ratio[kept]))
+    return tuple(np.concatenate(part) for part in zip(*found, strict=True))
 
 
 def _pairs_of_blocks(texts: DataFrame, block: list[str], least: float) -> DataFrame:
@@ -162,9 +163,8 @@ def _pairs_of_blocks(texts: DataFrame, block: list[str], least: float) -> DataFr
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, own in zip(batch.column("id"), batch.column("t").to_pylist(), strict=True):
-                found = list(similar_pairs(own, least))
-                sides = [ids.values.take(pa.array([pair[side] for pair in found], pa.int64())) for side in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*sides, pa.array([ratio for _, _, ratio in found], pa.float64())], ["a", "b", "ratio"])
+                i, j, ratio = similar_pairs(own, least)
+                yield pa.RecordBatch.from_arrays([ids.values.take(pa.array(i)), ids.values.take(pa.array(j)), pa.array(ratio)], ["a", "b", "ratio"])
 
     tasks = max(32, 4 * texts.sparkSession.sparkContext.defaultParallelism)  # much work in few bytes
     return blocks.repartition(tasks).mapInArrow(compare, T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("ratio", T.DoubleType())]))
@@ -197,13 +197,13 @@ def _gram_pairs(texts: DataFrame, block: list[str], least: float) -> DataFrame:
     """Pairs of texts that meet by their rarest grams: see _prefixes. Lengths too far
     apart for the ratio are dropped before Python."""
     tokens = _prefixes(texts, block, least)
-    a, b = tokens.alias("a"), tokens.alias("b")
+    a, b = tokens.alias("a"), tokens.hint("merge").alias("b")
     near = a.join(b, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in block] + [F.col("a.token") == F.col("b.token"), F.col("a.id") < F.col("b.id")])
     near = near.where(F.least("a.n", "b.n") * 2 >= F.lit(least) * (F.col("a.n") + F.col("b.n")) - 1e-9)
     pairs = near.select(*(F.col(f"a.{c}").alias(c) for c in block), F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
     texts = texts.select(*block, "id", "t")
     for side in ("a", "b"):  # an id may stand in several blocks
-        own = texts.toDF(*(f"_{c}" for c in block), f"_{side}", f"t{side}")
+        own = texts.toDF(*(f"_{c}" for c in block), f"_{side}", f"t{side}").hint("merge")
         pairs = pairs.join(own, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in block] + [F.col(side) == F.col(f"_{side}")]).drop(*(f"_{c}" for c in block), f"_{side}")
     return pairs.withColumn("ratio", text_ratio("ta", "tb")).where(F.col("ratio") >= least).select("a", "b", "ratio")
 
@@ -217,8 +217,8 @@ def batch_duplicates(rows: DataFrame, block: list[str], text: str, id: str, leas
     texts = stored(distinct_texts(rows, block, text, id), "texts")
     taken = absorbed(text_pairs(texts, block, least).select("a", "b"))
     heads = texts.select(*block, F.col("t").alias(text), F.col("id").alias("head"))
-    same = rows.select(id, *block, text).join(heads, [*block, text])
-    own = same.join(taken.withColumnRenamed("id", "head"), "head", "left")
+    same = rows.select(id, *block, text).join(heads.hint("merge"), [*block, text])
+    own = same.join(taken.withColumnRenamed("id", "head").hint("merge"), "head", "left")
     return own.select(F.col(id).alias("id"), F.coalesce("original_id", F.when(F.col("head") != F.col(id), F.col("head"))).alias("original_id")).where("original_id is not null")
 
 
@@ -273,22 +273,134 @@ def profiles(rows: DataFrame) -> DataFrame:
     return a.join(b, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in alike]).select("a.*", "b.profile")
 
 
-def scored_pairs(rows: DataFrame, least: float = 0.75, least_address: float = 0.85) -> DataFrame:
+#: What a pair has in common, by bits; "near" counts where it is not "alike".
+_REASONS = ["address alike", "address near", "title", "category", "value", "area"]
+_PAIRS = 1 << 18  # of profiles that are scored at once
+
+
+def _values(column: pa.Array) -> np.ndarray:
+    """Numbers, nan for null; a nan is as unlike any other as an infinite one."""
+    out = column.fill_null(0.0).to_numpy(zero_copy_only=False).copy()
+    out[np.isnan(out)] = np.inf
+    out[column.is_null().to_numpy(zero_copy_only=False)] = np.nan
+    return out
+
+
+def _value_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """value_similarity of arrays that hold no zero."""
+    with np.errstate(invalid="ignore"):
+        off = np.abs(a - b) / np.maximum(a, b)
+        near = (off <= 0.1).astype(np.int8) + (off <= 0.2) + (off <= 0.3) + (off <= 0.5)
+    return np.where(np.isnan(a) | np.isnan(b), 0.5, np.array([0.2, 0.4, 0.6, 0.8, 1.0])[near])
+
+
+def _codes(*columns: pa.Array) -> list[np.ndarray]:
+    """Equal numbers for equal values of all columns; null is one."""
+    codes = pa.concat_arrays(columns).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    return np.split(codes, np.cumsum([len(c) for c in columns])[:-1])
+
+
+def _address_scores(heads: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of addresses (in the order of their heads) that are similar by `least`, or the same, and their score as with_address has it."""
+    texts = heads["_full"].to_pylist()
+    i, j, ratio = similar_pairs(texts, least)
+    parts = heads["parts"].chunk(0)
+    kind, number, name = (_codes(parts.field(f))[0] for f in ("street_type", "number", "street_name"))
+    same = lambda code: (code[i] == code[j]) & (code[i] >= 0)
+    named = np.flatnonzero((name[i] >= 0) & (name[j] >= 0))
+    names, pairs = parts.field("street_name").dictionary_encode().dictionary.to_pylist(), name[i[named]].astype(np.int64) * (len(texts) + 1) + name[j[named]]
+    each, back = np.unique(pairs, return_inverse=True)
+    alike = np.zeros(len(i), bool)
+    alike[named] = (ratios(names, each // (len(texts) + 1), each % (len(texts) + 1)) > 0.8)[back]
+    empty, every = np.array([t == "" for t in texts], bool), np.arange(len(texts))
+    bonus = np.where(same(number), 0.15, 0.0) + np.where(same(kind), 0.05, 0.0) + np.where(alike, 0.1, 0.0)
+    score = np.where(empty[i] | empty[j], 0.0, np.minimum(1.0, ratio + bonus))
+    return np.concatenate([i, every]), np.concatenate([j, every]), np.concatenate([score, np.where(empty, 0.0, 1.0)])
+
+
+def _scored_block(heads: pa.Table, least: float, least_address: float) -> Iterator[pa.RecordBatch]:
+    """Of one block's addresses (head, _full, parts, and `of`: their profiles) the pairs of profiles that score `least`, with what pair_score
+    counts: a, b, n_a, n_b, score (not rounded) and why (bits of _REASONS)."""
+    heads = heads.sort_by("head").combine_chunks()
+    of = heads["of"].chunk(0)
+    size, profiles = of.value_lengths().to_numpy(), of.flatten()
+    start, column = np.cumsum(size, dtype=np.int64) - size, lambda name: profiles.field(name)
+    low, high = _codes(column("low"), column("high"))
+    title, category, value, area, n = _codes(column("title"))[0].astype(np.int64), _codes(column("category"))[0], _values(column("value")), _values(column("area")), column("n").to_numpy()
+    titles, ids, rank = column("title").dictionary_encode().dictionary.to_pylist(), column("profile"), np.empty(len(n), np.int64)
+    rank[pc.sort_indices(ids).to_numpy()] = np.arange(len(n))
+    h1, h2, address = _address_scores(heads, least_address)
+    end = np.cumsum(size[h1].astype(np.int64) * size[h2])
+    begin, untitled = np.concatenate([[0], end[:-1]]), np.array([t == "" for t in titles], bool)
+    for first in range(0, int(end[-1]), _PAIRS):
+        last = min(first + _PAIRS, int(end[-1]))
+        x, y = np.searchsorted(end, first, "right"), np.searchsorted(begin, last)
+        r = np.repeat(np.arange(x, y), np.minimum(end[x:y], last) - np.maximum(begin[x:y], first))
+        a, b = np.divmod(np.arange(first, last) - begin[r], size[h2[r]])
+        a, b = start[h1[r]] + a, start[h2[r]] + b
+        kept = np.flatnonzero(((low[a] != low[b]) | (high[a] != high[b]) | (low[a] != high[a])) & ((h1[r] != h2[r]) | (rank[a] <= rank[b])))
+        r, a, b = r[kept], a[kept], b[kept]
+        same, values, areas = category[a] == category[b], _value_similarity(value[a], value[b]), _value_similarity(area[a], area[b])
+        rest = address[r] * 0.4 + same * 0.15 + values * 0.15 + areas * 0.1
+        kept = np.flatnonzero(rest + 0.2 >= least - 1e-9)
+        r, a, b, same, values, areas, rest = (v[kept] for v in (r, a, b, same, values, areas, rest))
+        pairs, back = np.unique(title[a] * len(titles) + title[b], return_inverse=True)
+        i, j = pairs // len(titles), pairs % len(titles)
+        alike = np.where(untitled[i] | untitled[j], 0.0, ratios(titles, i, j))[back]
+        score, near = rest + alike * 0.2, address[r]
+        why = sum(bit.astype(np.int32) << at for at, bit in enumerate([near > 0.8, (near > 0.6) & (near <= 0.8), alike > 0.8, same, values > 0.8, areas > 0.8]))
+        kept = np.flatnonzero(score >= least - 1e-5)  # Spark rounds
+        a, b = a[kept], b[kept]
+        swapped = rank[a] > rank[b]
+        a, b = np.where(swapped, b, a), np.where(swapped, a, b)
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b)), pa.array(n[a]), pa.array(n[b]), pa.array(score[kept]), pa.array(why[kept])], ["a", "b", "n_a", "n_b", "score", "why"])
+
+
+def _scores_of_blocks(one: DataFrame, block: list[str], least: float, least_address: float) -> DataFrame:
+    """scored_pairs of blocks whose profiles fit one task. Addresses and their
+    profiles are dealt out by block, once: neither near addresses nor profiles are joined."""
+    kind = one.schema["profile"].dataType
+    some = lambda *names: F.coalesce(*(F.nullif(F.col(n), F.lit(0.0)) for n in names)).cast("double")
+    profile = F.struct("profile", "n", "low", "high", long_address(F.coalesce("title", F.lit(""))).alias("title"), "category", some("evaluation_value", "first_auction_value").alias("value"), some("area_total", "area_privativa").alias("area"))
+    tasks = max(32, 8 * one.sparkSession.sparkContext.defaultParallelism)  # much work in few bytes
+    heads = one.repartition(tasks, *block).groupBy(*block, "_full").agg(F.min("profile").alias("head"), F.collect_list(profile).alias("of")).withColumn("parts", address_parts(F.col("_full")))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _scored_block(pa.Table.from_batches(batches), least, least_address)
+
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), *(T.StructField(c, T.LongType()) for c in ("n_a", "n_b")), T.StructField("score", T.DoubleType()), T.StructField("why", T.IntegerType())])
+    reasons = F.array(*(F.lit(",".join(r for i, r in enumerate(_REASONS) if bits >> i & 1)) for bits in range(1 << len(_REASONS))))
+    found = heads.groupBy(*block).applyInArrow(compare, schema).withColumn("score", F.round("score", 6)).where(F.col("score") >= least)
+    return found.select("a", "b", "n_a", "n_b", "score", F.get(reasons, F.col("why")).alias("reasons"))
+
+
+def scored_pairs(rows: DataFrame, least: float = 0.75, least_address: float = 0.85, most: int = 2048, most_profiles: int = 32_768) -> DataFrame:
     """Profiles a <= b (see `profiles`) in one city and state that different
     auctioneers have, whose score is at least `least`: a, b, n_a and n_b (their
     listings), score, reasons. a = b: listings of one profile by several auctioneers.
     So equal listings, however many stand at one address, are one row. Compared are
     profiles whose addresses have a ratio of at least `least_address`; addresses are
-    compared once for each two that differ."""
+    compared once for each two that differ. A city and state of at most `most`
+    addresses and `most_profiles` profiles goes through one task; larger ones are joined."""
     block, seller = ["_city", "_state"], F.coalesce(F.col("auctioneer_id").cast("string"), F.lit(""))
     one = stored(_placed(rows).groupBy(*block, "_full", *_SCORED).agg(F.min("id").alias("profile"), F.count(F.lit(1)).alias("n"), F.min(seller).alias("low"), F.max(seller).alias("high")), "profiles")
+    sizes = one.groupBy(*block).agg(F.count_distinct("_full").alias("texts"), F.count(F.lit(1)).alias("profiles"))
+    large = stored(sizes.where((F.col("texts") > most) | (F.col("profiles") > most_profiles)).select(*block), "large")
+    if large.isEmpty():
+        return _scores_of_blocks(one, block, least, least_address)
+    return _scores_of_blocks(one.join(large, block, "left_anti"), block, least, least_address).union(_scores_by_joins(one.join(large, block, "left_semi"), block, least, least_address, most))
+
+
+def _scores_by_joins(one: DataFrame, block: list[str], least: float, least_address: float, most: int) -> DataFrame:
+    """scored_pairs of blocks of any size. The tables of addresses grow with the data and take
+    little room as files, so by these they would be broadcast: they are merged."""
     heads = stored(one.groupBy(*block, "_full").agg(F.min("profile").alias("head")).withColumn("parts", address_parts(F.col("_full"))), "heads")
-    members = one.join(heads.drop("parts"), [*block, "_full"]).select("head", "profile", "n", "low", "high", *_SCORED)
-    near = text_pairs(heads.select(*block, F.col("_full").alias("t"), F.col("head").alias("id")), block, least_address)
-    named = lambda i: heads.select(F.col("head").alias(f"h{i}"), F.col("_full").alias(f"t{i}"), F.col("parts").alias(f"p{i}"))
+    members = one.join(heads.drop("parts").hint("merge"), [*block, "_full"]).select("head", "profile", "n", "low", "high", *_SCORED)
+    near = text_pairs(heads.select(*block, F.col("_full").alias("t"), F.col("head").alias("id")), block, least_address, most)
+    named = lambda i: heads.select(F.col("head").alias(f"h{i}"), F.col("_full").alias(f"t{i}"), F.col("parts").alias(f"p{i}")).hint("merge")
     near = with_address(near.toDF("h1", "h2", "ratio").join(named(1), "h1").join(named(2), "h2"), "t1", "t2", F.col("ratio"), (F.col("p1"), F.col("p2"))).select("h1", "h2", "address")
     near = near.union(heads.select("head", "head", F.when(F.col("_full") == "", 0.0).otherwise(1.0)))  # the same address is near itself
-    side = lambda s, h: members.select(F.col("head").alias(h), *(F.col(c).alias(f"{s}_{c}") for c in ["profile", "n", "low", "high", *_SCORED]))
+    side = lambda s, h: members.select(F.col("head").alias(h), *(F.col(c).alias(f"{s}_{c}") for c in ["profile", "n", "low", "high", *_SCORED])).hint("merge")
     several = (F.col("a_low") != F.col("b_low")) | (F.col("a_high") != F.col("b_high")) | (F.col("a_low") != F.col("a_high"))
     met = near.join(side("a", "h1"), "h1").join(side("b", "h2"), "h2").where(several & ((F.col("h1") != F.col("h2")) | (F.col("a_profile") <= F.col("b_profile"))))
     swapped = F.col("a_profile") > F.col("b_profile")

@@ -4,6 +4,8 @@ import difflib
 import itertools
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -394,3 +396,61 @@ def test_texts_of_a_block_that_have_much_in_common_meet_as_all_pairs(spark):
         assert not made
     finally:
         dedup._gram_pairs = known
+
+
+def test_ratios_of_many_pairs_like_difflib():
+    from gavelspark.operators import matching
+
+    r = random.Random(3)
+    for letters, cells, long in [("ab", 1 << 22, 1 << 20), ("ab漢", 300, 1 << 20), ("abc", 1 << 22, 30), ("a", 1 << 22, 1 << 20)]:
+        matching.CELLS, matching.LONG, known = cells, long, (matching.CELLS, matching.LONG)
+        try:
+            texts = ["", *("".join(r.choice(letters) for _ in range(r.randrange(15))) for _ in range(25)), "ab" * 150, "b" + "ab" * 140]
+            i, j = (x.ravel() for x in np.meshgrid(np.arange(len(texts)), np.arange(len(texts))))
+            expected = [difflib.SequenceMatcher(None, texts[x], texts[y], autojunk=False).ratio() for x, y in zip(i, j, strict=True)]
+            assert matching.ratios(texts, i, j).tolist() == expected
+        finally:
+            matching.CELLS, matching.LONG = known
+    assert matching.ratios([], np.zeros(0, int), np.zeros(0, int)).tolist() == []
+
+
+def _odd_listings(spark, n=160):
+    r = random.Random(11)
+    columns = "id string, auctioneer_id int, title string, address string, neighborhood string, city string, state string, category string, evaluation_value double, first_auction_value double, area_total double, area_privativa double"
+    number = lambda *some: r.choice([None, 0.0, float("nan"), float("inf"), -100.0, *some])
+    rows = [
+        (f"i{i}", r.choice([1, 2, None]), r.choice(["Casa térrea", "casa nova", "apartamento 2", "", None]), r.choice(["Rua das Flores, n. ", "R. das Flores ", "Av. Flores "]) + str(r.randrange(4)) if r.random() < 0.8 else None, r.choice(["centro", None]),
+         r.choice(["Santos", "santos", "Recife", "", None]), r.choice(["SP", "sp", ""]), r.choice(["Casa", "Apartamento", None]), number(100.0, 105.0, 125.0, 400.0), number(90.0), number(50.0, 52.0), number(48.0)) for i in range(n)
+    ]
+    rows += [(f"e{i}", i, "casa", "", "", "", "", "Casa", 100.0, 90.0, 50.0, None) for i in range(3)]  # no address at all
+    return spark.createDataFrame(rows, columns)
+
+
+def test_scored_pairs_of_blocks_as_by_joins(spark):
+    rows = _odd_listings(spark)
+    in_blocks = sorted(tuple(x) for x in dedup.scored_pairs(rows, 0.5, 0.8).collect())
+    for most, most_profiles in [(0, 32_768), (2048, 40), (2048, 0)]:  # all by joins, some by profiles, all by profiles
+        assert sorted(tuple(x) for x in dedup.scored_pairs(rows, 0.5, 0.8, most, most_profiles).collect()) == in_blocks
+    assert len(in_blocks) > 200 and len({x[-1] for x in in_blocks}) > 8
+
+
+def test_scored_block_in_slices_of_any_size():
+    profile = pa.struct({c: pa.string() for c in ("profile", "low", "high", "title", "category")} | {"n": pa.int64(), "value": pa.float64(), "area": pa.float64()})
+    of = [[{"profile": f"{h}{i}", "low": str(i % 2), "high": str(i % 2), "title": f"casa {i % 3}", "category": "x", "n": i, "value": 100.0 + i, "area": None} for i in range(size)] for h, size in [("a", 9), ("c", 1), ("b", 4)]]
+    heads = pa.table({"head": ["a0", "c0", "b0"], "_full": ["rua um 1", "avenida longe 9", "rua um 2"], "parts": [{"street_type": "rua", "street_name": "um", "number": None}] * 3, "of": pa.array(of, pa.list_(profile))})
+    rows = lambda: [x for b in dedup._scored_block(heads, 0.5, 0.8) for x in b.to_pylist()]
+    whole, known = rows(), dedup._PAIRS
+    try:
+        for dedup._PAIRS in (1, 7, 40):
+            assert rows() == whole
+    finally:
+        dedup._PAIRS = known
+    assert {(x["a"], x["b"]) for x in whole} == {(f"a{i}", f"a{j}") for i in range(9) for j in range(i, 9) if (i + j) % 2} | {(f"b{i}", f"b{j}") for i in range(4) for j in range(i, 4) if (i + j) % 2} | {(f"a{i}", f"b{j}") for i in range(9) for j in range(4) if (i + j) % 2}
+
+
+def test_tables_of_duplicates_that_grow_with_the_data_are_not_broadcast(spark):
+    rows = _odd_listings(spark, 40)
+    joins = lambda df: [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in line]
+    assert joins(dedup.scored_pairs(rows)) == []
+    assert not any("[city#" in line or "[head#" in line for line in joins(dedup.batch_duplicates(rows.where("address <> ''"), ["city"], "address", "id")))
+    assert all("_city#" in line and "_full#" not in line and "Left" in line for line in joins(dedup.scored_pairs(rows, most=0)))  # with the large blocks, which are few
